@@ -1,6 +1,7 @@
 """The corpus operators' registered queries and, where SQL can express them, their DuckDB equivalents."""
 
-from . import url_filters
+from . import near_duplicates, url_filters
 
-QUERIES = {"op1_url_filters": url_filters.query}
-ORACLES = {"op1_url_filters": url_filters.ORACLE}
+_ALL = {"op1_url_filters": url_filters, "op3_ngram_jaccard_join": near_duplicates}
+QUERIES = {name: module.query for name, module in _ALL.items()}
+ORACLES = {name: module.ORACLE for name, module in _ALL.items() if getattr(module, "ORACLE", None)}
