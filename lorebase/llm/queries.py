@@ -1,7 +1,7 @@
 """The corpus operators' registered queries and, where SQL can express them, their DuckDB equivalents."""
 
-from . import lm_scoring, near_duplicates, packing, token_counts, url_filters
+from . import language_id, lm_scoring, near_duplicates, packing, token_counts, url_filters
 
-_ALL = {"op1_url_filters": url_filters, "op3_ngram_jaccard_join": near_duplicates, "op6_token_counts": token_counts, "op9_best_fit_packing": packing, "op10_lm_scoring": lm_scoring}
+_ALL = {"op1_url_filters": url_filters, "op3_ngram_jaccard_join": near_duplicates, "op4_language_id": language_id, "op6_token_counts": token_counts, "op9_best_fit_packing": packing, "op10_lm_scoring": lm_scoring}
 QUERIES = {name: module.query for name, module in _ALL.items()}
 ORACLES = {name: module.ORACLE for name, module in _ALL.items() if getattr(module, "ORACLE", None)}
