@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import load
 
@@ -39,6 +40,8 @@ SAMPLE_CHARS = 24_000
 ALPHABET = 62
 LANE = 128
 UNKNOWN = "und"
+#: The score from which a prediction against a document's label rejects it.
+SURE = 0.1
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -168,7 +171,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_do
 
 
 def identify(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """docs' (id, text) rows with lang_pred and score, by automata of the learning rows.
+    """(row, lang_pred, score) for every row of docs, as a struct, by automata of the learning rows.
 
     score is 1 - fewest / second fewest weighted phrases, 1 if only one language was learned.
     """
@@ -178,8 +181,7 @@ def identify(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_
     def run(batches):
         parser = model.value
         for batch in batches:
-            a = 0
-            texts = batch.column(1)
+            a, texts = 0, batch.column("text")
             while a < batch.num_rows:
                 held, size, b = [], 0, a
                 while b < batch.num_rows and size < 2_000_000:
@@ -195,10 +197,11 @@ def identify(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_
                     sure = 1 - low[:, 0] / low[:, 1] if cost.shape[1] > 1 else np.ones(len(cost))
                     for i, j, s in zip(np.flatnonzero(known), best, sure, strict=True):
                         pred[i], score[i] = parser.languages[j], float(s)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
+                yield pa.record_batch([batch.column("row").slice(a, b - a), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
                 a = b
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, lang_pred string, score double")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def is_held_out(id_col: str = "doc_id"):
@@ -208,8 +211,15 @@ def is_held_out(id_col: str = "doc_id"):
 
 def predict(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; learned from the rows that are not held out."""
+    found = identify(docs.select("doc_id", "text"), docs.where(~is_held_out()), **options)
+    return found.select("row.doc_id", is_held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, sure: float = SURE, **options) -> DataFrame:
+    """The rows of docs that have a letter and whose lang is not contradicted with a score of `sure` or more."""
     found = identify(docs, docs.where(~is_held_out()), **options)
-    return found.select(F.col("id").alias("doc_id"), is_held_out("id").alias("held_out"), "lang_pred", "score")
+    against = F.coalesce(F.col("row.lang") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= sure)
+    return found.where((F.col("lang_pred") != UNKNOWN) & ~against).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
