@@ -1,4 +1,210 @@
 """Named queries over the driver's tables, with their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import frontmatter, paths
+from ..operators import index as indexing
+from ..operators import search, stats, suggest
+from . import adapter, options
+
+AS_OF = 1_740_000_000_000
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> indexing.Index:
+    return indexing.build(*adapter.tables(spark, sf_dir))
+
+
+def _register(name: str, build, oracle: str | None) -> None:
+    QUERIES[name] = build
+    if oracle:
+        ORACLES[name] = oracle
+
+
+def _literal(value) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def _where_sql(o: options.Options) -> str:
+    parts = ["true"]
+    for name, column in (("types", "type"), ("statuses", "status"), ("trustTiers", "trust_tier"), ("conformance", "conformance")):
+        if name in o.where:
+            parts.append(f"{column} IN ({', '.join(map(_literal, o.where[name]))})")
+    if "tagsAny" in o.where:
+        values = ", ".join(map(_literal, o.where["tagsAny"]))
+        parts.append(f"(source IN ({values}) OR lang IN ({values}))")
+    if "stale" in o.where:
+        due = f"coalesce(stale_after_epoch <= {o.as_of}, false)"
+        parts.append(f"staleness_classified AND {'' if o.where['stale'] else 'NOT '}{due}")
+    return " AND ".join(parts)
+
+
+def _matches_sql(queries: dict[int, str], o: options.Options) -> str:
+    rows = search.query_terms(queries, o)
+    values = ", ".join(f"({q}, {p}, {_literal(t)}, {e}, {str(x).lower()}, {n})" for q, p, t, e, x, n in rows)
+    fields = ", ".join(map(_literal, o.fields))
+    begins = "q.prefix AND starts_with(w.term, q.term)" + (" AND q.edits = 0" if o.fuzzy_prefix else "")
+    fuzzy = ""
+    if o.fuzzy > 0:
+        fuzzy = f" UNION ALL SELECT query_id, pos, n_terms, w.term, {search.FUZZY_WEIGHT} FROM words w JOIN q ON q.edits > 0 AND damerau_levenshtein(w.term, q.term) <= q.edits"
+        if o.fuzzy_prefix:
+            fuzzy += (f" UNION ALL SELECT query_id, pos, n_terms, w.term, {search.PREFIX_WEIGHT} FROM words w JOIN q ON q.edits > 0 AND q.prefix AND "
+                      "list_min(list_transform(range(0, length(w.term) + 1), lambda k: damerau_levenshtein(q.term, left(w.term, CAST(k AS INTEGER))))) <= q.edits")
+    return (
+        adapter.INDEX_SQL
+        + f""",
+q(query_id, pos, term, edits, prefix, n_terms) AS (VALUES {values}),
+words AS (SELECT DISTINCT term FROM term_stats WHERE field IN ({fields})),
+allowed AS (SELECT * FROM postings WHERE field IN ({fields}) AND document_id IN (SELECT document_id FROM concepts WHERE {_where_sql(o)})),
+alt AS (SELECT DISTINCT query_id, pos, n_terms, w.term, {search.PREFIX_WEIGHT} AS weight FROM words w JOIN q ON {begins}{fuzzy}),
+found AS (SELECT query_id, section_id, document_id, n_terms, pos, p.field, p.term,
+    ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * {search.K1 + 1}) / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / avg_dl)) AS gain
+  FROM allowed p JOIN q ON p.term = q.term JOIN term_stats s ON s.field = p.field AND s.term = p.term JOIN field_stats f ON f.field = p.field
+  UNION ALL SELECT query_id, section_id, document_id, n_terms, pos, p.field, p.term, weight FROM allowed p JOIN alt a ON a.term = p.term),
+best AS (SELECT query_id, section_id, document_id, n_terms, pos, field, max(gain) AS gain FROM found GROUP BY ALL),
+scored AS (SELECT query_id, section_id, document_id, sum(CAST(gain * CASE field {' '.join(f"WHEN '{k}' THEN {v}" for k, v in o.boost.items())} END AS DECIMAL(28, 12))) AS score,
+    array_to_string(list_sort(list(DISTINCT list_position([{fields}], field))), ',') AS places FROM best GROUP BY query_id, section_id, document_id, n_terms{' HAVING count(DISTINCT pos) = n_terms' if o.match == 'all' else ''})"""
+    )
+
+
+def _search_sql(queries: dict[int, str], o: options.Options) -> str:
+    fields = ", ".join(map(_literal, o.fields))
+    return f"""WITH {_matches_sql(queries, o)},
+one AS (SELECT s.*, c.title, c.conformance, c.path, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, c.conformance <> 'strict', section_id) AS d FROM scored s JOIN concepts c USING (document_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conformance <> 'strict', section_id) AS rank FROM one WHERE d = 1)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, document_id, title, section_id, round(CAST(score AS DOUBLE), 6) AS score, conformance,
+  array_to_string(list_transform(string_split(places, ','), lambda p: [{fields}][CAST(p AS INTEGER)]), ',') AS matched_fields, heading_path, path, start_line, end_line
+FROM top JOIN secs USING (document_id, section_id) WHERE rank <= {o.limit}"""
+
+
+def _flat(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("matched_fields", F.array_join("matched_fields", ",")).drop("snippet")
+
+
+def _search(name: str, text: str | dict[int, str], given: dict | None = None) -> None:
+    queries = text if isinstance(text, dict) else {0: text}
+    o = options.validate(next(iter(queries.values())), {"asOf": AS_OF} | (given or {}))
+    _register(name, lambda spark, sf_dir: _flat(search.search_many(_index(spark, sf_dir), queries, o)), _search_sql(queries, o))
+
+
+_search("search_any_default", "the lichen pour")
+_search("search_all", "the nd and", {"match": "all"})
+_search("search_fields_title_body", "eaen the", {"fields": ["title", "body"]})
+_search("search_boost_override", "the src3", {"boost": {"tags": 9.5, "title": 0.1}})
+_search("search_limit_top3", "und der", {"limit": 3})
+_search("search_prefix_final", "the lich")
+_search("search_prefix_short_guard", "the li")
+_search("search_fuzzy_d1", "lichn thhe", {"fuzzy": 0.2})
+_search("search_fuzzy_d2", "ertionthe", {"fuzzy": True})
+_search("filter_types", "the der", {"where": {"types": ["de", "fr"]}})
+_search("filter_tags_any", "the der", {"where": {"tagsAny": ["src3", "es"]}})
+_search("filter_statuses", "the", {"where": {"statuses": ["draft", "stable"]}})
+_search("filter_trust", "the", {"where": {"trustTiers": ["human-reviewed"]}})
+_search("filter_conformance", "the", {"where": {"conformance": ["degraded"]}})
+_search("filter_stale_true", "the", {"where": {"stale": True}})
+_search("filter_stale_false", "the", {"where": {"stale": False}})
+_search("filter_combined", "the and", {"where": {"types": ["en"], "tagsAny": ["src0", "src1", "src2"], "statuses": ["stable"], "stale": False}, "limit": 25})
+_search("filter_empty_noop", "the lichen", {"where": {"types": [], "tagsAny": [], "statuses": [], "trustTiers": [], "conformance": []}})
+_search("collapse_best_section", "and the of", {"limit": 40})
+_search("tie_break_strict_then_id", "en", {"fields": ["type"], "limit": 50})
+_search("matched_fields", "src5 the en", {"fields": ["body", "tags", "type", "title", "heading"], "limit": 30})
+_BATCH = {i: text for i, text in enumerate(["the and", "lichen", "und der die", "que los", "une pas", "src7 tion", "thonre hand", "euxier", "ciónes", "the"])}
+_search("batch_search", _BATCH)
+
+
+def _invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    run = lambda where: search.search_many(index, {0: "the and"}, options.validate("q", {"asOf": AS_OF, "limit": 100_000, "where": where})).select("section_id", "score")
+    both = run({"types": ["en"]}).withColumnRenamed("score", "filtered").join(run({}), "section_id")
+    return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("filtered") != F.col("score")).alias("changed"))
+
+
+_WIDE = options.validate("q", {"asOf": AS_OF, "limit": 100_000, "where": {"types": ["en"]}})
+_register("filter_score_invariance", _invariance, f"SELECT count(*) AS compared, CAST(0 AS BIGINT) AS changed FROM ({_search_sql({0: 'the and'}, _WIDE)})")
+
+
+def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = options.validate("q", {"asOf": AS_OF, "limit": 50, "snippetLength": 60, "fields": ["body"]})
+    return search.search_many(_index(spark, sf_dir), {0: "lichen"}, o).select("section_id", "snippet")
+
+
+_SNIPPET = options.validate("q", {"asOf": AS_OF, "limit": 50, "snippetLength": 60, "fields": ["body"]})
+_register("snippet_exact", _snippets, rf"""WITH hit AS ({_search_sql({0: 'lichen'}, _SNIPPET)}), base AS (WITH {adapter.SQL} SELECT section_id, text FROM secs),
+a AS (SELECT section_id, text, length(regexp_extract(text, '(?is)^(.*?[^\p{{L}}\p{{N}}])??lichen', 0)) - 6 AS place FROM hit JOIN base USING (section_id)),
+w AS (SELECT section_id, text, greatest(place - 80, 0) AS s FROM a)
+SELECT section_id, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(substr(text, s + 1, 60), ' ' || chr(9) || chr(10) || chr(13)) || CASE WHEN s + 60 < length(text) THEN '…' ELSE '' END AS snippet FROM w""")
+
+
+def _documents(build):
+    return lambda spark, sf_dir: build(adapter.tables(spark, sf_dir)[0])
+
+
+_C = f"WITH {adapter.SQL} "
+_register("stats_documents", _documents(stats.totals), _C + "SELECT count(*) AS total, count(*) FILTER (conformance = 'strict') AS strict, count(*) FILTER (conformance = 'degraded') AS degraded FROM concepts")
+_register("stats_types", _documents(stats.types), _C + "SELECT type, count(*) AS document_count FROM concepts GROUP BY type")
+_register("stats_statuses", _documents(stats.statuses), _C + "SELECT count(*) FILTER (status = 'draft') AS draft, count(*) FILTER (status = 'stable') AS stable, count(*) FILTER (status = 'deprecated') AS deprecated, count(*) FILTER (status IS NULL) AS unclassified FROM concepts")
+_register("stats_trust", _documents(stats.trust_tiers), _C + "SELECT count(*) FILTER (trust_tier = 'unverified') AS unverified, count(*) FILTER (trust_tier = 'machine-confirmed') AS machine_confirmed, count(*) FILTER (trust_tier = 'human-reviewed') AS human_reviewed, count(*) FILTER (trust_tier IS NULL) AS unclassified FROM concepts")
+_register("list_types", _documents(lambda d: d.select("type").distinct().orderBy("type")), _C + "SELECT DISTINCT type FROM concepts")
+_register("list_degraded", _documents(stats.degraded), _C + "SELECT document_id, path FROM concepts WHERE conformance = 'degraded'")
+
+_I = f"WITH {adapter.INDEX_SQL} "
+_register("postings", lambda s, d: _index(s, d).postings, _I + "SELECT field, term, section_id, document_id, CAST(dl AS INTEGER) AS dl, tf FROM postings")
+_register("postings_df", lambda s, d: _index(s, d).term_stats, _I + "SELECT field, term, df FROM term_stats")
+_register("field_stats", lambda s, d: _index(s, d).field_stats.withColumn("avg_dl", F.round("avg_dl", 6)), _I + "SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM field_stats")
+_register("index_violations", lambda s, d: indexing.violations(*adapter.tables(s, d)).groupBy("rule").count(), _C + "SELECT 'strict but unclassified' AS rule, count(*) AS count FROM concepts WHERE false GROUP BY 1")
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _index(spark, sf_dir)
+    rows = i.postings.where("field = 'body'").join(i.term_stats, ["field", "term"]).join(F.broadcast(i.field_stats), "field")
+    return rows.select("term", "section_id", F.round(search.bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl")), 6).alias("bm25"))
+
+
+_register("bm25_components", _bm25, _I + f"SELECT term, section_id, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * {search.K1 + 1}) / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / avg_dl)), 6) AS bm25 FROM postings JOIN term_stats USING (field, term) JOIN field_stats USING (field) WHERE field = 'body'")
+
+
+def _suggest(name: str, text: str, given: dict) -> None:
+    o = options.validate(text, {"asOf": AS_OF} | given, suggest=True)
+    oracle = f"""WITH {_matches_sql({0: text}, o)},
+w AS (SELECT section_id, pos, list_reverse_sort(list(DISTINCT term)) AS words FROM found GROUP BY section_id, pos),
+p AS (SELECT section_id, flatten(list(words ORDER BY pos)) AS all_terms FROM w GROUP BY section_id),
+u AS (SELECT section_id, list_filter(all_terms, lambda t, i: list_position(all_terms, t) = i) AS terms FROM p)
+SELECT array_to_string(terms, ' ') AS suggestion, array_to_string(terms, ',') AS terms, round(CAST(avg(score) AS DOUBLE), 6) AS score FROM scored JOIN u USING (section_id) GROUP BY terms ORDER BY score DESC, suggestion LIMIT {o.limit}"""
+    _register(name, lambda s, d: suggest.suggest(_index(s, d), text, o).withColumn("terms", F.array_join("terms", ",")), oracle)
+
+
+_suggest("suggest_prefix", "the th", {"fields": ["title", "heading"]})
+_suggest("suggest_filtered", "und", {"fields": ["heading"], "where": {"types": ["de"], "statuses": ["stable", "draft"]}, "limit": 5})
+_suggest("suggest_mean_score", "s", {"fields": ["tags"]})
+
+
+def _documents_table(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_register("normalize_paths",
+    lambda s, d: _documents_table(s, d).select("doc_id", paths.normalized(F.concat(F.element_at(F.array(*map(F.lit, ["./", "a//", "../", "/", "x/./y/", ""])), (F.col("doc_id") % 6 + 1).cast("int")), F.concat_ws("-", "source", "lang"), F.element_at(F.array(*map(F.lit, [".md", ".MD", "/index.md", "/.", ".md"])), (F.col("doc_id") % 5 + 1).cast("int")))).alias("n")).select("doc_id", "n.path", "n.document_id", "n.error_path"),
+    """WITH p AS (SELECT doc_id, (['./', 'a//', '../', '/', 'x/./y/', ''])[CAST(doc_id % 6 + 1 AS INTEGER)] || source || '-' || lang || (['.md', '.MD', '/index.md', '/.', '.md'])[CAST(doc_id % 5 + 1 AS INTEGER)] AS p FROM documents),
+n AS (SELECT doc_id, p, array_to_string(list_filter(string_split(p, '/'), lambda s: s NOT IN ('', '.')), '/') AS k FROM p),
+e AS (SELECT doc_id, k, CASE WHEN starts_with(p, '/') OR starts_with(p, '../') OR ends_with(p, '/.') THEN '<input>' WHEN NOT ends_with(k, '.md') OR ends_with(k, '/index.md') THEN k END AS error_path FROM n)
+SELECT doc_id, CASE WHEN error_path IS NULL THEN k END AS path, CASE WHEN error_path IS NULL THEN left(k, length(k) - 3) END AS document_id, error_path FROM e""")
+_register("fallback_title",
+    lambda s, d: _documents_table(s, d).select("doc_id", paths.titled(F.concat_ws("/", "source", F.concat_ws("--_", "lang", F.substring_index("text", " ", 1), F.col("doc_id").cast("string")))).alias("title")),
+    "WITH t AS (SELECT doc_id, regexp_replace(list_last(string_split(source || '/' || lang || '--_' || string_split(text, ' ')[1] || '--_' || doc_id, '/')), '[-_]+', ' ', 'g') AS w FROM documents) SELECT doc_id, upper(left(w, 1)) || substr(w, 2) AS title FROM t")
+_register("parse_timestamps",
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", frontmatter.timestamp_millis(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(F.array(*map(F.lit, ["Z", ".1Z", ".1230Z", ".0009Z", "+05:30", "-23:59", " Z", "+24:00"])), (F.col("event_id") % 8 + 1).cast("int")))).alias("epoch_millis")),
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN m WHEN 1 THEN m + 100 WHEN 2 THEN m + 123 WHEN 3 THEN m + 1 WHEN 4 THEN m - 19800000 WHEN 5 THEN m + 86340000 END AS epoch_millis
+FROM (SELECT event_id, epoch_ms(date_trunc('second', ts)) AS m FROM events)""")
+_register("actor_predicate",
+    lambda s, d: _documents_table(s, d).select("doc_id", F.concat(F.element_at(F.array(*map(F.lit, ["human:", "process:", "team:", "tools/", "a/b/", "human: ", ""])), (F.col("doc_id") % 7 + 1).cast("int")), "source").rlike(frontmatter.ACTOR).alias("is_actor")),
+    "SELECT doc_id, doc_id % 7 IN (0, 1, 3) AS is_actor FROM documents")
+_register("word_count",
+    lambda s, d: _documents_table(s, d).select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).cast("long").alias("words")),
+    r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) AS BIGINT) AS words FROM documents")
+_register("text_normalize",
+    lambda s, d: _documents_table(s, d).select("doc_id", F.md5(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.concat(F.lit(" \r\n"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\t ")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), "\r\n?", "\n"), "^$", "")).alias("text")),
+    "SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS text FROM documents")
