@@ -40,7 +40,7 @@ def _plain(text: str):
 def _scalar(event):
     tag = event.tag
     if tag in (None, "!") or not tag.startswith(_CORE):
-        return _plain(event.value) if event.implicit[0] or (tag not in (None, "!") and event.style is None) else event.value
+        return _plain(event.value) if event.implicit[0] or (tag not in (None, "!") and event.style in (None, "")) else event.value
     kind = tag.removeprefix(_CORE)
     if kind == "str":
         return event.value

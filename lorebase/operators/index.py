@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.options import tokenized
+from ..plans.options import FIELDS, tokenized
 
 DOCUMENT = ("document_id string, path string, type string, title string, tags array<string>, status string, trust_tier string, stale_after_epoch long, "
             "staleness_classified boolean, conformance string, resource string, description string, source_text string")
@@ -83,3 +83,23 @@ def violations(documents: DataFrame, sections: DataFrame) -> DataFrame:
     for more in (twice(documents, "document_id"), twice(documents, "path"), twice(sections, "section_id"), lines, named, bare, stray):
         found = found.unionByName(more)
     return found
+
+
+def patched(base: Index, gone: DataFrame, documents: DataFrame, sections: DataFrame) -> Index:
+    """base without the documents in gone (document_id), with new documents and sections.
+
+    Statistics are those of a fresh build: what the removed postings counted is subtracted, what is new is added.
+    """
+    new = build(documents, sections)
+    kept = lambda frame: frame.join(gone, "document_id", "left_anti")
+    lost = base.postings.join(gone, "document_id", "left_semi")
+    change = lambda frame, sign: frame.groupBy("field", "term").agg((sign * F.count(F.lit(1))).alias("df"))
+    term_stats = base.term_stats.unionByName(change(lost, -1)).unionByName(change(new.postings, 1)).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    sizes = lambda frame, sign: frame.groupBy("field").agg((sign * F.sum("tf")).alias("total"))
+    totals = base.field_stats.select("field", F.round(F.col("avg_dl") * F.col("n_docs")).cast("long").alias("total")).unionByName(sizes(lost, -1)).unionByName(sizes(new.postings, 1)).groupBy("field").agg(F.sum("total").alias("total"))
+    records = kept(base.sections).unionByName(sections)
+    every = records.agg(F.count(F.lit(1)).alias("n_docs")).select("n_docs", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
+    columns = base.documents.columns
+    known = totals.join(F.broadcast(every), "field", "right")  # eight rows
+    field_stats = known.where("n_docs > 0").select("field", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_dl"))
+    return Index(kept(base.documents).unionByName(documents.select(columns)), records, kept(base.postings).unionByName(new.postings), term_stats, field_stats)
