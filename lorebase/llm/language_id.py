@@ -146,10 +146,12 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_do
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     draw = F.abs(F.xxhash64(F.col(id_col), F.lit(7)) % 1_000_000_007) / F.lit(1_000_000_007)
-    rate = F.lit(0.0)
-    for name, n in counts.items():
-        rate = F.when(F.col(lang_col) == name, F.lit(min(1.0, 2 * sample_docs / n))).otherwise(rate)
-    drawn = labelled.where(draw < rate).select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("text"), draw.alias("draw"), F.col(id_col).alias("id"))
+    if not counts:
+        return {}
+    # one row for each language, as many as there are automata
+    rates = docs.sparkSession.createDataFrame([(name, min(1.0, 2 * sample_docs / n)) for name, n in counts.items()], "lang string, rate double")
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("text"), draw.alias("draw"), F.col(id_col).alias("id"))
+    drawn = rows.join(F.broadcast(rates), "lang").where("draw < rate").drop("rate")
     best: dict[str, list] = {}
     for r in drawn.toLocalIterator():
         own = best.setdefault(r.lang, [])
