@@ -61,3 +61,24 @@ postings AS (SELECT field, t.x AS term, section_id, document_id, len(tokens) AS
 term_stats AS (SELECT field, term, count(*) AS df FROM postings GROUP BY ALL),
 field_stats AS (SELECT field, count(*) AS n_docs, avg(len(tokens)) AS avg_dl FROM toks GROUP BY field)"""
 )
+
+
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, markdown) of every document: frontmatter of its fields, then its lines as paragraphs.
+
+    Every tenth line is preceded by a heading ``Part n``, n the section's number modulo 3, so that slugs repeat.
+    """
+    documents, _ = tables(spark, sf_dir)
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("document_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("''")), F.lit("'"))
+    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("type: "), "type"), F.concat(F.lit("title: "), quoted("title")), F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")), F.concat(F.lit("resource: "), "resource"), F.concat(F.lit("status: "), F.coalesce("status", F.lit("unheard-of"))), F.lit("---"))
+    line = F.transform("lines", lambda x, i: F.concat(F.when(i % LINES == 0, F.concat(F.lit("# Part "), (F.floor(i / LINES) % 3).cast("string"), F.lit("\n\n"))).otherwise(""), F.lit("x "), x))
+    return documents.join(text, "document_id").select("path", F.concat(head, F.lit("\n"), F.array_join(line, "\n\n"), F.lit("\n")).alias("markdown"))
+
+
+RENDERED_SQL = (
+    SQL
+    + f""",
+heads AS (SELECT document_id, path, 'type: ' || type || chr(10) || 'title: ''' || replace(title, '''', '''''') || '''' || chr(10) || 'tags: [' || source || ', ' || lang || ']' || chr(10) || 'resource: ' || resource || chr(10) || 'status: ' || coalesce(status, 'unheard-of') AS yaml FROM concepts),
+parts AS (SELECT document_id, s, own, s % 3 AS part, row_number() OVER (PARTITION BY document_id, s % 3 ORDER BY s) AS nth FROM cut)"""
+)

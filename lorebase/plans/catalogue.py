@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import handle, tool
 from ..functions import frontmatter, paths
 from ..operators import index as indexing
-from ..operators import search, stats, suggest
+from ..operators import prepare, search, stats, suggest
+from ..sources import store
 from . import adapter, options
 
 AS_OF = 1_740_000_000_000
@@ -208,3 +213,96 @@ _register("word_count",
 _register("text_normalize",
     lambda s, d: _documents_table(s, d).select("doc_id", F.md5(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.concat(F.lit(" \r\n"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\t ")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), "\r\n?", "\n"), "^$", "")).alias("text")),
     "SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS text FROM documents")
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda k: F.regexp_extract("markdown", frontmatter.ENVELOPE, k)
+    head = F.length("markdown") - F.length(part(2))
+    line = F.regexp_count(F.substring(F.col("markdown"), F.lit(1), head), F.lit("\n")) + 1
+    return adapter.rendered(spark, sf_dir).select("path", part(1).alias("yaml"), line.alias("body_line"))
+
+
+_R = f"WITH {adapter.RENDERED_SQL} "
+_register("frontmatter_split", _split, _R + "SELECT path, yaml, CAST(8 AS INTEGER) AS body_line FROM heads")
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = prepare.split(prepare.prepare(adapter.rendered(spark, sf_dir)))
+    return documents.select("document_id", "path", "type", "title", F.array_join("tags", ",").alias("tags"), "resource", "status", "trust_tier", "conformance", F.array_join(F.transform("diagnostics", lambda d: d["field"]), ",").alias("wrong"))
+
+
+_register("prepare_roundtrip", _round_trip, _C + """SELECT document_id, path, type, title, source || ',' || lang AS tags, resource, status, 'unverified' AS trust_tier,
+  CASE WHEN status IS NULL THEN 'degraded' ELSE 'strict' END AS conformance, CASE WHEN status IS NULL THEN 'status' ELSE '' END AS wrong FROM concepts""")
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = prepare.split(prepare.prepare(adapter.rendered(spark, sf_dir)))
+    name = F.regexp_replace("section_id", "--part-[0-9]+$", "")
+    rows = found.groupBy(name.alias("section_id"), "document_id", "heading_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "text"))), lambda s: s["text"]), "\n\n").alias("text"), F.min("start_line").alias("start_line"))
+    return rows.withColumn("text", F.md5(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+
+
+_register("sections", _sections, _R + r"""SELECT document_id || '#part-' || part || CASE WHEN nth > 1 THEN '--' || nth ELSE '' END AS section_id, document_id, 'Part ' || part AS heading_path,
+  md5(trim(regexp_replace(array_to_string(list_transform(own, lambda l: 'x ' || l), chr(10) || chr(10)), '[\x20\x09-\x0D]+', ' ', 'g'))) AS text,
+  CAST(8 + 2 * 11 * s AS INTEGER) AS start_line FROM parts""")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = prepare.split(prepare.prepare(adapter.rendered(spark, sf_dir)))
+    return found.select("section_id", "start_line", "end_line", F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("words"))
+
+
+_register("chunks_800_500_250", _chunks, None)  # a sequential fold: tests hold it against plain Python
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ["---\ntype: A\n---\n", "---\ntype: A\nstatus: x\n---\n", "no envelope", "---\ntitle: t\n---\n", "---\ntype: A\n---\n"]))
+    n = F.col("doc_id")
+    rows = _documents_table(spark, sf_dir).select(F.concat(F.when(n % 5 == 4, "../").otherwise(""), F.lit("d/"), n.cast("string"), F.lit(".md")).alias("path"), F.concat(F.element_at(kinds, (n % 5 + 1).cast("int")), F.coalesce("text", F.lit(""))).alias("markdown"))
+    return prepare.validate(rows).groupBy("is_valid", "is_indexable", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["code"], e["field"])), ",").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_register("validate_outcomes", _outcomes, """SELECT k = 0 AS is_valid, k < 2 AS is_indexable, (['', 'ERR_FIELD:status', 'ERR_PARSE', 'ERR_FIELD:type', 'ERR_FIELD:path'])[k + 1] AS errors, count(*) AS n
+FROM (SELECT CAST(doc_id % 5 AS INTEGER) AS k FROM documents) GROUP BY k""")
+
+
+def _handle(spark: SparkSession, sf_dir: str) -> tuple[handle.ConceptSearch, str]:
+    found = handle.ConceptSearch(_index(spark, sf_dir))
+    return found, found.documents.agg(F.min("path")).first()[0]
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, path = _handle(spark, sf_dir)
+    found.ingest(path, "---\ntype: Replaced\ntitle: New\n---\nnothing else\n")
+    return found.documents.select("document_id", "type", "title").join(found.sections.groupBy("document_id").agg(F.count(F.lit(1)).alias("sections")), "document_id")
+
+
+_register("ingest_replace", _replaced, _C + """SELECT document_id, CASE WHEN first THEN 'Replaced' ELSE type END AS type, CASE WHEN first THEN 'New' ELSE title END AS title, CASE WHEN first THEN 1 ELSE n END AS sections
+FROM (SELECT *, document_id || '.md' = min(document_id || '.md') OVER () AS first FROM concepts JOIN (SELECT document_id, count(*) AS n FROM secs GROUP BY document_id) USING (document_id))""")
+
+
+def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, path = _handle(spark, sf_dir)
+    found.remove(path)
+    return found.documents.select("document_id", "path")
+
+
+_register("remove_document", _removed, _C + "SELECT document_id, path FROM concepts WHERE path <> (SELECT min(path) FROM concepts)")
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = os.path.join(tempfile.mkdtemp(prefix="lorebase-"), "cache")
+    handle.ConceptSearch(_index(spark, sf_dir)).save(at)
+    o = options.validate("q", {"asOf": AS_OF})
+    return _flat(search.search_many(store.load(spark, at), {0: "the lichen pour"}, o))
+
+
+_register("cache_roundtrip", _cached, ORACLES["search_any_default"])
+
+
+def _tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = tool.tool_search(handle.ConceptSearch(_index(spark, sf_dir)), "/concepts", "the lichen", fuzzy=False)
+    return spark.createDataFrame([(tool.render(hits),)], "text string")
+
+
+_register("tool_search_text", _tool, None)
