@@ -19,13 +19,13 @@ LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _powers: list[np.ndarray] = [np.empty(0, _U), np.empty(0, _U)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, CHUNK + (CHUNK >> 2))
+        n = max(1 << 14, 1 << (n - 1).bit_length())
         for i, base in enumerate((_BASE, _INV)):
             steps = np.full(n, base, _U)
             steps[0] = 1

@@ -82,14 +82,14 @@ def count_grams(learning: DataFrame, table: np.ndarray) -> np.ndarray:
     """Counts of symbol 4-grams over all learning texts, by number."""
 
     def run(batches):
-        total = np.zeros(SYMBOLS ** (ORDER + 1), np.int64)
+        total = np.zeros(SYMBOLS ** (ORDER + 1), np.int32)  # of one task
         for batch in batches:
             for _, off, data in chunks(batch.column(0)):
                 g, n = np.unique(_grams(off, data, table), return_counts=True)
                 total[g] += n
         at = np.flatnonzero(total)
         for a in range(0, len(at), 100_000):
-            yield pa.record_batch([pa.array(at[a : a + 100_000].astype(np.int32)), pa.array(total[at[a : a + 100_000]])], names=["gram", "n"])
+            yield pa.record_batch([pa.array(at[a : a + 100_000].astype(np.int32)), pa.array(total[at[a : a + 100_000]].astype(np.int64))], names=["gram", "n"])
 
     found = learning.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # 64**4 rows at most
     out = np.zeros(SYMBOLS ** (ORDER + 1), np.float64)
