@@ -11,8 +11,10 @@ the tokens of their plain prefix alone, and their pairs over the whole set. So n
 pass a test of sizes and of parity bitmaps (both without false negatives) and are then verified on the full sets.
 
 Groups: of the classes that share a signature only pairs with the list's smallest class are verified at first; the
-links found are closed to components, and then every candidate pair that still lies in two components is verified. So
-a group of g near copies costs about g verifications instead of g * g, and no component is missed.
+links found are closed to components. Then, of the candidate pairs that still lie in two components, the three likeliest
+of any two components, and at last all that are left. So a group of g near copies costs about g verifications instead
+of g * g, and no component is missed. Pairs inside long lists are compared by bitmaps in blocks, and only those that
+pass become rows.
 
 Scale: document frequencies are counted over all documents, as sorted and delta-coded token hashes, in one pass; what
 is broadcast is the list of the MAX_FREQUENT most frequent tokens at most, 12 bytes each (a token that does not make
@@ -28,6 +30,7 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +50,9 @@ MAX_FREQUENT = 1 << 20
 #: Classes of frequent tokens, of which pairs are indexed.
 COMBO_CLASSES = 128
 MAX_BLOOM_BITS = 1 << 27
+#: Members up to which a list is joined with itself, and members of a block of a longer one.
+WIDE = 64
+BLOCK = 4096
 #: Bits of a token hash that are counted; 2**40 leaves one in 1000 tokens with another's count at 10**9 tokens.
 COUNT_BITS = 40
 _INFO = "id long, n_shingles long, class binary, key long, bits binary"
@@ -145,7 +151,7 @@ def frequent_tokens(docs: DataFrame, buckets: int, frequent: int, most: int) ->
                 seen.add(cls)
                 held.append(s >> _U(64 - COUNT_BITS))
                 size += len(s)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield flush()
                     held.clear()
                     size = 0
@@ -237,7 +243,7 @@ def candidate_lists(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, buc
                 sigs.append(signatures(s, tokens, counts, marks, percent))
                 keys.append(_key(cls))
                 size += len(sigs[-1])
-                if size > 3_000_000:
+                if size > 2_000_000:
                     yield flush()
                     sigs.clear(), keys.clear()
                     size = 0
@@ -290,28 +296,92 @@ def _bloom(keys: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The similar ones of distinct candidate pairs (a, b) of class keys."""
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (last axis: bytes) folded to `size` bytes: parities of the smaller bitmap."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def compare(table: pa.Table, percent: int, few: bool) -> pa.Table:
+    """Pairs (a, b) of rows (key, root, n, bits, block, i, j) with two roots that sizes and bitmaps let be similar.
+
+    Only pairs of a row of block i and a row of block j; with `few` the three likeliest of any two roots, `more` telling
+    whether these two had others.
+    """
+    keys, roots, n = (table.column(c).to_numpy() for c in ("key", "root", "n"))
+    block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    bits = table.column("bits").to_pylist()
+    width = np.array([len(x) for x in bits])
+    levels = {w: (at, np.frombuffer(b"".join(bits[k] for k in at), np.uint8).reshape(len(at), w)) for w in np.unique(width) for at in [np.flatnonzero(width == w)]}
+    names, code = np.unique(roots, return_inverse=True)
+    major = np.argmax(np.bincount(code))
+    found = []
+    for x in np.flatnonzero(code != major):
+        for w, (at, rows) in levels.items():
+            size = min(w, width[x])
+            if max(w, width[x]) > 2 * size:
+                continue  # sizes are further apart than similar sets' can be
+            ok = (code[at] != code[x]) & ((code[at] == major) | (keys[at] > keys[x])) & (100 * np.minimum(n[at], n[x]) >= percent * np.maximum(n[at], n[x]))
+            if i != j:
+                ok &= block[at] != block[x]
+            at_ok = at[ok]
+            if not len(at_ok):
+                continue
+            apart = np.bitwise_count(_fold(rows[ok], size) ^ _fold(np.frombuffer(bits[x], np.uint8), size)).sum(axis=1, dtype=np.int64)
+            near = _similar((n[at_ok] + n[x] - apart) // 2, n[at_ok], n[x], percent)
+            found += [(min(code[x], code[y]), max(code[x], code[y]), d, x, y) for y, d in zip(at_ok[near], apart[near], strict=True)]
+    many: Counter = Counter()
+    if few:
+        found.sort()
+        many.update(f[:2] for f in found)
+        found = [f for k, f in enumerate(found) if k < 3 or f[:2] != found[k - 3][:2]]
+    pairs = np.array([(keys[x], keys[y]) for *_, x, y in found], np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1), "more": pa.array([many[f[:2]] > 3 for f in found], pa.bool_())})
+
+
+def crossing(lists: DataFrame, roots: DataFrame, one: DataFrame, percent: int, few: bool) -> DataFrame:
+    """Candidate pairs (a, b, more) of one list that lie in two components, as far as sizes and bitmaps allow.
+
+    Pairs are made of a row outside its list's largest component and any other row. Lists of up to WIDE members are
+    joined with themselves; longer ones are compared in blocks of BLOCK members, so no task holds a long list.
+    """
+    placed = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
+    split = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("list", "size")
+    placed = saved(placed.join(split, "list"), "placed")
+    short, long_ = placed.where(F.col("size") <= WIDE), placed.where(F.col("size") > WIDE)
+    major = short.groupBy("list", "root").count().groupBy("list").agg(F.max(F.struct("count", "root"))["root"].alias("major"))
+    short = short.join(major, "list")
+    minor = short.where("root <> major").select("list", F.col("key").alias("p"), F.col("root").alias("pr"))
+    joined = minor.join(short, "list").where("pr <> root and (root = major or p < key)").select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"))
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = long_.join(one, "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).select("list", "key", "root", "n", "bits", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    compared = dealt.groupBy("list", "i", "j").applyInArrow(lambda _, table: compare(table, percent, few), "a long, b long, more boolean")
+    return joined.withColumn("more", F.lit(False)).unionByName(compared).distinct()
+
+
+def verify(pairs: DataFrame, one: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The similar ones of distinct candidate pairs (a, b) of class keys; one: (key, n, bits) of every class."""
 
     def near(batches):
         for batch in batches:
             keep = []
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
-                p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                while len(p) > len(q):
-                    p = p[: len(p) // 2] ^ p[len(p) // 2 :]
-                while len(q) > len(p):
-                    q = q[: len(q) // 2] ^ q[len(q) // 2 :]
-                apart = int(np.bitwise_count(p ^ q).sum())
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_fold(np.frombuffer(x, np.uint8), size) ^ _fold(np.frombuffer(y, np.uint8), size)).sum())
                 keep.append(_similar((n + m - apart) // 2, n, m, percent))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = info.where("key is not null").groupBy("key").agg(F.max("n_shingles").alias("n"), F.first("bits").alias("bits"))
     left, right = one.select(F.col("key").alias("a"), "n", F.col("bits").alias("x")), one.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
     sized = pairs.join(left, "a").join(right, "b").where("100 * least(n, m) >= %d * greatest(n, m)" % percent)
     kept = saved(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "near")
     needed = kept.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     n = needed.count()
+    if not n:
+        return kept
     filter_ = docs.sparkSession.sparkContext.broadcast(_bloom(needed, n))
 
     def sets(batches):
@@ -353,52 +423,55 @@ def verify(pairs: DataFrame, info: DataFrame, docs: DataFrame, percent: int) ->
     return saved(both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
 
 
+def _print(edges: DataFrame) -> tuple:
+    """What two sets of edges have in common if they are equal: their number and the sum of their hashes."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of distinct undirected links (a, b): root is the component's smallest node.
+    """(node, root) of every node of undirected links (a, b): root is the component's smallest node.
 
     Large-star and small-star steps in turn, until nothing changes; each round is written to the shared folder.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    mark = _print(edges)
+    while mark[0]:
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = saved(large, "large")
+        large = saved(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = saved(joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "small")
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = saved(small, "small")
+        before, mark = mark, _print(edges)
+        if mark == before:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
     """(id_col, n_shingles, component_id, class) for every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = rows.select("text")
-    buckets = max(32, slots(docs.sparkSession))
+    buckets = max(64, 2 * slots(docs.sparkSession))
     info = saved(describe(rows), "sets")
     tokens, counts = frequent_tokens(texts, buckets, frequent, most)
     lists = saved(candidate_lists(texts, tokens, counts, buckets, percent), "lists")
 
-    heads = lists.groupBy("list").agg(F.min("key").alias("a"))
-    stars = lists.join(heads, "list").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    links = verify(stars, info, texts, percent)
-    roots = components(links)
-
-    # every candidate pair that the first links left in two components
-    placed = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
-    split = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
-    placed = saved(placed.join(split, "list", "left_semi"), "placed")
-    sizes = placed.groupBy("list", "root").count()
-    major = sizes.groupBy("list").agg(F.max(F.struct("count", "root"))["root"].alias("major"))
-    minor = placed.join(major, "list").where("root <> major").select("list", F.col("key").alias("p"), F.col("root").alias("pr"))
-    crossed = minor.join(placed.join(major, "list"), "list").where("pr <> root and (root = major or p < key)")
-    pairs = crossed.select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b")).distinct()
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(verify(pairs.join(seen, ["a", "b"], "left_anti"), info, texts, percent))
-    roots = components(links)
+    one = saved(info.where("key is not null").groupBy("key").agg(F.max("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
+
+    heads = lists.groupBy("list").agg(F.min("key").alias("least"))
+    tried = saved(lists.join(heads, "list").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+    roots = components(verify(tried, one, texts, percent))
+    for few in (True, False):  # first the likeliest pairs of any two components, then every pair that is left
+        found = saved(crossing(lists, roots, one, percent, few), "crossing")
+        pairs = saved(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            linked = verify(pairs, one, texts, percent)
+            if not linked.isEmpty():
+                roots = components(linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if found.where("more").isEmpty():  # no two components had likelier pairs than were tried
+            break
 
     classes = info.where("class is not null").groupBy("key", "class").agg(F.min("id").alias("least"))
     rooted = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("class", "least", F.coalesce("root", "key").alias("root"))
