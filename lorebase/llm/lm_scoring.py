@@ -2,16 +2,18 @@
 
 Both learn from every document whose crc32(doc_id as text) modulo 5 is not 1 and score all whole texts.
 
-PPM: a trie of byte contexts up to ORDER = 3 bytes with the counts of what followed them, pretrained on the learning
-documents. Bytes are A-Z lower-cased and mapped to at most 64 symbols: the 63 most frequent bytes of the learning
-texts, and one symbol for all others, under which every other byte is equally likely. In a context the probability of
-a symbol follows method C: seen symbols share n / (n + d), and the escape gets d / (n + d), n the context's count and
-d its number of distinct symbols. After an escape the next shorter context excludes the symbols that the longer ones
-have seen; below the empty context all symbols that are not excluded are equally likely. The trie is counted by
-grouping symbol 4-grams over all learning texts (shorter contexts are sums of longer ones) and is turned once into a
-table of log10 probabilities for each context of three symbols and next symbol: 64**4 numbers of 4 bytes, 64 MB at any
-size of corpus, which is sent to the workers. A text's score is the sum over its bytes, and starts from a context of
-three line ends; documents do not run into each other.
+PPM: a trie of byte contexts up to `order` bytes (ORDER, and QUERY_ORDER in op10; 6 at most) with the counts of what
+followed them, learned from the learning documents. Bytes are A-Z lower-cased; all 256 are told apart. In a context the
+probability of a byte follows method C: seen bytes share n / (n + d), and the escape gets d / (n + d), n the context's
+count and d its number of distinct bytes. After an escape the next shorter context excludes the bytes that the longer
+ones have seen. A byte that no learning text holds shares what is left below the empty context: that mass is divided
+by the number of such bytes and, while fewer than SYMBOLS bytes are known, by SYMBOLS less the known ones.
+The trie is kept as rows (gram, n), a gram being a context of `order` bytes and its next byte; shorter contexts are sums
+of longer ones. They are counted over all documents (n is 0 for grams of held-out texts only), so they grow with the
+corpus. Rows are dealt by the last two bytes of the context: all longer contexts of a gram are then in one task, and
+the counts of shorter ones are 65,536 numbers at most. Each row gets its log10 probability there. The HEAD_GRAMS most
+frequent grams go to the workers (16 bytes each); all others are joined to the documents' grams. A text's score is the
+sum over its bytes and starts from a context of line ends; documents do not run into each other.
 
 Base: log10((c + 0.5) / (N + 0.5 (V + 1))) summed over the words and one end token. Words are told apart by 64-bit
 hashes. The HEAD most frequent words go to the workers (12 bytes each); counts of all other words are joined to the
@@ -19,7 +21,7 @@ documents' words by hash, so what is gathered grows with the corpus and nothing
 counts its words before it shuffles them.
 
 Cases: a null text is empty: one end token, score 0. Rows with equal or null doc_id are scored one by one (a null
-doc_id belongs to the learning part). With nothing to learn from, N = V = 0 and all symbols are equally likely. Empty
+doc_id belongs to the learning part). With nothing to learn from, N = V = 0 and all bytes are equally likely. Empty
 tables give no rows. Other columns are not read.
 """
 
@@ -30,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load, saved
+from ._spark import load, saved, slots
 from ._text import LOWER, chunks, word_hashes
 
 SYMBOLS = 64
 ORDER = 3
+#: Context length of the registered query.
+QUERY_ORDER = 5
+#: Frequent grams whose probabilities are sent to the workers.
+HEAD_GRAMS = 1 << 20
 #: Frequent words whose counts are sent to the workers.
 HEAD = 1 << 18
 #: The end token's place among the words.
@@ -46,81 +52,125 @@ def _learning(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(bucket == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
 
 
-def byte_symbols(learning: DataFrame) -> np.ndarray:
-    """Symbol of each byte: 0..62 for the most frequent ones (ties to the smaller byte), 63 for the others."""
-
-    def run(batches):
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for _, _, data in chunks(batch.column(0)):
-                total += np.bincount(LOWER[data], minlength=256)
-        yield pa.record_batch([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["byte", "n"])
-
-    found = learning.select("text").mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows at most
-    table = np.full(256, SYMBOLS - 1, np.uint8)
-    for k, r in enumerate(sorted(found, key=lambda r: (-r.n, r.byte))[: SYMBOLS - 1]):
-        table[r.byte] = k
-    return table
-
-
-def _grams(off: np.ndarray, data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each byte its three predecessors' symbols and its own as one number; a text is preceded by line ends."""
-    s = table[LOWER[data]].astype(np.int32)
-    start = int(table[10])
+def _grams(off: np.ndarray, data: np.ndarray, order: int) -> np.ndarray:
+    """For each byte its `order` predecessors and itself as one number; a text is preceded by line ends."""
+    s = LOWER[data].astype(np.int64)
     out = s.copy()
-    for back in range(1, ORDER + 1):
-        p = np.full(len(s), start, np.int32)
+    for back in range(1, order + 1):
+        p = np.full(len(s), 10, np.int64)
         p[back:] = s[:-back] if len(s) > back else p[back:]
         for k in range(back):  # the first bytes of each text
             at = off[:-1] + k
-            p[at[at < off[1:]]] = start
-        out += p << (6 * back)
+            p[at[at < off[1:]]] = 10
+        out += p << (8 * back)
     return out
 
 
-def count_grams(learning: DataFrame, table: np.ndarray) -> np.ndarray:
-    """Counts of symbol 4-grams over all learning texts, by number."""
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sum of n of each."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([len(keys) > 0], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def count_grams(rows: DataFrame, order: int) -> DataFrame:
+    """(gram, n): the distinct grams of (held_out, text), n times in texts that are not held out."""
 
     def run(batches):
-        total = np.zeros(SYMBOLS ** (ORDER + 1), np.int32)  # of one task
+        held, size = [], 0
+
+        def flush():
+            g, n = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held[:] = [(g, n)]
+            return len(g)
+
+        def out():
+            g, n = held.pop()
+            for a in range(0, len(g), 100_000):
+                yield pa.record_batch([pa.array(g[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=["gram", "n"])
+
         for batch in batches:
-            for _, off, data in chunks(batch.column(0)):
-                g, n = np.unique(_grams(off, data, table), return_counts=True)
-                total[g] += n
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 100_000):
-            yield pa.record_batch([pa.array(at[a : a + 100_000].astype(np.int32)), pa.array(total[at[a : a + 100_000]].astype(np.int64))], names=["gram", "n"])
-
-    found = learning.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # 64**4 rows at most
-    out = np.zeros(SYMBOLS ** (ORDER + 1), np.float64)
-    out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
+            away = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, off, data in chunks(batch.column(1)):
+                g = _grams(off, data, order)
+                apart = np.repeat(away[a : a + len(off) - 1].astype(bool), np.diff(off))
+                u, n = np.unique(g[~apart], return_counts=True)
+                held.append((u, n.astype(np.int64)))
+                u = np.unique(g[apart])
+                held.append((u, np.zeros(len(u), np.int64)))
+                size += len(held[-1][0]) + len(held[-2][0])
+                if size > 4_000_000:
+                    size = flush()
+                    if size > 2_000_000:
+                        yield from out()
+                        size = 0
+        if held:
+            flush()
+            yield from out()
+
+    return rows.select("held_out", "text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of asked among sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def ppm_logs(gram: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """log10 probability of the last byte of each gram.
+
+    gram has all grams whose contexts end in the same two bytes as any of them; pairs: the sorted grams of two bytes
+    of the whole corpus and their counts.
+    """
+    mask = lambda size: np.int64((1 << (8 * size)) - 1)
+    found = n > 0
+    held = {j: _sums(gram[found] & mask(j + 1), n[found]) for j in range(2, order + 1)} | {1: pairs, 0: _sums(pairs[0] & mask(1), pairs[1])}
+    contexts = {}
+    for j, (keys, times) in held.items():
+        c, total = _sums(keys >> 8, times)
+        contexts[j] = c, total, _sums(keys >> 8, np.ones(len(keys), np.int64))[1]
+    mass, out, open_ = np.zeros(len(gram)), np.zeros(len(gram)), np.ones(len(gram), bool)
+    for j in range(order, -1, -1):
+        keys, times = held[j]
+        c, total, kinds = contexts[j]
+        at, hit = _find(c, (gram >> 8) & mask(j))
+        left, distinct = (np.where(hit, x[at], 0) if len(c) else np.zeros(len(gram), np.int64) for x in (total, kinds))
+        fresh = distinct
+        if j < order and len(held[j + 1][0]):  # what the longer context has seen is excluded
+            longer, _, others = contexts[j + 1]
+            gone = _sums(held[j + 1][0] >> 8, times[_find(keys, held[j + 1][0] & mask(j + 1))[0]])[1]
+            up, hit = _find(longer, (gram >> 8) & mask(j + 1))
+            left, fresh = left - np.where(hit, gone[up], 0), fresh - np.where(hit, others[up], 0)
+        escape = np.where(distinct < 256, fresh, 0)  # otherwise nothing is left to escape to
+        at, hit = _find(keys, gram & mask(j + 1))
+        live = open_ & (left > 0)
+        own, away = live & hit, live & ~hit
+        if own.any():
+            out[own] = mass[own] + np.log10(times[at[own]] / (left[own] + escape[own]))
+        mass[away] += np.log10(escape[away] / (left[away] + escape[away]))
+        open_ &= ~own
+    known = len(held[0][0])
+    out[open_] = mass[open_] - np.log10(max(1, SYMBOLS - known) * max(1, 256 - known))
     return out
 
 
-def ppm_table(counts: np.ndarray, others: int) -> np.ndarray:
-    """log10 probability of the last symbol of each 4-gram; others: the bytes that share the last symbol."""
-    k = SYMBOLS
-    levels = [counts.reshape([k] * (ORDER + 1))]
-    for _ in range(ORDER):
-        levels.append(levels[-1].sum(axis=0))  # contexts of 2, 1 and 0 symbols
-    out = np.empty((k, k, k, k), np.float32)
-    for a in range(k):
-        free = np.ones((k, k, k))  # symbols that no longer context has seen
-        mass = np.ones((k, k, 1))  # probability that is left after the escapes so far
-        p = np.zeros((k, k, k))
-        for level in (levels[0][a], levels[1], levels[2][None], levels[3][None, None]):
-            n = level * free
-            total, kinds = n.sum(axis=-1, keepdims=True), (n > 0).sum(axis=-1, keepdims=True)
-            rest = free.sum(axis=-1, keepdims=True) > kinds  # otherwise nothing is left to escape to
-            whole = total + np.where(rest, kinds, 0)
-            p += np.where(n > 0, mass * n / np.maximum(whole, 1), 0)
-            mass = np.where(total > 0, mass * np.where(rest, kinds, 0) / np.maximum(whole, 1), mass)
-            free = free * (n == 0)
-        left = free.sum(axis=-1, keepdims=True)
-        p += free * mass / np.maximum(left, 1)
-        out[a] = np.log10(p)
-    out[..., k - 1] -= np.log10(max(1, others))
-    return out.reshape(-1)
+def gram_logs(counts: DataFrame, order: int) -> DataFrame:
+    """(gram, n, log) of every row of count_grams()."""
+    spark = counts.sparkSession
+    pair = counts.where("n > 0").groupBy((F.col("gram").bitwiseAND(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow().sort_by("pair")  # 65,536 rows at most
+    pairs = spark.sparkContext.broadcast((pair.column("pair").to_numpy(), pair.column("n").to_numpy()))
+    buckets = max(64, 2 * slots(spark))
+
+    def run(table):
+        gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+        return pa.table({"gram": gram, "n": n, "log": ppm_logs(gram, n, pairs.value, order)})
+
+    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(run, "gram long, n long, log double")
 
 
 def count_words(learning: DataFrame) -> DataFrame:
@@ -149,29 +199,35 @@ def count_words(learning: DataFrame) -> DataFrame:
     return learning.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, order: int = ORDER, head_grams: int = HEAD_GRAMS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
+    if not 2 <= order <= 6:
+        raise ValueError("order must be from 2 to 6")
     spark = docs.sparkSession
     rows = _learning(docs, id_col, text_col)
     learning = rows.where("not held_out").select("text")
-    table = byte_symbols(learning)
-    grams = ppm_table(count_grams(learning, table), int((table == SYMBOLS - 1).sum()))
+    logged = saved(gram_logs(saved(count_grams(rows, order), "grams"), order), "logs")
+    often = logged.orderBy(F.desc("n"), "gram").limit(head_grams).select("gram", "log").toArrow().sort_by("gram")  # bounded by `head_grams`
     words = saved(count_words(learning), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()  # bounded by `head`
     known, times = top.column("word").to_numpy(), top.column("n").to_numpy()
-    order = np.argsort(known)
+    place = np.argsort(known)
     base = total + 0.5 * (kinds + 1)
-    model = spark.sparkContext.broadcast((table, grams, known[order], times[order], base, len(known) < kinds))
+    model = spark.sparkContext.broadcast((often.column("gram").to_numpy(), often.column("log").to_numpy(), known[place], times[place], base, len(known) < kinds))
 
     def run(batches):
-        table, grams, known, times, base, more = model.value
+        grams, weights, known, times, base, more = model.value
         logs = np.log10((times + 0.5) / base)
         zero = float(np.log10(0.5 / base))
         for batch in batches:
             for a, off, data in chunks(batch.column(2)):
                 n = len(off) - 1
-                points = np.concatenate(([0.0], np.cumsum(grams[_grams(off, data, table)], dtype=np.float64)))
+                u, of = np.unique(_grams(off, data, order), return_inverse=True)
+                at, hit = _find(grams, u)
+                points = np.concatenate(([0.0], np.cumsum(np.where(hit, weights[at], 0.0)[of] if len(grams) else np.zeros(len(of)))))
+                late = np.flatnonzero(~hit[of])  # grams beyond the head: their probabilities are joined
+                late_lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(late, off).astype(np.int32)), pa.array(u[of[late]]))
                 hashes, first = word_hashes(off, data)
                 ends = np.append(first[1:], 0)[:n]
                 w = np.insert(hashes, ends, _END).view(np.int64)  # each text's end token after its words
@@ -191,22 +247,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                 flat = np.concatenate(asked) if more else np.empty(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in asked]))).astype(np.int32)), pa.array(flat))
                 yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(tokens), pa.array(seen), pa.array(sums), pa.array(points[off[1:]] - points[off[:-1]]), lists],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "asked"],
+                    [part.column(0), part.column(1), pa.array(tokens), pa.array(seen), pa.array(sums), pa.array(points[off[1:]] - points[off[:-1]]), lists, late_lists],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "asked", "late"],
                 )
 
-    found = rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, asked array<long>")
+    found = rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, asked array<long>, late array<long>")
     found = saved(found.withColumn("row", F.monotonically_increasing_id()), "scores")
     zero = float(np.log10(0.5 / base))
     asked = found.select("row", F.explode("asked").alias("word"))
     counted = asked.join(words, "word", "left").select("row", F.when(F.col("n").isNotNull(), 1).otherwise(0).alias("hit"), F.when(F.col("n").isNotNull(), F.log10((F.col("n") + 0.5) / base)).otherwise(zero).alias("gain"))
     added = counted.groupBy("row").agg(F.sum("hit").alias("hit"), F.sum("gain").alias("gain"))
-    return found.join(added, "row", "left").select(
+    late = found.select("row", F.explode("late").alias("gram")).join(logged.select("gram", "log"), "gram").groupBy("row").agg(F.sum("log").alias("late_gain"))
+    return found.join(added, "row", "left").join(late, "row", "left").select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("hit", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("late_gain", F.lit(0.0))).alias("score"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every document of documents."""
-    return score(load(spark, sf_dir, "documents"))
+    return score(load(spark, sf_dir, "documents"), order=QUERY_ORDER)

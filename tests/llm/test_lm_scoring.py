@@ -68,3 +68,40 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     (r,) = lm_scoring.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and r.score < 0
+
+
+def byte_trie(train, texts, order):
+    low = lambda t: b"\n" * order + bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+    trie = defaultdict(Counter)
+    for s in map(low, train):
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                trie[s[i - k : i]][s[i]] += 1
+    for s in map(low, texts):
+        total = 0.0
+        for i in range(order, len(s)):
+            out, p = set(), 1.0
+            for k in range(order, -1, -1):
+                seen = {y: n for y, n in trie[s[i - k : i]].items() if y not in out}
+                n, d = sum(seen.values()), len(seen)
+                if s[i] in seen:
+                    p *= seen[s[i]] / (n + d)
+                    break
+                p *= d / (n + d) if seen else 1
+                out |= set(seen)
+            else:
+                p /= 256 - len(out)
+            total += math.log10(p)
+        yield total
+
+
+@pytest.mark.parametrize("order,head_grams", [(3, 0), (5, 40), (6, 1 << 20)])
+def test_contexts_of_all_bytes_grow_with_the_corpus(spark, order, head_grams):
+    spans = [("a", 26), ("а", 32), ("α", 24), ("一", 40), ("0", 10), ("ก", 40)]  # over 64 bytes, rare scripts among them
+    texts = [" ".join("".join(chr(ord(first) + (i * 7 + k * k + j) % size) for j in range(6)) for k in range(9)) for i in range(8) for first, size in spans] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len({b for t in train for b in t.encode()}) > 64
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs, order=order, head_grams=head_grams).collect()}
+    for i, expected in enumerate(byte_trie(train, texts, order)):
+        assert got[i] == pytest.approx(expected, abs=1e-6)
