@@ -16,6 +16,11 @@ of any two components, and at last all that are left. So a group of g near copie
 of g * g, and no component is missed. Pairs inside long lists are compared by bitmaps in blocks, and only those that
 pass become rows.
 
+Links: near_links() also counts for each document the other sets that its set is similar to. Every link lies inside a
+component, so all pairs of each component's classes are compared on their full sets, once each: components of two have
+their one link, larger ones are dealt in blocks of LINK_BLOCK classes and LINK_TOKENS tokens, and pairs of blocks give
+one count for each class. Rows grow with blocks, not with the square of a group; the comparisons are all made.
+
 Scale: document frequencies are counted over all documents, as sorted and delta-coded token hashes, in one pass; what
 is broadcast is the list of the MAX_FREQUENT most frequent tokens at most, 12 bytes each (a token that does not make
 the list is treated as rare: that lengthens lists but loses nothing), and a Bloom filter of at most MAX_BLOOM_BITS.
@@ -53,6 +58,9 @@ MAX_BLOOM_BITS = 1 << 27
 #: Members up to which a list is joined with itself, and members of a block of a longer one.
 WIDE = 64
 BLOCK = 4096
+#: Classes and tokens of a block in which the links of a component are counted.
+LINK_BLOCK = 1024
+LINK_TOKENS = 1 << 20
 #: Bits of a token hash that are counted; 2**40 leaves one in 1000 tokens with another's count at 10**9 tokens.
 COUNT_BITS = 40
 _INFO = "id long, n_shingles long, class binary, key long, bits binary"
@@ -363,25 +371,11 @@ def crossing(lists: DataFrame, roots: DataFrame, one: DataFrame, percent: int, f
     return joined.withColumn("more", F.lit(False)).unionByName(compared).distinct()
 
 
-def verify(pairs: DataFrame, one: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The similar ones of distinct candidate pairs (a, b) of class keys; one: (key, n, bits) of every class."""
-
-    def near(batches):
-        for batch in batches:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
-                size = min(len(x), len(y))
-                apart = int(np.bitwise_count(_fold(np.frombuffer(x, np.uint8), size) ^ _fold(np.frombuffer(y, np.uint8), size)).sum())
-                keep.append(_similar((n + m - apart) // 2, n, m, percent))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = one.select(F.col("key").alias("a"), "n", F.col("bits").alias("x")), one.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    sized = pairs.join(left, "a").join(right, "b").where("100 * least(n, m) >= %d * greatest(n, m)" % percent)
-    kept = saved(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "near")
-    needed = kept.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def full_sets(needed: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(key, tokens) of the distinct class keys in needed, and of a few others; None if there are none."""
     n = needed.count()
     if not n:
-        return kept
+        return None
     filter_ = docs.sparkSession.sparkContext.broadcast(_bloom(needed, n))
 
     def sets(batches):
@@ -408,7 +402,27 @@ def verify(pairs: DataFrame, one: DataFrame, docs: DataFrame, percent: int) -> D
         yield out()
 
     held = docs.mapInArrow(sets, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
-    held = saved(held, "sets")
+    return saved(held, "sets")
+
+
+def verify(pairs: DataFrame, one: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The similar ones of distinct candidate pairs (a, b) of class keys; one: (key, n, bits) of every class."""
+
+    def near(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_fold(np.frombuffer(x, np.uint8), size) ^ _fold(np.frombuffer(y, np.uint8), size)).sum())
+                keep.append(_similar((n + m - apart) // 2, n, m, percent))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = one.select(F.col("key").alias("a"), "n", F.col("bits").alias("x")), one.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    sized = pairs.join(left, "a").join(right, "b").where("100 * least(n, m) >= %d * greatest(n, m)" % percent)
+    kept = saved(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "near")
+    held = full_sets(kept.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs)
+    if held is None:
+        return kept
 
     def linked(batches):
         for batch in batches:
@@ -448,8 +462,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
-    """(id_col, n_shingles, component_id, class) for every row of docs."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, frequent: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """describe() of docs, (key, n, bits) of every class, (node, root) of the components and the texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = rows.select("text")
     buckets = max(64, 2 * slots(docs.sparkSession))
@@ -473,13 +487,99 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if found.where("more").isEmpty():  # no two components had likelier pairs than were tried
             break
 
+    return info, one, roots, texts
+
+
+def shared(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """Sizes of the intersections of each of the first sets with each of the others, or of all sets if first is 0."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    held = np.diff(np.append(starts, len(flat)))
+    # tokens of one and the same sets are one column, weighted by their number
+    with np.errstate(over="ignore"):
+        pattern = np.add.reduceat(mix(mix(np.arange(1, len(sets) + 1, dtype=np.uint64)))[owner], starts)
+    starts, held, pattern = starts[held > 1], held[held > 1], pattern[held > 1]
+    _, once, times = np.unique(pattern, return_index=True, return_counts=True)
+    starts, held = starts[once], held[once]
+    kind = np.float32 if max(map(len, sets)) < 1 << 24 else np.float64
+    out = np.zeros((first or len(sets), len(sets) - first), kind)
+    for a in range(0, len(starts), 1024):
+        n, x = held[a : a + 1024], np.zeros((len(starts[a : a + 1024]), len(sets)), kind)
+        row = np.repeat(np.arange(len(n)), n)
+        x[row, owner[np.repeat(starts[a : a + 1024] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = 1
+        out += (x[:, : first or len(sets)] * times[a : a + 1024, None].astype(kind)).T @ x[:, first:]
+    return out.astype(np.int64)
+
+
+def count_links(table: pa.Table, percent: int) -> pa.Table:
+    """(key, links) of rows (key, root, block, tokens, i, j): similar pairs of one root, of a row of block i and one of j."""
+    roots, block = table.column("root").to_numpy(), table.column("block").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    order = np.lexsort((block != i, roots))
+    roots, block, keys = roots[order], block[order], table.column("key").to_numpy()[order]
+    tokens, links = table.column("tokens").to_pylist(), np.zeros(len(keys), np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], roots[1:] != roots[:-1], [True])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        sets = [np.frombuffer(tokens[k], _U) for k in order[a:b]]
+        first = int((block[a:b] == i).sum()) if i != j else 0
+        if i != j and first in (0, b - a):
+            continue
+        n = np.array([len(x) for x in sets])
+        near = _similar(shared(sets, first), n[: first or len(n), None], n[None, first:], percent)
+        if i == j:
+            np.fill_diagonal(near, False)
+            links[a:b] += near.sum(axis=1)
+        else:
+            links[a : a + first] += near.sum(axis=1)
+            links[a + first : b] += near.sum(axis=0)
+    return pa.table({"key": keys, "links": links})
+
+
+def link_counts(roots: DataFrame, one: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(key, links): the number of similar classes of every class of a component of two classes or more."""
+    members = roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct()).join(one.select("key", "n"), "key")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+    sizes = sizes.select("root", "size", F.ceil(F.greatest(F.col("size") / LINK_BLOCK, F.col("tokens") / LINK_TOKENS)).cast("int").alias("blocks"))
+    members = saved(members.drop("n").join(sizes, "root"), "members")
+    two = members.where("size = 2").select("key", F.lit(1).cast("long").alias("links"))
+    held = full_sets(members.where("size > 2").select("key"), docs)
+    if held is None:
+        return two
+    more = members.where("size > 2").join(held, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    buckets = max(64, 4 * slots(docs.sparkSession))
+    more = more.withColumn("of", F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))).withColumn("long", F.col("blocks") > 1)
+    more = more.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = more.select("key", "root", "block", "tokens", "of", "long", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    counted = dealt.groupBy("of", "long", "i", "j").applyInArrow(lambda _, table: count_links(table, percent), "key long, links long")
+    return two.unionByName(counted.groupBy("key").agg(F.sum("links").alias("links")))
+
+
+def _placed(info: DataFrame, roots: DataFrame) -> DataFrame:
+    """(class, key, component_id) of every class of a set with tokens."""
     classes = info.where("class is not null").groupBy("key", "class").agg(F.min("id").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("class", "least", F.coalesce("root", "key").alias("root"))
+    rooted = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("class", "key", "least", F.coalesce("root", "key").alias("root"))
     group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(group, "root").select("class", "component_id")
+    return rooted.join(group, "root").select("class", "key", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
+    """(id_col, n_shingles, component_id, class) for every row of docs."""
+    info, _, roots, _ = _grouped(docs, id_col, text_col, percent, frequent, most)
+    of = _placed(info, roots).drop("key")
     return info.join(of, "class", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "class")
 
 
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
+    """(id_col, n_shingles, component_id, class, n_links) for every row of docs; n_links: other sets similar to its own."""
+    info, one, roots, texts = _grouped(docs, id_col, text_col, percent, frequent, most)
+    of = _placed(info, roots).join(link_counts(roots, one, texts, percent), "key", "left").drop("key")
+    return info.join(of, "class", "left").select(
+        F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "class", F.coalesce("links", F.lit(0)).alias("n_links")
+    )
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller id: one document of each group stays.
 
@@ -495,6 +595,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents")).drop("class")
 
 
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 with the number of links of every document."""
+    return near_links(load(spark, sf_dir, "documents")).drop("class")
+
+
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT i, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' '))) END AS g FROM d),

@@ -108,3 +108,17 @@ def test_packed_steps_and_words():
             words += [h[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
         a, b = words[2][0], words[5][0]
         assert [len(w) for w in words] == [0, 0, 1, 3, 2, 1, 2] and words[3] == [a, b, a] and words[4][1] == b and words[6][1] == a
+
+
+@pytest.mark.parametrize("seed,block,tokens", [(1, 1024, 1 << 20), (2, 7, 1 << 20), (3, 1024, 900)])
+def test_links_equal_all_pairs(spark, monkeypatch, seed, block, tokens):
+    monkeypatch.setattr(near_duplicates, "LINK_BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "LINK_TOKENS", tokens)
+    rows = corpus(seed)
+    sets = {frozenset(plain_set(t)) for _, t in rows} - {frozenset()}
+    links = {s: sum(s is not x and 100 * len(s & x) >= 80 * len(s | x) for x in sets) for s in sets}
+    assert max(links.values()) > 2
+    expected = [(*r, links.get(frozenset(plain_set(t)), 0)) for r, t in zip([(d, len(plain_set(t))) for d, t in rows], [t for _, t in rows], strict=True)]
+    got = near_duplicates.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.n_links) for r in got], key=repr) == sorted(expected, key=repr)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == plain_groups(rows)
