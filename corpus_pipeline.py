@@ -7,14 +7,15 @@ written as Parquet and read again as the next one's docs. All but the last retur
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorebase.llm import language_id, mixing, near_duplicates, packing, quality
 from lorebase.llm._spark import load, saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by lines that many texts of their source share."""
-    return quality.cleaned(docs)
+    """Documents that pass the base rules, without the lines that many texts of their source share, if enough is left."""
+    return quality.cleaned(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

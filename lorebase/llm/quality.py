@@ -3,13 +3,13 @@
 Line frequency: a line is normalised (A-Z lower-cased, runs of digits as one 0, words joined by single blanks) and
 hashed. For each host (here: source) and line the distinct texts that hold it are counted; exact copies are one text.
 In a line held by more than LINE_LIMIT texts of a host all but the one with the least digest lose it, so a group of
-copies keeps one whole member. A text that loses more than LOST_PERCENT of its words is depleted and rejected, as are
+copies keeps one whole member. cleaned() returns the texts without these lines. A text that loses more than LOST_PERCENT of its words is depleted and rejected, as are
 texts of fewer than MIN_WORDS words and texts of which more than REPEAT_PERCENT of the words lie in repeated 8-word
 windows.
 
 Scale: lines are counted by (host, text, line) and then by (host, line), both with partial sums, so no host and no
-line gathers in a task; lines above the limit are joined back by (host, line). Texts are never shuffled: their counts
-travel with a digest.
+line gathers in a task; lines above the limit are joined back by (host, line). judge() never shuffles texts: their
+counts travel with a digest. cleaned() joins texts with the hashes of the lines that they lose by (host, digest).
 
 Cases: a null text has no words and fails; a null source is a host of its own. Rows with equal or null doc_id are
 judged one by one; the verdict depends on source and text alone. Empty tables give no rows. Windows are compared by
@@ -62,26 +62,31 @@ def with_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.drop("_words", "_lines", "_one", "_two", "_four", "_eight", "_sorted", "_at")
 
 
-def depleted_texts(docs: DataFrame, host_col: str, text_col: str, line_limit: int, lost_percent: int) -> DataFrame:
-    """(_host, _digest) of the texts that lose more than lost_percent of their words to lines above the limit."""
+def _line(own):
+    """The hash of a line's normalised words."""
+    return F.xxhash64(F.regexp_replace(ascii_lower(F.array_join(own, " ")), "[0-9]+", "0"))
+
+
+def lost_lines(docs: DataFrame, host_col: str, text_col: str, line_limit: int, lost_percent: int) -> DataFrame:
+    """(_host, _digest, gone, lines) of the texts that lose lines above the limit: the lines' hashes, and whether these
+    are more than lost_percent of the text's words."""
     rows = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.md5(F.col(text_col)).alias("_digest"), F.explode(F.split(text_col, "\n")).alias("line"))
     own = words(F.col("line"))
     rows = rows.select("_host", "_digest", own.alias("own")).where(F.size("own") > 0)
-    line = F.regexp_replace(ascii_lower(F.array_join("own", " ")), "[0-9]+", "0")
-    rows = rows.select("_host", "_digest", F.xxhash64(line).alias("line"), F.size("own").alias("n"))
+    rows = rows.select("_host", "_digest", _line(F.col("own")).alias("line"), F.size("own").alias("n"))
     # copies of a text add to all of its lines alike and leave shares as they are
     held = saved(rows.groupBy("_host", "_digest", "line").agg(F.sum("n").alias("n")), "lines")
     above = held.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("texts"), F.min("_digest").alias("keeper")).where(F.col("texts") > line_limit)
-    lost = held.join(above, ["_host", "line"], "left").select("_host", "_digest", "n", F.when(F.col("keeper") != F.col("_digest"), F.col("n")).otherwise(0).alias("lost"))
-    shares = lost.groupBy("_host", "_digest").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
-    return shares.where(100 * F.col("lost") > lost_percent * F.col("n")).select("_host", "_digest")
+    lost = held.join(above, ["_host", "line"], "left").select("_host", "_digest", "line", "n", (F.col("keeper") != F.col("_digest")).alias("lost"))
+    shares = lost.groupBy("_host", "_digest").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lost"), F.col("n")).otherwise(0)).alias("lost"), F.collect_set(F.when(F.col("lost"), F.col("line"))).alias("lines"))
+    return shares.where("lost > 0").select("_host", "_digest", (100 * F.col("lost") > lost_percent * F.col("n")).alias("gone"), "lines")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, lost_percent: int = LOST_PERCENT) -> DataFrame:
     """(id_col, the five counts, base_failed, kept) of every row."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_source"))
     counted = with_counts(rows, "_text").withColumns({"_host": F.coalesce("_source", F.lit("")), "_digest": F.md5("_text")}).drop("_text", "_source")
-    gone = depleted_texts(rows, "_source", "_text", line_limit, lost_percent).withColumn("gone", F.lit(True))
+    gone = lost_lines(rows, "_source", "_text", line_limit, lost_percent).where("gone").drop("lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return (
         counted.join(gone, ["_host", "_digest"], "left").withColumn("base_failed", failed)
@@ -90,12 +95,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, lost_percent: int = LOST_PERCENT) -> DataFrame:
-    """The rows of docs that judge() keeps, with all of their columns."""
-    gone = depleted_texts(docs, host_col, text_col, line_limit, lost_percent)
-    counted = with_counts(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_source")), "_text")
-    kept = counted.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= REPEAT_PERCENT * F.col("n_words")))
-    kept = kept.withColumns({"_host": F.coalesce("_source", F.lit("")), "_digest": F.md5("_text")}).select("_row", "_host", "_digest")
-    return kept.join(gone, ["_host", "_digest"], "left_anti").select("_row.*")
+    """The rows of docs that judge() keeps, with all of their columns and without the lines that their texts lose."""
+    keys = {"_host": F.coalesce("_source", F.lit("")), "_digest": F.coalesce(F.md5("_text"), F.lit(""))}
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_source"))
+    fine = (F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= REPEAT_PERCENT * F.col("n_words"))
+    # written before it is filtered: a filter would be pushed below the counts and work them out many times over
+    verdicts = saved(with_counts(rows.select("_text", "_source"), "_text").withColumns(keys).select("_host", "_digest", fine.alias("fine")), "verdicts")
+    bad = verdicts.where("not fine").select("_host", "_digest", F.lit(True).alias("gone"), F.lit(None).cast("array<long>").alias("lines"))
+    fate = bad.unionByName(lost_lines(docs, host_col, text_col, line_limit, lost_percent)).groupBy("_host", "_digest").agg(F.max("gone").alias("gone"), F.first("lines", ignorenulls=True).alias("lines"))
+    kept = rows.withColumns(keys).join(fate, ["_host", "_digest"], "left").where("gone is null or not gone")
+    left = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("lines", _line(words(x)))), "\n")
+    text = F.when(F.col("lines").isNotNull(), left).otherwise(F.col("_text"))
+    return kept.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,15 @@ def test_lines_above_the_limit_deplete_all_but_one(spark):
     assert len([d for d in kept if d < 40]) <= 1 and all(100 + i in kept for i in range(20)) and all(200 + i in kept for i in range(90)) and all(300 + i in kept for i in range(3))
     assert {r.doc_id for r in quality.cleaned(frame).collect()} == kept
     assert quality.judge(frame.limit(0)).collect() == [] and quality.cleaned(frame).columns == frame.columns
+
+
+def test_kept_texts_lose_the_lines_above_the_limit(spark):
+    spell = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    own = lambda i: " ".join(f"w{spell(i)}x{spell(k)}" for k in range(30))
+    rows = [(i, f"{own(i)}\n\nRead  more on page {i}\n{own(50 + i)}", "a", i) for i in range(25)]
+    rows += [(100 + i, f"{own(100 + i)}\nread more on page 7", "b", i) for i in range(20)]  # at the limit
+    got = {r.doc_id: r.text for r in quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string, lines int").repartition(3)).collect()}
+    whole = {i: t for i, t, *_ in rows}
+    assert set(got) == set(whole) and all(got[100 + i] == whole[100 + i] for i in range(20))
+    assert sum(got[i] == whole[i] for i in range(25)) == 1  # the keeper
+    assert all(got[i] in (whole[i], f"{own(i)}\n\n{own(50 + i)}") for i in range(25))
