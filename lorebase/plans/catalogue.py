@@ -122,10 +122,16 @@ _search("batch_search", _BATCH)
 
 
 def _invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that match under a filter, and their sections whose score differs without it; all matches, no ranking."""
     index = _index(spark, sf_dir)
-    run = lambda where: search.search_many(index, {0: "the and"}, options.validate("q", {"asOf": AS_OF, "limit": 100_000, "where": where})).select("section_id", "score")
-    both = run({"types": ["en"]}).withColumnRenamed("score", "filtered").join(run({}), "section_id")
-    return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("filtered") != F.col("score")).alias("changed"))
+
+    def run(where):
+        o = options.validate("q", {"asOf": AS_OF, "where": where})
+        rows = search.query_terms({0: "the and"}, o)
+        return search.scores(search.matches(index, spark.createDataFrame(rows, search.TERM), len(rows), o), o).select("document_id", "section_id", "score")
+
+    both = run({"types": ["en"]}).withColumnRenamed("score", "filtered").join(run({}).drop("document_id"), "section_id", "left")
+    return both.agg(F.count_distinct("document_id").alias("compared"), F.count_if(~F.col("filtered").eqNullSafe(F.col("score"))).alias("changed"))
 
 
 _WIDE = options.validate("q", {"asOf": AS_OF, "limit": 100_000, "where": {"types": ["en"]}})

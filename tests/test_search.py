@@ -164,3 +164,14 @@ def test_option_defaults():
     assert validate("q").boost == BOOSTS and validate("q", {"boost": {"body": 2}}).boost == BOOSTS | {"body": 2.0}
     assert validate("q", {"fuzzy": True}).fuzzy == 0.2 and validate("q", {"fields": ["body", "title", "body"]}).fields == ("body", "title")
     assert options.edits("memory", validate("q", {"fuzzy": 1})) == 2 and options.edits("ab", validate("q", {"fuzzy": 0.1})) == 1 and options.edits("ab", validate("q")) == 0
+
+
+def test_score_invariance_covers_all_matches(spark, monkeypatch):
+    from lorebase.plans import catalogue
+
+    def cut(*_):
+        raise AssertionError("a ranked list ends at its limit")
+
+    monkeypatch.setattr(catalogue.search, "ranked", cut)
+    row = catalogue.QUERIES["filter_score_invariance"](spark, "/root/testdata/sf0.001").first()
+    assert row.compared > 0 and row.changed == 0
