@@ -5,30 +5,33 @@ substrings. A text is parsed by each automaton into phrases, each the longest ma
 ended (at least one symbol). The language that needs the fewest phrases, each weighted by the log of its sample's
 size, wins; ties go to the language that comes first by name.
 
-Automata are compiled to tables of next states over a small alphabet: a step that has no successor ends the phrase and
-starts the next one at the root. Texts of a batch are cut into lanes of LANE symbols (a phrase also ends where a lane
-does, for every language alike), and all lanes step at once through numpy tables, so whole texts are parsed and the
-time per character is constant.
-
-Symbols: characters lower-cased, runs of characters other than letters as one blank; the ALPHABET most frequent letters
-of the sample have a symbol each, others share one that no automaton knows.
-
-Fitting takes at most SAMPLE_DOCS documents of a language and SAMPLE_CHARS symbols of theirs, drawn by hash of doc_id
-among all learning rows after an exact count of each language's rows. A language's sample is filled in turn from the
-front of each document. These bounds are the parameters sample_docs and sample_chars. Nothing else is sampled.
+Symbols are the UTF-8 bytes of the lower-cased text in which each run of other characters than letters is one blank. A
+letter is what ``str.isalpha`` says, categories L of Unicode, in learning and in judging alike. Each automaton knows
+the bytes of its own sample; any other byte is a phrase of its own, in every script.
+
+Automata are compiled to tables of next states: a step that has no successor ends the phrase and starts the next one
+at the root. Texts of a batch are cut into lanes of LANE bytes, and all lanes step at once through numpy tables, as if
+a phrase began with each lane. Where a lane begins inside a phrase of the lane before, it is parsed again with that
+phrase's state until both parses begin a phrase at the same byte, after which they are one; so the phrases are those
+of one parse of the whole text, and the time per character is constant.
+
+Fitting takes whole texts of a bounded sample of labelled rows: of each language the SAMPLE_DOCS distinct texts with the
+least hash of text and language (copies count once), in that order, as far as they fit into its share of bytes, which is
+SAMPLE_BYTES or an equal part of TOTAL_BYTES if there are many languages. No language is left out: one whose texts are
+all longer takes its shortest, whole. The bounds are the parameters sample_docs, sample_bytes and total_bytes. Nothing
+else is sampled. The samples are what is sent to the workers, 2 TOTAL_BYTES or so; workers compile them once.
 
 Cases: a null text or one without a letter gets ``und`` with score 0. Null lang rows, and texts without letters, are
-not learned from. With no learned language every text gets ``und``. Rows with equal or null doc_id are judged one by
-one (a null doc_id belongs to the learning part). Empty tables give no rows. Other columns are not read.
+not learned from. With no learned language every text gets ``und``, with one its score is 1. Rows with equal or null
+doc_id are judged one by one (a null doc_id belongs to the learning part). Empty tables give no rows. Other columns
+are not read by predict() and are kept by accepted().
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,18 +39,39 @@ from pyspark.sql import types as T
 from ._spark import load
 
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 24_000
-ALPHABET = 62
+SAMPLE_BYTES = 48_000
+TOTAL_BYTES = 1 << 20
 LANE = 128
+#: Characters of text that are parsed at once (a longer text is parsed alone).
+BATCH = 1_000_000
+#: Languages whose rates of drawing (some 50 bytes each) are sent to all executors; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 #: The score from which a prediction against a document's label rejects it.
 SURE = 0.1
-_GAP = re.compile(r"[\W\d_]+")
+_BLANK = 32
 
 
-def normal(text: str) -> str:
-    """Lower-cased letters with single blanks between runs of them."""
-    return _GAP.sub(" ", text.lower()).strip()
+def letters() -> np.ndarray:
+    """Of every code point whether it is a letter."""
+    return np.array([chr(p).isalpha() for p in range(0x110000)])
+
+
+def normal(texts: list[str], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, has a letter) of texts: lower-cased letters with one blank for each run of other characters."""
+    low = [t.lower() for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.concatenate(([0], np.cumsum([len(t) for t in low]))).astype(np.int64)
+    own = letter[points]
+    keep = own.copy()  # a blank stays behind a letter, or at the start of a text
+    keep[1:] |= own[:-1]
+    keep[first[:-1][first[:-1] < first[1:]]] = True
+    points = np.where(own, points, _BLANK)[keep]
+    sums = np.concatenate(([0], np.cumsum(keep)))
+    any_ = np.concatenate(([0], np.cumsum(own)))[first]
+    size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    data = points.astype(np.uint8) if len(size) == size.sum() else np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+    return data, np.concatenate(([0], np.cumsum(size)))[sums[first]], any_[1:] > any_[:-1]
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -80,129 +104,165 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+class Automaton:
+    """One language's automaton as a table; entries are twice the next state's row, plus 1 if a phrase begins."""
+
+    def __init__(self, texts: list[bytes]):
+        # no text holds a zero byte: it keeps the sample's texts apart
+        symbols = np.frombuffer(b"\0".join(texts), np.uint8)
+        known = np.unique(symbols[symbols > 0])
+        self.codes = np.zeros(256, np.uint8)  # 0: a byte that the sample lacks
+        self.codes[known] = np.arange(1, len(known) + 1)
+        width = self.width = len(known) + 1
+        nxt = suffix_automaton(self.codes[symbols].tolist())
+        table = np.full((len(nxt), width), -1, np.int64)
+        for state, moves in enumerate(nxt):
+            for c, to in moves.items():
+                if c:
+                    table[state, c] = to
+        root = np.maximum(table[0], 0) * (2 * width) + 1
+        full = np.where(table >= 0, table * (2 * width), root)
+        full[0] = root
+        self.table = full.reshape(-1).astype(np.int64 if len(nxt) * width > 1 << 29 else np.int32)
+        self.weight = np.log2(max(2, sum(map(len, texts))))
+
+
 class Parser:
-    """The automata of all languages as tables, and the phrases that texts need under each."""
+    """The automata of all languages, and the phrases that texts need under each."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
-        letters = Counter("".join(samples.values()))
-        letters.pop(" ", None)
-        common = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
-        self.width = 64
-        self.codes = {" ": 1} | {c: k + 2 for k, c in enumerate(common)}  # 0: no automaton knows it
-        self.points = np.array(sorted(map(ord, self.codes)), np.uint32)
-        self.symbols = np.array([self.codes[chr(p)] for p in self.points], np.uint8)
-        self.tables, self.weights = [], []
-        for name in self.languages:
-            nxt = suffix_automaton([self.codes.get(c, 0) for c in samples[name]])
-            table = np.full((len(nxt), self.width), -1, np.int32)
-            for state, moves in enumerate(nxt):
-                for c, to in moves.items():
-                    if c:
-                        table[state, c] = to
-            root = table[0].copy()
-            root[root < 0] = 0
-            # bit 0 of an entry: this symbol begins a phrase; the root is met at a lane's start and after unknown symbols
-            full = np.where(table >= 0, table * 2, root * 2 + 1)
-            full[0] = root * 2 + 1
-            self.tables.append(full.reshape(-1).astype(np.int32))
-            self.weights.append(np.log2(max(2, len(samples[name]))))
-
-    def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return np.where(self.points[at] == points, self.symbols[at], 0).astype(np.uint8)
-
-    def phrases(self, texts: list[str], lane: int = LANE) -> np.ndarray:
+        self.automata = [Automaton(samples[name]) for name in self.languages]
+        self.letter = letters()
+
+    def phrases(self, data: np.ndarray, first: np.ndarray, lane: int = LANE) -> np.ndarray:
         """Phrases of each normalised text under each language."""
-        if not texts:
-            return np.zeros((0, len(self.languages)))
-        flat = self.encode("".join(texts))
-        sizes = np.array([len(t) for t in texts])
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        lanes = -(-sizes // lane)
-        doc = np.repeat(np.arange(len(texts)), lanes)
+        size = np.diff(first)
+        lanes = -(-size // lane)
+        doc = np.repeat(np.arange(len(size)), lanes)
         k = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin, left = first[doc] + k * lane, np.minimum(lane, sizes[doc] - k * lane)
+        begin, left = first[:-1][doc] + k * lane, np.minimum(lane, size[doc] - k * lane)
         order = np.argsort(-left, kind="stable")  # full lanes first: later steps are on a prefix of them
-        begin, left, doc = begin[order], left[order], doc[order]
-        live = np.searchsorted(-left, -np.arange(lane), "left")
-        out = np.zeros((len(texts), len(self.languages)))
-        for j, table in enumerate(self.tables):
-            state, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
-            for i in range(lane):
-                n = live[i]
-                if not n:
-                    break
-                move = table[state[:n] * self.width + flat[begin[:n] + i]]
-                state[:n] = move >> 1
-                count[:n] += move & 1
-            out[:, j] = np.bincount(doc, weights=count, minlength=len(texts))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        live = np.searchsorted(-left[order], -np.arange(lane), "left")
+        # steps as rows, lanes as columns
+        grid = np.zeros((lane, len(order)), np.uint8)
+        for i in range(lane):
+            grid[i, : live[i]] = data[begin[order[: live[i]]] + i]
+        last = np.append(k[1:] == 0, True)[: len(k)]
+        heir = np.where(last[order], -1, place[np.minimum(order + 1, len(order) - 1)])  # the next lane of a lane's text
+        out = np.zeros((len(size), len(self.automata)))
+        for j, a in enumerate(self.automata):
+            out[:, j] = np.bincount(doc[order], weights=_parse(a, a.codes[grid], left[order], live, heir), minlength=len(size))
         return out
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int) -> dict[str, str]:
-    """Normalised labelled text of each language, of bounded size."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
-    draw = F.abs(F.xxhash64(F.col(id_col), F.lit(7)) % 1_000_000_007) / F.lit(1_000_000_007)
-    if not counts:
+def _parse(a: Automaton, grid: np.ndarray, left: np.ndarray, live: np.ndarray, heir: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each lane; left: bytes of a lane, live: lanes that have a step, heir: the lane behind or -1."""
+    steps, n = grid.shape
+    starts = np.zeros((steps, n), np.uint8)
+    ends = np.zeros(n, a.table.dtype)
+    for i in range(steps):
+        m = live[i]
+        if not m:
+            break
+        move = a.table[ends[:m] + grid[i, :m]]
+        ends[:m] = move >> 1
+        starts[i, :m] = move & 1
+    count = starts.sum(axis=0, dtype=np.int64)
+    out, state = count.copy(), ends.copy()
+    came = np.flatnonzero(heir >= 0)
+    while len(came):  # lanes whose end the lane behind has yet to start from
+        at = heir[came]
+        now, met = state[came], np.zeros(len(at), bool)
+        more, less = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        open_ = np.arange(len(at))
+        for i in range(steps):
+            open_ = open_[left[at[open_]] > i]
+            if not len(open_):
+                break
+            lane = at[open_]
+            move, other = a.table[now[open_] + grid[i, lane]], starts[i, lane]
+            same = (move & other & 1).astype(bool)
+            met[open_[same]] = True
+            open_, move, other = open_[~same], move[~same], other[~same]
+            now[open_] = move >> 1
+            more[open_] += move & 1
+            less[open_] += other
+        out[at] = count[at] + more - less
+        new = np.where(met, ends[at], now)
+        came = at[(new != state[at]) & (heir[at] >= 0)]
+        state[at] = new
+    return out
+
+
+def sample(docs: DataFrame, text_col: str, lang_col: str, sample_docs: int, sample_bytes: int, total_bytes: int) -> dict[str, list[bytes]]:
+    """Normalised labelled texts of each language, of bounded size."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    labelled = labelled.withColumns({"hash": F.xxhash64("text", "lang"), "size": F.octet_length("text")}).withColumn("draw", F.pmod("hash", F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))
+    n_languages = labelled.select("lang").distinct().count()
+    if not n_languages:
         return {}
+    share = max(1, min(sample_bytes, total_bytes // n_languages))
     # one row for each language, as many as there are automata
-    rates = docs.sparkSession.createDataFrame([(name, min(1.0, 2 * sample_docs / n)) for name, n in counts.items()], "lang string, rate double")
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("text"), draw.alias("draw"), F.col(id_col).alias("id"))
-    drawn = rows.join(F.broadcast(rates), "lang").where("draw < rate").drop("rate")
+    found = labelled.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("size") <= share, F.col("hash"))).alias("n"), F.min(F.struct("size", "hash")).alias("shortest")).collect()
+    rates = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * sample_docs / r.n) if r.n else 0.0, None if r.n else r.shortest.hash) for r in found], "lang string, rate double, only long")
+    rates = F.broadcast(rates) if n_languages <= BROADCAST_LANGUAGES else rates
+    fits = (F.col("size") <= share) & (F.col("draw") < F.col("rate"))
+    drawn = labelled.join(rates, "lang").where(fits | F.coalesce(F.col("hash") == F.col("only"), F.lit(False))).groupBy("lang", "draw", "hash").agg(F.first("text").alias("text"))
     best: dict[str, list] = {}
-    for r in drawn.toLocalIterator():
+    for r in drawn.toLocalIterator():  # about 2 * sample_docs of each language
         own = best.setdefault(r.lang, [])
-        own.append((r.draw, r.id or 0, r.text))
+        own.append((r.draw, r.hash, r.text))
         if len(own) > 2 * sample_docs:
             own.sort()
             del own[sample_docs:]
-    out = {}
+    letter, out = letters(), {}
     for name, own in best.items():
-        own = sorted(own)[:sample_docs]
-        # as much of each document as lets all of them in, short ones leaving room to the others
-        parts, room = [], sample_chars
-        for k, text in enumerate(sorted((normal(t) for *_, t in own), key=len)):
-            parts.append(text[: max(1, room // (len(own) - k))])
-            room -= len(parts[-1])
-        if any(parts):
-            out[name] = " ".join(parts)
+        kept, room = [], share
+        for *_, text in sorted(own)[:sample_docs]:
+            data, _, fine = normal([text], letter)
+            if fine[0] and (len(data) <= room or len(own) == 1):
+                kept.append(data.tobytes())
+                room -= len(data)
+        if kept:
+            out[name] = kept
     return out
 
 
-def identify(docs: DataFrame, learning: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(row, lang_pred, score) for every row of docs, as a struct, by automata of the learning rows.
+def identify(docs: DataFrame, learning: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
+    """(row, lang_pred, score) for every row of docs, as a struct of the columns to keep, by automata of the learning rows.
 
     score is 1 - fewest / second fewest weighted phrases, 1 if only one language was learned.
     """
-    fitted = sample(learning, id_col, text_col, lang_col, sample_docs, sample_chars)
-    model = docs.sparkSession.sparkContext.broadcast(Parser(fitted) if fitted else None)
+    # plain values only: a worker need not know this package to read them; it keeps what it compiled beside them
+    model = docs.sparkSession.sparkContext.broadcast({"samples": sample(learning, text_col, lang_col, sample_docs, sample_bytes, total_bytes)})
 
     def run(batches):
-        parser = model.value
+        held = model.value
+        if "parser" not in held:
+            held["parser"] = Parser(held["samples"])
+        parser = held["parser"]
         for batch in batches:
-            a, texts = 0, batch.column("text")
+            # a text that the row holds does not travel twice
+            texts = pc.struct_field(batch.column("row"), text_col) if inside else batch.column("text")
+            ends = np.cumsum(np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+            a = 0
             while a < batch.num_rows:
-                held, size, b = [], 0, a
-                while b < batch.num_rows and size < 2_000_000:
-                    held.append(normal(texts[b].as_py() or ""))
-                    size += len(held[-1])
-                    b += 1
-                known = [bool(t) and parser is not None for t in held]
-                pred, score = [UNKNOWN] * len(held), [0.0] * len(held)
-                if any(known):
-                    cost = parser.phrases([t for t, k in zip(held, known, strict=True) if k]) * np.array(parser.weights)
-                    best = np.argmin(cost, axis=1)
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH, "right")))
+                data, first, fine = normal([t or "" for t in texts.slice(a, b - a).to_pylist()], parser.letter)
+                pred, score = np.full(b - a, UNKNOWN, object), np.zeros(b - a)
+                if parser.languages and fine.any():
+                    cost = parser.phrases(data, first)[fine] * np.array([x.weight for x in parser.automata])
+                    pred[fine] = np.array(parser.languages, object)[np.argmin(cost, axis=1)]
                     low = np.partition(cost, min(1, cost.shape[1] - 1), axis=1)
-                    sure = 1 - low[:, 0] / low[:, 1] if cost.shape[1] > 1 else np.ones(len(cost))
-                    for i, j, s in zip(np.flatnonzero(known), best, sure, strict=True):
-                        pred[i], score[i] = parser.languages[j], float(s)
-                yield pa.record_batch([batch.column("row").slice(a, b - a), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
+                    score[fine] = 1 - low[:, 0] / low[:, 1] if cost.shape[1] > 1 else 1.0
+                yield pa.record_batch([batch.column("row").slice(a, b - a), pa.array(pred, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
                 a = b
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    inside = keep is None or text_col in keep
+    rows = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), *([] if inside else [F.col(text_col).alias("text")]))
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
@@ -213,7 +273,7 @@ def is_held_out(id_col: str = "doc_id"):
 
 def predict(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; learned from the rows that are not held out."""
-    found = identify(docs.select("doc_id", "text"), docs.where(~is_held_out()), **options)
+    found = identify(docs, docs.where(~is_held_out()), keep=["doc_id"], **options)
     return found.select("row.doc_id", is_held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
