@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +37,15 @@ def _drop(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, removed at exit.
 
-    Where the setting is absent (local tests) a folder of the driver serves, which is the one machine there is.
+    Where the setting is absent a folder of the driver serves if the master is local, where there is one machine; on a
+    cluster the setting is required.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lorebase-')}"
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not re.match(r"local(\[[^,]*(,[^,\]]*)?\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = base or f"file://{tempfile.mkdtemp(prefix='lorebase-')}"
         _roots[app] = f"{base.rstrip('/')}/lorebase-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _roots[app])
     return _roots[app]
@@ -51,6 +59,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(name: tuple, make: Callable):
+    """What make() gives, made once by each Python worker and kept for its later tasks.
+
+    Functions reach workers by value, with new module globals for each task, so these can't hold it.
+    """
+    held = sys.modules.setdefault("_lorebase_kept", types.ModuleType("_lorebase_kept")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions for work whose size is not known: as many as shuffles get, or four for each core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)

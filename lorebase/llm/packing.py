@@ -11,6 +11,9 @@ to the sequences from `bin` on, at `offset`". The histogram and the segments do
 Pieces get their number within their length from counts by (length, bucket), so no length is gathered in one task;
 equal rows are counted first and dealt out last.
 
+Ids are those of a plain call of the vocabulary file's tokenizer without adding special tokens: the string of a special
+token in a text stands for its id.
+
 Cases: a null text is empty and makes a piece of the end id alone. Repeated rows are packed once each. Rows with null
 doc_id are kept. Empty tables give no rows. Other columns are not read.
 """
@@ -104,7 +107,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, end: int, voc
     """(doc_id, piece, start, length, ids_crc32) of every document."""
 
     def run(batches):
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, special=True)
         stop = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []

@@ -8,6 +8,9 @@ number of separators, the ids before the first, between them, and after the last
 stitched by a prefix scan over the blocks of a stream: the separators before a block number its documents, and the ids
 after the last separator of earlier blocks are carried into its first one. Only these small rows are shuffled.
 
+Ids take two bytes if the vocabulary and the separator let them, else four. Texts are ordinary text: the string of a
+special token in them is encoded like any other, so the separator is never found inside a document.
+
 Cases: a null text is empty and counts 0. Rows with repeated or null doc_id are counted one by one. Documents longer
 than a block, and blocks without a separator, are stitched over any number of blocks. Empty tables give no rows.
 Other columns are not read.
@@ -32,9 +35,17 @@ SEPARATOR = 50256
 BLOCK = 1 << 18
 
 
+def id_type(separator: int, vocabulary: str | None = None) -> np.dtype:
+    """The type of the files' ids, wide enough for all of them; a separator that ordinary text can have is refused."""
+    ids = encoder(vocabulary)
+    if separator in ids.ordinary or not 0 <= separator < 1 << 32:
+        raise ValueError(f"{separator} cannot separate documents: it is an id of ordinary text or no 32-bit id")
+    return np.dtype("<u2" if max(ids.size - 1, separator) < 1 << 16 else "<u4")
+
+
 def write_stream(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, block: int = BLOCK, vocabulary: str | None = None) -> None:
     """The token files of docs below path: kind=tokens (stream, part, tokens) and kind=ledger (stream, part, ids)."""
-    kind = np.dtype("<u2" if separator < 1 << 16 else "<u4")
+    kind = id_type(separator, vocabulary)
 
     def run(batches):
         encode = encoder(vocabulary)
@@ -64,9 +75,9 @@ def write_stream(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
 
 
-def count_stream(tokens: DataFrame, separator: int = SEPARATOR) -> DataFrame:
+def count_stream(tokens: DataFrame, separator: int = SEPARATOR, vocabulary: str | None = None) -> DataFrame:
     """(stream, ordinal, n_tokens) of every document of blocks (stream, part, tokens)."""
-    kind = np.dtype("<u2" if separator < 1 << 16 else "<u4")
+    kind = id_type(separator, vocabulary)
 
     def scan(batches):
         for batch in batches:
@@ -92,7 +103,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
     write_stream(docs, path, id_col, text_col, separator, block, vocabulary)
     files = spark.read.schema("stream long, part long, tokens binary, ids array<long>, kind string").option("basePath", path).parquet(path)
-    counted = count_stream(files.where("kind = 'tokens'"), separator)
+    counted = count_stream(files.where("kind = 'tokens'"), separator, vocabulary)
     ledger = files.where("kind = 'ledger'").select("stream", "part", F.posexplode("ids").alias("i", "doc")).select("stream", (F.col("part") + F.col("i")).alias("ordinal"), F.col("doc").alias(id_col))
     return ledger.join(counted, ["stream", "ordinal"]).select(id_col, "n_tokens")
 

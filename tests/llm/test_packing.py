@@ -39,17 +39,33 @@ def test_best_fit_on_the_histogram_equals_best_fit_on_items(size):
         assert sorted(room) == plain_best_fit(lengths, size)
 
 
-def hugging(texts):
+def hugging(texts, ordinary=False):
+    """Ids by a plain call of the tokenizers library; with ordinary, special tokens' strings are ordinary text."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = ordinary
     return [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def test_ids_equal_the_tokenizers_library():
-    assert [np.frombuffer(Ids()(x or ""), "<u4").tolist() for x in TEXTS] == hugging(TEXTS)
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_ids_equal_the_tokenizers_library(ordinary):
+    rnd = random.Random(8)
+    pieces = [" ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\x1c", "\x85", "\u200b", "a", "Word", "'s", "12", "\u00e9", "\u4e2d", "\U0001f600", "!?", "_", "\0", "<|endoftext|>", "<|endof"]
+    texts = TEXTS + ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(3000)] + [f"{i}<|endoftext|> <|endoftext|>" for i in range(3)]
+    ids = Ids(special=not ordinary)
+    for _ in range(2):  # from the text, and from what is remembered
+        assert [np.frombuffer(ids(x or ""), "<u4").tolist() for x in texts] == hugging(texts, ordinary)
+    assert np.frombuffer(Ids(special=True)("<|endoftext|>"), "<u4").tolist() == [50256] and ids.size == 50257 and 50256 not in ids.ordinary
+
+
+def test_separators_that_texts_can_hold_are_refused(spark):
+    assert token_counts.id_type(50256).itemsize == 2 and token_counts.id_type(70_000).itemsize == 4
+    with pytest.raises(ValueError):
+        token_counts.token_counts(docs(spark, TEXTS), separator=17)
+    got = token_counts.token_counts(docs(spark, TEXTS[:8]), separator=70_000, block=64).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(map(len, hugging(TEXTS[:8], True)))
 
 
 def docs(spark, texts):
@@ -85,7 +101,7 @@ def test_repeated_rows_and_empty_tables(spark):
 def test_token_counts_over_block_boundaries(spark, block):
     texts = TEXTS[:8] + TEXTS[9:] if block < 64 else TEXTS
     got = token_counts.token_counts(docs(spark, texts), block=block).collect()
-    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_tokens) for r in got) == sorted(((i == 3, i if i != 3 else 0), len(x)) for i, x in enumerate(hugging(texts)))
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_tokens) for r in got) == sorted(((i == 3, i if i != 3 else 0), len(x)) for i, x in enumerate(hugging(texts, True)))
 
 
 def test_token_counts_of_nothing(spark):
