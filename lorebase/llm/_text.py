@@ -60,27 +60,51 @@ def chunks(texts: pa.Array, limit: int = CHUNK):
         a = b
 
 
-def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and where each row's words begin among them (with the end)."""
+def _pieces(off: np.ndarray, data: np.ndarray):
+    """(starts, raw hashes, lengths, whether the first word goes on from the piece before) of at most CHUNK bytes each."""
     n = len(data)
-    if not n:
-        return np.empty(0, _U), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[data]
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = solid[:-1]
     begins = off[:-1][off[:-1] < off[1:]]
-    before[begins] = False
-    starts = np.flatnonzero(solid & ~before)
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = solid[1:]
-    after[begins[1:] - 1] = False
-    ends = np.flatnonzero(solid & ~after) + 1
-    up, down = _power(n)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[LOWER[data]] * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, off)
+    for p in range(0, n, CHUNK):
+        part = data[p : p + CHUNK]
+        m = len(part)
+        solid = ~_SPACE[part]
+        own = begins[np.searchsorted(begins, p) : np.searchsorted(begins, p + m)] - p
+        before = np.empty(m, bool)
+        before[0] = False
+        before[1:] = solid[:-1]
+        before[own] = False
+        starts = np.flatnonzero(solid & ~before)
+        after = np.empty(m, bool)
+        after[-1] = False
+        after[:-1] = solid[1:]
+        after[own[own > 0] - 1] = False
+        ends = np.flatnonzero(solid & ~after) + 1
+        up, down = _power(m)
+        sums = np.zeros(m + 1, _U)
+        np.cumsum(_BYTE[LOWER[part]] * up[:m], out=sums[1:])
+        on = bool(p and solid[0] and not _SPACE[data[p - 1]] and not (len(own) and own[0] == 0))
+        yield starts + p, (sums[ends] - sums[starts]) * down[starts], ends - starts, on
+
+
+def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and where each row's words begin among them (with the end).
+
+    Long texts are worked on in pieces; a word that goes over from one piece to the next is put together.
+    """
+    starts, hashes = [np.empty(0, np.int64)], [np.empty(0, _U)]
+    length = 0  # of the last word so far
+    with np.errstate(over="ignore"):
+        for at, raw, size, on in _pieces(off, data):
+            if on:
+                hashes[-1][-1] += raw[0] * _U(pow(_BASE, length, 1 << 64))
+                length = length + int(size[0]) if len(at) == 1 else int(size[-1])
+                at, raw = at[1:], raw[1:]
+            elif len(at):
+                length = int(size[-1])
+            if len(at):
+                starts.append(at)
+                hashes.append(raw)
+        return mix(np.concatenate(hashes)), np.searchsorted(np.concatenate(starts), off)
 
 
 def shingle_sets(off: np.ndarray, data: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

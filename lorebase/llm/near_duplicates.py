@@ -16,16 +16,19 @@ of any two components, and at last all that are left. So a group of g near copie
 of g * g, and no component is missed. Pairs inside long lists are compared by bitmaps in blocks, and only those that
 pass become rows.
 
-Links: near_links() also counts for each document the other sets that its set is similar to. Every link lies inside a
+Links: each document is given the number of other sets that its set is similar to. Every link lies inside a
 component, so all pairs of each component's classes are compared on their full sets, once each: components of two have
 their one link, larger ones are dealt in blocks of LINK_BLOCK classes and LINK_TOKENS tokens, and pairs of blocks give
 one count for each class. Rows grow with blocks, not with the square of a group; the comparisons are all made.
 
-Scale: document frequencies are counted over all documents, as sorted and delta-coded token hashes, in one pass; what
-is broadcast is the list of the MAX_FREQUENT most frequent tokens at most, 12 bytes each (a token that does not make
-the list is treated as rare: that lengthens lists but loses nothing), and a Bloom filter of at most MAX_BLOOM_BITS.
-Texts are read again for each pass and never shuffled; sets are shuffled for candidates that the bitmaps left only.
-Components come from alternating large-star and small-star rounds, each written to the shared folder.
+Scale: texts are read once; the sets, 8 bytes for each shingle, are written to the shared folder, one copy of a class
+from each task, and read by the later passes. They are shuffled for candidates that the bitmaps left only. Document
+frequencies are counted over all of them, as sorted and delta-coded token hashes. Work that is dealt by hash goes to
+buckets whose number follows from the number of tokens, so a bucket does not grow with the input. What is broadcast is
+the list of the MAX_FREQUENT most frequent tokens at most, 12 bytes each (a token that does not make the list is treated
+as rare: that lengthens lists but loses nothing), and a Bloom filter of at most MAX_BLOOM_BITS, beyond whose reach more
+sets are shuffled, but none is lost. Components come from alternating large-star and small-star rounds, each written to
+the shared folder.
 
 Cases: null, empty and blank texts have an empty set, n_shingles 0, and are their own component; texts of one to four
 words have one shingle, the whole sequence. Rows with equal doc_id or null doc_id are handled row by row: each
@@ -39,6 +42,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +67,11 @@ LINK_BLOCK = 1024
 LINK_TOKENS = 1 << 20
 #: Bits of a token hash that are counted; 2**40 leaves one in 1000 tokens with another's count at 10**9 tokens.
 COUNT_BITS = 40
-_INFO = "id long, n_shingles long, class binary, key long, bits binary"
+_INFO = "id long, digest binary, n_shingles long, class binary, key long, bits binary, tokens binary"
+#: Tokens of a bucket and buckets, about: more buckets come only when these hold MOST_TOKENS.
+BUCKET_TOKENS, MOST_TOKENS, FEW_BUCKETS = 1 << 18, 1 << 24, 1 << 15
+#: Tokens that a task sorts at once, and at most where there are many buckets.
+FLUSH, MOST_FLUSH = 4_000_000, 32_000_000
 
 
 def _similar(inter, n, m, percent=80):
@@ -73,15 +81,14 @@ def _similar(inter, n, m, percent=80):
 def _bitmap(s: np.ndarray) -> bytes:
     """Parity of the tokens that fall on each of about 2n bits: the number of bits that differ is at most |x ^ y|."""
     size = max(64, 1 << (2 * len(s) - 1).bit_length())
-    return np.packbits(np.bincount((s >> _U(20)).astype(np.int64) & (size - 1), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
-
-
-def _sets(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
-    for batch in batches:
-        for a, off, data in chunks(batch.column(text)):
-            flat, first = shingle_sets(off, data)
-            for i in range(len(first) - 1):
-                yield batch, a + i, flat[first[i] : first[i + 1]]
+    at = (s >> _U(20)).astype(np.int64) & (size - 1)
+    if len(s) < 1 << 20:
+        return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+    at.sort()  # of a very large set only the bits that are set are counted
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    odd = np.zeros(size, bool)
+    odd[at[first]] = np.diff(np.append(first, len(at))) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
 
 
 def _class(s: np.ndarray) -> bytes:
@@ -93,32 +100,52 @@ def _key(cls: bytes) -> int:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, class, key, bits) of (id, text): set size, digest of the set, its first 8 bytes, bitmap."""
+    """Rows of _INFO of (id, digest, text): set size, digest of the set, its first 8 bytes, bitmap, and the set itself, null
+    where the task has given it with an earlier row."""
 
     def run(batches):
-        ids, sizes, classes, keys, bits = [], [], [], [], []
-        known: dict[bytes, bytes] = {}
+        held: list[tuple] = []
+        known: set[bytes] = set()
+        size = 0
 
         def out():
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], names=["id", "n_shingles", "class", "key", "bits"])
-
-        for batch, i, s in _sets(batches, 1):
-            cls = _class(s) if len(s) else None
-            ids.append(batch.column(0)[i].as_py())
-            sizes.append(len(s))
-            classes.append(cls)
-            keys.append(cls and _key(cls))
-            bits.append(cls and _bitmap(s))
-            if len(ids) >= 5000:
-                yield out()
-                for x in (ids, sizes, classes, keys, bits):
-                    x.clear()
-        known.clear()
+            columns = zip(*held, strict=True) if held else [()] * 7
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "digest", "n_shingles", "class", "key", "bits", "tokens"])
+
+        for batch in batches:
+            ids, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, off, data in chunks(batch.column(2)):
+                flat, first = shingle_sets(off, data)
+                for i in range(len(first) - 1):
+                    s = flat[first[i] : first[i + 1]]
+                    cls = _class(s) if len(s) else None
+                    new = cls and cls not in known
+                    tokens = s.tobytes() if new else None
+                    held.append((ids[a + i], digests[a + i], len(s), cls, cls and _key(cls), cls and _bitmap(s), tokens))
+                    if new:
+                        known.add(cls)
+                        size += len(tokens)
+                    if size > 4 << 20 or len(held) >= 5000:
+                        yield out()
+                        held.clear()
+                        size = 0
         yield out()
 
     return docs.mapInArrow(run, _INFO)
 
 
+def _tokens(column: pa.Array) -> np.ndarray:
+    """All tokens of a column of sets, end to end."""
+    off = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].view(_U) if len(column) else np.empty(0, _U)
+
+
+def bucket_count(tokens: int) -> int:
+    """Buckets for so many tokens."""
+    return max(64, min(tokens // BUCKET_TOKENS, max(FEW_BUCKETS, tokens // MOST_TOKENS)))
+
+
 def _pack(sorted_values: np.ndarray) -> bytes:
     """Sorted distinct values as 16-bit steps; a step of 65535 only adds."""
     steps = np.diff(sorted_values, prepend=_U(0)).astype(np.uint64)
@@ -135,13 +162,13 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=_U)[steps != 65535]
 
 
-def frequent_tokens(docs: DataFrame, buckets: int, frequent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(sets: DataFrame, buckets: int, frequent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes (COUNT_BITS bits) of the tokens in over `frequent` documents, at most `most`, and the counts."""
     span = -(-(1 << COUNT_BITS) // buckets)
+    flush_at = min(MOST_FLUSH, max(FLUSH, 256 * buckets))
 
     def count(batches):
         held: list[np.ndarray] = []
-        seen: set[bytes] = set()
         size = 0
 
         def flush():
@@ -154,15 +181,13 @@ def frequent_tokens(docs: DataFrame, buckets: int, frequent: int, most: int) ->
                 names=["bucket", "steps", "at", "times"],
             )
 
-        for _, _, s in _sets(batches, 0):
-            if len(s) and (cls := _class(s)[:8]) not in seen:
-                seen.add(cls)
-                held.append(s >> _U(64 - COUNT_BITS))
-                size += len(s)
-                if size > 4_000_000:
-                    yield flush()
-                    held.clear()
-                    size = 0
+        for batch in batches:
+            held.append(_tokens(batch.column(0)) >> _U(64 - COUNT_BITS))
+            size += len(held[-1])
+            if size > flush_at:
+                yield flush()
+                held.clear()
+                size = 0
         if held:
             yield flush()
 
@@ -182,7 +207,7 @@ def frequent_tokens(docs: DataFrame, buckets: int, frequent: int, most: int) ->
         keep = sums > frequent
         return pa.table([pa.array(values[first][keep].astype(np.int64) + bucket[0].as_py() * span), pa.array(sums[keep])], names=["token", "n"])
 
-    counts = saved(docs.mapInArrow(count, "bucket int, steps binary, at binary, times binary").groupBy("bucket").applyInArrow(total, "token long, n long"), "frequent")
+    counts = saved(sets.select("tokens").mapInArrow(count, "bucket int, steps binary, at binary, times binary").groupBy("bucket").applyInArrow(total, "token long, n long"), "frequent")
     found = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()  # bounded by `most`
     tokens, n = found.column("token").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     order = np.argsort(tokens)
@@ -224,16 +249,17 @@ def signatures(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, marks: np.
     return np.concatenate(out)
 
 
-def candidate_lists(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, buckets: int, percent: int) -> DataFrame:
+def candidate_lists(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, buckets: int, percent: int) -> DataFrame:
     """Distinct (list, key): the classes that share a signature, for signatures of two classes or more."""
     marks = np.zeros(max(1 << 16, min(1 << 24, 1 << (16 * len(tokens)).bit_length())), bool)
     marks[(tokens & _U(len(marks) - 1)).astype(np.int64)] = True
-    model = docs.sparkSession.sparkContext.broadcast((tokens, counts, np.packbits(marks)))
+    model = sets.sparkSession.sparkContext.broadcast((tokens, counts, np.packbits(marks)))
+    flush_at = min(MOST_FLUSH, max(FLUSH, 256 * buckets)) // 2
 
     def sign(batches):
         tokens, counts, packed = model.value
         marks = np.unpackbits(packed).astype(bool)
-        sigs, keys, seen, size = [], [], set(), 0
+        sigs, keys, size = [], [], 0
 
         def flush():
             s = np.concatenate(sigs)
@@ -245,13 +271,12 @@ def candidate_lists(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, buc
             rows = [(i, s[x:y].tobytes(), k[x:y].tobytes()) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "sigs", "keys"])
 
-        for _, _, s in _sets(batches, 0):
-            if len(s) and (cls := _class(s)) not in seen:
-                seen.add(cls)
-                sigs.append(signatures(s, tokens, counts, marks, percent))
-                keys.append(_key(cls))
+        for batch in batches:
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sigs.append(signatures(np.frombuffer(own, _U), tokens, counts, marks, percent))
+                keys.append(key)
                 size += len(sigs[-1])
-                if size > 2_000_000:
+                if size > flush_at:
                     yield flush()
                     sigs.clear(), keys.clear()
                     size = 0
@@ -276,7 +301,7 @@ def candidate_lists(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, buc
         at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
         return pa.table([pa.array(np.repeat(lists.view(np.int64), size)), pa.array(k[at])], names=["list", "key"])
 
-    signed = docs.mapInArrow(sign, "bucket int, sigs binary, keys binary")
+    signed = sets.select("key", "tokens").mapInArrow(sign, "bucket int, sigs binary, keys binary")
     return signed.groupBy("bucket").applyInArrow(group, "list long, key long").distinct()
 
 
@@ -299,7 +324,7 @@ def _bloom(keys: DataFrame, n: int) -> np.ndarray:
             yield pa.record_batch([pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for row in keys.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in keys.repartition(4).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return out
 
@@ -371,41 +396,24 @@ def crossing(lists: DataFrame, roots: DataFrame, one: DataFrame, percent: int, f
     return joined.withColumn("more", F.lit(False)).unionByName(compared).distinct()
 
 
-def full_sets(needed: DataFrame, docs: DataFrame) -> DataFrame | None:
+def full_sets(needed: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(key, tokens) of the distinct class keys in needed, and of a few others; None if there are none."""
     n = needed.count()
     if not n:
         return None
-    filter_ = docs.sparkSession.sparkContext.broadcast(_bloom(needed, n))
-
-    def sets(batches):
-        packed = filter_.value
-        seen: set[bytes] = set()
-        keys, tokens, size = [], [], 0
+    filter_ = sets.sparkSession.sparkContext.broadcast(_bloom(needed, n))
 
-        def out():
-            return pa.record_batch([pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        packed, held, out = filter_.value, keys.to_numpy(np.int64), np.ones(len(keys), bool)
+        for at in _bloom_hashes(held, len(packed) * 8):
+            out &= (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+        return pd.Series(out)
 
-        for _, _, s in _sets(batches, 0):
-            if not len(s) or (cls := _class(s)) in seen:
-                continue
-            key = np.array([_key(cls)], np.int64)
-            if all(packed[at[0] >> 3] >> (7 - (at[0] & 7)) & 1 for at in _bloom_hashes(key, len(packed) * 8)):
-                seen.add(cls)
-                keys.append(int(key[0]))
-                tokens.append(s.tobytes())
-                size += len(tokens[-1])
-                if size > 4 << 20:
-                    yield out()
-                    keys.clear(), tokens.clear()
-                    size = 0
-        yield out()
+    return saved(sets.where(maybe("key")).groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
 
-    held = docs.mapInArrow(sets, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
-    return saved(held, "sets")
 
-
-def verify(pairs: DataFrame, one: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The similar ones of distinct candidate pairs (a, b) of class keys; one: (key, n, bits) of every class."""
 
     def near(batches):
@@ -420,7 +428,7 @@ def verify(pairs: DataFrame, one: DataFrame, docs: DataFrame, percent: int) -> D
     left, right = one.select(F.col("key").alias("a"), "n", F.col("bits").alias("x")), one.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
     sized = pairs.join(left, "a").join(right, "b").where("100 * least(n, m) >= %d * greatest(n, m)" % percent)
     kept = saved(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "near")
-    held = full_sets(kept.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs)
+    held = full_sets(kept.select(F.explode(F.array("a", "b")).alias("key")).distinct(), sets)
     if held is None:
         return kept
 
@@ -462,32 +470,32 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, frequent: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """describe() of docs, (key, n, bits) of every class, (node, root) of the components and the texts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = rows.select("text")
-    buckets = max(64, 2 * slots(docs.sparkSession))
-    info = saved(describe(rows), "sets")
-    tokens, counts = frequent_tokens(texts, buckets, frequent, most)
-    lists = saved(candidate_lists(texts, tokens, counts, buckets, percent), "lists")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, frequent: int, most: int, digests: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """describe() of docs, (key, n, bits) of every class, (node, root) of the components, (key, tokens) of every class."""
+    digest = F.unhex(F.md5(text_col)) if digests else F.lit(None).cast("binary")
+    info = saved(describe(docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col(text_col).alias("text"))), "sets")
+    sets = info.where("tokens is not null").select("key", "tokens")
+    buckets = bucket_count(info.where("tokens is not null").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    tokens, counts = frequent_tokens(sets, buckets, frequent, most)
+    lists = saved(candidate_lists(sets, tokens, counts, buckets, percent), "lists")
 
     one = saved(info.where("key is not null").groupBy("key").agg(F.max("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
 
     heads = lists.groupBy("list").agg(F.min("key").alias("least"))
     tried = saved(lists.join(heads, "list").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-    roots = components(verify(tried, one, texts, percent))
+    roots = components(verify(tried, one, sets, percent))
     for few in (True, False):  # first the likeliest pairs of any two components, then every pair that is left
         found = saved(crossing(lists, roots, one, percent, few), "crossing")
         pairs = saved(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
-            linked = verify(pairs, one, texts, percent)
+            linked = verify(pairs, one, sets, percent)
             if not linked.isEmpty():
                 roots = components(linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if found.where("more").isEmpty():  # no two components had likelier pairs than were tried
             break
 
-    return info, one, roots, texts
+    return info, one, roots, sets
 
 
 def shared(sets: list[np.ndarray], first: int) -> np.ndarray:
@@ -537,18 +545,18 @@ def count_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"key": keys, "links": links})
 
 
-def link_counts(roots: DataFrame, one: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def link_counts(roots: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(key, links): the number of similar classes of every class of a component of two classes or more."""
     members = roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct()).join(one.select("key", "n"), "key")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
     sizes = sizes.select("root", "size", F.ceil(F.greatest(F.col("size") / LINK_BLOCK, F.col("tokens") / LINK_TOKENS)).cast("int").alias("blocks"))
     members = saved(members.drop("n").join(sizes, "root"), "members")
     two = members.where("size = 2").select("key", F.lit(1).cast("long").alias("links"))
-    held = full_sets(members.where("size > 2").select("key"), docs)
+    held = full_sets(members.where("size > 2").select("key"), sets)
     if held is None:
         return two
     more = members.where("size > 2").join(held, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    buckets = max(64, 4 * slots(docs.sparkSession))
+    buckets = max(64, 4 * slots(sets.sparkSession))
     more = more.withColumn("of", F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))).withColumn("long", F.col("blocks") > 1)
     more = more.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = more.select("key", "root", "block", "tokens", "of", "long", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
@@ -565,29 +573,32 @@ def _placed(info: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
-    """(id_col, n_shingles, component_id, class) for every row of docs."""
-    info, _, roots, _ = _grouped(docs, id_col, text_col, percent, frequent, most)
-    of = _placed(info, roots).drop("key")
-    return info.join(of, "class", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "class")
-
-
-def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
     """(id_col, n_shingles, component_id, class, n_links) for every row of docs; n_links: other sets similar to its own."""
-    info, one, roots, texts = _grouped(docs, id_col, text_col, percent, frequent, most)
-    of = _placed(info, roots).join(link_counts(roots, one, texts, percent), "key", "left").drop("key")
+    info, one, roots, sets = _grouped(docs, id_col, text_col, percent, frequent, most)
+    of = _placed(info, roots).join(link_counts(roots, one, sets, percent), "key", "left").drop("key")
     return info.join(of, "class", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "class", F.coalesce("links", F.lit(0)).alias("n_links")
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller id: one document of each group stays.
+    """docs with one row of each group: the one of the smallest id (nulls last), then of the least digest of its text.
 
-    Rows with a null id stay. Rows with one and the same id and text are one document each; all of them stay.
+    Of rows equal in id and text the one with the least hash of all columns stays. Rows without words belong to no group
+    and stay, all of them.
     """
-    found = near_duplicates(docs, id_col, text_col, percent)
-    drop = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    info, _, roots, _ = _grouped(docs, id_col, text_col, percent, FREQUENT, MAX_FREQUENT, digests=True)
+    # rows equal in id and text are one here
+    own = info.where("key is not null").groupBy("key", "id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    own = own.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).drop("key")
+    group = own.groupBy("root").agg(F.sum("rows").alias("all"), F.min(F.struct(F.isnull("id").alias("none"), "id", "digest")).alias("first")).where(F.col("all") > 1)
+    # what is not met here stays; the others go, or are several of which one stays
+    met = own.join(group, "root").select("id", "digest", "rows", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias("first")).where("not first or rows > 1")
+    met = saved(met.select("id", "digest", "first"), "met")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.unhex(F.md5(text_col)).alias("own_digest"))
+    placed = rows.join(met, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")), "left").where("first is null or first")
+    several = placed.where("first").groupBy("own_id", "own_digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return placed.where("first is null").select("row").unionByName(several.select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -595,11 +606,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents")).drop("class")
 
 
-def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3 with the number of links of every document."""
-    return near_links(load(spark, sf_dir, "documents")).drop("class")
-
-
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT i, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' '))) END AS g FROM d),
@@ -607,6 +613,7 @@ t AS (SELECT i, hash(u.x) AS h FROM s, unnest(s.g) AS u(x)),
 c AS (SELECT p.i AS a, q.i AS b, count(*) AS n FROM t p JOIN t q ON p.h = q.h AND p.i < q.i GROUP BY ALL),
 l AS (SELECT a, b FROM c JOIN s x ON x.i = a JOIN s y ON y.i = b WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+k AS (SELECT a AS i, count(DISTINCT list_sort(y.g)) AS n FROM e JOIN s x ON x.i = a JOIN s y ON y.i = b WHERE list_sort(x.g) <> list_sort(y.g) GROUP BY a),
 r AS (WITH RECURSIVE w(i, j) AS (SELECT i, i FROM s UNION SELECT w.i, e.b FROM w JOIN e ON w.j = e.a) SELECT * FROM w)
-SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, z.component_id FROM s JOIN (SELECT r.i, min(o.doc_id) AS component_id FROM r JOIN s o ON o.i = r.j GROUP BY r.i) z USING (i)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, z.component_id, coalesce(k.n, 0) AS n_links FROM s LEFT JOIN k USING (i) JOIN (SELECT r.i, min(o.doc_id) AS component_id FROM r JOIN s o ON o.i = r.j GROUP BY r.i) z USING (i)
 """

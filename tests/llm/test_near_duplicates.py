@@ -74,6 +74,34 @@ def test_one_of_each_group_stays_and_empty_tables(spark):
     assert near_duplicates.deduplicated(frame.limit(0)).collect() == []
 
 
+def test_deduplication_goes_by_rows_not_by_ids(spark):
+    same, near = "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s z"
+    rows = [(5, same, "x", 1), (5, "a text of its own in five words", "y", 2), (7, near, "z", 3), (None, same, "n", 4), (None, "no id but words of its own", "n", 5)]
+    rows += [(9, "equal rows of one text and id", "e", 6)] * 3 + [(8, "same id and text but other columns", "p", k) for k in range(3)] + [(4, None, "b", 7), (4, " \n", "b", 8), (4, " \n", "b", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id string, row int").repartition(4)
+    got = near_duplicates.deduplicated(frame)
+    kept = got.collect()
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.id) for r in kept) == sorted([(5, same, "x"), (5, rows[1][1], "y"), (0, rows[4][1], "n"), (9, rows[5][1], "e"), (8, rows[8][1], "p"), (4, "", "b"), (4, " \n", "b"), (4, " \n", "b")])
+    assert kept and sorted(map(str, kept)) == sorted(map(str, near_duplicates.deduplicated(frame.repartition(2)).collect()))
+
+
+def test_very_long_texts_and_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BUCKET_TOKENS", 50)
+    monkeypatch.setattr(_text, "CHUNK", 1000)
+    long_ = " ".join(f"w{i * i % 7919}" for i in range(60_000))
+    rows = [(1, long_), (2, long_ + " more words"), (3, long_[: len(long_) // 2]), (4, "w" * 300_000), (5, "w" * 300_000), (6, "w" * 299_999)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got]) == plain_groups(rows)
+
+
+def test_bitmaps_of_large_sets_are_counted_alike():
+    s = np.unique(np.random.default_rng(7).integers(0, 1 << 63, (1 << 20) + 9).astype(np.uint64))
+    size = 1 << (2 * len(s) - 1).bit_length()
+    plain = np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    assert near_duplicates._bitmap(s) == np.packbits(plain.astype(np.uint8), bitorder="little").tobytes()
+
+
 def test_links_of_long_chains_become_one_component(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000 + i, 2000) for i in range(50)] + [(-5, -9)]
     random.Random(0).shuffle(links)
@@ -96,18 +124,22 @@ def test_signatures_of_similar_sets_meet():
                 assert np.intersect1d(*(near_duplicates.signatures(s, tokens, counts, marks) for s in (x, y))).size
 
 
-def test_packed_steps_and_words():
+def test_packed_steps_and_words(monkeypatch):
     rng = np.random.default_rng(6)
     v = np.unique(rng.integers(0, 1 << 36, 1000).astype(np.uint64))
     assert (near_duplicates._unpack(near_duplicates._pack(v)) == v).all()
     texts = [None, "", "a", " a  b\tA ", "é\x0bb", "b", "x" * 5000 + " a"]
-    for limit in (1, 3, 1 << 20):
+    hashes = set()
+    for limit, piece in ((1, 1 << 20), (3, 2), (1 << 20, 1 << 20), (1 << 20, 3), (1 << 20, 1), (1 << 20, 4999)):
+        monkeypatch.setattr(_text, "CHUNK", piece)
         words = []
         for _, off, data in _text.chunks(pa.array(texts, pa.string()), limit):
             h, first = _text.word_hashes(off, data)
             words += [h[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
         a, b = words[2][0], words[5][0]
+        hashes.add(str(words))
         assert [len(w) for w in words] == [0, 0, 1, 3, 2, 1, 2] and words[3] == [a, b, a] and words[4][1] == b and words[6][1] == a
+    assert len(hashes) == 1
 
 
 @pytest.mark.parametrize("seed,block,tokens", [(1, 1024, 1 << 20), (2, 7, 1 << 20), (3, 1024, 900)])
@@ -119,6 +151,6 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, block, tokens):
     links = {s: sum(s is not x and 100 * len(s & x) >= 80 * len(s | x) for x in sets) for s in sets}
     assert max(links.values()) > 2
     expected = [(*r, links.get(frozenset(plain_set(t)), 0)) for r, t in zip([(d, len(plain_set(t))) for d, t in rows], [t for _, t in rows], strict=True)]
-    got = near_duplicates.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.n_links) for r in got], key=repr) == sorted(expected, key=repr)
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == plain_groups(rows)
