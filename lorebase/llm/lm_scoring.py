@@ -2,18 +2,19 @@
 
 Both learn from every document whose crc32(doc_id as text) modulo 5 is not 1 and score all whole texts.
 
-PPM: a trie of byte contexts up to `order` bytes (ORDER, and QUERY_ORDER in op10; 6 at most) with the counts of what
-followed them, learned from the learning documents. Bytes are A-Z lower-cased; all 256 are told apart. In a context the
-probability of a byte follows method C: seen bytes share n / (n + d), and the escape gets d / (n + d), n the context's
-count and d its number of distinct bytes. After an escape the next shorter context excludes the bytes that the longer
-ones have seen. A byte that no learning text holds shares what is left below the empty context: that mass is divided
-by the number of such bytes and, while fewer than SYMBOLS bytes are known, by SYMBOLS less the known ones.
+PPM: a trie of byte contexts of up to `order` bytes (ORDER; 3 to 6) with the counts of what followed them, learned from
+the learning documents. Bytes are A-Z lower-cased; all 256 are told apart. In a context the probability of a byte
+follows method C: seen bytes share n / (n + d), and the escape gets d / (n + d), n the context's count and d its number
+of distinct bytes. After an escape the next shorter context excludes the bytes that the longer ones have seen. The bytes
+that no learning text holds share equally what is left below the empty context. Nothing is pruned.
+
 The trie is kept as rows (gram, n), a gram being a context of `order` bytes and its next byte; shorter contexts are sums
 of longer ones. They are counted over all documents (n is 0 for grams of held-out texts only), so they grow with the
-corpus. Rows are dealt by the last two bytes of the context: all longer contexts of a gram are then in one task, and
-the counts of shorter ones are 65,536 numbers at most. Each row gets its log10 probability there. The HEAD_GRAMS most
-frequent grams go to the workers (16 bytes each); all others are joined to the documents' grams. A text's score is the
-sum over its bytes and starts from a context of line ends; documents do not run into each other.
+corpus. Rows are dealt by the last three bytes of the context: all longer contexts of a gram are then in one task; the
+counts of shorter ones are those of three bytes at most, 2^24 numbers at the very most and some ten thousand in natural
+text, and are broadcast. Each row gets its log10 probability there. The HEAD_GRAMS most frequent grams go to the workers
+(16 bytes each); all others are joined to the documents' grams. A text's score is the sum over its bytes and starts from
+a context of line ends; documents do not run into each other. Long texts are worked on in pieces.
 
 Base: log10((c + 0.5) / (N + 0.5 (V + 1))) summed over the words and one end token. Words are told apart by 64-bit
 hashes. The HEAD most frequent words go to the workers (12 bytes each); counts of all other words are joined to the
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import load, saved, slots
-from ._text import LOWER, chunks, word_hashes
+from ._text import CHUNK, LOWER, chunks, word_hashes
 
-SYMBOLS = 64
-ORDER = 3
-#: Context length of the registered query.
-QUERY_ORDER = 5
+ORDER = 5
+#: Bytes of grams by which rows are dealt: the last ones of the context. Grams of as many bytes are known to all tasks.
+DEALT = 3
+#: Rows of a bucket, about.
+BUCKET = 500_000
 #: Frequent grams whose probabilities are sent to the workers.
 HEAD_GRAMS = 1 << 20
 #: Frequent words whose counts are sent to the workers.
@@ -66,6 +68,18 @@ def _grams(off: np.ndarray, data: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def _gram_runs(off: np.ndarray, data: np.ndarray, order: int):
+    """(row offsets, grams) of the texts of one chunk at once, or of a long text in pieces."""
+    if len(off) != 2 or len(data) <= CHUNK:
+        yield off, _grams(off, data, order)
+        return
+    for p in range(0, len(data), CHUNK):
+        before = min(p, order)
+        part = data[p - before : p + CHUNK]
+        g = _grams(np.array([0, len(part)]), part, order)[before:]
+        yield np.array([0, len(g)]), g
+
+
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sum of n of each."""
     order = np.argsort(keys)
@@ -93,18 +107,18 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             away = batch.column(0).to_numpy(zero_copy_only=False)
             for a, off, data in chunks(batch.column(1)):
-                g = _grams(off, data, order)
-                apart = np.repeat(away[a : a + len(off) - 1].astype(bool), np.diff(off))
-                u, n = np.unique(g[~apart], return_counts=True)
-                held.append((u, n.astype(np.int64)))
-                u = np.unique(g[apart])
-                held.append((u, np.zeros(len(u), np.int64)))
-                size += len(held[-1][0]) + len(held[-2][0])
-                if size > 4_000_000:
-                    size = flush()
-                    if size > 2_000_000:
-                        yield from out()
-                        size = 0
+                for own, g in _gram_runs(off, data, order):
+                    apart = np.repeat(away[a : a + len(own) - 1].astype(bool), np.diff(own))
+                    u, n = np.unique(g[~apart], return_counts=True)
+                    held.append((u, n.astype(np.int64)))
+                    u = np.unique(g[apart])
+                    held.append((u, np.zeros(len(u), np.int64)))
+                    size += len(held[-1][0]) + len(held[-2][0])
+                    if size > 4_000_000:
+                        size = flush()
+                        if size > 2_000_000:
+                            yield from out()
+                            size = 0
         if held:
             flush()
             yield from out()
@@ -120,19 +134,31 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == asked
 
 
-def ppm_logs(gram: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+def context(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of sorted grams, their counts and their numbers of distinct bytes."""
+    c, total = _sums(keys >> 8, times)
+    return c, total, _sums(keys >> 8, np.ones(len(keys), np.int64))[1]
+
+
+def shorter(known: tuple[np.ndarray, np.ndarray], dealt: int = DEALT) -> dict:
+    """(grams, counts, context()) by context length below dealt, of the sorted grams of dealt bytes and their counts."""
+    out = {}
+    for j in range(dealt - 1, -1, -1):
+        keys, times = known if j == dealt - 1 else _sums(out[j + 1][0] & np.int64((1 << (8 * (j + 1))) - 1), out[j + 1][1])
+        out[j] = keys, times, context(keys, times)
+    return out
+
+
+def ppm_logs(gram: np.ndarray, n: np.ndarray, known: dict, order: int, dealt: int = DEALT) -> np.ndarray:
     """log10 probability of the last byte of each gram.
 
-    gram has all grams whose contexts end in the same two bytes as any of them; pairs: the sorted grams of two bytes
-    of the whole corpus and their counts.
+    gram has all grams whose contexts end in the same `dealt` bytes as any of them; known: shorter() of the whole corpus.
     """
     mask = lambda size: np.int64((1 << (8 * size)) - 1)
     found = n > 0
-    held = {j: _sums(gram[found] & mask(j + 1), n[found]) for j in range(2, order + 1)} | {1: pairs, 0: _sums(pairs[0] & mask(1), pairs[1])}
-    contexts = {}
-    for j, (keys, times) in held.items():
-        c, total = _sums(keys >> 8, times)
-        contexts[j] = c, total, _sums(keys >> 8, np.ones(len(keys), np.int64))[1]
+    own = {j: _sums(gram[found] & mask(j + 1), n[found]) for j in range(dealt, order + 1)}
+    held = own | {j: x[:2] for j, x in known.items()}
+    contexts = {j: context(*x) for j, x in own.items()} | {j: x[2] for j, x in known.items()}
     mass, out, open_ = np.zeros(len(gram)), np.zeros(len(gram)), np.ones(len(gram), bool)
     for j in range(order, -1, -1):
         keys, times = held[j]
@@ -153,23 +179,26 @@ def ppm_logs(gram: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarra
             out[own] = mass[own] + np.log10(times[at[own]] / (left[own] + escape[own]))
         mass[away] += np.log10(escape[away] / (left[away] + escape[away]))
         open_ &= ~own
-    known = len(held[0][0])
-    out[open_] = mass[open_] - np.log10(max(1, SYMBOLS - known) * max(1, 256 - known))
+    out[open_] = mass[open_] - np.log10(max(1, 256 - len(held[0][0])))
     return out
 
 
 def gram_logs(counts: DataFrame, order: int) -> DataFrame:
     """(gram, n, log) of every row of count_grams()."""
     spark = counts.sparkSession
-    pair = counts.where("n > 0").groupBy((F.col("gram").bitwiseAND(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow().sort_by("pair")  # 65,536 rows at most
-    pairs = spark.sparkContext.broadcast((pair.column("pair").to_numpy(), pair.column("n").to_numpy()))
-    buckets = max(64, 2 * slots(spark))
+    last = lambda c, size: c.bitwiseAND((1 << (8 * size)) - 1)
+    short = counts.where("n > 0").groupBy(last(F.col("gram"), DEALT).alias("short")).agg(F.sum("n").alias("n")).toArrow().sort_by("short")  # 2^24 rows at most
+    sent = spark.sparkContext.broadcast((short.column("short").to_numpy(), short.column("n").to_numpy()))
+    buckets = max(64, 2 * slots(spark), counts.count() // BUCKET)
+    memo: dict = {}  # of each task
 
     def run(table):
+        if not memo:
+            memo.update(shorter(sent.value))
         gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        return pa.table({"gram": gram, "n": n, "log": ppm_logs(gram, n, pairs.value, order)})
+        return pa.table({"gram": gram, "n": n, "log": ppm_logs(gram, n, memo, order)})
 
-    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(buckets)))
+    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64(last(F.shiftright("gram", 8), DEALT)), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(run, "gram long, n long, log double")
 
 
@@ -201,8 +230,8 @@ def count_words(learning: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, order: int = ORDER, head_grams: int = HEAD_GRAMS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    if not 2 <= order <= 6:
-        raise ValueError("order must be from 2 to 6")
+    if not DEALT <= order <= 6:
+        raise ValueError(f"order must be from {DEALT} to 6")
     spark = docs.sparkSession
     rows = _learning(docs, id_col, text_col)
     learning = rows.where("not held_out").select("text")
@@ -223,11 +252,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
         for batch in batches:
             for a, off, data in chunks(batch.column(2)):
                 n = len(off) - 1
-                u, of = np.unique(_grams(off, data, order), return_inverse=True)
-                at, hit = _find(grams, u)
-                points = np.concatenate(([0.0], np.cumsum(np.where(hit, weights[at], 0.0)[of] if len(grams) else np.zeros(len(of)))))
-                late = np.flatnonzero(~hit[of])  # grams beyond the head: their probabilities are joined
-                late_lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(late, off).astype(np.int32)), pa.array(u[of[late]]))
+                points, late, late_ends = np.zeros(n), [], np.zeros(n + 1, np.int64)
+                for own, g in _gram_runs(off, data, order):
+                    u, of = np.unique(g, return_inverse=True)
+                    at, hit = _find(grams, u)
+                    sums = np.concatenate(([0.0], np.cumsum(np.where(hit, weights[at], 0.0)[of] if len(grams) else np.zeros(len(of)))))
+                    points += sums[own[1:]] - sums[own[:-1]]
+                    beyond = np.flatnonzero(~hit[of])  # grams beyond the head: their probabilities are joined
+                    late.append(u[of[beyond]])
+                    late_ends += np.searchsorted(beyond, own)  # pieces are those of one row
+                late_lists = pa.ListArray.from_arrays(pa.array(late_ends.astype(np.int32)), pa.array(np.concatenate(late)))
                 hashes, first = word_hashes(off, data)
                 ends = np.append(first[1:], 0)[:n]
                 w = np.insert(hashes, ends, _END).view(np.int64)  # each text's end token after its words
@@ -247,7 +281,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
                 flat = np.concatenate(asked) if more else np.empty(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in asked]))).astype(np.int32)), pa.array(flat))
                 yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(tokens), pa.array(seen), pa.array(sums), pa.array(points[off[1:]] - points[off[:-1]]), lists, late_lists],
+                    [part.column(0), part.column(1), pa.array(tokens), pa.array(seen), pa.array(sums), pa.array(points), lists, late_lists],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "asked", "late"],
                 )
 
@@ -267,4 +301,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every document of documents."""
-    return score(load(spark, sf_dir, "documents"), order=QUERY_ORDER)
+    return score(load(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from lorebase.llm import lm_scoring
 
@@ -15,38 +16,6 @@ def words(text):
     return re.findall("[^\x20\x09-\x0d]+", low)
 
 
-def plain_ppm(train, texts, symbols=64, order=3):
-    low = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
-    freq = Counter(b for t in train for b in low(t))
-    table = {b: k for k, (b, _) in enumerate(sorted(freq.items(), key=lambda x: (-x[1], x[0]))[: symbols - 1])}
-    sym = lambda b: table.get(b, symbols - 1)
-    others = 256 - len(table)
-    trie = defaultdict(Counter)
-    run = lambda t: [sym(10)] * order + [sym(b) for b in low(t)]
-    for t in train:
-        s = run(t)
-        for i in range(order, len(s)):
-            for k in range(order + 1):
-                trie[tuple(s[i - k : i])][s[i]] += 1
-
-    def p(ctx, x):
-        out, mass = set(), 1.0
-        for k in range(order, -1, -1):
-            seen = {y: n for y, n in trie.get(tuple(ctx[len(ctx) - k :]), {}).items() if y not in out}
-            if not seen:
-                continue
-            n, d = sum(seen.values()), len(seen) if len(out) + len(seen) < symbols else 0
-            if x in seen:
-                return mass * seen[x] / (n + d)
-            mass *= d / (n + d)
-            out |= set(seen)
-        return mass / (symbols - len(out))
-
-    for t in texts:
-        s = run(t)
-        yield sum(math.log10(p(s[i - order : i], s[i])) - (math.log10(others) if s[i] == symbols - 1 else 0) for i in range(order, len(s)))
-
-
 @pytest.mark.parametrize("head", [0, 3, 1 << 18])
 def test_scores_equal_a_plain_model(spark, head):
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens long").repartition(3)
@@ -56,18 +25,18 @@ def test_scores_equal_a_plain_model(spark, head):
     train = [t for i, t in enumerate(TEXTS) if not held[i]]
     c = Counter(w for t in train for w in [*words(t), None])
     n, v = sum(c.values()), len(c)
-    for (i, t), ppm in zip(enumerate(TEXTS), plain_ppm(train, TEXTS), strict=True):
+    for (i, t), ppm in zip(enumerate(TEXTS), byte_trie(train, TEXTS, lm_scoring.ORDER), strict=True):
         tokens = [*words(t), None]
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(tokens), sum(c[w] > 0 for w in tokens), n)
         assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), abs=1e-9)
-        assert got[i].score == pytest.approx(ppm, abs=1e-4)
+        assert got[i].score == pytest.approx(ppm, abs=1e-6)
 
 
 def test_nothing_to_learn_from(spark):
     assert lm_scoring.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     (r,) = lm_scoring.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
-    assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and r.score < 0
+    assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and r.score == pytest.approx(3 * math.log10(1 / 256))
 
 
 def byte_trie(train, texts, order):
@@ -105,3 +74,30 @@ def test_contexts_of_all_bytes_grow_with_the_corpus(spark, order, head_grams):
     got = {r.doc_id: r.score for r in lm_scoring.score(docs, order=order, head_grams=head_grams).collect()}
     for i, expected in enumerate(byte_trie(train, texts, order)):
         assert got[i] == pytest.approx(expected, abs=1e-6)
+
+
+def test_a_gram_has_its_probability_whatever_the_pieces(spark, monkeypatch):
+    texts = ["ab cd " * 50 + "x" * 90 + " end", "x" * 200, "short", None, "ab cx"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 1}
+    expected = list(byte_trie([t for i, t in enumerate(texts) if i not in held], texts, 5))
+    got = []
+    for piece, head in ((7, 3), (1 << 20, 0)):
+        monkeypatch.setattr(lm_scoring, "CHUNK", piece)
+        monkeypatch.setattr(lm_scoring.chunks, "__defaults__", (piece,))
+        got.append({r.doc_id: (r.score, r.base_score) for r in lm_scoring.score(docs, head=head, head_grams=head * 5).collect()})
+    assert all(got[0][i] == pytest.approx(got[1][i], abs=1e-9) and got[0][i][0] == pytest.approx(expected[i], abs=1e-6) for i in range(len(texts)))
+
+
+def test_probabilities_of_all_bytes_after_a_context_sum_to_one():
+    rng = np.random.default_rng(2)
+    g = rng.integers(97, 102, (400, 6))
+    grams = (g.astype(np.int64) * (1 << (8 * np.arange(5, -1, -1)))).sum(axis=1)
+    keys, n = lm_scoring._sums(grams, np.ones(len(grams), np.int64))
+    known = lm_scoring.shorter(lm_scoring._sums(keys & 0xFFFFFF, n))
+    for context in (int(keys[3]) >> 8, 0x6162636465, 0x7A7A7A6162):
+        asked = (context << 8) + np.arange(256)
+        new = np.setdiff1d(asked, keys)
+        both, counts = np.concatenate([keys, new]), np.concatenate([n, np.zeros(len(new), np.int64)])
+        logs = lm_scoring.ppm_logs(both, counts, known, 5)
+        assert (10 ** logs[np.isin(both, asked)]).sum() == pytest.approx(1)
