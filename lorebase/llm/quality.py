@@ -3,9 +3,9 @@
 Line frequency: a line is normalised (A-Z lower-cased, runs of digits as one 0, words joined by single blanks) and
 hashed. For each host (here: source) and line the distinct texts that hold it are counted; exact copies are one text.
 In a line held by more than LINE_LIMIT texts of a host all but the one with the least digest lose it, so a group of
-copies keeps one whole member. cleaned() returns the texts without these lines. A text that loses more than LOST_PERCENT of its words is depleted and rejected, as are
-texts of fewer than MIN_WORDS words and texts of which more than REPEAT_PERCENT of the words lie in repeated 8-word
-windows.
+copies keeps one whole member. cleaned() returns the texts without these lines. A text that loses more than
+LOST_PERCENT of its words is depleted and rejected, as are texts of fewer than MIN_WORDS words and texts of which more
+than REPEAT_PERCENT of the words lie in repeated 8-word windows.
 
 Scale: lines are counted by (host, text, line) and then by (host, line), both with partial sums, so no host and no
 line gathers in a task; lines above the limit are joined back by (host, line). judge() never shuffles texts: their
@@ -62,6 +62,11 @@ def with_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.drop("_words", "_lines", "_one", "_two", "_four", "_eight", "_sorted", "_at")
 
 
+def _host(c: str):
+    """A host's key: "=" and its value, or "" for null, so that a null source is a host of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
 def _line(own):
     """The hash of a line's normalised words."""
     return F.xxhash64(F.regexp_replace(ascii_lower(F.array_join(own, " ")), "[0-9]+", "0"))
@@ -70,7 +75,7 @@ def _line(own):
 def lost_lines(docs: DataFrame, host_col: str, text_col: str, line_limit: int, lost_percent: int) -> DataFrame:
     """(_host, _digest, gone, lines) of the texts that lose lines above the limit: the lines' hashes, and whether these
     are more than lost_percent of the text's words."""
-    rows = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.md5(F.col(text_col)).alias("_digest"), F.explode(F.split(text_col, "\n")).alias("line"))
+    rows = docs.select(_host(host_col).alias("_host"), F.md5(F.col(text_col)).alias("_digest"), F.explode(F.split(text_col, "\n")).alias("line"))
     own = words(F.col("line"))
     rows = rows.select("_host", "_digest", own.alias("own")).where(F.size("own") > 0)
     rows = rows.select("_host", "_digest", _line(F.col("own")).alias("line"), F.size("own").alias("n"))
@@ -85,7 +90,7 @@ def lost_lines(docs: DataFrame, host_col: str, text_col: str, line_limit: int, l
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, lost_percent: int = LOST_PERCENT) -> DataFrame:
     """(id_col, the five counts, base_failed, kept) of every row."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_source"))
-    counted = with_counts(rows, "_text").withColumns({"_host": F.coalesce("_source", F.lit("")), "_digest": F.md5("_text")}).drop("_text", "_source")
+    counted = with_counts(rows, "_text").withColumns({"_host": _host("_source"), "_digest": F.md5("_text")}).drop("_text", "_source")
     gone = lost_lines(rows, "_source", "_text", line_limit, lost_percent).where("gone").drop("lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return (
@@ -96,7 +101,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def cleaned(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, lost_percent: int = LOST_PERCENT) -> DataFrame:
     """The rows of docs that judge() keeps, with all of their columns and without the lines that their texts lose."""
-    keys = {"_host": F.coalesce("_source", F.lit("")), "_digest": F.coalesce(F.md5("_text"), F.lit(""))}
+    keys = {"_host": _host("_source"), "_digest": F.coalesce(F.md5("_text"), F.lit(""))}
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_source"))
     fine = (F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= REPEAT_PERCENT * F.col("n_words"))
     # written before it is filtered: a filter would be pushed below the counts and work them out many times over
@@ -115,7 +120,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 l AS (SELECT i, host, text, u.x AS line, list_filter(regexp_split_to_array(u.x, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS own FROM d, unnest(string_split(t, chr(10))) AS u(x)),
 dup AS (SELECT i, count(*) - count(DISTINCT line) AS n FROM l WHERE len(own) > 0 GROUP BY i),
 g AS (SELECT i, k, array_to_string(w[k : k + {WINDOW - 1}], ' ') AS g FROM d, unnest(range(1, len(w) - {WINDOW - 2})) AS r(k)),

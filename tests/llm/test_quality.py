@@ -51,3 +51,23 @@ def test_kept_texts_lose_the_lines_above_the_limit(spark):
     assert set(got) == set(whole) and all(got[100 + i] == whole[100 + i] for i in range(20))
     assert sum(got[i] == whole[i] for i in range(25)) == 1  # the keeper
     assert all(got[i] in (whole[i], f"{own(i)}\n\n{own(50 + i)}") for i in range(25))
+
+
+def test_a_null_source_is_a_host_of_its_own(spark):
+    spell = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    line = lambda i: " ".join(f"w{spell(i)}x{spell(k)}" for k in range(9))
+    shared = " ".join(f"common{spell(k)}" for k in range(60))
+    # 15 texts of no source and 15 of the empty one: neither host has more than LINE_LIMIT
+    rows = [(i, f"{line(i)}\n{shared}", None if i % 2 else "") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(r.kept for r in quality.judge(frame).collect()) and quality.cleaned(frame).count() == 30
+    more = spark.createDataFrame([(100 + i, f"{line(100 + i)}\n{shared}", None) for i in range(10)], frame.schema)
+    kept = {r.doc_id for r in quality.judge(frame.unionByName(more)).collect() if r.kept}
+    assert sum(d % 2 == 1 or d >= 100 for d in kept) == 1 and all(d in kept for d in range(0, 30, 2))
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i}" for i in range(120_000))
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(1, text, "s"), (2, text.replace(" ", "\n"), "s"), (3, "same words " * 60_000, "s")], "doc_id long, text string, source string")).collect()}
+    assert (rows[1].n_words, rows[1].n_repeat_words, rows[1].kept) == (120_000, 0, True) and (rows[2].n_dup_lines, rows[2].kept) == (0, True)
+    assert (rows[3].n_repeat_words, rows[3].base_failed, rows[3].kept) == (120_000, True, False)
