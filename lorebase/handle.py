@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import threading
 import time
+from concurrent.futures import Future
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .errors import ConceptError
 from .functions import paths
@@ -29,7 +33,8 @@ class ConceptSearch:
     """A mutable view over immutable tables: a base index, removed identities and a small set of new documents.
 
     Every answer is a DataFrame or plain values; none aliases the handle's state. A failure while a change is applied
-    poisons the handle; errors of options, queries and preparation do not.
+    poisons the handle; errors of options, queries and preparation do not. open_concepts(), create_search() and
+    from_prepared() store the tables first, in the shared folder, so that searches look up what is there.
     """
 
     def __init__(self, index: Index):
@@ -82,7 +87,7 @@ class ConceptSearch:
         self._usable()
         documents = self._index.documents
         out = {"documents": stats.totals(documents).first().asDict(), "types": [r.asDict() for r in stats.types(documents).collect()], "statuses": stats.statuses(documents).first().asDict(), "trust_tiers": stats.trust_tiers(documents).first().asDict()}
-        return out | ({"storage": {"kind": "parquet-index-files", "size_in_bytes": store.size_in_bytes(path)}} if path else {})
+        return out | ({"storage": {"kind": "parquet-index-files", "size_in_bytes": store.size_in_bytes(self._spark, path)}} if path else {})
 
     def list_types(self) -> list[str]:
         """The document types, sorted."""
@@ -94,33 +99,51 @@ class ConceptSearch:
 
     # changes
 
-    def _owner(self, identity: str) -> bool:
-        if identity in self._new:
-            return True
-        return identity not in self._gone and not self._base.documents.where(F.col("document_id") == identity).limit(1).isEmpty()
-
-    def _apply(self, path: str, gone: set[str], new: dict) -> None:
+    def _rows(self, rows: list[dict], schema: str) -> DataFrame:
+        """Few rows as a part of the plan itself."""
+        kind = StructType.fromDDL(schema)
+        return self._spark.createDataFrame(pa.Table.from_pylist([{f.name: r.get(f.name) for f in kind.fields} for r in rows], to_arrow_schema(kind)), kind)
+
+    def _conflict(self, made: list[dict]) -> None:
+        """Raises ERR_FIELD if a new document's path or section is another document's."""
+        owners = {one["document_id"]: one["path"] for one in made}
+        owned = {s["section_id"]: one["document_id"] for one in made for s in one["sections"]}
+        identity, path = F.col("document_id"), F.col("path")
+        placed = self._index.documents.where(identity.isin(list(owners)) | path.isin(list(owners.values()))).select(identity, path)
+        for r in placed.collect():  # two rows for each new document at most
+            if owners.get(r.document_id, r.path) != r.path or (r.path in owners.values() and r.document_id not in owners):
+                raise ConceptError("ERR_FIELD", r.path, "path")
+        for r in self._index.sections.where(F.col("section_id").isin(list(owned))).select("section_id", "document_id").collect():
+            if r.document_id != owned[r.section_id]:
+                raise ConceptError("ERR_FIELD", owners[owned[r.section_id]], "sections")
+
+    def _apply(self, path: str, gone: set[str], new: dict, changed: set[str]) -> None:
         try:
-            removed = self._spark.createDataFrame([(i,) for i in sorted(gone)], "document_id string")
             names = self._base.documents.columns
-            documents = self._spark.createDataFrame([d for d, _ in new.values()], DOCUMENT).select(names)
-            sections = self._spark.createDataFrame([s for _, rows in new.values() for s in rows], indexing.SECTION)
-            # changes are few (MERGE_AFTER at most), so both sides of the patch are small
-            self._index = indexing.patched(self._base, F.broadcast(removed), documents, sections)
+            documents = self._rows([d for d, _ in new.values()], DOCUMENT).select(names)
+            sections = self._rows([s for _, rows in new.values() for s in rows], indexing.SECTION)
+            index = indexing.patched(self._base, sorted(gone), documents, sections) if gone or new else self._base
+            # what is there now must be what the changes say, before anything is answered from it
+            found = index.sections.where(F.col("document_id").isin(sorted(changed))).groupBy("document_id").count().collect()
+            if {r[0]: r[1] for r in found} != {i: len(new[i][1]) for i in changed if i in new}:
+                raise RuntimeError("the sections of a changed document are not those that it was given")
         except Exception as e:
             self._failed = path
             raise ConceptError("ERR_INDEX_UNUSABLE", path) from e
-        self._gone, self._new = gone, new
+        self._index, self._gone, self._new = index, gone, new
         if len(gone) + len(new) > MERGE_AFTER:
             self.merge()
 
     def merge(self) -> None:
-        """Writes base and changes as one new base to the shared checkpoint folder."""
+        """Stores base and changes as one new base in the shared folder."""
         with self._lock:
             self._usable()
-            documents, sections = shared.cut(self._index.documents), shared.cut(self._index.sections)
-            self._base = self._index = indexing.build(documents, sections)
-            self._gone, self._new = set(), {}
+            try:
+                self._base = self._index = store.stored(self._index)
+                self._gone, self._new = set(), {}
+            except Exception as e:
+                self._failed = "<index>"
+                raise ConceptError("ERR_INDEX_UNUSABLE", "<index>") from e
 
     def ingest(self, path: str, markdown: str) -> dict:
         """Adds or replaces one document; its typed fields if strict, its diagnostics if degraded."""
@@ -135,58 +158,74 @@ class ConceptSearch:
                 d = one["diagnostics"][0]
                 raise ConceptError(d["code"], one["path"], d["field"])
             made.append(one)
+        self._add(made)
+        return [_view(one) for one in made]
+
+    def _add(self, made: list[dict]) -> None:
         with self._lock:
+            self._conflict(made)
             gone, new = set(self._gone), dict(self._new)
             for one in made:
                 identity = one["document_id"]
                 gone.add(identity)
                 new[identity] = ({k: one.get(k) for k in DOCUMENT_COLUMNS}, [s | {"document_id": identity} for s in one["sections"]])
-            self._apply(made[-1]["path"], gone, new)
-        return [_view(one) for one in made]
+            self._apply(made[-1]["path"], gone, new, {one["document_id"] for one in made})
 
     def ingest_many(self, documents: DataFrame) -> DataFrame:
         """Adds or replaces every good row of (path, markdown); (path, outcome, errors) of all rows.
 
-        outcome is strict, degraded, rejected (its path) or fatal. Of rows with one identity the greatest text counts.
+        outcome is strict, degraded, rejected (its path) or fatal. Of rows with one identity the last counts: that of the
+        greatest ``version`` if there is such a column, else the last in the order of the frame. Up to MERGE_AFTER
+        documents become changes beside the base, more are merged with it at once.
         """
         self._usable()
-        rows = preparing.normalized(documents)
+        version = F.col("version") if "version" in documents.columns else F.monotonically_increasing_id()
+        rows = shared.cut(documents.select(paths.normalized(F.col("path")).alias("n"), "markdown", version.alias("version")).select("n.path", "markdown", "version", "n.error_path"))
         bad = rows.where("error_path is not null").select(F.col("error_path").alias("path"), F.lit("rejected").alias("outcome"), F.lit(None).cast(f"array<{preparing.DIAGNOSTIC}>").alias("errors"))
-        good = rows.where("error_path is null").groupBy("path").agg(F.max("markdown").alias("markdown"))
+        good = rows.where("error_path is null").groupBy("path").agg(F.max_by("markdown", "version").alias("markdown"))
         prepared = shared.cut(preparing.prepare(good))
-        new_documents, new_sections = preparing.split(prepared)
+        accepted = prepared.where("outcome = 'accepted'")
+        n = accepted.count()
+        if n and n <= MERGE_AFTER:
+            self._add([r.asDict(recursive=True) for r in accepted.select(*DOCUMENT_COLUMNS, "sections").collect()])
+        elif n:
+            self._replace(*preparing.split(prepared))
+        outcome = prepared.select("path", F.coalesce("conformance", F.lit("fatal")).alias("outcome"), F.col("diagnostics").alias("errors"))
+        return outcome.unionByName(bad)
+
+    def _replace(self, documents: DataFrame, sections: DataFrame) -> None:
+        """Stores a new base in which these documents stand for those of their ids."""
         with self._lock:
             try:
-                columns = self._index.documents.columns
-                gone = new_documents.select("document_id")
-                merged = self._index.documents.join(gone, "document_id", "left_anti").unionByName(new_documents.select(columns))
-                sections = self._index.sections.join(gone, "document_id", "left_anti").unionByName(new_sections)
-                self._base = self._index = indexing.build(shared.cut(merged), shared.cut(sections))
+                old, new = self._index, indexing.build(documents, sections)
+                gone = documents.select("document_id")
+                kept = lambda frame: frame.join(gone, "document_id", "left_anti")
+                merged = {name: kept(getattr(old, name)).select(getattr(old, name).columns).unionByName(getattr(new, name).select(getattr(old, name).columns)) for name in ("documents", "sections", "postings")}
+                self._base = self._index = store.stored(Index(**merged, term_stats=old.term_stats, field_stats=old.field_stats))
                 self._gone, self._new = set(), {}
             except Exception as e:
                 self._failed = "<index>"
                 raise ConceptError("ERR_INDEX_UNUSABLE", "<index>") from e
-        outcome = prepared.select("path", F.coalesce("conformance", F.lit("fatal")).alias("outcome"), F.col("diagnostics").alias("errors"))
-        return outcome.unionByName(bad)
 
     def remove(self, path: str) -> bool:
         """Whether a document was there to be removed."""
+        return bool(self.remove_many([path]))
+
+    def remove_many(self, given: list[str]) -> list[str]:
+        """Removes the documents of these paths at once; the normalised paths of those that were there."""
         self._usable()
-        kept = paths.normalize(path)
-        identity = paths.document_id(kept)
+        kept = {paths.document_id(p): p for p in map(paths.normalize, given)}
         with self._lock:
-            if not self._owner(identity):
-                return False
-            new = {k: v for k, v in self._new.items() if k != identity}
-            self._apply(kept, self._gone | {identity}, new)
-        return True
+            there = {r[0] for r in self._index.documents.where(F.col("document_id").isin(list(kept))).select("document_id").collect()} if kept else set()
+            if there:
+                self._apply(kept[min(there)], self._gone | there, {k: v for k, v in self._new.items() if k not in there}, there)
+        return sorted(kept[i] for i in there)
 
     def save(self, path: str) -> None:
         """The index as it is now, as a new generation at path."""
         self._usable()
         with self._lock:
-            index = self._index
-        store.save(index, path)
+            store.save(self._index, path)
 
 
 DOCUMENT_COLUMNS = ("document_id", "path", "type", "title", "tags", "status", "trust_tier", "stale_after_epoch", "staleness_classified", "conformance", "resource", "description", "source_text", "diagnostics")
@@ -203,23 +242,22 @@ def from_prepared(documents: DataFrame, sections: DataFrame) -> ConceptSearch:
     wrong = indexing.violations(documents, sections).orderBy("key", "rule").limit(1).collect()
     if wrong:
         raise ConceptError("ERR_FIELD", wrong[0].key or "<input>", wrong[0].rule)
-    return ConceptSearch(indexing.build(documents, sections))
+    return ConceptSearch(store.stored(indexing.build(documents, sections), rebuild=True))
 
 
 def create_search(raw: DataFrame) -> ConceptSearch:
     """A handle over rows of (path, markdown); raises the first failure in path order."""
     rows = preparing.normalized(raw)
-    prepared = preparing.prepare(rows.where("error_path is null")).persist()
+    prepared = shared.cut(preparing.prepare(rows.where("error_path is null")))
     failure = preparing.first_failure(rows, prepared)
     if failure:
-        prepared.unpersist()
         raise failure
-    return ConceptSearch(indexing.build(*preparing.split(prepared)))
+    return ConceptSearch(store.stored(indexing.build(*preparing.split(prepared)), rebuild=True))
 
 
 def open_concepts(spark: SparkSession, root: str, cache_path: str | None = None) -> ConceptSearch:
     """A handle over a folder of concepts; a cache that exists is used instead of the folder, one that doesn't is made."""
-    if cache_path and store.exists(cache_path):
+    if cache_path and store.exists(spark, cache_path):
         return ConceptSearch(store.load(spark, cache_path))
     found = create_search(sources.directory(spark, root))
     if cache_path:
@@ -228,26 +266,47 @@ def open_concepts(spark: SparkSession, root: str, cache_path: str | None = None)
 
 
 class Snapshots:
-    """A handle that is built once, on first use, and replaced by refresh(); a failed refresh keeps the old one."""
+    """A handle that is built once, on first use, and replaced by refresh(); a failed refresh keeps the old one.
+
+    Callers that come while a handle is built wait for that one build; each can give up waiting by its own timeout
+    (TimeoutError), which neither stops the build nor the others.
+    """
 
-    def __init__(self, build):
-        self._build, self._lock, self._ready, self._at = build, threading.Lock(), None, 0.0
+    def __init__(self, build, root: str | None = None):
+        self._build, self._root = build, root
+        self._lock, self._ready, self._at, self._building = threading.Lock(), None, 0.0, None
 
-    def get(self) -> ConceptSearch:
-        """The current handle; callers that come while it is built wait for that one build."""
+    def _made(self, timeout: float | None) -> ConceptSearch:
         with self._lock:
-            if self._ready is None:
-                self._ready, self._at = self._build(), time.time()
-            return self._ready
+            running = self._building
+            if running is None:
+                running = self._building = Future()
+                threading.Thread(target=self._run, args=(running,), daemon=True).start()
+        return running.result(timeout)
 
-    def refresh(self) -> ConceptSearch:
-        """A new handle in place of the old."""
-        made = self._build()
+    def _run(self, running: Future) -> None:
+        try:
+            made, failure = self._build(), None
+        except BaseException as e:
+            made, failure = None, e
         with self._lock:
-            self._ready, self._at = made, time.time()
-        return made
+            self._building = None
+            if failure is None:
+                self._ready, self._at = made, time.time()
+        if failure is None:
+            running.set_result(made)
+        else:
+            running.set_exception(failure)
+
+    def get(self, timeout: float | None = None) -> ConceptSearch:
+        """The current handle, built if there is none."""
+        return self._ready or self._made(timeout)
+
+    def refresh(self, timeout: float | None = None) -> ConceptSearch:
+        """A new handle in place of the old; one build serves all who ask while it runs."""
+        return self._made(timeout)
 
     def status(self) -> dict:
-        """Types, degraded documents and age in seconds of the current handle."""
+        """Root, types, degraded documents and age in seconds of the current handle."""
         found = self.get()
-        return {"types": found.list_types(), "degraded": len(found.list_degraded()), "age_seconds": time.time() - self._at}
+        return {"root": self._root, "types": found.list_types(), "degraded": len(found.list_degraded()), "age_seconds": time.time() - self._at}

@@ -1,12 +1,15 @@
 """The index: documents, sections, postings and corpus statistics as five frames.
 
-A posting repeats its document's fields in every section, as the ranking unit is the section. Postings are sorted by
-(field, term) when stored, so that a lookup prunes row groups.
+A posting repeats its document's fields in every section, as the ranking unit is the section, and tells whether its
+document is strict, so that ranking needs no other table. Stored postings and term statistics are sorted by term,
+sections and documents by id; searches state the terms and ids that they look up as literals, so that scans skip the row
+groups without them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,11 @@ DOCUMENT = ("document_id string, path string, type string, title string, tags ar
 SECTION = "section_id string, document_id string, heading_path string, text string, start_line int, end_line int"
 
 
+TABLES = ("documents", "sections", "postings", "term_stats", "field_stats")
+#: What the rows of a stored table are sorted by; each file has a range of it.
+SORTED = {"documents": ("document_id",), "sections": ("section_id",), "postings": ("term", "field"), "term_stats": ("term", "field")}
+
+
 @dataclass(frozen=True)
 class Index:
     """documents and sections, and what is derived from them."""
@@ -28,31 +36,40 @@ class Index:
     term_stats: DataFrame
     field_stats: DataFrame
 
+    @cached_property
+    def averages(self) -> dict[str, tuple[int, float]]:
+        """(number of section records, mean number of terms) of each field; read once."""
+        return {r.field: (r.n_docs, r.avg_dl) for r in self.field_stats.collect()}  # eight rows
+
+    def frames(self) -> dict[str, DataFrame]:
+        """The five frames by name."""
+        return {name: getattr(self, name) for name in TABLES}
+
     def cached(self) -> Index:
         """This index with its frames kept by Spark."""
-        return replace(self, **{k: v.persist() for k, v in vars(self).items()})
+        return replace(self, **{k: v.persist() for k, v in self.frames().items()})
 
     def release(self) -> None:
-        for frame in vars(self).values():
+        for frame in self.frames().values():
             frame.unpersist()
 
 
 def field_lengths(documents: DataFrame, sections: DataFrame) -> DataFrame:
-    """(section_id, document_id, field, tokens): the analysed terms of the eight fields of each section."""
+    """(section_id, document_id, strict, field, tokens): the analysed terms of the eight fields of each section."""
     wide = sections.select("section_id", "document_id", F.col("heading_path"), F.col("text")).join(
-        documents.select("document_id", "title", "type", F.array_join("tags", "\n").alias("tags"), "resource", "description", "source_text"), "document_id"
+        documents.select("document_id", (F.col("conformance") == "strict").alias("strict"), "title", "type", F.array_join("tags", "\n").alias("tags"), "resource", "description", "source_text"), "document_id"
     )
     columns = {"title": "title", "type": "type", "tags": "tags", "resource": "resource", "heading": "heading_path", "description": "description", "sources": "source_text", "body": "text"}
     fields = F.array(*[F.struct(F.lit(name).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("value")) for name, c in columns.items()])
-    rows = wide.select("section_id", "document_id", F.explode(fields).alias("f"))
-    return rows.select("section_id", "document_id", "f.field", tokenized(F.col("f.value")).alias("tokens"))
+    rows = wide.select("section_id", "document_id", "strict", F.explode(fields).alias("f"))
+    return rows.select("section_id", "document_id", "strict", "f.field", tokenized(F.col("f.value")).alias("tokens"))
 
 
 def build(documents: DataFrame, sections: DataFrame) -> Index:
     """An index over documents and sections; statistics cover every section record."""
     lengths = field_lengths(documents, sections)
-    terms = lengths.select("section_id", "document_id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = terms.groupBy("field", "term", "section_id", "document_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    terms = lengths.select("section_id", "document_id", "strict", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    postings = terms.groupBy("field", "term", "section_id", "document_id", "strict", "dl").agg(F.count(F.lit(1)).alias("tf"))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl"))
     return Index(documents, sections, postings, term_stats, field_stats)
@@ -85,21 +102,20 @@ def violations(documents: DataFrame, sections: DataFrame) -> DataFrame:
     return found
 
 
-def patched(base: Index, gone: DataFrame, documents: DataFrame, sections: DataFrame) -> Index:
-    """base without the documents in gone (document_id), with new documents and sections.
+def patched(base: Index, gone: list[str], documents: DataFrame, sections: DataFrame) -> Index:
+    """base without the documents of the ids in gone, with new documents and sections.
 
-    Statistics are those of a fresh build: what the removed postings counted is subtracted, what is new is added.
+    Statistics are those of a fresh build: what the removed documents' records counted is worked out from these records
+    alone and subtracted, what is new is added.
     """
+    names = base.documents.columns
+    kept = lambda frame: frame.where(~F.col("document_id").isin(gone)) if gone else frame
+    lost = build(base.documents.where(F.col("document_id").isin(gone)), base.sections.where(F.col("document_id").isin(gone)))
     new = build(documents, sections)
-    kept = lambda frame: frame.join(gone, "document_id", "left_anti")
-    lost = base.postings.join(gone, "document_id", "left_semi")
     change = lambda frame, sign: frame.groupBy("field", "term").agg((sign * F.count(F.lit(1))).alias("df"))
-    term_stats = base.term_stats.unionByName(change(lost, -1)).unionByName(change(new.postings, 1)).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
-    sizes = lambda frame, sign: frame.groupBy("field").agg((sign * F.sum("tf")).alias("total"))
-    totals = base.field_stats.select("field", F.round(F.col("avg_dl") * F.col("n_docs")).cast("long").alias("total")).unionByName(sizes(lost, -1)).unionByName(sizes(new.postings, 1)).groupBy("field").agg(F.sum("total").alias("total"))
-    records = kept(base.sections).unionByName(sections)
-    every = records.agg(F.count(F.lit(1)).alias("n_docs")).select("n_docs", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
-    columns = base.documents.columns
-    known = totals.join(F.broadcast(every), "field", "right")  # eight rows
-    field_stats = known.where("n_docs > 0").select("field", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_dl"))
-    return Index(kept(base.documents).unionByName(documents.select(columns)), records, kept(base.postings).unionByName(new.postings), term_stats, field_stats)
+    term_stats = base.term_stats.unionByName(change(lost.postings, -1)).unionByName(change(new.postings, 1)).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    total = F.round(F.col("avg_dl") * F.col("n_docs")).cast("long")
+    sums = lambda frame, sign: frame.select("field", (sign * F.col("n_docs")).alias("n_docs"), (sign * total).alias("total"))
+    totals = sums(base.field_stats, 1).unionByName(sums(lost.field_stats, -1)).unionByName(sums(new.field_stats, 1)).groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total"))
+    field_stats = totals.where("n_docs > 0").select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_dl"))
+    return Index(kept(base.documents).unionByName(documents.select(names)), kept(base.sections).unionByName(sections), kept(base.postings).unionByName(new.postings), term_stats, field_stats)

@@ -1,13 +1,19 @@
-"""Ranked search as one plan for any number of queries.
-
-Query terms are expanded against the dictionary (exact, prefix, fuzzy), joined to postings, and scored: of a term's
-alternatives in a field the best counts, fields and terms add up. Contributions are decimals, so sums do not depend on
-order. The best section of each document is ranked by score, conformance and section id.
+"""Ranked search of any number of queries at once.
+
+First the dictionary is asked: the query terms' prefix and fuzzy alternatives and their document frequencies. Up to
+EXPANSIONS of them come to the driver and go into the second plan as literals, so the scan of the postings skips the row
+groups without these terms; more are joined. There of a term's alternatives in a field the best counts, fields and terms
+add up. Contributions are decimals, so sums do not depend on order. The best section of each document is ranked by score,
+conformance and section id, all after one shuffle by query and document and one of the best of each part by query. At
+last the ranked sections alone, up to FETCHED of them by literal ids, are read for their hits.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +29,11 @@ LOOKBEHIND = 80
 EXACT = "decimal(28,12)"
 #: Rows up to which a table made of query terms is sent to all executors.
 BROADCAST_ROWS = 200_000
+#: Alternatives that the driver takes in, terms and ids that a scan is given as literals, prefixes that are tested one by one.
+EXPANSIONS = 20_000
+LITERALS = 5_000
+FETCHED = 5_000
+PREFIXES = 16
 TERM = "query_id long, pos int, term string, edits int, prefix boolean, n_terms int"
 HIT = "query_id long, rank int, document_id string, title string, section_id string, score double, conformance string, matched_fields array<string>, heading_path string, path string, start_line int, end_line int, snippet string"
 
@@ -52,68 +63,126 @@ def _within(near: DataFrame) -> DataFrame:
     return near.where(apart("term", "index_term", ~F.col("whole")) <= F.col("edits"))
 
 
-def expand(index: Index, terms: DataFrame, count: int, options: Options) -> DataFrame:
-    """(query_id, pos, n_terms, index_term, weight): weight is null for the exact term, else that of the alternative."""
-    terms = small(terms, count)
-    own = terms.select("query_id", "pos", "n_terms", F.col("term").alias("index_term"), F.lit(None).cast("double").alias("weight"))
-    words = index.term_stats.where(F.col("field").isin(list(options.fields))).select(F.col("term").alias("index_term")).distinct()
-    out = own
-    begins = F.col("prefix") if not options.fuzzy_prefix else F.col("prefix") & (F.col("edits") == 0)
-    # prefixes meet on up to three first letters
-    size = F.least(F.length("term"), F.lit(3))
-    asked = terms.where(begins).withColumn("head", F.substring("term", 1, 3))
-    held = words.select("index_term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(min(options.prefix_from, 3)), F.lit(3)), lambda n: F.substring(F.col("index_term"), F.lit(1), n)))).alias("head"))
-    found = held.join(small(asked, count), "head").where(F.col("index_term").startswith(F.col("term")) & (F.length("head") == size))
-    out = out.unionByName(found.select("query_id", "pos", "n_terms", "index_term", F.lit(PREFIX_WEIGHT).alias("weight")).distinct())
-    if options.fuzzy > 0:
+def alternatives(index: Index, rows: list[tuple], options: Options) -> DataFrame | None:
+    """(query_id, pos, n_terms, index_term, weight) of the prefix and fuzzy alternatives in the dictionary; None if no term has any."""
+    spark = index.documents.sparkSession
+    begins = [r for r in rows if r[4] and (not options.fuzzy_prefix or r[3] == 0)]
+    edited = [r for r in rows if r[3] > 0]
+    words = index.term_stats.where(F.col("field").isin(list(options.fields))).select(F.col("term").alias("index_term"))
+    columns = ["query_id", "pos", "n_terms", "index_term"]
+    parts = []
+    if begins:
+        asked = small(spark.createDataFrame(_arrow(begins)), len(begins)).withColumn("head", F.substring("term", 1, 3))
+        held = words
+        if len(begins) <= PREFIXES:  # few prefixes are ranges that a scan of sorted terms can skip to
+            any_ = F.lit(False)
+            for r in begins:
+                any_ = any_ | F.col("index_term").startswith(r[2])
+            held = held.where(any_)
+        # prefixes meet on up to three first letters
+        sizes = F.sequence(F.lit(min(options.prefix_from, 3)), F.lit(3))
+        held = held.distinct().select("index_term", F.explode(F.array_distinct(F.transform(sizes, lambda n: F.substring(F.col("index_term"), F.lit(1), n)))).alias("head"))
+        found = held.join(asked, "head").where(F.col("index_term").startswith(F.col("term")) & (F.length("head") == F.least(F.length("term"), F.lit(3))))
+        parts.append(found.select(*columns, F.lit(PREFIX_WEIGHT).alias("weight")).distinct())
+    if edited:
+        words, terms = words.distinct(), small(spark.createDataFrame(_arrow(edited)), len(edited))
         reach = F.col("edits")
-        near = words.join(terms.where("edits > 0"), (F.abs(F.length("index_term") - F.length("term")) <= reach) & (F.levenshtein("index_term", "term", 4) >= 0) & (F.levenshtein("index_term", "term") <= 2 * reach))
-        whole = _within(near.withColumn("whole", F.lit(True))).select("query_id", "pos", "n_terms", "index_term", F.lit(FUZZY_WEIGHT).alias("weight"))
-        out = out.unionByName(whole)
+        # a transposition is one edit here and two of Levenshtein's
+        near = words.join(terms, (F.abs(F.length("index_term") - F.length("term")) <= reach) & (F.levenshtein("index_term", "term", 4) >= 0) & (F.levenshtein("index_term", "term") <= 2 * reach))
+        parts.append(_within(near.withColumn("whole", F.lit(True))).select(*columns, F.lit(FUZZY_WEIGHT).alias("weight")))
         if options.fuzzy_prefix:
             cut = lambda k: F.levenshtein(F.col("term"), F.substring(F.col("index_term"), F.lit(1), F.greatest(F.length("term") + k, F.lit(0))))
-            begun = words.join(terms.where("edits > 0 and prefix"), (F.length("index_term") >= F.length("term") - reach) & (F.least(*[cut(k) for k in range(-2, 3)]) <= 2 * reach))
-            parts = _within(begun.withColumn("whole", F.lit(False))).select("query_id", "pos", "n_terms", "index_term", F.lit(PREFIX_WEIGHT).alias("weight"))
-            out = out.unionByName(parts)
+            begun = words.join(terms.where("prefix"), (F.length("index_term") >= F.length("term") - reach) & (F.least(*[cut(k) for k in range(-2, 3)]) <= 2 * reach))
+            parts.append(_within(begun.withColumn("whole", F.lit(False))).select(*columns, F.lit(PREFIX_WEIGHT).alias("weight")))
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _arrow(rows: list[tuple]) -> pa.Table:
+    """Rows of TERM as a table that becomes a part of the plan itself."""
+    kinds = {"query_id": pa.int64(), "pos": pa.int32(), "term": pa.string(), "edits": pa.int32(), "prefix": pa.bool_(), "n_terms": pa.int32()}
+    return pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
+
+
+_MET = pa.schema([("query_id", pa.int64()), ("pos", pa.int32()), ("n_terms", pa.int32()), ("index_term", pa.string()), ("weight", pa.float64()), ("df", pa.map_(pa.string(), pa.int64()))])
+
+
+def expand(index: Index, rows: list[tuple], options: Options) -> tuple[DataFrame, int | None, list[str] | None]:
+    """What query terms meet, as (query_id, pos, n_terms, index_term, weight, df), its number of rows and its terms.
+
+    weight is null for the exact term, which has its document frequencies by field; both counts are None if there are
+    more alternatives than EXPANSIONS.
+    """
+    spark = index.documents.sparkSession
+    exact = sorted({r[2] for r in rows})
+    stats = index.term_stats.where(F.col("field").isin(list(options.fields)))
+    asked = stats.where(F.col("term").isin(exact)) if len(exact) <= LITERALS else stats.join(F.broadcast(spark.createDataFrame(pa.table({"term": exact}))) if len(exact) <= BROADCAST_ROWS else spark.createDataFrame(pa.table({"term": exact})), "term", "left_semi")
+    asked = asked.select(F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("n_terms"), F.col("term").alias("index_term"), F.lit(None).cast("double").alias("weight"), "field", F.col("df").cast("long").alias("df"))
+    others = alternatives(index, rows, options)
+    if others is not None:
+        # one job brings the frequencies and the alternatives, if these are few
+        some = others.limit(EXPANSIONS + 1).withColumns({"field": F.lit(None).cast("string"), "df": F.lit(None).cast("long")})
+        asked = asked.unionByName(some)
+    found = asked.collect()
+    df: dict[str, list] = {}
+    for r in found:
+        if r.field is not None:
+            df.setdefault(r.index_term, []).append((r.field, r.df))
+    own = [(q, p, n, t, None, df[t]) for q, p, t, _, _, n in rows if t in df]
+    more = [(r.query_id, r.pos, r.n_terms, r.index_term, r.weight, None) for r in found if r.field is None]
+    many = len(more) > EXPANSIONS
+    met = own if many else own + more
+    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*met, strict=True) if met else [[]] * 6, _MET, strict=True)], schema=_MET)
+    frame = spark.createDataFrame(table)
+    if many:
+        return frame.unionByName(others.withColumn("df", F.lit(None).cast("map<string,bigint>"))), None, None
+    return small(frame, len(met)), len(met), sorted({m[3] for m in met})
+
+
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avg: Column) -> Column:
     """Okapi BM25 of one term in one field."""
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avg))
 
 
-def matches(index: Index, terms: DataFrame, count: int, options: Options) -> DataFrame:
-    """(query_id, section_id, document_id, n_terms, pos, field, index_term, gain) of every alternative that applies."""
+def _by_field(values: dict[str, float | int], kind: str) -> Column:
+    """The value of the row's field."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("field")).cast(kind)
+
+
+def matches(index: Index, rows: list[tuple], options: Options) -> DataFrame:
+    """(query_id, section_id, document_id, strict, n_terms, pos, field, index_term, gain) of every alternative that applies."""
+    met, _, terms = expand(index, rows, options)
     postings = index.postings.where(F.col("field").isin(list(options.fields)))
+    if terms is not None and len(terms) <= LITERALS:
+        postings = postings.where(F.col("term").isin(terms))
     where = condition(options)
     if where is not None:
         postings = postings.join(index.documents.where(where).select("document_id"), "document_id", "left_semi")
-    alternatives = expand(index, terms, count, options)
-    met = postings.join(alternatives, postings.term == alternatives.index_term).drop("term")
-    exact = met.where("weight is null").join(F.broadcast(index.field_stats), "field").join(index.term_stats.withColumnRenamed("term", "index_term"), ["field", "index_term"])
-    # field_stats has one row for each of the eight fields
-    scored = exact.withColumn("gain", bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl")))
-    columns = ["query_id", "section_id", "document_id", "n_terms", "pos", "field", "index_term", "gain"]
-    return scored.select(columns).unionByName(met.where("weight is not null").withColumn("gain", F.col("weight")).select(columns))
+    found = postings.join(met, postings.term == met.index_term).drop("term")
+    known = index.averages or {name: (0, math.nan) for name in options.fields}
+    score = bm25(F.col("tf"), F.col("dl"), F.element_at("df", F.col("field")), _by_field({k: n for k, (n, _) in known.items()}, "long"), _by_field({k: float(a) for k, (_, a) in known.items()}, "double"))
+    return found.select("query_id", "section_id", "document_id", "strict", "n_terms", "pos", "field", "index_term", F.coalesce("weight", score).alias("gain"))
 
 
 def scores(found: DataFrame, options: Options) -> DataFrame:
-    """(query_id, section_id, document_id, score, fields) of the sections that match."""
-    boost = F.element_at(F.create_map(*[F.lit(x) for pair in options.boost.items() for x in pair]), F.col("field"))
-    best = found.groupBy("query_id", "section_id", "document_id", "n_terms", "pos", "field").agg(F.max("gain").alias("gain"))
-    total = best.groupBy("query_id", "section_id", "document_id", "n_terms").agg(
-        F.sum((F.col("gain") * boost).cast(EXACT)).cast("decimal(38,12)").alias("score"), F.count_distinct("pos").alias("met"), F.collect_set("field").alias("fields")
+    """(query_id, section_id, document_id, strict, score, fields) of the sections that match."""
+    boost = _by_field(options.boost, "double")
+    # one shuffle serves the sums and the choice of each document's best section
+    met = found.repartition("query_id", "document_id")
+    best = met.groupBy("query_id", "document_id", "section_id", "strict", "n_terms", "pos", "field").agg(F.max("gain").alias("gain"))
+    total = best.groupBy("query_id", "document_id", "section_id", "strict", "n_terms").agg(
+        F.sum((F.col("gain") * boost).cast(EXACT)).cast("decimal(38,12)").alias("score"), F.size(F.collect_set("pos")).alias("met"), F.collect_set("field").alias("fields")
     )
-    return (total.where("met = n_terms") if options.match == "all" else total).select("query_id", "section_id", "document_id", "score", "fields")
+    return (total.where("met = n_terms") if options.match == "all" else total).select("query_id", "section_id", "document_id", "strict", "score", "fields")
 
 
-def ranked(index: Index, scored: DataFrame, options: Options) -> DataFrame:
+def ranked(scored: DataFrame, options: Options) -> DataFrame:
     """The best section of each document, numbered by rank within each query, up to the limit."""
-    order = [F.desc("score"), (F.col("conformance") != "strict").asc(), "section_id"]
-    rows = scored.join(index.documents.select("document_id", "title", "conformance", "path"), "document_id")
-    best = rows.withColumn("of_document", F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(*order))).where("of_document = 1")
+    order = [F.desc("score"), F.desc("strict"), "section_id"]
+    best = scored.withColumn("of_document", F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(*order))).where("of_document = 1")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= options.limit).drop("of_document")
 
 
@@ -149,10 +218,21 @@ def anchor(text: str, terms: list[tuple[str, int, bool]], fuzzy_prefix: bool) ->
     return None
 
 
-def hits(index: Index, best: DataFrame, terms: DataFrame, options: Options) -> DataFrame:
+def hits(index: Index, best: DataFrame, rows: list[tuple], options: Options) -> DataFrame:
     """Rows of HIT for ranked sections; bodies are read and snippets cut for these alone."""
-    asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "edits", "prefix")).alias("asked"))
-    rows = best.join(index.sections.select("section_id", "heading_path", "text", "start_line", "end_line"), "section_id").join(asked, "query_id")
+    spark = index.documents.sparkSession
+    asked: dict[int, list] = {}
+    for query, _, term, reach, prefix, _ in rows:
+        asked.setdefault(query, []).append({"term": term, "edits": reach, "prefix": prefix})
+    sections = index.sections.select("section_id", "heading_path", "text", "start_line", "end_line")
+    documents = index.documents.select("document_id", "title", "path")
+    if options.limit * len(asked) <= FETCHED:
+        table = best.toArrow()  # `limit` rows of each query
+        best = F.broadcast(spark.createDataFrame(table)) if len(table) else spark.createDataFrame([], best.schema)
+        sections = sections.where(F.col("section_id").isin(table.column("section_id").to_pylist()))
+        documents = documents.where(F.col("document_id").isin(sorted(set(table.column("document_id").to_pylist()))))
+    kind = pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("prefix", pa.bool_())]))
+    terms = spark.createDataFrame(pa.table({"query_id": pa.array(list(asked), pa.int64()), "asked": pa.array(list(asked.values()), kind)}))
     body, length, fuzzy_prefix = "body" in options.fields, options.snippet_length, options.fuzzy_prefix
 
     @F.pandas_udf("string")
@@ -160,8 +240,9 @@ def hits(index: Index, best: DataFrame, terms: DataFrame, options: Options) -> D
         return pd.Series([window(t, anchor(t, [(x["term"], x["edits"], x["prefix"]) for x in q], fuzzy_prefix) if body else None, length) for t, q in zip(text, asked, strict=True)], dtype=object)
 
     order = F.array(*map(F.lit, options.fields))
-    return rows.select(
-        "query_id", "rank", "document_id", "title", "section_id", F.round("score", 6).cast("double").alias("score"), "conformance",
+    found = sections.join(best, "section_id").join(documents, "document_id").join(small(terms, len(asked)), "query_id")
+    return found.select(
+        "query_id", "rank", "document_id", "title", "section_id", F.round("score", 6).cast("double").alias("score"), F.when(F.col("strict"), "strict").otherwise("degraded").alias("conformance"),
         F.filter(order, lambda f: F.array_contains("fields", f)).alias("matched_fields"), "heading_path", "path", "start_line", "end_line", snippet("text", "asked").alias("snippet"),
     )
 
@@ -172,5 +253,4 @@ def search_many(index: Index, queries: dict[int, str], options: Options) -> Data
     rows = query_terms(queries, options)
     if not rows or options.limit == 0:
         return spark.createDataFrame([], HIT)
-    terms = spark.createDataFrame(rows, TERM)
-    return hits(index, ranked(index, scores(matches(index, terms, len(rows), options), options), options), terms, options)
+    return hits(index, ranked(scores(matches(index, rows, options), options), options), rows, options)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.options import Options
 from .index import Index
-from .search import TERM, matches, query_terms, scores
+from .search import matches, query_terms, scores
 
 SUGGESTION = "suggestion string, terms array<string>, score double"
 
@@ -18,7 +18,7 @@ def suggest(index: Index, query: str, options: Options) -> DataFrame:
     rows = query_terms({0: query}, options)
     if not rows or options.limit == 0:
         return spark.createDataFrame([], SUGGESTION)
-    found = matches(index, spark.createDataFrame(rows, TERM), len(rows), options)
+    found = matches(index, rows, options)
     scored = scores(found, options)
     # terms of one query position stand in reverse alphabetical order
     words = found.select("section_id", "pos", "index_term").distinct().groupBy("section_id", "pos").agg(F.sort_array(F.collect_set("index_term"), asc=False).alias("words"))

@@ -1,7 +1,7 @@
 """The driver's documents as concepts: a fixed mapping, once as DataFrames and once as DuckDB SQL.
 
 type is lang, tags are source and lang, the title is the first line's first 60 characters; status, staleness and trust
-follow from doc_id and labels. Every tenth line opens a section that is headed by its first five words.
+follow from doc_id and labels. Every tenth line opens a section that is headed by its first five words and holds all ten lines whole.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     heading = F.array_join(F.slice(F.filter(F.split(F.col("own")[0], " "), lambda w: w != ""), 1, 5), " ")
     sections = blocks.select(
         F.concat_ws("#s", "document_id", F.col("s").cast("string")).alias("section_id"), "document_id", heading.alias("heading_path"),
-        F.array_join(F.slice("own", 2, LINES), "\n").alias("text"), (F.col("s") * LINES + 1).alias("start_line"), (F.col("s") * LINES + F.size("own")).alias("end_line"),
+        F.array_join("own", "\n").alias("text"), (F.col("s") * LINES + 1).alias("start_line"), (F.col("s") * LINES + F.size("own")).alias("end_line"),
     )
     return concepts, sections
 
@@ -50,7 +50,7 @@ concepts AS (SELECT document_id, document_id || '.md' AS path, lang AS type, lef
 cut AS (SELECT document_id, s, string_split(text, chr(10))[s * {LINES} + 1 : s * {LINES} + {LINES}] AS own
   FROM docs, unnest(range(0, (len(string_split(text, chr(10))) - 1) // {LINES} + 1)) AS r(s)),
 secs AS (SELECT document_id || '#s' || s AS section_id, document_id, array_to_string(list_filter(string_split(own[1], ' '), lambda w: w <> '')[1:5], ' ') AS heading_path,
-  array_to_string(own[2:], chr(10)) AS text, CAST(s * {LINES} + 1 AS INTEGER) AS start_line, CAST(s * {LINES} + len(own) AS INTEGER) AS end_line FROM cut)"""
+  array_to_string(own, chr(10)) AS text, CAST(s * {LINES} + 1 AS INTEGER) AS start_line, CAST(s * {LINES} + len(own) AS INTEGER) AS end_line FROM cut)"""
 INDEX_SQL = (
     SQL
     + r""",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from .. import handle, tool
 from ..functions import frontmatter, paths
 from ..operators import index as indexing
 from ..operators import prepare, search, stats, suggest
-from ..sources import store
+from ..sources import shared, store
 from . import adapter, options
 
 AS_OF = 1_740_000_000_000
@@ -128,7 +125,7 @@ def _invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(where):
         o = options.validate("q", {"asOf": AS_OF, "where": where})
         rows = search.query_terms({0: "the and"}, o)
-        return search.scores(search.matches(index, spark.createDataFrame(rows, search.TERM), len(rows), o), o).select("document_id", "section_id", "score")
+        return search.scores(search.matches(index, rows, o), o).select("document_id", "section_id", "score")
 
     both = run({"types": ["en"]}).withColumnRenamed("score", "filtered").join(run({}).drop("document_id"), "section_id", "left")
     return both.agg(F.count_distinct("document_id").alias("compared"), F.count_if(~F.col("filtered").eqNullSafe(F.col("score"))).alias("changed"))
@@ -163,7 +160,7 @@ _register("list_types", _documents(lambda d: d.select("type").distinct().orderBy
 _register("list_degraded", _documents(stats.degraded), _C + "SELECT document_id, path FROM concepts WHERE conformance = 'degraded'")
 
 _I = f"WITH {adapter.INDEX_SQL} "
-_register("postings", lambda s, d: _index(s, d).postings, _I + "SELECT field, term, section_id, document_id, CAST(dl AS INTEGER) AS dl, tf FROM postings")
+_register("postings", lambda s, d: _index(s, d).postings.drop("strict"), _I + "SELECT field, term, section_id, document_id, CAST(dl AS INTEGER) AS dl, tf FROM postings")
 _register("postings_df", lambda s, d: _index(s, d).term_stats, _I + "SELECT field, term, df FROM term_stats")
 _register("field_stats", lambda s, d: _index(s, d).field_stats.withColumn("avg_dl", F.round("avg_dl", 6)), _I + "SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM field_stats")
 _register("index_violations", lambda s, d: indexing.violations(*adapter.tables(s, d)).groupBy("rule").count(), _C + "SELECT 'strict but unclassified' AS rule, count(*) AS count FROM concepts WHERE false GROUP BY 1")
@@ -297,7 +294,7 @@ _register("remove_document", _removed, _C + "SELECT document_id, path FROM conce
 
 
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = os.path.join(tempfile.mkdtemp(prefix="lorebase-"), "cache")
+    at = shared.folder(spark)
     handle.ConceptSearch(_index(spark, sf_dir)).save(at)
     o = options.validate("q", {"asOf": AS_OF})
     return _flat(search.search_many(store.load(spark, at), {0: "the lichen pour"}, o))

@@ -1,121 +1,244 @@
-"""Saved indexes: one generation folder of Parquet tables per save, a checked manifest, an atomic pointer.
+"""Stored indexes: Parquet tables sorted for lookups, and saved generations of them with a checked manifest.
 
 A cache is a folder with ``current`` (the name of a generation) and generations. A writer holds a sibling lock; a new
-generation is complete before the pointer moves, so a failed save leaves the old one in force.
+generation is complete before the pointer moves, so a failed save leaves the old one in force. All files are reached
+through Hadoop's file systems, so a cache can be anywhere that Spark writes; checksums are worked out by the executors.
 """
 
 from __future__ import annotations
 
-import fcntl
-import hashlib
 import json
 import os
-import shutil
-import tempfile
+import re
+import time
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConceptError
 from ..operators import index as indexing
-from ..operators.index import Index
+from ..operators.index import TABLES, Index
+from . import shared
 
 #: What a reader must agree on: layout, analysis and preparation revisions.
-REVISIONS = {"format": 1, "analysis": 1, "preparation": 1}
-TABLES = ("documents", "sections", "postings", "term_stats", "field_stats")
+REVISIONS = {"format": 2, "analysis": 1, "preparation": 1}
+#: Seconds after which a lock is taken to be left behind by a writer that is gone.
+STALE_LOCK = 6 * 3600
+MOST_MANIFEST = 1 << 26
+#: The columns that each table must have.
+SCHEMAS = {
+    "documents": indexing.DOCUMENT, "sections": indexing.SECTION, "postings": "field string, term string, section_id string, document_id string, strict boolean, dl int, tf long",
+    "term_stats": "field string, term string, df long", "field_stats": "field string, n_docs long, avg_dl double",
+}
+
+
+class Place:
+    """A path in any file system that Hadoop knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.text = spark, path
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        at = self._jvm.org.apache.hadoop.fs.Path(path if "://" in path or path.startswith("file:") else os.path.abspath(path) if not path.startswith("/") else path)
+        self._fs = at.getFileSystem(self._conf)
+        self._at = self._fs.makeQualified(at)
+        self.url = self._at.toString()
+
+    def of(self, name: str) -> Place:
+        return Place(self.spark, f"{self.url.rstrip('/')}/{name}")
+
+    def sibling(self, name: str) -> Place:
+        return Place(self.spark, self._jvm.org.apache.hadoop.fs.Path(self._at.getParent(), name).toString())
+
+    @property
+    def name(self) -> str:
+        return self._at.getName()
+
+    def linked(self) -> bool:
+        """Whether this is a link of the local file system."""
+        return self.url.startswith("file:") and os.path.islink(self.url.removeprefix("file:").replace("//", "/", 1))
+
+    def exists(self) -> bool:
+        return self._fs.exists(self._at) or self.linked()
+
+    def is_folder(self) -> bool:
+        return self._fs.exists(self._at) and self._fs.getFileStatus(self._at).isDirectory()
+
+    def age(self) -> float:
+        return time.time() - self._fs.getFileStatus(self._at).getModificationTime() / 1000
+
+    def delete(self) -> None:
+        self._fs.delete(self._at, True)
+
+    def read(self, most: int = MOST_MANIFEST) -> str:
+        """The text of a small file; OSError if there is none or it is larger."""
+        try:
+            if self._fs.getFileStatus(self._at).getLen() > most:
+                raise OSError(f"{self.text} is too large")
+            stream = self._fs.open(self._at)
+            try:
+                return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        except Py4JJavaError as e:
+            raise OSError(self.text) from e
+
+    def write(self, text: str, overwrite: bool = True) -> None:
+        """The file anew; without overwrite an error if there is one, and only one writer succeeds."""
+        try:
+            stream = self._fs.create(self._at, overwrite)
+            try:
+                stream.write(bytearray(text.encode()))
+                stream.hflush()
+            finally:
+                stream.close()
+        except Py4JJavaError as e:
+            raise OSError(self.text) from e
+
+    def replace(self, other: Place) -> None:
+        """Moves this file over the other in one step."""
+        kinds = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at.toUri(), self._conf).rename(self._at, other._at, options)
 
 
 @contextmanager
-def writing(path: str):
+def writing(spark: SparkSession, path: str):
     """The only writer of path; raises ERR_CACHE_BUSY if there is another."""
-    folder, name = os.path.split(os.path.abspath(path))
+    place = Place(spark, path)
+    lock = place.sibling(f".{place.name}.lock")
+    try:
+        if lock.exists() and lock.age() > STALE_LOCK:
+            lock.delete()
+        lock.write(str(time.time()), overwrite=False)
+    except (OSError, Py4JJavaError) as e:
+        raise ConceptError("ERR_CACHE_BUSY" if lock.exists() else "ERR_WRITE", path) from e
     try:
-        lock = open(os.path.join(folder, f".{name}.lock"), "w")
-    except OSError as e:
-        raise ConceptError("ERR_WRITE", path) from e
-    with lock:
-        try:
-            fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except OSError as e:
-            raise ConceptError("ERR_CACHE_BUSY", path) from e
         yield
+    finally:
+        lock.delete()
 
 
-def _digests(folder: str) -> dict[str, str]:
-    out = {}
-    for base, _, names in os.walk(folder):
-        for name in names:
-            if name.endswith(".parquet"):
-                at = os.path.join(base, name)
-                with open(at, "rb") as f:
-                    out[os.path.relpath(at, folder)] = hashlib.file_digest(f, "sha256").hexdigest()
-    return out
+def _write(frame: DataFrame, table: str, folder: str) -> DataFrame:
+    keys = indexing.SORTED.get(table)
+    if keys:
+        # a range of keys to a file, so that a lookup reads few files and row groups
+        frame = frame.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    frame.write.parquet(f"{folder}/{table}")
+    return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{table}")
+
 
+def stored(index: Index, folder: str | None = None, rebuild: bool = False) -> Index:
+    """index as tables of a folder, by default one of the shared folder; statistics come from the stored postings.
 
-def save(index: Index, path: str) -> None:
-    """index as a new generation at path."""
-    if os.path.islink(path) or (os.path.exists(path) and not os.path.isdir(path)):
+    With rebuild the postings are those of the stored documents and sections, so these are worked out once.
+    """
+    folder = folder or shared.folder(index.documents.sparkSession)
+    documents, sections = _write(index.documents, "documents", folder), _write(index.sections, "sections", folder)
+    source = indexing.build(documents, sections).postings if rebuild else index.postings
+    postings = _write(source, "postings", folder)
+    term_stats = _write(postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), "term_stats", folder)
+    field_stats = _write(counted(postings, sections), "field_stats", folder)
+    return Index(documents, sections, postings, term_stats, field_stats)
+
+
+def counted(postings: DataFrame, sections: DataFrame) -> DataFrame:
+    """The field statistics that postings and sections add up to."""
+    every = sections.agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 0").select("n_docs", F.explode(F.array(*map(F.lit, indexing.FIELDS))).alias("field"))
+    totals = postings.groupBy("field").agg(F.sum("tf").alias("total"))
+    return every.join(totals, "field", "left").select("field", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_dl"))
+
+
+def _digests(spark: SparkSession, folder: str) -> dict[str, list]:
+    """(length, SHA-256) of each Parquet file below folder by its relative path; read by the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    place = re.sub("^file:/+", "file:/", folder)
+    return {re.sub("^file:/+", "file:/", r.path).removeprefix(place).lstrip("/"): [r.length, r.digest] for r in files.select("path", "length", F.sha2("content", 256).alias("digest")).collect()}  # one row for each file
+
+
+def save(index: Index, path: str) -> Index:
+    """index as a new generation at path, as which it is returned."""
+    spark = index.documents.sparkSession
+    place = Place(spark, path)
+    if place.linked() or (place.exists() and not place.is_folder()):
         raise ConceptError("ERR_WRITE", path)
-    with writing(path):
+    with writing(spark, path):
         name = f"gen-{uuid.uuid4().hex}"
-        folder = os.path.join(path, name)
+        folder = place.of(name)
         try:
-            os.makedirs(folder)
-            for table in TABLES:
-                frame = getattr(index, table)
-                if table in ("postings", "term_stats"):
-                    # a range of terms to a file, so that a lookup reads few row groups
-                    frame = frame.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-                frame.write.parquet(f"file://{os.path.abspath(folder)}/{table}")
-            manifest = REVISIONS | {"files": _digests(folder), "documents": index.documents.count()}
-            with open(os.path.join(folder, "manifest.json"), "w") as f:
-                json.dump(manifest, f)
-                f.flush()
-                os.fsync(f.fileno())
-            old = _pointer(path)
-            with tempfile.NamedTemporaryFile("w", dir=path, delete=False) as f:
-                f.write(name)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(f.name, os.path.join(path, "current"))
+            out = stored(index, folder.url)
+            manifest = REVISIONS | {"files": _digests(spark, folder.url), "documents": out.documents.count(), "schemas": {t: f.schema.simpleString() for t, f in out.frames().items()}}
+            folder.of("manifest.json").write(json.dumps(manifest))
+            old = _pointer(place)
+            new = place.of(f"current-{uuid.uuid4().hex}")
+            new.write(name)
+            new.replace(place.of("current"))
         except Exception as e:
-            shutil.rmtree(folder, ignore_errors=True)
+            folder.delete()
             raise e if isinstance(e, ConceptError) else ConceptError("ERR_WRITE", path) from e
         if old and old != name:
-            shutil.rmtree(os.path.join(path, old), ignore_errors=True)
+            place.of(old).delete()
+    return out
 
 
-def _pointer(path: str) -> str | None:
-    try:
-        with open(os.path.join(path, "current")) as f:
-            return f.read().strip()
-    except FileNotFoundError:
+def _pointer(place: Place) -> str | None:
+    """The name of the generation in force; None if there is none, an error if it is no generation's name."""
+    at = place.of("current")
+    if not at.exists():
         return None
+    name = at.read(1000).strip()
+    if not re.fullmatch("gen-[0-9a-f]{32}", name):
+        raise OSError(f"{place.text} points outside itself")
+    return name
 
 
-def exists(path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is something at path; only a true absence is a miss."""
-    return os.path.lexists(path)
+    return Place(spark, path).exists()
 
 
-def load(spark: SparkSession, path: str) -> Index:
-    """The saved index; raises ERR_CACHE_INVALID or ERR_CACHE_INCOMPATIBLE."""
-    if not os.path.isdir(path) or os.path.islink(path):
+def _once(pairs: list[tuple]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("a key is repeated")
+    return dict(pairs)
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[dict, str]:
+    place = Place(spark, path)
+    if place.linked() or not place.is_folder():
         raise ConceptError("ERR_CACHE_INVALID", path)
-    name = _pointer(path)
-    folder = os.path.join(path, name or "")
     try:
-        with open(os.path.join(folder, "manifest.json")) as f:
-            manifest = json.load(f)
+        folder = place.of(_pointer(place) or "missing")
+        manifest = json.loads(folder.of("manifest.json").read(), object_pairs_hook=_once)
+        if not isinstance(manifest, dict):
+            raise ValueError("a manifest is an object")
     except (OSError, ValueError) as e:
         raise ConceptError("ERR_CACHE_INVALID", path) from e
+    return manifest, folder.url
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """The saved index; raises ERR_CACHE_INVALID or ERR_CACHE_INCOMPATIBLE."""
+    manifest, folder = _manifest(spark, path)
     if any(manifest.get(k) != v for k, v in REVISIONS.items()):
         raise ConceptError("ERR_CACHE_INCOMPATIBLE", path)
-    if manifest.get("files") != _digests(folder):
-        raise ConceptError("ERR_CACHE_INVALID", path)
-    index = Index(*[spark.read.parquet(f"file://{os.path.abspath(folder)}/{t}") for t in TABLES])
+    try:
+        if manifest.get("files") != _digests(spark, folder):
+            raise ValueError("files differ from the manifest")
+        found = {t: spark.read.parquet(f"{folder}/{t}") for t in TABLES}
+        if {t: f.schema.simpleString() for t, f in found.items()} != manifest.get("schemas"):
+            raise ValueError("columns differ from the manifest")
+        for table, frame in found.items():
+            frame.select([F.col(c.split()[0]).cast(c.split(None, 1)[1]) for c in SCHEMAS[table].split(", ")])
+        if found["documents"].count() != manifest.get("documents"):
+            raise ValueError("documents are missing")
+    except Exception as e:
+        raise ConceptError("ERR_CACHE_INVALID", path) from e
+    index = Index(**found)
     if not verify(index).isEmpty():
         raise ConceptError("ERR_CACHE_INVALID", path)
     return index
@@ -123,14 +246,20 @@ def load(spark: SparkSession, path: str) -> Index:
 
 def verify(index: Index) -> DataFrame:
     """(rule, key) of every disagreement between an index's tables; empty if they agree."""
+    rule = lambda name, key: [F.lit(name).alias("rule"), F.col(key).alias("key")]
     found = indexing.violations(index.documents, index.sections)
-    strays = index.postings.join(index.sections, "section_id", "left_anti").select(F.lit("posting without section").alias("rule"), F.col("section_id").alias("key"))
-    owners = index.postings.select("section_id", F.col("document_id").alias("owner")).distinct().join(index.sections, "section_id").where("owner <> document_id").select(F.lit("posting of another document").alias("rule"), F.col("section_id").alias("key"))
-    counts = index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")).join(index.term_stats, ["field", "term"], "full_outer").where("not (n <=> df)").select(F.lit("wrong count of a term").alias("rule"), F.col("term").alias("key"))
-    return found.unionByName(strays).unionByName(owners).unionByName(counts)
+    strays = index.postings.join(index.sections, "section_id", "left_anti").select(*rule("posting without section", "section_id"))
+    owners = index.postings.select("section_id", F.col("document_id").alias("owner")).distinct().join(index.sections, "section_id").where("owner <> document_id").select(*rule("posting of another document", "section_id"))
+    counts = index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")).join(index.term_stats, ["field", "term"], "full_outer").where("not (n <=> df)").select(*rule("wrong count of a term", "term"))
+    bare = indexing.field_lengths(index.documents, index.sections.join(index.postings, "section_id", "left_anti")).where(F.size("tokens") > 0).select(*rule("section without postings", "section_id")).distinct()
+    own = counted(index.postings, index.sections).select("field", F.struct("n_docs", F.round("avg_dl", 9)).alias("own"))
+    stats = own.join(index.field_stats.select("field", F.struct("n_docs", F.round("avg_dl", 9)).alias("held")), "field", "full_outer").where("not (own <=> held)").select(*rule("wrong statistics of a field", "field"))
+    status = index.postings.select("document_id", "strict").distinct().join(index.documents.select("document_id", (F.col("conformance") == "strict").alias("own")), "document_id").where("own <> strict").select(*rule("wrong conformance of a posting", "document_id"))
+    for more in (strays, owners, counts, bare, stats, status):
+        found = found.unionByName(more)
+    return found
 
 
-def size_in_bytes(path: str) -> int:
-    """Bytes of the current generation's Parquet files."""
-    folder = os.path.join(path, _pointer(path) or "")
-    return sum(os.path.getsize(os.path.join(base, n)) for base, _, names in os.walk(folder) for n in names if n.endswith(".parquet"))
+def size_in_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the current generation's Parquet files, by its manifest."""
+    return sum(length for length, _ in _manifest(spark, path)[0]["files"].values())

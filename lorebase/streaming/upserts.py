@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..handle import ConceptSearch
+from ..handle import MERGE_AFTER, ConceptSearch
 from ..sources import shared
 
 
@@ -18,8 +18,13 @@ def latest(batch: DataFrame) -> DataFrame:
 def upsert(handle: ConceptSearch, batch: DataFrame) -> None:
     """Applies one micro-batch: the latest row of each path wins."""
     rows = shared.cut(latest(batch))
+    gone: list[str] = []
     for row in rows.where("markdown is null").select("path").toLocalIterator():
-        handle.remove(row.path)
+        gone.append(row.path)
+        if len(gone) == MERGE_AFTER:
+            handle.remove_many(gone)
+            gone = []
+    handle.remove_many(gone)
     changed = rows.where("markdown is not null")
     if not changed.isEmpty():
         handle.ingest_many(changed)

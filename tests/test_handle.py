@@ -56,7 +56,7 @@ def test_open_change_save_and_load(spark, root, tmp_path):
 
     again = open_concepts(spark, "/nowhere", cache)
     assert titles(again, "memory") == ["Memory search", "Half"] and again.index_stats(cache)["storage"]["size_in_bytes"] > 0
-    with store.writing(cache), pytest.raises(ConceptError) as e:
+    with store.writing(spark, cache), pytest.raises(ConceptError) as e:
         handle.save(cache)
     assert e.value.code == "ERR_CACHE_BUSY"
     handle.save(cache)

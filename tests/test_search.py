@@ -111,8 +111,7 @@ def plain(index, query, o):
 ])
 def test_scores_equal_the_formula(corpus, query, given):
     o = validate(query, given)
-    terms = corpus.documents.sparkSession.createDataFrame(search.query_terms({0: query}, o), search.TERM)
-    rows = search.scores(search.matches(corpus, terms, 9, o), o).collect()
+    rows = search.scores(search.matches(corpus, search.query_terms({0: query}, o), o), o).collect()
     assert {r.section_id: round(float(r.score), 5) for r in rows} == plain(corpus, query, o)
 
 
