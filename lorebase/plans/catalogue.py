@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import handle, tool
 from ..functions import frontmatter, paths
+from ..functions import sections as sectioning
 from ..operators import index as indexing
 from ..operators import prepare, search, stats, suggest
+from ..sources import documents as sources
 from ..sources import shared, store
 from . import adapter, options
 
@@ -109,6 +113,7 @@ _search("filter_trust", "the", {"where": {"trustTiers": ["human-reviewed"]}})
 _search("filter_conformance", "the", {"where": {"conformance": ["degraded"]}})
 _search("filter_stale_true", "the", {"where": {"stale": True}})
 _search("filter_stale_false", "the", {"where": {"stale": False}})
+_search("filter_as_of", "the", {"asOf": adapter.EPOCH + 400 * adapter.DAY, "where": {"stale": True}, "limit": 20})
 _search("filter_combined", "the and", {"where": {"types": ["en"], "tagsAny": ["src0", "src1", "src2"], "statuses": ["stable"], "stale": False}, "limit": 25})
 _search("filter_empty_noop", "the lichen", {"where": {"types": [], "tagsAny": [], "statuses": [], "trustTiers": [], "conformance": []}})
 _search("collapse_best_section", "and the of", {"limit": 40})
@@ -135,16 +140,16 @@ _WIDE = options.validate("q", {"asOf": AS_OF, "limit": 100_000, "where": {"types
 _register("filter_score_invariance", _invariance, f"SELECT count(*) AS compared, CAST(0 AS BIGINT) AS changed FROM ({_search_sql({0: 'the and'}, _WIDE)})")
 
 
-def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = options.validate("q", {"asOf": AS_OF, "limit": 50, "snippetLength": 60, "fields": ["body"]})
-    return search.search_many(_index(spark, sf_dir), {0: "lichen"}, o).select("section_id", "snippet")
-
-
-_SNIPPET = options.validate("q", {"asOf": AS_OF, "limit": 50, "snippetLength": 60, "fields": ["body"]})
-_register("snippet_exact", _snippets, rf"""WITH hit AS ({_search_sql({0: 'lichen'}, _SNIPPET)}), base AS (WITH {adapter.SQL} SELECT section_id, text FROM secs),
+def _snippets(name: str, length: int) -> None:
+    o = options.validate("q", {"asOf": AS_OF, "limit": 50, "snippetLength": length, "fields": ["body"]})
+    _register(name, lambda spark, sf_dir: search.search_many(_index(spark, sf_dir), {0: "lichen"}, o).select("section_id", "snippet"), rf"""WITH hit AS ({_search_sql({0: 'lichen'}, o)}), base AS (WITH {adapter.SQL} SELECT section_id, text FROM secs),
 a AS (SELECT section_id, text, length(regexp_extract(text, '(?is)^(.*?[^\p{{L}}\p{{N}}])??lichen', 0)) - 6 AS place FROM hit JOIN base USING (section_id)),
 w AS (SELECT section_id, text, greatest(place - 80, 0) AS s FROM a)
-SELECT section_id, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(substr(text, s + 1, 60), ' ' || chr(9) || chr(10) || chr(13)) || CASE WHEN s + 60 < length(text) THEN '…' ELSE '' END AS snippet FROM w""")
+SELECT section_id, CASE WHEN s > 0 THEN '…' ELSE '' END || trim(substr(text, s + 1, {length}), ' ' || chr(9) || chr(10) || chr(13)) || CASE WHEN s + {length} < length(text) THEN '…' ELSE '' END AS snippet FROM w""")
+
+
+_snippets("snippet_exact", 60)
+_snippets("snippet_length", 25)
 
 
 def _documents(build):
@@ -163,7 +168,30 @@ _I = f"WITH {adapter.INDEX_SQL} "
 _register("postings", lambda s, d: _index(s, d).postings.drop("strict"), _I + "SELECT field, term, section_id, document_id, CAST(dl AS INTEGER) AS dl, tf FROM postings")
 _register("postings_df", lambda s, d: _index(s, d).term_stats, _I + "SELECT field, term, df FROM term_stats")
 _register("field_stats", lambda s, d: _index(s, d).field_stats.withColumn("avg_dl", F.round("avg_dl", 6)), _I + "SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM field_stats")
-_register("index_violations", lambda s, d: indexing.violations(*adapter.tables(s, d)).groupBy("rule").count(), _C + "SELECT 'strict but unclassified' AS rule, count(*) AS count FROM concepts WHERE false GROUP BY 1")
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that deliberately broken documents and sections violate, with their numbers."""
+    documents, sections = adapter.tables(spark, sf_dir)
+    n = F.element_at(F.split("document_id", "/"), -1).cast("long")
+    wrong = lambda k, value, c: F.when(n % k == 0, value).otherwise(F.col(c)).alias(c)
+    changed = documents.where(n % 41 != 0).select(
+        "document_id", wrong(23, F.lit(" "), "path"), wrong(11, F.lit(" "), "type"), "title", "tags", wrong(17, F.lit("weird"), "status"), wrong(19, F.lit("nobody"), "trust_tier"), wrong(35, F.lit(1).cast("long"), "stale_after_epoch"),
+        "staleness_classified", F.when(n % 13 == 0, "odd").when(n % 49 == 0, "strict").otherwise(F.col("conformance")).alias("conformance"), "resource", "description", "source_text",
+    )
+    changed = changed.unionByName(changed.where(n % 29 == 0))
+    cut = sections.where(n % 31 != 0).withColumn("start_line", F.when(n % 37 == 0, 0).otherwise(F.col("start_line")))
+    return indexing.violations(changed, cut.unionByName(cut.where((n % 43 == 0) & (F.col("end_line") <= adapter.LINES)))).groupBy("rule").count()
+
+
+_register("index_violations", _broken, _C + """, c AS (SELECT doc_id AS n, CASE WHEN doc_id % 23 = 0 THEN ' ' ELSE document_id || '.md' END AS path, doc_id % 11 = 0 AS no_type, CASE WHEN doc_id % 17 = 0 THEN 'weird' WHEN doc_id % 4 < 3 THEN 'fine' END AS status,
+  doc_id % 35 = 0 OR doc_id % 7 <> 0 AND doc_id % 3 <> 0 AS deadline, doc_id % 7 <> 0 AS classified, CASE WHEN doc_id % 13 = 0 THEN 'odd' WHEN doc_id % 49 = 0 THEN 'strict' WHEN doc_id % 4 = 3 OR doc_id % 7 = 0 THEN 'degraded' ELSE 'strict' END AS conformance FROM docs WHERE doc_id % 41 <> 0),
+d AS (FROM c UNION ALL FROM c WHERE n % 29 = 0), x AS (SELECT doc_id AS n, section_id, start_line, end_line FROM secs JOIN docs USING (document_id) WHERE doc_id % 31 <> 0), y AS (FROM x UNION ALL FROM x WHERE n % 43 = 0 AND end_line <= 10),
+v AS (SELECT 'blank path' AS rule FROM d WHERE path = ' ' UNION ALL SELECT 'blank type' FROM d WHERE no_type UNION ALL SELECT 'unknown conformance' FROM d WHERE conformance = 'odd' UNION ALL SELECT 'strict but unclassified' FROM d WHERE conformance = 'strict' AND (status IS NULL OR NOT classified)
+UNION ALL SELECT 'unclassified with a deadline' FROM d WHERE NOT classified AND deadline UNION ALL SELECT 'unknown status' FROM d WHERE status = 'weird' UNION ALL SELECT 'unknown trust tier' FROM d WHERE n % 19 = 0
+UNION ALL SELECT 'repeated document_id' FROM d GROUP BY n HAVING count(*) > 1 UNION ALL SELECT 'repeated path' FROM d GROUP BY path HAVING count(*) > 1 UNION ALL SELECT 'repeated section_id' FROM y GROUP BY section_id HAVING count(*) > 1
+UNION ALL SELECT 'bad lines' FROM y WHERE n % 37 = 0 UNION ALL SELECT 'no section' FROM d WHERE n % 31 = 0 UNION ALL SELECT 'no document' FROM y WHERE n % 41 = 0)
+SELECT rule, count(*) AS count FROM v GROUP BY rule""")
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,14 +238,53 @@ FROM (SELECT event_id, epoch_ms(date_trunc('second', ts)) AS m FROM events)""")
 _register("actor_predicate",
     lambda s, d: _documents_table(s, d).select("doc_id", F.concat(F.element_at(F.array(*map(F.lit, ["human:", "process:", "team:", "tools/", "a/b/", "human: ", ""])), (F.col("doc_id") % 7 + 1).cast("int")), "source").rlike(frontmatter.ACTOR).alias("is_actor")),
     "SELECT doc_id, doc_id % 7 IN (0, 1, 3) AS is_actor FROM documents")
+
+
+def _by_row(run, kind: str):
+    """A function of one text as a column function; null stays null."""
+
+    @F.pandas_udf(kind)
+    def out(texts: pd.Series) -> pd.Series:
+        return texts.map(run, na_action="ignore")
+
+    return out
+
+
 _register("word_count",
-    lambda s, d: _documents_table(s, d).select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).cast("long").alias("words")),
+    lambda s, d: _documents_table(s, d).select("doc_id", _by_row(sectioning.word_count, "long")(F.coalesce("text", F.lit(""))).alias("words")),
     r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) AS BIGINT) AS words FROM documents")
 _register("text_normalize",
-    lambda s, d: _documents_table(s, d).select("doc_id", F.md5(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.concat(F.lit(" \r\n"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\t ")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), "\r\n?", "\n"), "^$", "")).alias("text")),
+    lambda s, d: _documents_table(s, d).select("doc_id", F.md5(_by_row(sectioning.clean, "string")(F.concat(F.lit(" \r\n\u3000"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\t \r")))).alias("text")),
     "SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS text FROM documents")
 
 
+def _slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slugs of the texts' beginnings (without what is not ASCII), numbered within each source."""
+    begun = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 9), "[^\x00-\x7F]", "")
+    rows = _documents_table(spark, sf_dir).select("doc_id", "source", _by_row(sectioning.slug, "string")(F.concat(F.lit("--"), begun, F.lit("_"))).alias("slug"))
+    n = F.row_number().over(Window.partitionBy("source", "slug").orderBy("doc_id"))
+    return rows.select("doc_id", F.concat("slug", F.when(n > 1, F.concat(F.lit("--"), n.cast("string"))).otherwise("")).alias("slug"))
+
+
+_register("slugs_unique", _slugs, """WITH s AS (SELECT doc_id, source, coalesce(nullif(trim(regexp_replace(lower(regexp_replace(left(coalesce(text, ''), 9), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') AS slug FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS n FROM s) SELECT doc_id, slug || CASE WHEN n > 1 THEN '--' || n ELSE '' END AS slug FROM n""")
+_register("token_cap",
+    lambda s, d: _documents_table(s, d).select("doc_id", F.size(options.tokenized(F.concat(F.repeat(F.lit("a"), (F.lit(options.MAX_TERM - 9) + F.col("doc_id") % 20).cast("int")), F.lit(" b")))).alias("terms")),
+    f"SELECT doc_id, CAST(CASE WHEN doc_id % 20 <= 9 THEN 2 ELSE 1 END AS INTEGER) AS terms FROM documents")
+
+
+def _uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as a browser gives them: a chosen folder before each path, byte-order marks, invalid UTF-8, other files."""
+    n = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, ["a.md", "index.md", "b.MD", "log.md"])), F.when(n % 10 < 7, 1).otherwise(n % 10 - 5).cast("int"))
+    content = F.concat(F.unhex(F.when(n % 3 == 0, "EFBBBF").when(n % 5 == 0, "FF").otherwise("")), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    files = _documents_table(spark, sf_dir).select(F.concat(F.lit("chosen/"), n.cast("string"), F.lit("/"), name).alias("path"), content.alias("content"))
+    return sources.uploads(files).select("path", F.md5("markdown").alias("markdown"))
+
+
+_register("source_uploads", _uploaded, "SELECT doc_id || '/a.md' AS path, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 <> 0 THEN md5(coalesce(text, '')) END AS markdown FROM documents WHERE doc_id % 10 < 7")
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda k: F.regexp_extract("markdown", frontmatter.ENVELOPE, k)
     head = F.length("markdown") - F.length(part(2))
@@ -255,7 +322,15 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("section_id", "start_line", "end_line", F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("words"))
 
 
-_register("chunks_800_500_250", _chunks, None)  # a sequential fold: tests hold it against plain Python
+_register("chunks_800_500_250", _chunks, f"WITH RECURSIVE {adapter.RENDERED_SQL}" + r""",
+blocks AS (SELECT document_id, s, part, nth, j, len(regexp_extract_all('x ' || own[j], '[\p{L}\p{N}_]+')) AS w, sum(len(regexp_extract_all('x ' || own[j], '[\p{L}\p{N}_]+'))) OVER (PARTITION BY document_id, s) AS total FROM parts, unnest(range(1, len(own) + 1)) AS r(j)),
+fold(document_id, s, j, chunk, held) AS (SELECT document_id, s, j, 1, w FROM blocks WHERE j = 1 UNION ALL
+  SELECT b.document_id, b.s, b.j, CASE WHEN total > 800 AND held + w > 500 THEN chunk + 1 ELSE chunk END, CASE WHEN held + w > 500 THEN w ELSE held + w END FROM fold f JOIN blocks b ON b.document_id = f.document_id AND b.s = f.s AND b.j = f.j + 1),
+cuts AS (SELECT document_id, s, part, nth, b.j, w, chunk, max(chunk) OVER (PARTITION BY document_id, s) AS last_chunk, sum(w) OVER (PARTITION BY document_id, s, chunk) AS own_words FROM fold JOIN blocks b USING (document_id, s, j)),
+made AS (SELECT *, CASE WHEN chunk = last_chunk AND chunk > 1 AND own_words < 250 THEN chunk - 1 ELSE chunk END AS k FROM cuts),
+n AS (SELECT *, max(k) OVER (PARTITION BY document_id, s) AS n FROM made)
+SELECT document_id || '#part-' || part || CASE WHEN nth > 1 THEN '--' || nth ELSE '' END || CASE WHEN n > 1 THEN '--part-' || k ELSE '' END AS section_id,
+  CAST(CASE WHEN k = 1 THEN 8 + 22 * s ELSE 8 + 22 * s + 2 * min(j) END AS INTEGER) AS start_line, CAST(8 + 22 * s + 2 * max(j) AS INTEGER) AS end_line, CAST(sum(w) AS INTEGER) AS words FROM n GROUP BY document_id, s, part, nth, n, k""")
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
