@@ -4,7 +4,7 @@ Terms are vector components, made integers by floor(scale * x). Rows are cut int
 meets every block of candidates in one task. There both sides are sparse: the candidates' non-zero weights lie in a
 posting list for each term (places and weights), and a query row is its own non-zero terms. Term by term the postings,
 times the query rows' weights, are scattered into dense arrays of scores, one array for each query; a posting list that
-holds every candidate of the block is added without its places. Of each array the k best are selected by partition,
+holds most candidates of the block is filled up with zeros and added without its places. Of each array the k best are selected by partition,
 and the blocks' selections are merged by query.
 
 Scores are exact: they are summed in 16, 32 or 64 bits, whichever holds the product of the two blocks' largest norms,
@@ -42,6 +42,8 @@ CANDIDATE_BLOCK = 8192
 #: Query rows whose score arrays are filled at once, and of which the best are selected at once.
 _ROWS = 32
 _SELECTED = 256
+#: Share of a block's candidates (or of _ROWS query rows) from which a term's list is filled up with zeros.
+_DENSE = 0.25
 
 
 class Sparse:
@@ -74,11 +76,18 @@ class Sparse:
         out._set(self.row[own] - first, self.term[own], self.weight[own])
         return out
 
-    def postings(self, kind: type) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Of each term the rows that have it and their weights."""
+    def postings(self, kind: type) -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
+        """Of each term the rows that have it and their weights; None and the weights of all rows if most have it."""
         weight = self.weight.astype(kind)
         edges = np.append(np.searchsorted(self.term, self.terms), len(self.term))
-        return {int(t): (self.row[a:b], weight[a:b]) for t, a, b in zip(self.terms, edges[:-1], edges[1:], strict=True)}
+        out: dict[int, tuple[np.ndarray | None, np.ndarray]] = {}
+        for t, a, b in zip(self.terms.tolist(), edges[:-1], edges[1:], strict=True):
+            out[t] = self.row[a:b], weight[a:b]
+            if b - a >= _DENSE * self.rows:
+                full = np.zeros(self.rows, kind)
+                full[self.row[a:b]] = weight[a:b]
+                out[t] = None, full
+        return out
 
 
 def width(bound: int) -> type:
@@ -86,9 +95,10 @@ def width(bound: int) -> type:
     return np.int16 if bound < 1 << 15 else np.int32 if bound < 1 << 31 else np.int64 if bound < 1 << 63 else object
 
 
-def scores(queries: Sparse, held: dict[int, tuple[np.ndarray, np.ndarray]], n: int, kind: type) -> np.ndarray:
+def scores(queries: Sparse, held: dict[int, tuple[np.ndarray | None, np.ndarray]], n: int, kind: type) -> np.ndarray:
     """Inner products of query rows with n candidates given by postings, one array for each query."""
     out = np.zeros((queries.rows, n), kind)
+    step = np.empty((_ROWS, n), kind)
     for a in range(0, queries.rows, _ROWS):
         rows = queries.part(a, min(a + _ROWS, queries.rows))
         into = out[a : a + rows.rows]
@@ -96,13 +106,16 @@ def scores(queries: Sparse, held: dict[int, tuple[np.ndarray, np.ndarray]], n: i
             if term not in held:
                 continue
             places, own = held[term]
-            part = weight[:, None] * own
-            if len(places) < n:
-                into[at[:, None], places] += part
-            elif len(at) < rows.rows:
+            part = step.reshape(-1)[: len(weight) * len(own)].reshape(len(weight), len(own))
+            np.multiply(weight[:, None], own, out=part)
+            if at is None and places is None:
+                into += part
+            elif places is None:
                 into[at] += part
+            elif at is None:
+                into[:, places] += part
             else:
-                into += part
+                into[at[:, None], places] += part
     return out
 
 
