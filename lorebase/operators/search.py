@@ -16,6 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.edit_distance import distance
@@ -33,6 +35,8 @@ BROADCAST_ROWS = 200_000
 EXPANSIONS = 20_000
 LITERALS = 5_000
 FETCHED = 5_000
+#: Hits up to which snippets are cut by the driver, which spares the start of Python workers.
+FEW = 200
 PREFIXES = 16
 TERM = "query_id long, pos int, term string, edits int, prefix boolean, n_terms int"
 HIT = "query_id long, rank int, document_id string, title string, section_id string, score double, conformance string, matched_fields array<string>, heading_path string, path string, start_line int, end_line int, snippet string"
@@ -226,18 +230,24 @@ def hits(index: Index, best: DataFrame, rows: list[tuple], options: Options) ->
         asked.setdefault(query, []).append({"term": term, "edits": reach, "prefix": prefix})
     sections = index.sections.select("section_id", "heading_path", "text", "start_line", "end_line")
     documents = index.documents.select("document_id", "title", "path")
+    body, length, fuzzy_prefix = "body" in options.fields, options.snippet_length, options.fuzzy_prefix
+
+    def cut(text: str, asked: list[dict]) -> str:
+        return window(text, anchor(text, [(x["term"], x["edits"], x["prefix"]) for x in asked], fuzzy_prefix) if body else None, length)
+
     if options.limit * len(asked) <= FETCHED:
         table = best.toArrow()  # `limit` rows of each query
-        best = F.broadcast(spark.createDataFrame(table)) if len(table) else spark.createDataFrame([], best.schema)
         sections = sections.where(F.col("section_id").isin(table.column("section_id").to_pylist()))
         documents = documents.where(F.col("document_id").isin(sorted(set(table.column("document_id").to_pylist()))))
+        if len(table) <= FEW:
+            return _few(table.to_pylist(), sections, documents, asked, cut, options)
+        best = F.broadcast(spark.createDataFrame(table))
     kind = pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("prefix", pa.bool_())]))
     terms = spark.createDataFrame(pa.table({"query_id": pa.array(list(asked), pa.int64()), "asked": pa.array(list(asked.values()), kind)}))
-    body, length, fuzzy_prefix = "body" in options.fields, options.snippet_length, options.fuzzy_prefix
 
     @F.pandas_udf("string")
     def snippet(text: pd.Series, asked: pd.Series) -> pd.Series:
-        return pd.Series([window(t, anchor(t, [(x["term"], x["edits"], x["prefix"]) for x in q], fuzzy_prefix) if body else None, length) for t, q in zip(text, asked, strict=True)], dtype=object)
+        return pd.Series([cut(t, q) for t, q in zip(text, asked, strict=True)], dtype=object)
 
     order = F.array(*map(F.lit, options.fields))
     found = sections.join(best, "section_id").join(documents, "document_id").join(small(terms, len(asked)), "query_id")
@@ -247,6 +257,23 @@ def hits(index: Index, best: DataFrame, rows: list[tuple], options: Options) ->
     )
 
 
+def _few(best: list[dict], sections: DataFrame, documents: DataFrame, asked: dict[int, list], cut, options: Options) -> DataFrame:
+    """Rows of HIT of a few ranked sections, whose records are fetched."""
+    spark = sections.sparkSession
+    if not best:
+        return spark.createDataFrame([], HIT)
+    texts = {r.section_id: r for r in sections.collect()}
+    named = {r.document_id: r for r in documents.collect()}
+    rows = []
+    for b in best:
+        own, of = texts[b["section_id"]], named[b["document_id"]]
+        rows.append(b | own.asDict() | of.asDict() | {
+            "score": float(round(b["score"], 6)), "conformance": "strict" if b["strict"] else "degraded", "matched_fields": [f for f in options.fields if f in b["fields"]], "snippet": cut(own.text, asked[b["query_id"]]),
+        })
+    kind = StructType.fromDDL(HIT)
+    return spark.createDataFrame(pa.Table.from_pylist([{f.name: r[f.name] for f in kind.fields} for r in rows], to_arrow_schema(kind)), kind)
+
+
 def search_many(index: Index, queries: dict[int, str], options: Options) -> DataFrame:
     """Hits of every query under one set of options, as rows of HIT."""
     spark: SparkSession = index.documents.sparkSession
