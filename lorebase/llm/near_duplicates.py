@@ -42,7 +42,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -64,14 +63,14 @@ WIDE = 64
 BLOCK = 4096
 #: Classes and tokens of a block in which the links of a component are counted.
 LINK_BLOCK = 1024
-LINK_TOKENS = 1 << 20
+LINK_TOKENS = 1 << 19
 #: Bits of a token hash that are counted; 2**40 leaves one in 1000 tokens with another's count at 10**9 tokens.
 COUNT_BITS = 40
 _INFO = "id long, digest binary, n_shingles long, class binary, key long, bits binary, tokens binary"
 #: Tokens of a bucket and buckets, about: more buckets come only when these hold MOST_TOKENS.
 BUCKET_TOKENS, MOST_TOKENS, FEW_BUCKETS = 1 << 18, 1 << 24, 1 << 15
 #: Tokens that a task sorts at once, and at most where there are many buckets.
-FLUSH, MOST_FLUSH = 4_000_000, 32_000_000
+FLUSH, MOST_FLUSH = 2_000_000, 32_000_000
 
 
 def _similar(inter, n, m, percent=80):
@@ -403,12 +402,12 @@ def full_sets(needed: DataFrame, sets: DataFrame) -> DataFrame | None:
         return None
     filter_ = sets.sparkSession.sparkContext.broadcast(_bloom(needed, n))
 
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        packed, held, out = filter_.value, keys.to_numpy(np.int64), np.ones(len(keys), bool)
+    @F.arrow_udf("boolean")  # keys alone go to the workers
+    def maybe(keys: pa.Array) -> pa.Array:
+        packed, held, out = filter_.value, keys.to_numpy(zero_copy_only=False), np.ones(len(keys), bool)
         for at in _bloom_hashes(held, len(packed) * 8):
             out &= (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
-        return pd.Series(out)
+        return pa.array(out)
 
     return saved(sets.where(maybe("key")).groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
 
