@@ -1,4 +1,7 @@
+import json
 import os
+import threading
+import time
 
 import pytest
 from lorebase import tool
@@ -123,3 +126,118 @@ def test_prepared_tables_are_checked(spark):
     wrong = [([document], []), ([document, document], [section]), ([document], [section, section]), ([document], [("a#root", "a", "A", "text", 2, 1)]), ([document[:2] + (" ",) + document[3:]], [section]), ([document[:5] + (None,) + document[6:]], [section]), ([document], [section, ("b#x", "b", "B", "", 1, 1)])]
     for d, s in wrong:
         assert not indexing.violations(spark.createDataFrame(d, indexing.DOCUMENT), spark.createDataFrame(s, indexing.SECTION)).isEmpty()
+
+
+def test_changes_are_checked_before_and_after(spark, monkeypatch):
+    handle = create_search(sources.in_memory(spark, FILES.items()))
+    # sections and paths have one owner
+    taken = handle._index.sections.where("document_id = 'half'").first().section_id
+    one = {"document_id": "other", "path": "other.md", "sections": [{"section_id": taken}]}
+    for made in ([one], [{"document_id": "half", "path": "elsewhere.md", "sections": []}], [{"document_id": "else", "path": "half.md", "sections": []}]):
+        with pytest.raises(ConceptError) as e:
+            handle._conflict(made)
+        assert e.value.code == "ERR_FIELD"
+    assert titles(handle, "memory") == ["Memory search", "Half"]  # nothing was applied, nothing is poisoned
+
+    assert handle.remove_many(["half.md", "nowhere.md", "./memory/search.md"]) == ["half.md", "memory/search.md"] and titles(handle, "memory") == []
+    rows = spark.createDataFrame([("a.md", concept("First", "zebra"), 2), ("./a.md", concept("Second", "zebra"), 1), ("b.md", concept("Third", "zebra"), 1)], "path string, markdown string, version int")
+    assert {r.path: r.outcome for r in handle.ingest_many(rows).collect()} == {"a.md": "strict", "b.md": "strict"}
+    assert sorted(titles(handle, "zebra")) == ["First", "Third"]
+    handle.ingest_many(rows.drop("version").coalesce(1))  # without versions the last one counts
+    assert sorted(titles(handle, "zebra")) == ["Second", "Third"]
+    before = [(r.section_id, r.score) for r in handle.search("zebra kiln load").collect()]
+    handle.merge()
+    assert [(r.section_id, r.score) for r in handle.search("zebra kiln load").collect()] == before
+
+    real = indexing.patched
+    monkeypatch.setattr(indexing, "patched", lambda base, gone, documents, sections: real(base, gone, documents, sections.limit(0)))
+    with pytest.raises(ConceptError) as e:
+        handle.ingest("lost.md", concept("Lost", "its sections"))
+    assert e.value.code == "ERR_INDEX_UNUSABLE"
+    with pytest.raises(ConceptError):
+        handle.search("zebra")
+
+
+def test_large_batches_are_merged_at_once(spark, monkeypatch):
+    from lorebase import handle as module
+
+    monkeypatch.setattr(module, "MERGE_AFTER", 2)
+    handle = create_search(sources.in_memory(spark, FILES.items()))
+    more = [("half.md", concept("Half", "of lichen")), *[(f"n{i}.md", concept(f"N{i}", "lichen too")) for i in range(4)]]
+    handle.ingest_many(sources.in_memory(spark, more))
+    fresh = create_search(sources.in_memory(spark, (dict(FILES) | dict(more)).items()))
+    scores = lambda h: [(r.section_id, r.score) for r in h.search("lichen memory half", {"limit": 50}).collect()]
+    assert scores(handle) == scores(fresh) and handle._gone == set() and len(scores(handle)) == 6
+
+
+def test_one_build_serves_all_who_wait():
+    built, go = [], threading.Event()
+
+    def build():
+        built.append(1)
+        go.wait(30)
+        return object()
+
+    snapshots = Snapshots(build, "/root/of")
+    with pytest.raises(TimeoutError):
+        snapshots.get(timeout=0.05)
+    got = []
+    threads = [threading.Thread(target=lambda: got.append(snapshots.refresh())) for _ in range(5)]
+    for t in threads:
+        t.start()
+    time.sleep(0.2)
+    go.set()
+    for t in threads:
+        t.join(30)
+    assert len(built) == 1 and len({id(x) for x in got}) == 1 and snapshots.get() is got[0]
+    snapshots._build = lambda: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        snapshots.refresh()
+    assert snapshots.get() is got[0]
+
+
+def test_saved_indexes_are_refused_for_what_is_wrong_with_them(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    handle = create_search(sources.in_memory(spark, FILES.items()))
+    handle.save(f"file://{cache}")  # a path of any file system
+    assert titles(open_concepts(spark, "/nowhere", cache), "memory") == ["Memory search", "Half"]
+    pointer = open(f"{cache}/current").read()
+    at = f"{cache}/{pointer}/manifest.json"
+    good = open(at).read()
+    own = json.loads(good)
+
+    def refused(code="ERR_CACHE_INVALID"):
+        with pytest.raises(ConceptError) as e:
+            store.load(spark, cache)
+        assert e.value.code == code
+
+    def put(path, text):
+        for name in (path, os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc")):
+            if os.path.exists(name):
+                os.remove(name)
+        with open(path, "w") as f:
+            f.write(text)
+
+    for text, code in (("no json", "ERR_CACHE_INVALID"), ("[]", "ERR_CACHE_INVALID"), (good[:-1] + ', "format": 2}', "ERR_CACHE_INVALID"), (json.dumps(own | {"format": 1}), "ERR_CACHE_INCOMPATIBLE"), (json.dumps(own | {"documents": 9}), "ERR_CACHE_INVALID"),
+                       (json.dumps(own | {"schemas": own["schemas"] | {"sections": "struct<a:int>"}}), "ERR_CACHE_INVALID"), (json.dumps(own | {"files": {}}), "ERR_CACHE_INVALID")):
+        put(at, text)
+        refused(code)
+    put(at, good)
+    for name in ("../elsewhere", "gen-1", ""):
+        put(f"{cache}/current", name)
+        refused()
+    put(f"{cache}/current", pointer)
+    assert not store.load(spark, cache).documents.isEmpty()
+
+    index = handle._index
+    wrong = {
+        "wrong count of a term": {"term_stats": index.term_stats.withColumn("df", index.term_stats.df + 1)}, "wrong statistics of a field": {"field_stats": index.field_stats.where("field <> 'body'")},
+        "section without postings": {"postings": index.postings.where("document_id <> 'half'")}, "posting without section": {"sections": index.sections.where("document_id <> 'half'")},
+        "wrong conformance of a posting": {"postings": index.postings.withColumn("strict", ~index.postings.strict)},
+    }
+    for rule, change in wrong.items():
+        assert rule in {r.rule for r in store.verify(indexing.Index(**index.frames() | change)).collect()}
+    os.symlink(cache, tmp_path / "link")
+    with pytest.raises(ConceptError) as e:
+        handle.save(str(tmp_path / "link"))
+    assert e.value.code == "ERR_WRITE"
