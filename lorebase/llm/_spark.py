@@ -8,12 +8,16 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+#: Bytes of an Arrow batch: wide rows (texts, sets) come in batches of many MB otherwise, held by the JVM and the worker.
+ARROW_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: White space between words, as one RE2/Java character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -51,11 +55,23 @@ def scratch(spark: SparkSession) -> str:
     return _roots[app]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get ARROW_BYTES at a time in what is run inside, if the session allows more."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -560,7 +560,7 @@ def link_counts(roots: DataFrame, one: DataFrame, sets: DataFrame, percent: int)
     more = more.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = more.select("key", "root", "block", "tokens", "of", "long", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     counted = dealt.groupBy("of", "long", "i", "j").applyInArrow(lambda _, table: count_links(table, percent), "key long, links long")
-    return two.unionByName(counted.groupBy("key").agg(F.sum("links").alias("links")))
+    return two.unionByName(saved(counted.groupBy("key").agg(F.sum("links").alias("links")), "counts"))
 
 
 def _placed(info: DataFrame, roots: DataFrame) -> DataFrame:
