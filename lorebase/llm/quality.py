@@ -75,7 +75,9 @@ def _line(own):
 def lost_lines(docs: DataFrame, host_col: str, text_col: str, line_limit: int, lost_percent: int) -> DataFrame:
     """(_host, _digest, gone, lines) of the texts that lose lines above the limit: the lines' hashes, and whether these
     are more than lost_percent of the text's words."""
-    rows = docs.select(_host(host_col).alias("_host"), F.md5(F.col(text_col)).alias("_digest"), F.explode(F.split(text_col, "\n")).alias("line"))
+    # the digest is worked out before the lines are dealt out, once for each text, and lines don't carry the text
+    texts = docs.select(_host(host_col).alias("_host"), F.md5(F.col(text_col)).alias("_digest"), F.split(text_col, "\n").alias("lines"))
+    rows = texts.select("_host", "_digest", F.explode("lines").alias("line"))
     own = words(F.col("line"))
     rows = rows.select("_host", "_digest", own.alias("own")).where(F.size("own") > 0)
     rows = rows.select("_host", "_digest", _line(F.col("own")).alias("line"), F.size("own").alias("n"))
