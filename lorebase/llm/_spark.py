@@ -72,7 +72,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what saved() wrote for these frames; nothing that is yet to run may read them."""
+    for frame in frames:
+        _drop(frame.sparkSession, frame._saved_at)
 
 
 def kept(name: tuple, make: Callable):

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load, saved, slots
+from ._spark import dropped, load, saved, slots
 from ._text import chunks, mix, shingle_sets
 
 _U = np.uint64
@@ -209,6 +209,7 @@ def frequent_tokens(sets: DataFrame, buckets: int, frequent: int, most: int) ->
     counts = saved(sets.select("tokens").mapInArrow(count, "bucket int, steps binary, at binary, times binary").groupBy("bucket").applyInArrow(total, "token long, n long"), "frequent")
     found = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()  # bounded by `most`
     tokens, n = found.column("token").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    dropped(counts)
     order = np.argsort(tokens)
     return tokens[order], n[order]
 
@@ -441,7 +442,9 @@ def verify(pairs: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> D
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = kept.join(held.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(held.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return saved(both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+    links = saved(both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+    dropped(held, kept)
+    return links
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -560,7 +563,9 @@ def link_counts(roots: DataFrame, one: DataFrame, sets: DataFrame, percent: int)
     more = more.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = more.select("key", "root", "block", "tokens", "of", "long", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     counted = dealt.groupBy("of", "long", "i", "j").applyInArrow(lambda _, table: count_links(table, percent), "key long, links long")
-    return two.unionByName(saved(counted.groupBy("key").agg(F.sum("links").alias("links")), "counts"))
+    found = saved(two.unionByName(counted.groupBy("key").agg(F.sum("links").alias("links"))), "counts")
+    dropped(held, members)
+    return found
 
 
 def _placed(info: DataFrame, roots: DataFrame) -> DataFrame:
