@@ -63,8 +63,3 @@ def titled(identity: Column) -> Column:
 def utf16_order(path: Column) -> Column:
     """A key that sorts as UTF-16 code units do."""
     return F.hex(F.encode(path, "UTF-16BE"))
-
-
-def duplicate_identities(documents):
-    """(document_id, count) of identities that occur more than once in a frame with document_id."""
-    return documents.groupBy("document_id").count().where("count > 1")

@@ -20,7 +20,7 @@ from .operators import search as searching
 from .operators import stats
 from .operators.index import Index
 from .operators.suggest import suggest
-from .plans.options import validate
+from .plans.options import among, validate
 from .sources import documents as sources
 from .sources import shared, store
 
@@ -108,12 +108,11 @@ class ConceptSearch:
         """Raises ERR_FIELD if a new document's path or section is another document's."""
         owners = {one["document_id"]: one["path"] for one in made}
         owned = {s["section_id"]: one["document_id"] for one in made for s in one["sections"]}
-        identity, path = F.col("document_id"), F.col("path")
-        placed = self._index.documents.where(identity.isin(list(owners)) | path.isin(list(owners.values()))).select(identity, path)
+        placed = self._index.documents.where(among("document_id", list(owners)) | among("path", list(owners.values()))).select("document_id", "path")
         for r in placed.collect():  # two rows for each new document at most
             if owners.get(r.document_id, r.path) != r.path or (r.path in owners.values() and r.document_id not in owners):
                 raise ConceptError("ERR_FIELD", r.path, "path")
-        for r in self._index.sections.where(F.col("section_id").isin(list(owned))).select("section_id", "document_id").collect():
+        for r in self._index.sections.where(among("section_id", list(owned))).select("section_id", "document_id").collect():
             if r.document_id != owned[r.section_id]:
                 raise ConceptError("ERR_FIELD", owners[owned[r.section_id]], "sections")
 
@@ -124,7 +123,7 @@ class ConceptSearch:
             sections = self._rows([s for _, rows in new.values() for s in rows], indexing.SECTION)
             index = indexing.patched(self._base, sorted(gone), documents, sections) if gone or new else self._base
             # what is there now must be what the changes say, before anything is answered from it
-            found = index.sections.where(F.col("document_id").isin(sorted(changed))).groupBy("document_id").count().collect()
+            found = index.sections.where(among("document_id", sorted(changed))).groupBy("document_id").count().collect()
             if {r[0]: r[1] for r in found} != {i: len(new[i][1]) for i in changed if i in new}:
                 raise RuntimeError("the sections of a changed document are not those that it was given")
         except Exception as e:
@@ -216,7 +215,7 @@ class ConceptSearch:
         self._usable()
         kept = {paths.document_id(p): p for p in map(paths.normalize, given)}
         with self._lock:
-            there = {r[0] for r in self._index.documents.where(F.col("document_id").isin(list(kept))).select("document_id").collect()} if kept else set()
+            there = {r[0] for r in self._index.documents.where(among("document_id", list(kept))).select("document_id").collect()} if kept else set()
             if there:
                 self._apply(kept[min(there)], self._gone | there, {k: v for k, v in self._new.items() if k not in there}, there)
         return sorted(kept[i] for i in there)

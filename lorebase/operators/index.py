@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.options import FIELDS, tokenized
+from ..plans.options import FIELDS, among, tokenized
 
 DOCUMENT = ("document_id string, path string, type string, title string, tags array<string>, status string, trust_tier string, stale_after_epoch long, "
             "staleness_classified boolean, conformance string, resource string, description string, source_text string")
@@ -109,8 +109,8 @@ def patched(base: Index, gone: list[str], documents: DataFrame, sections: DataFr
     alone and subtracted, what is new is added.
     """
     names = base.documents.columns
-    kept = lambda frame: frame.where(~F.col("document_id").isin(gone)) if gone else frame
-    lost = build(base.documents.where(F.col("document_id").isin(gone)), base.sections.where(F.col("document_id").isin(gone)))
+    kept = lambda frame: frame.where(~among("document_id", gone)) if gone else frame
+    lost = build(base.documents.where(among("document_id", gone)), base.sections.where(among("document_id", gone)))
     new = build(documents, sections)
     change = lambda frame, sign: frame.groupBy("field", "term").agg((sign * F.count(F.lit(1))).alias("df"))
     term_stats = base.term_stats.unionByName(change(lost.postings, -1)).unionByName(change(new.postings, 1)).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.edit_distance import distance
-from ..plans.options import _TOKEN, MAX_TERM, Options, condition, edits, tokens
+from ..plans.options import _TOKEN, FIELDS, MAX_TERM, Options, among, condition, edits, tokens
 from .index import Index
 
 #: Fixed values of ranking: BM25 and the weights of the alternatives.
@@ -72,7 +72,7 @@ def alternatives(index: Index, rows: list[tuple], options: Options) -> DataFrame
     spark = index.documents.sparkSession
     begins = [r for r in rows if r[4] and (not options.fuzzy_prefix or r[3] == 0)]
     edited = [r for r in rows if r[3] > 0]
-    words = index.term_stats.where(F.col("field").isin(list(options.fields))).select(F.col("term").alias("index_term"))
+    words = _of_fields(index.term_stats, options).select(F.col("term").alias("index_term"))
     columns = ["query_id", "pos", "n_terms", "index_term"]
     parts = []
     if begins:
@@ -121,8 +121,8 @@ def expand(index: Index, rows: list[tuple], options: Options) -> tuple[DataFrame
     """
     spark = index.documents.sparkSession
     exact = sorted({r[2] for r in rows})
-    stats = index.term_stats.where(F.col("field").isin(list(options.fields)))
-    asked = stats.where(F.col("term").isin(exact)) if len(exact) <= LITERALS else stats.join(F.broadcast(spark.createDataFrame(pa.table({"term": exact}))) if len(exact) <= BROADCAST_ROWS else spark.createDataFrame(pa.table({"term": exact})), "term", "left_semi")
+    stats = _of_fields(index.term_stats, options)
+    asked = stats.where(among("term", exact)) if len(exact) <= LITERALS else stats.join(F.broadcast(spark.createDataFrame(pa.table({"term": exact}))) if len(exact) <= BROADCAST_ROWS else spark.createDataFrame(pa.table({"term": exact})), "term", "left_semi")
     asked = asked.select(F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("n_terms"), F.col("term").alias("index_term"), F.lit(None).cast("double").alias("weight"), "field", F.col("df").cast("long").alias("df"))
     others = alternatives(index, rows, options)
     if others is not None:
@@ -153,15 +153,20 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avg: Column) -> Column:
 
 def _by_field(values: dict[str, float | int], kind: str) -> Column:
     """The value of the row's field."""
-    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("field")).cast(kind)
+    return F.expr("CASE field " + " ".join(f"WHEN '{name}' THEN CAST('{value!r}' AS {kind})" for name, value in values.items()) + " END")
+
+
+def _of_fields(frame: DataFrame, options: Options) -> DataFrame:
+    """The rows of the fields that are searched."""
+    return frame if set(options.fields) == set(FIELDS) else frame.where(among("field", list(options.fields)))
 
 
 def matches(index: Index, rows: list[tuple], options: Options) -> DataFrame:
     """(query_id, section_id, document_id, strict, n_terms, pos, field, index_term, gain) of every alternative that applies."""
     met, _, terms = expand(index, rows, options)
-    postings = index.postings.where(F.col("field").isin(list(options.fields)))
+    postings = _of_fields(index.postings, options)
     if terms is not None and len(terms) <= LITERALS:
-        postings = postings.where(F.col("term").isin(terms))
+        postings = postings.where(among("term", terms))
     where = condition(options)
     if where is not None:
         postings = postings.join(index.documents.where(where).select("document_id"), "document_id", "left_semi")
@@ -237,8 +242,8 @@ def hits(index: Index, best: DataFrame, rows: list[tuple], options: Options) ->
 
     if options.limit * len(asked) <= FETCHED:
         table = best.toArrow()  # `limit` rows of each query
-        sections = sections.where(F.col("section_id").isin(table.column("section_id").to_pylist()))
-        documents = documents.where(F.col("document_id").isin(sorted(set(table.column("document_id").to_pylist()))))
+        sections = sections.where(among("section_id", table.column("section_id").to_pylist()))
+        documents = documents.where(among("document_id", sorted(set(table.column("document_id").to_pylist()))))
         if len(table) <= FEW:
             return _few(table.to_pylist(), sections, documents, asked, cut, options)
         best = F.broadcast(spark.createDataFrame(table))

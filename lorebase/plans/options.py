@@ -33,6 +33,11 @@ def tokenized(text: Column) -> Column:
     return F.filter(found, lambda t: F.octet_length(t) <= MAX_TERM)
 
 
+def among(column: str, values: list[str]) -> Column:
+    """Whether a string column is one of many values, as literals in one expression; hexadecimal, so any text is safe."""
+    return F.expr(f"{column} IN (" + ", ".join(f"CAST(X'{v.encode().hex()}' AS STRING)" for v in values) + ")") if values else F.lit(False)
+
+
 @dataclass(frozen=True)
 class Options:
     """Validated search options; None stands for a default."""
@@ -51,6 +56,9 @@ class Options:
     max_edits: int = 2
 
 
+# The texts of the errors below, which callers compare.
+
+
 def _fail(text: str):
     raise TypeError(text)
 
