@@ -22,6 +22,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACE = r"\x20\x09-\x0D"
 
 _roots: dict[str, str] = {}
+_made: list[str] = []
+_spent: dict[str, list[str]] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,9 +76,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    _made.append(path)
     return out
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """One stage of a chain of which each result is written before the next stage begins.
+
+    Deletes what saved() wrote inside the stage before, which nobody reads any more, and remembers what is written inside.
+    """
+    for path in _spent.pop(spark.sparkContext.applicationId, []):
+        _drop(spark, path)
+    before = len(_made)
+    try:
+        yield
+    finally:
+        _spent[spark.sparkContext.applicationId] = _made[before:]
+        del _made[before:]
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes what saved() wrote for these frames; nothing that is yet to run may read them."""
     for frame in frames:
