@@ -599,6 +599,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # what is not met here stays; the others go, or are several of which one stays
     met = own.join(group, "root").select("id", "digest", "rows", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias("first")).where("not first or rows > 1")
     met = saved(met.select("id", "digest", "first"), "met")
+    dropped(info)  # the rest goes by met alone
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.unhex(F.md5(text_col)).alias("own_digest"))
     placed = rows.join(met, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")), "left").where("first is null or first")
     several = placed.where("first").groupBy("own_id", "own_digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
