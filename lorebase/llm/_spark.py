@@ -17,7 +17,8 @@ from pyspark.sql.column import Column
 
 #: Bytes of an Arrow batch: wide rows (texts, sets) come in batches of many MB otherwise, held by the JVM and the worker.
 ARROW_BYTES = "8m"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Shuffle files go when the query that wrote them has ended, not when the driver collects its objects.
+_WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: White space between words, as one RE2/Java character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -58,21 +59,23 @@ def scratch(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Python workers get ARROW_BYTES at a time in what is run inside, if the session allows more."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, ARROW_BYTES)
+def writing(spark: SparkSession) -> Iterator[None]:
+    """What is run inside gives Python workers ARROW_BYTES at a time and deletes its shuffle files at its end."""
+    before = {k: spark.conf.get(k) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with writing(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
