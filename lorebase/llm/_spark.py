@@ -88,9 +88,11 @@ def swept(spark: SparkSession) -> Iterator[None]:
     """One stage of a chain of which each result is written before the next stage begins.
 
     Deletes what saved() wrote inside the stage before, which nobody reads any more, and remembers what is written inside.
+    Shuffle files of that stage's result go too: Spark deletes them once the driver has collected the plan.
     """
     for path in _spent.pop(spark.sparkContext.applicationId, []):
         _drop(spark, path)
+    spark.sparkContext._jvm.System.gc()
     before = len(_made)
     try:
         yield
