@@ -145,26 +145,28 @@ def bucket_count(tokens: int) -> int:
     return max(64, min(tokens // BUCKET_TOKENS, max(FEW_BUCKETS, tokens // MOST_TOKENS)))
 
 
-def _pack(sorted_values: np.ndarray) -> bytes:
-    """Sorted distinct values as 16-bit steps; a step of 65535 only adds."""
+def _pack(sorted_values: np.ndarray, kind: type = np.uint16) -> bytes:
+    """Sorted distinct values as steps of 16 or 32 bits; a step of the greatest number only adds."""
+    most = _U(np.iinfo(kind).max)
     steps = np.diff(sorted_values, prepend=_U(0)).astype(np.uint64)
-    extra = (steps // _U(65535)).astype(np.int64)
+    extra = (steps // most).astype(np.int64)
     if not extra.any():
-        return steps.astype(np.uint16).tobytes()
-    out = np.full(len(steps) + int(extra.sum()), 65535, np.uint16)
-    out[np.arange(len(steps)) + np.cumsum(extra)] = steps % _U(65535)
+        return steps.astype(kind).tobytes()
+    out = np.full(len(steps) + int(extra.sum()), most, kind)
+    out[np.arange(len(steps)) + np.cumsum(extra)] = steps % most
     return out.tobytes()
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    steps = np.frombuffer(blob, np.uint16)
-    return np.cumsum(steps, dtype=_U)[steps != 65535]
+def _unpack(blob: bytes, kind: type = np.uint16) -> np.ndarray:
+    steps = np.frombuffer(blob, kind)
+    return np.cumsum(steps, dtype=_U)[steps != np.iinfo(kind).max]
 
 
 def frequent_tokens(sets: DataFrame, buckets: int, frequent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes (COUNT_BITS bits) of the tokens in over `frequent` documents, at most `most`, and the counts."""
     span = -(-(1 << COUNT_BITS) // buckets)
     flush_at = min(MOST_FLUSH, max(FLUSH, 256 * buckets))
+    kind = np.uint32 if (1 << COUNT_BITS) // flush_at > 1 << 15 else np.uint16  # by the mean step between tokens
 
     def count(batches):
         held: list[np.ndarray] = []
@@ -175,7 +177,7 @@ def frequent_tokens(sets: DataFrame, buckets: int, frequent: int, most: int) ->
             edges = np.searchsorted(values, np.arange(buckets + 1, dtype=np.uint64) * _U(span))
             rows = [(b, values[x:y] - _U(b * span), times[x:y]) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
             return pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([_pack(r[1]) for r in rows], pa.binary()),
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([_pack(r[1], kind) for r in rows], pa.binary()),
                  pa.array([np.flatnonzero(r[2] > 1).astype(np.uint32).tobytes() for r in rows], pa.binary()), pa.array([r[2][r[2] > 1].astype(np.uint32).tobytes() for r in rows], pa.binary())],
                 names=["bucket", "steps", "at", "times"],
             )
@@ -193,7 +195,7 @@ def frequent_tokens(sets: DataFrame, buckets: int, frequent: int, most: int) ->
     def total(bucket, table):
         values, times = [], []
         for steps, at, n in zip(*(table.column(c).to_pylist() for c in ("steps", "at", "times")), strict=True):
-            v = _unpack(steps)
+            v = _unpack(steps, kind)
             t = np.ones(len(v), np.int64)
             t[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
             values.append(v)
