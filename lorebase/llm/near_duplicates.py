@@ -70,7 +70,7 @@ _INFO = "id long, digest binary, n_shingles long, class binary, key long, bits b
 #: Tokens of a bucket and buckets, about: more buckets come only when these hold MOST_TOKENS.
 BUCKET_TOKENS, MOST_TOKENS, FEW_BUCKETS = 1 << 18, 1 << 24, 1 << 15
 #: Tokens that a task sorts at once, and at most where there are many buckets.
-FLUSH, MOST_FLUSH = 2_000_000, 32_000_000
+FLUSH, MOST_FLUSH = 1_000_000, 32_000_000
 
 
 def _similar(inter, n, m, percent=80):
