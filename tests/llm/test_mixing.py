@@ -133,3 +133,39 @@ def test_edges(spark):
     assert len({r.sampled for r in rows if r.row.doc_id == 9001}) == 1 and next(r for r in rows if r.row.doc_id == 9004).tokens == 400_000
     assert {(r.source, r.lang) for r in rows if r.row.doc_id in (None, 9001, 9002)} == {(None, None), ("", "en"), ("s1", None)}
     assert mixing.sampled(docs).columns == docs.columns and mixing.mix(docs.limit(0)).collect() == [] and mixing.sampled(docs.limit(0)).collect() == []
+
+
+def test_topics_are_fitted_to_every_distinct_text(spark, monkeypatch):
+    import pyarrow as pa
+    from lorebase.llm._text import chunks, word_hashes
+
+    docs = corpus(spark, 2600)
+    docs = docs.unionByName(docs.limit(50)).select(F.concat(F.lit("="), "lang").alias("lang"), "text")
+    model = mixing.topic_model(docs, 3)
+    texts = sorted({(r.lang, r.text) for r in docs.collect()})
+    place = {}
+    for w in {w for _, t in texts for w in t.split()}:
+        ((_, off, data),) = chunks(pa.array([w]))
+        place[w] = int(word_hashes(off, data)[0][0] >> np.uint64(52))
+    x = np.zeros((len(texts), mixing.TERMS))
+    for i, (_, t) in enumerate(texts):
+        for w in t.split():
+            x[i, place[w]] += 1
+    assert model["idf"] == pytest.approx(np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))) + 1, abs=1e-5)
+    x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * model["idf"]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    langs = np.array([lang for lang, _ in texts])
+    for name in ("=en", "=fr"):
+        mean = x[langs == name].mean(axis=0)
+        assert model["means"][name] == pytest.approx(model["centres"] @ mean, abs=1e-5)
+        x[langs == name] -= mean
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.argmax(x @ model["centres"].T, axis=1)
+    sums = np.stack([x[own == j].sum(axis=0) for j in range(3)])
+    assert model["centres"] == pytest.approx(sums / np.linalg.norm(sums, axis=1, keepdims=True), abs=1e-4)
+    assert (np.diff(np.bincount(own)) <= 0).all()
+    # many languages are taken in blocks, to the same centres
+    monkeypatch.setattr(mixing, "MEANS", 1)
+    monkeypatch.setattr(mixing, "MOST_SEEN", 5)
+    again = mixing.topic_model(docs.repartition(6), 3)
+    assert again["centres"] == pytest.approx(model["centres"], abs=1e-5) and sorted(again["means"]) == sorted(model["means"])
