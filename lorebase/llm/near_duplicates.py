@@ -398,12 +398,9 @@ def crossing(lists: DataFrame, roots: DataFrame, one: DataFrame, percent: int, f
     return joined.withColumn("more", F.lit(False)).unionByName(compared).distinct()
 
 
-def full_sets(needed: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(key, tokens) of the distinct class keys in needed, and of a few others; None if there are none."""
-    n = needed.count()
-    if not n:
-        return None
-    filter_ = sets.sparkSession.sparkContext.broadcast(_bloom(needed, n))
+def _maybe(needed: DataFrame, n: int):
+    """A condition on a column of longs: true of all n of needed, and of a few others."""
+    filter_ = needed.sparkSession.sparkContext.broadcast(_bloom(needed, n))
 
     @F.arrow_udf("boolean")  # keys alone go to the workers
     def maybe(keys: pa.Array) -> pa.Array:
@@ -412,7 +409,15 @@ def full_sets(needed: DataFrame, sets: DataFrame) -> DataFrame | None:
             out &= (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
         return pa.array(out)
 
-    return saved(sets.where(maybe("key")).groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
+    return maybe
+
+
+def full_sets(needed: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(key, tokens) of the distinct class keys in needed, and of a few others; None if there are none."""
+    n = needed.count()
+    if not n:
+        return None
+    return saved(sets.where(_maybe(needed, n)("key")).groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
 
 
 def verify(pairs: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -600,12 +605,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group = own.groupBy("root").agg(F.sum("rows").alias("all"), F.min(F.struct(F.isnull("id").alias("none"), "id", "digest")).alias("first")).where(F.col("all") > 1)
     # what is not met here stays; the others go, or are several of which one stays
     met = own.join(group, "root").select("id", "digest", "rows", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias("first")).where("not first or rows > 1")
-    met = saved(met.select("id", "digest", "first"), "met")
+    met = saved(met.select("id", "digest", "first", F.xxhash64("id", "digest").alias("of")), "met")
     dropped(info)  # the rest goes by met alone
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.unhex(F.md5(text_col)).alias("own_digest"))
-    placed = rows.join(met, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")), "left").where("first is null or first")
-    several = placed.where("first").groupBy("own_id", "own_digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return placed.where("first is null").select("row").unionByName(several.select("row")).select("row.*")
+    n = met.count()
+    if not n:
+        return docs
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.unhex(F.md5(text_col)).alias("own_digest")).withColumn("of", F.xxhash64("own_id", "own_digest"))
+    maybe = _maybe(met.select("of"), n)
+    # texts that surely aren't met are not shuffled
+    near = saved(rows.where(maybe("of")).drop("of"), "maybe")
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest"))
+    several = near.join(met.where("first"), same).groupBy("own_id", "own_digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    stay = rows.where(~maybe("of")).select("row").unionByName(near.join(met, same, "left_anti").select("row"))
+    return stay.unionByName(several.select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

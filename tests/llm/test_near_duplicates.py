@@ -154,3 +154,26 @@ def test_links_equal_all_pairs(spark, monkeypatch, seed, block, tokens):
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.n_links) for r in got], key=repr) == sorted(expected, key=repr)
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == plain_groups(rows)
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[i * 30 : i * 30 + 30]) for i in range(100)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[3]), (201, texts[4] + " tail"), (5, texts[5]), (None, texts[6]), (300, None), (301, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_duplicates.deduplicated(spark.read.parquet(f"{tmp_path}/docs"))
+        plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted([(i, t) for i, t in enumerate(texts)] + [(300, ""), (301, " ")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = [len(x) - len(x.lstrip(" :+-|")) for x in plan]
+    scans = [i for i, x in enumerate(plan) if "FileScan parquet [doc_id" in x]
+    assert scans
+    for i in scans:
+        for j in range(i, -1, -1):
+            if depth[j] < depth[i]:
+                assert "Exchange" not in plan[j], "\n".join(plan)
+                i = j
