@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -157,3 +158,15 @@ def test_language_stage_rejects_only_what_is_sure(spark):
     assert not kept & {9_000_001, 9_000_002} and len(kept) >= 0.97 * docs.count()
     wrong = docs.where("lang = 'en'").limit(20).withColumn("lang", F.lit("de")).withColumn("doc_id", F.col("doc_id") + 5_000_000)
     assert sum(r.doc_id >= 5_000_000 for r in language_id.accepted(docs.unionByName(wrong)).collect()) <= 10
+
+
+def test_mixture_stage_learns_topics_from_every_text(spark, monkeypatch):
+    fitted, fit = [], mixing.topic_model
+    monkeypatch.setattr(mixing, "topic_model", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} w{i % 11}", "en", f"s{i % 3}", 9) for i in range(2300)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "")
+    assert found.columns == docs.columns and 0.8 * 2300 < found.count() <= 2300
+    # a place's idf tells of how many texts it was learned
+    places, texts = len(fitted[0]["idf"]), 2300
+    share = [round(float((1 + texts) / math.exp(x - 1)) - 1, 2) for x in fitted[0]["idf"]]
+    assert places == mixing.TERMS and all(abs(x - round(x)) < 0.05 for x in share) and 2300 <= sum(share) <= 3 * 2300 + 5
