@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import load
+from ._spark import lean, load, saved
 
 SAMPLE_DOCS = 200
 SAMPLE_BYTES = 48_000
@@ -115,15 +115,16 @@ class Automaton:
         self.codes[known] = np.arange(1, len(known) + 1)
         width = self.width = len(known) + 1
         nxt = suffix_automaton(self.codes[symbols].tolist())
-        table = np.full((len(nxt), width), -1, np.int64)
+        root = np.ones(width, np.int64 if len(nxt) * width > 1 << 29 else np.int32)
+        for c, to in nxt[0].items():
+            if c:
+                root[c] = to * (2 * width) + 1
+        table = np.tile(root, (len(nxt), 1))  # the one table that is ever held
         for state, moves in enumerate(nxt):
             for c, to in moves.items():
-                if c:
-                    table[state, c] = to
-        root = np.maximum(table[0], 0) * (2 * width) + 1
-        full = np.where(table >= 0, table * (2 * width), root)
-        full[0] = root
-        self.table = full.reshape(-1).astype(np.int64 if len(nxt) * width > 1 << 29 else np.int32)
+                if c and state:
+                    table[state, c] = to * (2 * width)
+        self.table = table.reshape(-1)
         self.weight = np.log2(max(2, sum(map(len, texts))))
 
 
@@ -263,7 +264,7 @@ def identify(docs: DataFrame, learning: DataFrame, text_col: str = "text", lang_
 
     inside = keep is None or text_col in keep
     rows = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), *([] if inside else [F.col(text_col).alias("text")]))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(lean(run), T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def is_held_out(id_col: str = "doc_id"):
@@ -281,7 +282,8 @@ def accepted(docs: DataFrame, sure: float = SURE, **options) -> DataFrame:
     """The rows of docs that have a letter and whose lang is not contradicted with a score of `sure` or more."""
     found = identify(docs, docs.where(~is_held_out()), **options)
     against = F.coalesce(F.col("row.lang") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= sure)
-    return found.where((F.col("lang_pred") != UNKNOWN) & ~against).select("row.*")
+    # written here, where Python workers get few MB at a time
+    return saved(found.where((F.col("lang_pred") != UNKNOWN) & ~against).select("row.*"), "accepted")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

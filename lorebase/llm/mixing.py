@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import dropped, load, saved, writing
+from ._spark import dropped, lean, load, saved, writing
 from ._text import chunks, word_hashes
 from ._text import mix as hash_mix
 
@@ -110,7 +110,7 @@ def distinct_terms(rows: DataFrame) -> DataFrame:
                 if len(seen) > MOST_SEEN:
                     seen.clear()
 
-    found = hashed.mapInArrow(run, "hash long, lang string, places binary, values binary")
+    found = hashed.mapInArrow(lean(run), "hash long, lang string, places binary, values binary")
     return saved(found.groupBy("hash").agg(F.min("lang").alias("lang"), F.first("places").alias("places"), F.first("values").alias("values")), "terms")
 
 
@@ -133,7 +133,7 @@ def passed(rows: DataFrame, run, schema: str) -> list:
     """What run() gives for rows in few tasks, on the driver: each gives a few rows, however many it reads."""
     n = min(MOST_TASKS, 2 * rows.sparkSession.sparkContext.defaultParallelism)
     with writing(rows.sparkSession):
-        return rows.coalesce(n).mapInArrow(run, schema).collect()
+        return rows.coalesce(n).mapInArrow(lean(run), schema).collect()
 
 
 def place_counts(found: DataFrame) -> np.ndarray:
@@ -183,7 +183,7 @@ def language_sums(found: DataFrame, idf: np.ndarray) -> DataFrame:
                     yield from out()
         yield from out()
 
-    parts = found.select("lang", "places", "values").mapInArrow(run, "lang string, place int, total long")
+    parts = found.select("lang", "places", "values").mapInArrow(lean(run), "lang string, place int, total long")
     return saved(parts.groupBy("lang", "place").agg(F.sum("total").alias("total")), "means")
 
 
@@ -228,7 +228,7 @@ class Block:
                 yield pa.record_batch([pa.array([r[c].astype(kind).tobytes() for r in rows], pa.binary()) for c, kind in enumerate(_KINDS)], names=list(_PACKED))
 
         own = found if alone else found.where(F.col("lang").between(names[0], names[-1]))
-        self.texts = saved(own.select("hash", "lang", "places", "values").mapInArrow(run, ", ".join(f"{c} binary" for c in _PACKED)), "vectors", compression="none")
+        self.texts = saved(own.select("hash", "lang", "places", "values").mapInArrow(lean(run), ", ".join(f"{c} binary" for c in _PACKED)), "vectors", compression="none")
 
     def means(self) -> np.ndarray:
         """The mean of the unit vectors of each language."""
@@ -389,7 +389,7 @@ def celled(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source_
                 yield pa.record_batch([own.column("row"), own.column("source"), own.column("lang"), pa.array(["empty" if t < 0 else f"topic{t}" for t in topic], pa.string()), pa.array(words, pa.int64()), own.column("draw")], names=["row", "source", "lang", "topic", "tokens", "draw"])
 
     kinds = [rows.schema["row"], *(T.StructField(c, T.StringType()) for c in CELL), T.StructField("tokens", T.LongType()), T.StructField("draw", T.LongType())]
-    return saved(rows.mapInArrow(run, T.StructType(kinds)), "celled")
+    return saved(rows.mapInArrow(lean(run), T.StructType(kinds)), "celled")
 
 
 def rake(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> tuple[np.ndarray, float]:

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import dropped, load, saved, slots
+from ._spark import dropped, lean, load, saved, slots, writing
 from ._text import chunks, mix, shingle_sets
 
 _U = np.uint64
@@ -131,7 +131,7 @@ def describe(docs: DataFrame) -> DataFrame:
                         size = 0
         yield out()
 
-    return docs.mapInArrow(run, _INFO)
+    return docs.mapInArrow(lean(run), _INFO)
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -208,7 +208,7 @@ def frequent_tokens(sets: DataFrame, buckets: int, frequent: int, most: int) ->
         keep = sums > frequent
         return pa.table([pa.array(values[first][keep].astype(np.int64) + bucket[0].as_py() * span), pa.array(sums[keep])], names=["token", "n"])
 
-    counts = saved(sets.select("tokens").mapInArrow(count, "bucket int, steps binary, at binary, times binary").groupBy("bucket").applyInArrow(total, "token long, n long"), "frequent")
+    counts = saved(sets.select("tokens").mapInArrow(lean(count), "bucket int, steps binary, at binary, times binary").groupBy("bucket").applyInArrow(total, "token long, n long"), "frequent")
     found = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()  # bounded by `most`
     tokens, n = found.column("token").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     dropped(counts)
@@ -303,7 +303,7 @@ def candidate_lists(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray, buc
         at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(size) else np.empty(0, np.int64)
         return pa.table([pa.array(np.repeat(lists.view(np.int64), size)), pa.array(k[at])], names=["list", "key"])
 
-    signed = sets.select("key", "tokens").mapInArrow(sign, "bucket int, sigs binary, keys binary")
+    signed = sets.select("key", "tokens").mapInArrow(lean(sign), "bucket int, sigs binary, keys binary")
     return signed.groupBy("bucket").applyInArrow(group, "list long, key long").distinct()
 
 
@@ -326,7 +326,7 @@ def _bloom(keys: DataFrame, n: int) -> np.ndarray:
             yield pa.record_batch([pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for row in keys.repartition(4).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in keys.repartition(4).mapInArrow(lean(run), "bits binary").toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return out
 
@@ -434,7 +434,7 @@ def verify(pairs: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> D
 
     left, right = one.select(F.col("key").alias("a"), "n", F.col("bits").alias("x")), one.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
     sized = pairs.join(left, "a").join(right, "b").where("100 * least(n, m) >= %d * greatest(n, m)" % percent)
-    kept = saved(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"), "near")
+    kept = saved(sized.select("a", "b", "n", "m", "x", "y").mapInArrow(lean(near), "a long, b long"), "near")
     held = full_sets(kept.select(F.explode(F.array("a", "b")).alias("key")).distinct(), sets)
     if held is None:
         return kept
@@ -449,7 +449,7 @@ def verify(pairs: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> D
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = kept.join(held.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(held.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    links = saved(both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+    links = saved(both.select("a", "b", "x", "y").mapInArrow(lean(linked), "a long, b long"), "links")
     dropped(held, kept)
     return links
 
@@ -484,7 +484,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, frequent
     digest = F.unhex(F.md5(text_col)) if digests else F.lit(None).cast("binary")
     info = saved(describe(docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col(text_col).alias("text"))), "sets")
     sets = info.where("tokens is not null").select("key", "tokens")
-    buckets = bucket_count(info.where("tokens is not null").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    with writing(docs.sparkSession):
+        buckets = bucket_count(info.where("tokens is not null").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
     tokens, counts = frequent_tokens(sets, buckets, frequent, most)
     lists = saved(candidate_lists(sets, tokens, counts, buckets, percent), "lists")
 

@@ -170,3 +170,45 @@ def test_mixture_stage_learns_topics_from_every_text(spark, monkeypatch):
     places, texts = len(fitted[0]["idf"]), 2300
     share = [round(float((1 + texts) / math.exp(x - 1)) - 1, 2) for x in fitted[0]["idf"]]
     assert places == mixing.TERMS and all(abs(x - round(x)) < 0.05 for x in share) and 2300 <= sum(share) <= 3 * 2300 + 5
+
+
+def test_language_tables_are_built_in_little_memory():
+    import random
+    import tracemalloc
+
+    some = random.Random(7)
+    texts = ["".join(some.choice("abcdefghijklmnopqrstuvwxyz äöüß") for _ in range(400)).encode() for _ in range(60)]
+    symbols = [1 + x for x in b"\0".join(texts)]
+    tracemalloc.start()
+    language_id.suffix_automaton(symbols)
+    states = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tracemalloc.start()
+    held = language_id.Automaton(texts).table.nbytes
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < states + 1.5 * held  # not three tables, two of them of twice the width
+
+
+def test_workers_give_back_what_other_stages_left(spark):
+    from lorebase.llm import _spark
+
+    def first(batches):
+        _spark.kept(("ids", "x"), lambda: bytearray(1))
+        yield from batches
+
+    def second(batches):
+        import sys
+
+        for batch in batches:
+            if any(isinstance(k, tuple) for k in vars(sys.modules.get("_lorebase_kept", sys))):
+                raise ValueError("another stage's data is still held")
+            yield batch
+
+    rows = spark.range(8).repartition(1)
+    assert rows.mapInArrow(_spark.lean(first, "ids"), "id long").count() == 8
+    assert rows.mapInArrow(_spark.lean(second), "id long").count() == 8
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    with _spark.writing(spark):
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) < int(before)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
