@@ -11,10 +11,10 @@ the tokens of their plain prefix alone, and their pairs over the whole set. So n
 pass a test of sizes and of parity bitmaps (both without false negatives) and are then verified on the full sets.
 
 Groups: of the classes that share a signature only pairs with the list's smallest class are verified at first; the
-links found are closed to components. Then, of the candidate pairs that still lie in two components, the three likeliest
-of any two components, and at last all that are left. So a group of g near copies costs about g verifications instead
-of g * g, and no component is missed. Pairs inside long lists are compared by bitmaps in blocks, and only those that
-pass become rows.
+links found are closed to components. Then all candidate pairs that still lie in two components. So a group of g near
+copies costs about g verifications instead of g * g, and no component is missed. Pairs inside long lists are compared
+by bitmaps in blocks; of those that pass only trees become rows, and all classes that these connect are compared on
+their full sets in blocks, as for the links below, which give trees of links. So rows grow with the lists' members.
 
 Links: each document is given the number of other sets that its set is similar to. Every link lies inside a
 component, so all pairs of each component's classes are compared on their full sets, once each: components of two have
@@ -38,7 +38,6 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -339,11 +338,11 @@ def _fold(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def compare(table: pa.Table, percent: int, few: bool) -> pa.Table:
-    """Pairs (a, b) of rows (key, root, n, bits, block, i, j) with two roots that sizes and bitmaps let be similar.
+def compare(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs (a, b) that connect what sizes and bitmaps let be similar of rows (key, root, n, bits, block, i, j).
 
-    Only pairs of a row of block i and a row of block j; with `few` the three likeliest of any two roots, `more` telling
-    whether these two had others.
+    Only rows of two roots, one of block i and one of block j, are held against each other. Of the pairs found those are
+    given that form a tree over the rows of each group that they connect, fewer than rows.
     """
     keys, roots, n = (table.column(c).to_numpy() for c in ("key", "root", "n"))
     block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -352,7 +351,7 @@ def compare(table: pa.Table, percent: int, few: bool) -> pa.Table:
     levels = {w: (at, np.frombuffer(b"".join(bits[k] for k in at), np.uint8).reshape(len(at), w)) for w in np.unique(width) for at in [np.flatnonzero(width == w)]}
     names, code = np.unique(roots, return_inverse=True)
     major = np.argmax(np.bincount(code))
-    found = []
+    found, group = [], np.arange(len(keys))
     for x in np.flatnonzero(code != major):
         for w, (at, rows) in levels.items():
             size = min(w, width[x])
@@ -366,21 +365,21 @@ def compare(table: pa.Table, percent: int, few: bool) -> pa.Table:
                 continue
             apart = np.bitwise_count(_fold(rows[ok], size) ^ _fold(np.frombuffer(bits[x], np.uint8), size)).sum(axis=1, dtype=np.int64)
             near = _similar((n[at_ok] + n[x] - apart) // 2, n[at_ok], n[x], percent)
-            found += [(min(code[x], code[y]), max(code[x], code[y]), d, x, y) for y, d in zip(at_ok[near], apart[near], strict=True)]
-    many: Counter = Counter()
-    if few:
-        found.sort()
-        many.update(f[:2] for f in found)
-        found = [f for k, f in enumerate(found) if k < 3 or f[:2] != found[k - 3][:2]]
-    pairs = np.array([(keys[x], keys[y]) for *_, x, y in found], np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1), "more": pa.array([many[f[:2]] > 3 for f in found], pa.bool_())})
+            others, y = np.unique(group[at_ok[near]], return_index=True)
+            new = others != group[x]
+            if new.any():
+                found += [(x, k) for k in at_ok[near][y[new]]]
+                group[np.isin(group, others[new])] = group[x]
+    pairs = np.array([(keys[x], keys[y]) for x, y in found], np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
 
-def crossing(lists: DataFrame, roots: DataFrame, one: DataFrame, percent: int, few: bool) -> DataFrame:
-    """Candidate pairs (a, b, more) of one list that lie in two components, as far as sizes and bitmaps allow.
+def crossing(lists: DataFrame, roots: DataFrame, one: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of one list that lie in two components, and pairs that connect the candidates of long lists.
 
     Pairs are made of a row outside its list's largest component and any other row. Lists of up to WIDE members are
-    joined with themselves; longer ones are compared in blocks of BLOCK members, so no task holds a long list.
+    joined with themselves; longer ones are compared in blocks of BLOCK members, so no task holds a long list, and give
+    compare()'s trees, of which linked_groups() holds all members against each other.
     """
     placed = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").select("list", "key", F.coalesce("root", "key").alias("root"))
     split = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("list", "size")
@@ -394,8 +393,8 @@ def crossing(lists: DataFrame, roots: DataFrame, one: DataFrame, percent: int, f
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = long_.join(one, "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).select("list", "key", "root", "n", "bits", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    compared = dealt.groupBy("list", "i", "j").applyInArrow(lambda _, table: compare(table, percent, few), "a long, b long, more boolean")
-    return joined.withColumn("more", F.lit(False)).unionByName(compared).distinct()
+    compared = dealt.groupBy("list", "i", "j").applyInArrow(lambda _, table: compare(table, percent), "a long, b long")
+    return joined.distinct(), compared.distinct()
 
 
 def _maybe(needed: DataFrame, n: int):
@@ -494,16 +493,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, frequent
     heads = lists.groupBy("list").agg(F.min("key").alias("least"))
     tried = saved(lists.join(heads, "list").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct(), "stars")
     roots = components(verify(tried, one, sets, percent))
-    for few in (True, False):  # first the likeliest pairs of any two components, then every pair that is left
-        found = saved(crossing(lists, roots, one, percent, few), "crossing")
-        pairs = saved(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            linked = verify(pairs, one, sets, percent)
-            if not linked.isEmpty():
-                roots = components(linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if found.where("more").isEmpty():  # no two components had likelier pairs than were tried
-            break
+    pairs, near = crossing(lists, roots, one, percent)
+    pairs, near, links = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), saved(near, "trees"), []
+    if not pairs.isEmpty():
+        links.append(verify(pairs, one, sets, percent))
+    if not near.isEmpty():
+        links.append(linked_groups(near, one, sets, percent))
+    if any(not found.isEmpty() for found in links):
+        for found in links:
+            roots = roots.unionByName(found.select(F.col("a").alias("node"), F.col("b").alias("root")))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     return info, one, roots, sets
 
@@ -531,13 +530,14 @@ def shared(sets: list[np.ndarray], first: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def count_links(table: pa.Table, percent: int) -> pa.Table:
-    """(key, links) of rows (key, root, block, tokens, i, j): similar pairs of one root, of a row of block i and one of j."""
+def _compared(table: pa.Table, percent: int):
+    """(class keys, how many of them are of block i, similar or not) for each root of rows (key, root, block, tokens, i, j):
+    those of block i against those of block j, or all against all if i is j, for which the second is 0."""
     roots, block = table.column("root").to_numpy(), table.column("block").to_numpy()
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     order = np.lexsort((block != i, roots))
     roots, block, keys = roots[order], block[order], table.column("key").to_numpy()[order]
-    tokens, links = table.column("tokens").to_pylist(), np.zeros(len(keys), np.int64)
+    tokens = table.column("tokens").to_pylist()
     edges = np.flatnonzero(np.concatenate(([True], roots[1:] != roots[:-1], [True])))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         sets = [np.frombuffer(tokens[k], _U) for k in order[a:b]]
@@ -548,29 +548,76 @@ def count_links(table: pa.Table, percent: int) -> pa.Table:
         near = _similar(shared(sets, first), n[: first or len(n), None], n[None, first:], percent)
         if i == j:
             np.fill_diagonal(near, False)
-            links[a:b] += near.sum(axis=1)
-        else:
-            links[a : a + first] += near.sum(axis=1)
-            links[a + first : b] += near.sum(axis=0)
-    return pa.table({"key": keys, "links": links})
+        yield keys[a:b], first, near
 
 
-def link_counts(roots: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, links): the number of similar classes of every class of a component of two classes or more."""
+def count_links(table: pa.Table, percent: int) -> pa.Table:
+    """(key, links) of rows (key, root, block, tokens, i, j): similar pairs of one root, a row of block i and one of j."""
+    keys, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for own, first, near in _compared(table, percent):
+        keys.append(own)
+        links.append(np.concatenate([near.sum(axis=1), near.sum(axis=0)]) if first else near.sum(axis=1))
+    return pa.table({"key": np.concatenate(keys), "links": np.concatenate(links)})
+
+
+def tree_links(table: pa.Table, percent: int) -> pa.Table:
+    """Similar pairs (a, b) of rows as for count_links(), those that form a tree over each group that such pairs connect."""
+    found = [np.empty((0, 2), np.int64)]
+    for keys, first, near in _compared(table, percent):
+        left, pairs = np.ones(len(keys), bool), []
+        for start in range(len(keys)):
+            waiting = [start] if left[start] else []
+            left[start] = False
+            while waiting:
+                x = waiting.pop()
+                mine = near[x] if not first else near[x] if x < first else near[:, x - first]
+                offset = first if first and x < first else 0
+                others = np.flatnonzero(mine & left[offset : offset + len(mine)]) + offset
+                left[others] = False
+                pairs += [(x, y) for y in others.tolist()]
+                waiting += others.tolist()
+        if pairs:
+            found.append(keys[np.array(pairs)])
+    found = np.concatenate(found)
+    return pa.table({"a": found.min(axis=1), "b": found.max(axis=1)})
+
+
+def _sized(roots: DataFrame, one: DataFrame) -> DataFrame:
+    """(key, root, size, tokens, blocks) of every class of a component of two classes or more, written once."""
     members = roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct()).join(one.select("key", "n"), "key")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
     sizes = sizes.select("root", "size", F.ceil(F.greatest(F.col("size") / LINK_BLOCK, F.col("tokens") / LINK_TOKENS)).cast("int").alias("blocks"))
-    members = saved(members.drop("n").join(sizes, "root"), "members")
+    return saved(members.drop("n").join(sizes, "root"), "members")
+
+
+def _in_blocks(members: DataFrame, held: DataFrame, work, schema: str) -> DataFrame:
+    """What work() gives for each pair of blocks of the members of one component; held: their sets."""
+    more = members.join(held, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    buckets = max(64, 4 * slots(members.sparkSession))
+    more = more.withColumn("of", F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))).withColumn("long", F.col("blocks") > 1)
+    more = more.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = more.select("key", "root", "block", "tokens", "of", "long", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    return dealt.groupBy("of", "long", "i", "j").applyInArrow(lambda _, table: work(table), schema)
+
+
+def linked_groups(near: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the classes that pairs near (a, b) connect: all of one group are compared on their full sets, and those
+    links are given that connect what any links connect."""
+    members = _sized(components(near), one)
+    held = full_sets(members.select("key"), sets)
+    links = saved(_in_blocks(members, held, lambda table: tree_links(table, percent), "a long, b long"), "links")
+    dropped(held, members)
+    return links
+
+
+def link_counts(roots: DataFrame, one: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, links): the number of similar classes of every class of a component of two classes or more."""
+    members = _sized(roots, one)
     two = members.where("size = 2").select("key", F.lit(1).cast("long").alias("links"))
     held = full_sets(members.where("size > 2").select("key"), sets)
     if held is None:
         return two
-    more = members.where("size > 2").join(held, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    buckets = max(64, 4 * slots(sets.sparkSession))
-    more = more.withColumn("of", F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets)))).withColumn("long", F.col("blocks") > 1)
-    more = more.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = more.select("key", "root", "block", "tokens", "of", "long", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    counted = dealt.groupBy("of", "long", "i", "j").applyInArrow(lambda _, table: count_links(table, percent), "key long, links long")
+    counted = _in_blocks(members.where("size > 2"), held, lambda table: count_links(table, percent), "key long, links long")
     found = saved(two.unionByName(counted.groupBy("key").agg(F.sum("links").alias("links"))), "counts")
     dropped(held, members)
     return found

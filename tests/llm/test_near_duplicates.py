@@ -177,3 +177,22 @@ def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
             if depth[j] < depth[i]:
                 assert "Exchange" not in plan[j], "\n".join(plan)
                 i = j
+
+
+def test_long_lists_give_no_more_rows_than_they_have_members(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)]
+    # each pair shares most words, some pairs enough and most too little
+    rows = [(i, " ".join(base[: 50 + i % 3] + [f"t{rng.integers(5)}-{k}" for k in range(int(rng.integers(4, 12)))])) for i in range(150)]
+    sets = [np.unique(rng.integers(0, 1 << 63, 9).astype(np.uint64)) for _ in range(90)]
+    common = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, s])) for s in sets]
+    table = pa.table({"key": pa.array(range(90), pa.int64()), "root": pa.array(range(90), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "bits": [near_duplicates._bitmap(s) for s in sets], "block": pa.array([0] * 90, pa.int32()), "i": pa.array([0] * 90, pa.int32()), "j": pa.array([0] * 90, pa.int32())})
+    near = near_duplicates.compare(table, 70)
+    assert 0 < near.num_rows < 90
+    for wide, block, link in ((64, 4096, 1024), (2, 4096, 1024), (2, 20, 16)):
+        for name, value in (("WIDE", wide), ("BLOCK", block), ("LINK_BLOCK", link)):
+            monkeypatch.setattr(near_duplicates, name, value)
+        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        want = plain_groups(rows)
+        assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == want and 1 < len({c for *_, c in want}) < 100
