@@ -1,6 +1,6 @@
 """Words, shingles and crc32 folds of whole Arrow batches in numpy.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased; in UTF-8 that equals the same
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased unless another fold is given; in UTF-8 that equals the same
 rule on characters. Hashes are polynomials over random 64-bit byte values modulo 2**64 with a final mix, so they
 depend on the text alone and agree between tasks.
 """
@@ -16,6 +16,8 @@ _INV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: For words that are told apart by case.
+SAME = np.arange(256, dtype=np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are worked on at once (a longer text is worked on alone).
@@ -60,7 +62,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK):
         a = b
 
 
-def _pieces(off: np.ndarray, data: np.ndarray):
+def _pieces(off: np.ndarray, data: np.ndarray, fold: np.ndarray = LOWER):
     """(starts, raw hashes, lengths, whether the first word goes on from the piece before) of at most CHUNK bytes each."""
     n = len(data)
     begins = off[:-1][off[:-1] < off[1:]]
@@ -81,12 +83,12 @@ def _pieces(off: np.ndarray, data: np.ndarray):
         ends = np.flatnonzero(solid & ~after) + 1
         up, down = _power(m)
         sums = np.zeros(m + 1, _U)
-        np.cumsum(_BYTE[LOWER[part]] * up[:m], out=sums[1:])
+        np.cumsum(_BYTE[fold[part]] * up[:m], out=sums[1:])
         on = bool(p and solid[0] and not _SPACE[data[p - 1]] and not (len(own) and own[0] == 0))
         yield starts + p, (sums[ends] - sums[starts]) * down[starts], ends - starts, on
 
 
-def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(off: np.ndarray, data: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each row's words begin among them (with the end).
 
     Long texts are worked on in pieces; a word that goes over from one piece to the next is put together.
@@ -94,7 +96,7 @@ def word_hashes(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, hashes = [np.empty(0, np.int64)], [np.empty(0, _U)]
     length = 0  # of the last word so far
     with np.errstate(over="ignore"):
-        for at, raw, size, on in _pieces(off, data):
+        for at, raw, size, on in _pieces(off, data, fold):
             if on:
                 hashes[-1][-1] += raw[0] * _U(pow(_BASE, length, 1 << 64))
                 length = length + int(size[0]) if len(at) == 1 else int(size[-1])
