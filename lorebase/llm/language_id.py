@@ -24,7 +24,10 @@ else is sampled. The samples are what is sent to the workers, 2 TOTAL_BYTES or s
 Cases: a null text or one without a letter gets ``und`` with score 0. Null lang rows, and texts without letters, are
 not learned from. With no learned language every text gets ``und``, with one its score is 1. Rows with equal or null
 doc_id are judged one by one (a null doc_id belongs to the learning part). Empty tables give no rows. Other columns
-are not read by predict() and are kept by accepted().
+are not read by predict() and are kept by accepted(), whatever their names.
+
+accepted() judges rows that it also learns from, by FOLDS models: each text by the one that has seen neither it nor a
+copy of it. Before that the sampled texts whose label the model of their own fold contradicts are left out.
 """
 
 from __future__ import annotations
@@ -42,6 +45,9 @@ SAMPLE_DOCS = 200
 SAMPLE_BYTES = 48_000
 TOTAL_BYTES = 1 << 20
 LANE = 128
+#: Parts of the labelled texts, by a hash of the text, of which each is judged by what the others taught (accepted()).
+FOLDS = 2
+ROUNDS = 3
 #: Characters of text that are parsed at once (a longer text is parsed alone).
 BATCH = 1_000_000
 #: Languages whose rates of drawing (some 50 bytes each) are sent to all executors; more are joined by a shuffle.
@@ -200,7 +206,17 @@ def _parse(a: Automaton, grid: np.ndarray, left: np.ndarray, live: np.ndarray, h
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, sample_docs: int, sample_bytes: int, total_bytes: int) -> dict[str, list[bytes]]:
     """Normalised labelled texts of each language, of bounded size."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return {name: [text for _, text in own] for name, own in _drawn(docs, text_col, lang_col, sample_docs, sample_bytes, total_bytes).items()}
+
+
+def _fold(text_col: str):
+    """The fold of a text; copies are in one fold, whatever their labels."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def _drawn(docs: DataFrame, text_col: str, lang_col: str, sample_docs: int, sample_bytes: int, total_bytes: int) -> dict[str, list[tuple[int, bytes]]]:
+    """The (fold, normalised text) of the sample of each language."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), _fold(text_col).alias("fold"))
     labelled = labelled.withColumns({"hash": F.xxhash64("text", "lang"), "size": F.octet_length("text")}).withColumn("draw", F.pmod("hash", F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))
     n_languages = labelled.select("lang").distinct().count()
     if not n_languages:
@@ -211,62 +227,119 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, sample_docs: int, samp
     rates = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * sample_docs / r.n) if r.n else 0.0, None if r.n else r.shortest.hash) for r in found], "lang string, rate double, only long")
     rates = F.broadcast(rates) if n_languages <= BROADCAST_LANGUAGES else rates
     fits = (F.col("size") <= share) & (F.col("draw") < F.col("rate"))
-    drawn = labelled.join(rates, "lang").where(fits | F.coalesce(F.col("hash") == F.col("only"), F.lit(False))).groupBy("lang", "draw", "hash").agg(F.first("text").alias("text"))
+    drawn = labelled.join(rates, "lang").where(fits | F.coalesce(F.col("hash") == F.col("only"), F.lit(False))).groupBy("lang", "draw", "hash").agg(F.first(F.struct("fold", "text")).alias("own"))
     best: dict[str, list] = {}
     for r in drawn.toLocalIterator():  # about 2 * sample_docs of each language
         own = best.setdefault(r.lang, [])
-        own.append((r.draw, r.hash, r.text))
+        own.append((r.draw, r.hash, r.own.fold, r.own.text))
         if len(own) > 2 * sample_docs:
             own.sort()
             del own[sample_docs:]
     letter, out = letters(), {}
     for name, own in best.items():
         kept, room = [], share
-        for *_, text in sorted(own)[:sample_docs]:
+        for *_, fold, text in sorted(own)[:sample_docs]:
             data, _, fine = normal([text], letter)
             if fine[0] and (len(data) <= room or len(own) == 1):
-                kept.append(data.tobytes())
+                kept.append((fold, data.tobytes()))
                 room -= len(data)
         if kept:
             out[name] = kept
     return out
 
 
-def identify(docs: DataFrame, learning: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
+def judge(parser: Parser, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of texts."""
+    data, first, fine = normal(texts, parser.letter)
+    pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if parser.languages and fine.any():
+        cost = parser.phrases(data, first)[fine] * np.array([x.weight for x in parser.automata])
+        pred[fine] = np.array(parser.languages, object)[np.argmin(cost, axis=1)]
+        low = np.partition(cost, min(1, cost.shape[1] - 1), axis=1)
+        score[fine] = 1 - low[:, 0] / low[:, 1] if cost.shape[1] > 1 else 1.0
+    return pred, score
+
+
+def consistent(spark: SparkSession, drawn: dict[str, list[tuple[int, bytes]]]) -> list[dict[str, list[bytes]]]:
+    """For each fold the samples of the other folds, without the texts whose label their own fold's model contradicts.
+
+    The model of a fold has seen none of its texts, but for a language that has texts in that fold alone: every model knows
+    every language, or it would reject the texts of those that it lacks. One task compiles the models, of bounded size, and judges the sample;
+    again without what it found, up to ROUNDS times, since wrong labels hide each other.
+    A language of which nothing would be left keeps what it had.
+    """
+    flat = [(name, i, fold, text) for name, own in sorted(drawn.items()) for i, (fold, text) in enumerate(own)]
+    others = lambda rows, fold: {name: [t for n, _, f, t in rows if n == name and f != fold] for name in sorted({n for n, _, f, _ in rows if f != fold})}
+    sent = spark.sparkContext.broadcast(flat)
+
+    def run(batches):
+        for _ in batches:
+            rows, out = sent.value, []
+            for _ in range(ROUNDS):
+                found = []
+                for fold in range(FOLDS):
+                    own, known = [r for r in rows if r[2] == fold], others(rows, fold)
+                    if own and len(known) > 1:
+                        pred, _ = judge(Parser(known), [r[3].decode("utf-8", "surrogatepass") for r in own])
+                        found += [r[:2] for r, p in zip(own, pred, strict=True) if p != r[0] and r[0] in known]
+                rows, out = [r for r in rows if r[:2] not in set(found)], out + found
+                if not found:
+                    break
+            yield pa.record_batch([pa.array([n for n, _ in out], pa.string()), pa.array([i for _, i in out], pa.int64())], names=["lang", "i"])
+
+    wrong = {(r.lang, r.i) for r in spark.range(1, numPartitions=1).mapInArrow(run, "lang string, i long").collect()} if flat else set()  # as many as are sampled at the most
+    fine = [r for r in flat if r[:2] not in wrong]
+    rest = {name for name, *_ in fine}
+    every = fine + [r for r in flat if r[0] not in rest]
+    whole = {name: [t for n, _, _, t in every if n == name] for name in drawn}
+    return [whole | others(every, fold) for fold in range(FOLDS)]
+
+
+def identify(docs: DataFrame, learning: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, cross: bool = False, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
     """(row, lang_pred, score) for every row of docs, as a struct of the columns to keep, by automata of the learning rows.
 
-    score is 1 - fewest / second fewest weighted phrases, 1 if only one language was learned.
+    score is 1 - fewest / second fewest weighted phrases, 1 if only one language was learned. With cross each text is
+    judged by automata that hold neither it nor a copy of it, nor sampled texts whose label such automata contradict.
     """
+    spark = docs.sparkSession
+    drawn = _drawn(learning, text_col, lang_col, sample_docs, sample_bytes, total_bytes)
+    models = consistent(spark, drawn) if cross else [{name: [t for _, t in own] for name, own in drawn.items()}]
     # plain values only: a worker need not know this package to read them; it keeps what it compiled beside them
-    model = docs.sparkSession.sparkContext.broadcast({"samples": sample(learning, text_col, lang_col, sample_docs, sample_bytes, total_bytes)})
+    model = spark.sparkContext.broadcast({"samples": models})
 
     def run(batches):
         held = model.value
-        if "parser" not in held:
-            held["parser"] = Parser(held["samples"])
-        parser = held["parser"]
+        if "parsers" not in held:
+            held["parsers"] = [Parser(s) for s in held["samples"]]
+        parsers = held["parsers"]
         for batch in batches:
             # a text that the row holds does not travel twice
-            texts = pc.struct_field(batch.column("row"), text_col) if inside else batch.column("text")
+            texts = pc.struct_field(batch.column("row"), _position(batch.column("row"), text_col)) if inside else batch.column("text")
+            folds = batch.column("fold").to_numpy()
             ends = np.cumsum(np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)))
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH, "right")))
-                data, first, fine = normal([t or "" for t in texts.slice(a, b - a).to_pylist()], parser.letter)
+                given = [t or "" for t in texts.slice(a, b - a).to_pylist()]
                 pred, score = np.full(b - a, UNKNOWN, object), np.zeros(b - a)
-                if parser.languages and fine.any():
-                    cost = parser.phrases(data, first)[fine] * np.array([x.weight for x in parser.automata])
-                    pred[fine] = np.array(parser.languages, object)[np.argmin(cost, axis=1)]
-                    low = np.partition(cost, min(1, cost.shape[1] - 1), axis=1)
-                    score[fine] = 1 - low[:, 0] / low[:, 1] if cost.shape[1] > 1 else 1.0
+                for fold, parser in enumerate(parsers):
+                    own = np.flatnonzero(folds[a:b] == fold)
+                    if len(own):
+                        pred[own], score[own] = judge(parser, [given[i] for i in own])
                 yield pa.record_batch([batch.column("row").slice(a, b - a), pa.array(pred, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
                 a = b
 
     inside = keep is None or text_col in keep
-    rows = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), *([] if inside else [F.col(text_col).alias("text")]))
+    kept = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in (docs.columns if keep is None else keep)]).alias("row")
+    rows = docs.select(kept, (_fold(text_col) if cross else F.lit(0)).alias("fold"), *([] if inside else [F.col(text_col).alias("text")]))
     return rows.mapInArrow(lean(run), T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def _position(rows: pa.Array, name: str) -> list[int]:
+    """The place of a struct's field; a name with a dot would be taken for a path."""
+    return [rows.type.get_field_index(name)]
+
+
 def is_held_out(id_col: str = "doc_id"):
     """Whether crc32(doc_id as text) modulo 4 is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -279,8 +352,11 @@ def predict(docs: DataFrame, **options) -> DataFrame:
 
 
 def accepted(docs: DataFrame, sure: float = SURE, **options) -> DataFrame:
-    """The rows of docs that have a letter and whose lang is not contradicted with a score of `sure` or more."""
-    found = identify(docs, docs.where(~is_held_out()), **options)
+    """The rows of docs that have a letter and whose lang is not contradicted with a score of `sure` or more.
+
+    A text is judged by automata that hold no copy of it, so a wrong label does not vouch for itself.
+    """
+    found = identify(docs, docs.where(~is_held_out()), cross=True, **options)
     against = F.coalesce(F.col("row.lang") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= sure)
     # written here, where Python workers get few MB at a time
     return saved(found.where((F.col("lang_pred") != UNKNOWN) & ~against).select("row.*"), "accepted")

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from lorebase.llm import language_id as L
+from pyspark.sql import functions as F
 
 LETTER = L.letters()
 
@@ -91,3 +92,24 @@ def test_all_languages_are_learned_from_whole_distinct_texts(spark):
     assert got["ru"] == [("\u0441\u043b\u043e\u0432\u043e " * 900).encode()]  # all are longer than the share: the shortest, whole
     small = L.sample(spark.createDataFrame(rows, schema), "text", "lang", 50, 5000, 300)
     assert set(small) == {"en", "fr", "ru"} and sum(map(len, small["en"])) <= 100
+
+
+def test_sampled_texts_with_wrong_labels_do_not_vouch_for_themselves(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 200")
+    wrong = docs.where("lang = 'en'").orderBy("doc_id").limit(25).withColumn("lang", F.lit("de")).withColumn("doc_id", F.col("doc_id") + 5_000_000)
+    both = docs.unionByName(wrong)
+    drawn = L._drawn(both, "text", "lang", L.SAMPLE_DOCS, L.SAMPLE_BYTES, L.TOTAL_BYTES)
+    models = L.consistent(spark, drawn)
+    texts = {r.text for r in wrong.collect()}
+    normal = {of([t])[0][0] for t in texts}
+    sampled = [t for _, t in drawn["de"] if t in normal]
+    assert len(sampled) >= 5 and sum(t in m["de"] for m in models for t in sampled) <= 1  # their labels were found out
+    for fold, model in enumerate(models):  # and no model holds a text that it judges
+        assert not {t for own in model.values() for t in own} & {t for own in drawn.values() for f, t in own if f == fold}
+    kept = {r.doc_id for r in L.accepted(both).collect()}
+    assert sum(i >= 5_000_000 for i in kept) <= 2 and sum(i < 5_000_000 for i in kept) >= 0.97 * docs.count()
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = spark.createDataFrame([(1, "the quick brown fox and the dog", "en", 1, 2)], ["doc_id", "text", "lang", "a.b", "c`d"])
+    assert [tuple(r) for r in L.accepted(rows).collect()] == [(1, "the quick brown fox and the dog", "en", 1, 2)]
