@@ -146,6 +146,55 @@ def slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever stands in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: A key is hot from this share of a frame's rows on, and from this number; so a frame has 1 / HOT_SHARE hot keys at most.
+HOT_SHARE, HOT_ROWS = 1 / 2000, 200
+SALTS = 64
+
+
+def spread(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner", of: DataFrame | None = None) -> DataFrame:
+    """left.join(right, keys, how) in which the rows of a key that many rows of left have go to SALTS tasks.
+
+    right has one row for each key, or few; those of hot keys are copied for each task. Null keys, which meet nothing,
+    are dealt out too. how is inner or left. The keys of left are counted first, in partial sums, in left, which is then a
+    stored table, or in another frame with the same keys.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    of = left if of is None else of
+    least = max(HOT_ROWS, int(of.count() * HOT_SHARE))
+    known, none = F.lit(True), F.lit(False)
+    for key in keys:
+        known, none = known & F.col(key).isNotNull(), none | F.col(key).isNull()
+    counts = of.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.where(F.col("_n") >= least).select(*keys, F.lit(True).alias("_hot")))  # 1 / HOT_SHARE rows at most
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot") | none, salt).otherwise(F.lit(0))).drop("_hot")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    met = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(met, [*keys, "_salt"], how).drop("_salt")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows (..., n) of a stored frame with the greatest n, `most` at most: all from some n on, equal ones together.
+
+    Rows are counted by the first ten binary digits of n, some 50,000 sums at the very most; nothing is sorted or sent
+    to one task.
+    """
+    digits = F.length(F.bin("n"))
+    coarse = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.expr("shiftleft(shiftright(n, CAST(d - 10 AS INT)), CAST(d - 10 AS INT))"))
+    sizes = counts.select("n", digits.alias("d")).groupBy(coarse.alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    cut, total = None, 0
+    for r in sorted(sizes, reverse=True):
+        if total + r["rows"] > most:
+            break
+        cut, total = r["n"], total + r["rows"]
+    return counts.where(F.col("n") >= cut) if cut is not None else counts.where("false")
+
+
 def ascii_lower(c: Column | str) -> Column:
     """A-Z to a-z and nothing else."""
     c = F.col(c) if isinstance(c, str) else c
