@@ -11,7 +11,8 @@ many levels as the longest rule host has labels). Openings, probes and closings
 together; the number of intervals open at an event is the height of the stack of nested rules, and the most recent
 opening at that height is the stack's top, which is the longest rule that fits at this level.
 
-Skew: equal urls are judged once. An ancestor host with many probes is dealt to several salted sweeps, and its
+Skew: equal urls are judged once, and the verdict of a url that many rows have is copied to several tasks that these are
+dealt to, as are null urls. An ancestor host with many probes is dealt to several salted sweeps, and its
 rules are copied to each of them; a sweep gets at least four times as many probes as there are rules to copy, so
 that the copies never outweigh the probes.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import ascii_lower, load
+from ._spark import ascii_lower, load, spread
 
 #: The rules of the registered query: (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -71,17 +72,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     probe = probes.join(plan, "level").select(
         "level", F.pmod(F.xxhash64("_url"), F.col("salts")).cast("int").alias("salt"), _key(F.col("level"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "_url",
-        F.lit(None).cast("struct<size:int,host:string,verdict:string,rule:string>").alias("open"),
+        F.lit(None).cast("struct<size:int,host_size:int,verdict:string,rule:string>").alias("open"),
     )
     name = F.concat("level", "rpath")
     opened = rules.join(plan, "level").select(
         "level", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), _key(F.col("level"), F.col("rpath")).alias("key"),
-        F.struct(F.length(name).alias("size"), F.col("level").alias("host"), F.col("verdict").alias("verdict"), name.alias("rule")).alias("open"),
+        F.struct(F.length(name).alias("size"), F.length("level").alias("host_size"), F.col("verdict").alias("verdict"), name.alias("rule")).alias("open"),
     )
     # one row opens and one closes each rule
     edges = opened.select("level", "salt", F.explode(F.array(
         F.struct(F.col("key").alias("key"), F.lit(0).alias("kind"), F.col("open").alias("open")),
-        F.struct(F.concat("key", F.unhex(F.lit("FF"))).alias("key"), F.lit(2).alias("kind"), F.lit(None).cast("struct<size:int,host:string,verdict:string,rule:string>").alias("open")),
+        F.struct(F.concat("key", F.unhex(F.lit("FF"))).alias("key"), F.lit(2).alias("kind"), F.lit(None).cast("struct<size:int,host_size:int,verdict:string,rule:string>").alias("open")),
     )).alias("e")).select("level", "salt", "e.key", "e.kind", F.lit(None).cast("string").alias("_url"), "e.open")
     events = probe.unionByName(edges)
     swept = Window.partitionBy("level", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,16 +93,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .withColumn("top", F.last("open", ignorenulls=True).over(slot))
         .where("kind = 1 and height > 0").select("_url", "top")
     )
-    best = top.groupBy("_url").agg(F.max("top").alias("top"))  # size, then host order settle it within one url
+    best = top.groupBy("_url").agg(F.max("top").alias("top"))  # size, then the host's size settle it: equal ones are one rule
     host, path = split_url(F.col("_url"))
-    return rows.join(best, "_url", "left").select(
+    return spread(rows, best, "_url", "left").select(
         F.col("_id").alias(id_col), host.alias("host"), path.alias("path"), F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict")
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every url of pages against RULES."""
-    return judge_urls(load(spark, sf_dir, "pages"), spark.createDataFrame(RULES, RULE_TYPE))
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES) + " AS rules(host, path, verdict)")
+    return judge_urls(load(spark, sf_dir, "pages"), rules)
 
 
 ORACLE = r"""
@@ -109,7 +111,7 @@ WITH rules(host, path, verdict) AS (VALUES ('org','/','allow'),('example.org','/
 u AS (SELECT page_id, row_number() OVER () AS i,
   coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-m AS (SELECT u.i, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+m AS (SELECT u.i, arg_max(r.host || r.path, 100000 * length(r.host || r.path) + length(r.host)) AS rule, arg_max(r.verdict, 100000 * length(r.host || r.path) + length(r.host)) AS verdict
   FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.i)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (i)
 """
