@@ -9,7 +9,8 @@ than REPEAT_PERCENT of the words lie in repeated 8-word windows.
 
 Scale: lines are counted by (host, text, line) and then by (host, line), both with partial sums, so no host and no
 line gathers in a task; lines above the limit are joined back by (host, line). judge() never shuffles texts: their
-counts travel with a digest. cleaned() joins texts with the hashes of the lines that they lose by (host, digest).
+counts travel with a digest. cleaned() joins texts with the hashes of the lines that they lose by (host, digest). In all
+of these joins a line or text that many rows have is dealt to several tasks, to which the other side's row is copied.
 
 Cases: a null text has no words and fails; a null source is a host of its own. Rows with equal or null doc_id are
 judged one by one; the verdict depends on source and text alone. Empty tables give no rows. Windows are compared by
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import SPACE, ascii_lower, load, saved, words
+from ._spark import SPACE, ascii_lower, load, quoted, saved, spread, words
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -84,7 +85,7 @@ def lost_lines(docs: DataFrame, host_col: str, text_col: str, line_limit: int, l
     # copies of a text add to all of its lines alike and leave shares as they are
     held = saved(rows.groupBy("_host", "_digest", "line").agg(F.sum("n").alias("n")), "lines")
     above = held.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("texts"), F.min("_digest").alias("keeper")).where(F.col("texts") > line_limit)
-    lost = held.join(above, ["_host", "line"], "left").select("_host", "_digest", "line", "n", (F.col("keeper") != F.col("_digest")).alias("lost"))
+    lost = spread(held, above, ["_host", "line"], "left").select("_host", "_digest", "line", "n", (F.col("keeper") != F.col("_digest")).alias("lost"))
     shares = lost.groupBy("_host", "_digest").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lost"), F.col("n")).otherwise(0)).alias("lost"), F.collect_set(F.when(F.col("lost"), F.col("line"))).alias("lines"))
     return shares.where("lost > 0").select("_host", "_digest", (100 * F.col("lost") > lost_percent * F.col("n")).alias("gone"), "lines")
 
@@ -96,7 +97,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     gone = lost_lines(rows, "_source", "_text", line_limit, lost_percent).where("gone").drop("lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return (
-        counted.join(gone, ["_host", "_digest"], "left").withColumn("base_failed", failed)
+        spread(counted, gone, ["_host", "_digest"], "left", of=rows.select(_host("_source").alias("_host"), F.md5("_text").alias("_digest"))).withColumn("base_failed", failed)
         .select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("gone").isNull()).alias("kept"))
     )
 
@@ -104,16 +105,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def cleaned(docs: DataFrame, text_col: str = "text", host_col: str = "source", line_limit: int = LINE_LIMIT, lost_percent: int = LOST_PERCENT) -> DataFrame:
     """The rows of docs that judge() keeps, with all of their columns and without the lines that their texts lose."""
     keys = {"_host": _host("_source"), "_digest": F.coalesce(F.md5("_text"), F.lit(""))}
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_source"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_source"))
     fine = (F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= REPEAT_PERCENT * F.col("n_words"))
     # written before it is filtered: a filter would be pushed below the counts and work them out many times over
     verdicts = saved(with_counts(rows.select("_text", "_source"), "_text").withColumns(keys).select("_host", "_digest", fine.alias("fine")), "verdicts")
     bad = verdicts.where("not fine").select("_host", "_digest", F.lit(True).alias("gone"), F.lit(None).cast("array<long>").alias("lines"))
     fate = bad.unionByName(lost_lines(docs, host_col, text_col, line_limit, lost_percent)).groupBy("_host", "_digest").agg(F.max("gone").alias("gone"), F.first("lines", ignorenulls=True).alias("lines"))
-    kept = rows.withColumns(keys).join(fate, ["_host", "_digest"], "left").where("gone is null or not gone")
+    kept = spread(rows.withColumns(keys), fate, ["_host", "_digest"], "left", of=verdicts).where("gone is null or not gone")
     left = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("lines", _line(words(x)))), "\n")
     text = F.when(F.col("lines").isNotNull(), left).otherwise(F.col("_text"))
-    return kept.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
+    return kept.select(*[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
