@@ -12,8 +12,8 @@ The trie is kept as rows (gram, n), a gram being a context of `order` bytes and
 of longer ones. They are counted over all documents (n is 0 for grams of held-out texts only), so they grow with the
 corpus. Rows are dealt by the last three bytes of the context: all longer contexts of a gram are then in one task; the
 counts of shorter ones are those of three bytes at most, 2^24 numbers at the very most and some ten thousand in natural
-text, and are broadcast. Each row gets its log10 probability there. The HEAD_GRAMS most frequent grams go to the workers
-(16 bytes each); all others are joined to the documents' grams. A text's score is the sum over its bytes and starts from
+text, and are broadcast. Each row gets its log10 probability there. The most frequent grams, HEAD_GRAMS at most (equally
+frequent ones together), go to the workers (16 bytes each); all others are joined to the documents' grams. A text's score is the sum over its bytes and starts from
 a context of line ends; documents do not run into each other. Long texts are worked on in pieces.
 
 Base: log10((c + 0.5) / (N + 0.5 (V + 1))) summed over the words and one end token. Words are told apart by 64-bit
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import load, saved, slots
+from ._spark import load, most_frequent, saved, slots
 from ._text import CHUNK, LOWER, chunks, word_hashes
 
 ORDER = 5
@@ -236,10 +236,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     rows = _learning(docs, id_col, text_col)
     learning = rows.where("not held_out").select("text")
     logged = saved(gram_logs(saved(count_grams(rows, order), "grams"), order), "logs")
-    often = logged.orderBy(F.desc("n"), "gram").limit(head_grams).select("gram", "log").toArrow().sort_by("gram")  # bounded by `head_grams`
+    often = most_frequent(logged, head_grams).select("gram", "log").toArrow().sort_by("gram")  # bounded by `head_grams`
     words = saved(count_words(learning), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()  # bounded by `head`
+    top = most_frequent(words, head).toArrow()  # bounded by `head`
     known, times = top.column("word").to_numpy(), top.column("n").to_numpy()
     place = np.argsort(known)
     base = total + 0.5 * (kinds + 1)
