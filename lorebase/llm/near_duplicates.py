@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import dropped, lean, load, saved, slots, writing
+from ._spark import dropped, lean, load, most_frequent, quoted, saved, slots, spread, writing
 from ._text import chunks, mix, shingle_sets
 
 _U = np.uint64
@@ -208,7 +208,7 @@ def frequent_tokens(sets: DataFrame, buckets: int, frequent: int, most: int) ->
         return pa.table([pa.array(values[first][keep].astype(np.int64) + bucket[0].as_py() * span), pa.array(sums[keep])], names=["token", "n"])
 
     counts = saved(sets.select("tokens").mapInArrow(lean(count), "bucket int, steps binary, at binary, times binary").groupBy("bucket").applyInArrow(total, "token long, n long"), "frequent")
-    found = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()  # bounded by `most`
+    found = most_frequent(counts, most).toArrow()  # bounded by `most`
     tokens, n = found.column("token").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     dropped(counts)
     order = np.argsort(tokens)
@@ -585,9 +585,12 @@ def tree_links(table: pa.Table, percent: int) -> pa.Table:
 def _sized(roots: DataFrame, one: DataFrame) -> DataFrame:
     """(key, root, size, tokens, blocks) of every class of a component of two classes or more, written once."""
     members = roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct()).join(one.select("key", "n"), "key")
+    members = saved(members, "rooted")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
     sizes = sizes.select("root", "size", F.ceil(F.greatest(F.col("size") / LINK_BLOCK, F.col("tokens") / LINK_TOKENS)).cast("int").alias("blocks"))
-    return saved(members.drop("n").join(sizes, "root"), "members")
+    out = saved(spread(members.drop("n"), sizes, "root"), "members")
+    dropped(members)
+    return out
 
 
 def _in_blocks(members: DataFrame, held: DataFrame, work, schema: str) -> DataFrame:
@@ -626,16 +629,16 @@ def link_counts(roots: DataFrame, one: DataFrame, sets: DataFrame, percent: int)
 def _placed(info: DataFrame, roots: DataFrame) -> DataFrame:
     """(class, key, component_id) of every class of a set with tokens."""
     classes = info.where("class is not null").groupBy("key", "class").agg(F.min("id").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("class", "key", "least", F.coalesce("root", "key").alias("root"))
+    rooted = saved(classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("class", "key", "least", F.coalesce("root", "key").alias("root")), "placed")
     group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(group, "root").select("class", "key", "component_id")
+    return spread(rooted, group, "root").select("class", "key", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, frequent: int = FREQUENT, most: int = MAX_FREQUENT) -> DataFrame:
     """(id_col, n_shingles, component_id, class, n_links) for every row of docs; n_links: other sets similar to its own."""
     info, one, roots, sets = _grouped(docs, id_col, text_col, percent, frequent, most)
     of = _placed(info, roots).join(link_counts(roots, one, sets, percent), "key", "left").drop("key")
-    return info.join(of, "class", "left").select(
+    return spread(info.select("id", "n_shingles", "class"), of, "class", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "class", F.coalesce("links", F.lit(0)).alias("n_links")
     )
 
@@ -649,16 +652,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     info, _, roots, _ = _grouped(docs, id_col, text_col, percent, FREQUENT, MAX_FREQUENT, digests=True)
     # rows equal in id and text are one here
     own = info.where("key is not null").groupBy("key", "id", "digest").agg(F.count(F.lit(1)).alias("rows"))
-    own = own.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).drop("key")
+    own = saved(own.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).drop("key"), "own")
     group = own.groupBy("root").agg(F.sum("rows").alias("all"), F.min(F.struct(F.isnull("id").alias("none"), "id", "digest")).alias("first")).where(F.col("all") > 1)
     # what is not met here stays; the others go, or are several of which one stays
-    met = own.join(group, "root").select("id", "digest", "rows", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias("first")).where("not first or rows > 1")
+    met = spread(own, group, "root").select("id", "digest", "rows", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias("first")).where("not first or rows > 1")
     met = saved(met.select("id", "digest", "first", F.xxhash64("id", "digest").alias("of")), "met")
     dropped(info)  # the rest goes by met alone
     n = met.count()
     if not n:
         return docs
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.unhex(F.md5(text_col)).alias("own_digest")).withColumn("of", F.xxhash64("own_id", "own_digest"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.unhex(F.md5(text_col)).alias("own_digest")).withColumn("of", F.xxhash64("own_id", "own_digest"))
     maybe = _maybe(met.select("of"), n)
     # texts that surely aren't met are not shuffled
     near = saved(rows.where(maybe("of")).drop("of"), "maybe")
