@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import lean, load, saved
+from ._spark import lean, load, quoted, saved
 
 SAMPLE_DOCS = 200
 SAMPLE_BYTES = 48_000
@@ -330,7 +330,7 @@ def identify(docs: DataFrame, learning: DataFrame, text_col: str = "text", lang_
                 a = b
 
     inside = keep is None or text_col in keep
-    kept = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in (docs.columns if keep is None else keep)]).alias("row")
+    kept = F.struct(*map(quoted, docs.columns if keep is None else keep)).alias("row")
     rows = docs.select(kept, (_fold(text_col) if cross else F.lit(0)).alias("fold"), *([] if inside else [F.col(text_col).alias("text")]))
     return rows.mapInArrow(lean(run), T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import dropped, lean, load, saved, writing
+from ._spark import dropped, lean, load, quoted, saved, writing
 from ._text import chunks, word_hashes
 from ._text import mix as hash_mix
 
@@ -376,14 +376,14 @@ def celled(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source_
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     inside = text_col in keep
     text = F.col(text_col)
-    rows = docs.select(F.struct(*keep).alias("row"), key(source_col).alias("source"), key(lang_col).alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("draw"), *([] if inside else [text.alias("text")]))
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("row"), key(source_col).alias("source"), key(lang_col).alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("draw"), *([] if inside else [text.alias("text")]))
     model = docs.sparkSession.sparkContext.broadcast(topic_model(docs.select(key(lang_col).alias("lang"), text.alias("text")), topics))
 
     def run(batches):
         fitted = model.value
         for batch in batches:
             names = np.array(batch.column("lang").to_pylist(), object)
-            for a, off, data in chunks(pc.struct_field(batch.column("row"), text_col) if inside else batch.column("text")):
+            for a, off, data in chunks(pc.struct_field(batch.column("row"), [batch.column("row").type.get_field_index(text_col)]) if inside else batch.column("text")):
                 own = batch.slice(a, len(off) - 1)
                 topic, words = topics_of(fitted, off, data, names[a : a + len(off) - 1])
                 yield pa.record_batch([own.column("row"), own.column("source"), own.column("lang"), pa.array(["empty" if t < 0 else f"topic{t}" for t in topic], pa.string()), pa.array(words, pa.int64()), own.column("draw")], names=["row", "source", "lang", "topic", "tokens", "draw"])
