@@ -19,26 +19,29 @@ from .operators import prepare as preparing
 from .operators import search as searching
 from .operators import stats
 from .operators.index import Index
+from .operators.segments import Segment, changed, combined, made, segmented
 from .operators.suggest import suggest
 from .plans.options import among, validate
 from .sources import documents as sources
 from .sources import shared, store
 
 DOCUMENT = indexing.DOCUMENT + f", diagnostics array<{preparing.DIAGNOSTIC}>"
-#: Changed documents that are held beside the base tables before both are merged.
+#: Changed documents that are held beside the segments before they become one.
 MERGE_AFTER = 1000
 
 
 class ConceptSearch:
-    """A mutable view over immutable tables: a base index, removed identities and a small set of new documents.
+    """A mutable view over immutable tables: segments, removed identities and a small set of new documents.
 
     Every answer is a DataFrame or plain values; none aliases the handle's state. A failure while a change is applied
     poisons the handle; errors of options, queries and preparation do not. open_concepts(), create_search() and
-    from_prepared() store the tables first, in the shared folder, so that searches look up what is there.
+    from_prepared() store the tables first, in the shared folder, so that searches look up what is there. Changes beyond
+    MERGE_AFTER documents become a segment of their own; what is stored is not rewritten but by merges of TIER segments.
     """
 
     def __init__(self, index: Index):
         self._spark: SparkSession = index.documents.sparkSession
+        self._segments: list[Segment] = []  # known once there is a second one
         self._base, self._index = index, index
         self._gone: set[str] = set()
         self._new: dict[str, tuple[dict, list[dict]]] = {}
@@ -131,15 +134,35 @@ class ConceptSearch:
             raise ConceptError("ERR_INDEX_UNUSABLE", path) from e
         self._index, self._gone, self._new = index, gone, new
         if len(gone) + len(new) > MERGE_AFTER:
-            self.merge()
+            self._flush()
+
+    def _flush(self, documents: DataFrame | None = None, sections: DataFrame | None = None) -> None:
+        """Makes a segment of the changes beside the base, then of these documents, which stand for those of their ids."""
+        with self._lock:
+            self._usable()
+            try:
+                segments = self._segments or [segmented(self._base)]
+                if self._gone or self._new:
+                    names = self._base.documents.columns
+                    new = made(self._rows([d for d, _ in self._new.values()], DOCUMENT).select(names), self._rows([s for _, rows in self._new.values() for s in rows], indexing.SECTION)) if self._new else None
+                    segments = changed(segments, self._rows([{"document_id": i} for i in sorted(self._gone)], "document_id string"), new)
+                if documents is not None:
+                    new = made(documents.select(self._base.documents.columns), sections)
+                    segments = changed(segments, new.index.documents.select("document_id"), new)
+                self._segments = segments
+                self._base = self._index = combined(segments)
+                self._gone, self._new = set(), {}
+            except Exception as e:
+                self._failed = "<index>"
+                raise ConceptError("ERR_INDEX_UNUSABLE", "<index>") from e
 
     def merge(self) -> None:
-        """Stores base and changes as one new base in the shared folder."""
+        """Stores all segments and changes as one new base in the shared folder."""
         with self._lock:
             self._usable()
             try:
                 self._base = self._index = store.stored(self._index)
-                self._gone, self._new = set(), {}
+                self._segments, self._gone, self._new = [], set(), {}
             except Exception as e:
                 self._failed = "<index>"
                 raise ConceptError("ERR_INDEX_UNUSABLE", "<index>") from e
@@ -175,7 +198,7 @@ class ConceptSearch:
 
         outcome is strict, degraded, rejected (its path) or fatal. Of rows with one identity the last counts: that of the
         greatest ``version`` if there is such a column, else the last in the order of the frame. Up to MERGE_AFTER
-        documents become changes beside the base, more are merged with it at once.
+        documents become changes beside the base, more a segment of their own.
         """
         self._usable()
         version = F.col("version") if "version" in documents.columns else F.monotonically_increasing_id()
@@ -188,24 +211,10 @@ class ConceptSearch:
         if n and n <= MERGE_AFTER:
             self._add([r.asDict(recursive=True) for r in accepted.select(*DOCUMENT_COLUMNS, "sections").collect()])
         elif n:
-            self._replace(*preparing.split(prepared))
+            self._flush(*preparing.split(prepared))
         outcome = prepared.select("path", F.coalesce("conformance", F.lit("fatal")).alias("outcome"), F.col("diagnostics").alias("errors"))
         return outcome.unionByName(bad)
 
-    def _replace(self, documents: DataFrame, sections: DataFrame) -> None:
-        """Stores a new base in which these documents stand for those of their ids."""
-        with self._lock:
-            try:
-                old, new = self._index, indexing.build(documents, sections)
-                gone = documents.select("document_id")
-                kept = lambda frame: frame.join(gone, "document_id", "left_anti")
-                merged = {name: kept(getattr(old, name)).select(getattr(old, name).columns).unionByName(getattr(new, name).select(getattr(old, name).columns)) for name in ("documents", "sections", "postings")}
-                self._base = self._index = store.stored(Index(**merged, term_stats=old.term_stats, field_stats=old.field_stats))
-                self._gone, self._new = set(), {}
-            except Exception as e:
-                self._failed = "<index>"
-                raise ConceptError("ERR_INDEX_UNUSABLE", "<index>") from e
-
     def remove(self, path: str) -> bool:
         """Whether a document was there to be removed."""
         return bool(self.remove_many([path]))
@@ -308,4 +317,4 @@ class Snapshots:
     def status(self) -> dict:
         """Root, types, degraded documents and age in seconds of the current handle."""
         found = self.get()
-        return {"root": self._root, "types": found.list_types(), "degraded": len(found.list_degraded()), "age_seconds": time.time() - self._at}
+        return {"root": self._root, "types": found.list_types(), "degraded": stats.totals(found.documents).first().degraded, "age_seconds": time.time() - self._at}

@@ -1,18 +1,35 @@
-"""The index: documents, sections, postings and corpus statistics as five frames.
+"""The index: documents, sections, postings, corpus statistics and the neighbourhoods of terms as frames.
 
 A posting repeats its document's fields in every section, as the ranking unit is the section, and tells whether its
-document is strict, so that ranking needs no other table. Stored postings and term statistics are sorted by term,
-sections and documents by id; searches state the terms and ids that they look up as literals, so that scans skip the row
-groups without them.
+document is strict, so that ranking needs no other table. Stored term statistics are sorted by term, sections and
+documents by id; searches state the terms and ids that they look up as literals, so that scans skip the row groups
+without them.
+
+Stored postings are blocks: rows (term, field, block) of up to BLOCK postings as arrays, sorted by term, field and falling
+impact, so the first block of a term holds the postings that score most. Section id takes part in the ranges, so the
+postings of a frequent term span files and tasks. A block has its peaks, the least field length for each frequency in it:
+they bound what its postings can score under any statistics. A document's id that begins its section's id is stored as
+its length. Blocks are decoded by built-in functions.
+
+Neighbourhoods: each stem, that is each beginning of a term of up to STEM characters, is stored under all strings that
+deletions of up to DELETIONS of its characters leave. Two terms, or a term and the beginning of another, within that many
+edits (transpositions included) share such a string of their stems, so fuzzy terms are met by an equi-join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.options import FIELDS, among, tokenized
 
@@ -21,20 +38,56 @@ DOCUMENT = ("document_id string, path string, type string, title string, tags ar
 SECTION = "section_id string, document_id string, heading_path string, text string, start_line int, end_line int"
 
 
-TABLES = ("documents", "sections", "postings", "term_stats", "field_stats")
+#: The stored tables.
+TABLES = ("documents", "sections", "blocks", "term_stats", "field_stats", "variants")
+FRAMES = ("documents", "sections", "postings", "term_stats", "field_stats", "variants")
 #: What the rows of a stored table are sorted by; each file has a range of it.
-SORTED = {"documents": ("document_id",), "sections": ("section_id",), "postings": ("term", "field"), "term_stats": ("term", "field")}
+SORTED = {"documents": ("document_id",), "sections": ("section_id",), "term_stats": ("term", "field"), "variants": ("variant", "stem")}
+#: Fixed values of ranking: BM25.
+K1, B = 1.2, 0.75
+#: Postings of a block.
+BLOCK = 512
+#: Characters of a stem, and deletions of its neighbourhood: terms of up to so many edits are found.
+STEM, DELETIONS = 7, 2
+POSTING = "field string, term string, section_id string, document_id string, strict boolean, dl int, tf long"
+BLOCKS = "term string, field string, block long, head boolean, n int, sections array<string>, cuts array<int>, documents array<string>, strict array<boolean>, dl array<int>, tf array<int>, peaks array<struct<tf:int,dl:int>>"
+
+
+#: Rows up to which a table is sent to all executors.
+BROADCAST_ROWS = 200_000
+
+
+def small(frame: DataFrame, rows: int) -> DataFrame:
+    """frame with a broadcast hint if its known number of rows allows it."""
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
 
 
 @dataclass(frozen=True)
+class Part:
+    """Stored postings as blocks, and (document_id) of the documents, n_gone of them, that are no longer there."""
+
+    blocks: DataFrame
+    gone: DataFrame | None = None
+    n_gone: int = 0
+
+
+@dataclass(frozen=True, eq=False)
 class Index:
-    """documents and sections, and what is derived from them."""
+    """documents and sections, and what is derived from them.
+
+    parts, if there are any, hold the stored postings; removed are further documents that are no longer there, and fresh
+    the postings that came since.
+    """
 
     documents: DataFrame
     sections: DataFrame
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    variants: DataFrame
+    parts: tuple[Part, ...] = ()
+    removed: tuple[str, ...] = ()
+    fresh: DataFrame | None = None
 
     @cached_property
     def averages(self) -> dict[str, tuple[int, float]]:
@@ -42,8 +95,21 @@ class Index:
         return {r.field: (r.n_docs, r.avg_dl) for r in self.field_stats.collect()}  # eight rows
 
     def frames(self) -> dict[str, DataFrame]:
-        """The five frames by name."""
-        return {name: getattr(self, name) for name in TABLES}
+        """The six frames by name."""
+        return {name: getattr(self, name) for name in FRAMES}
+
+    def among(self, wanted: Column, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The postings that fulfil a condition on term and field; of stored ones those of the blocks that kept() keeps."""
+        if not self.parts:
+            return self.postings.where(wanted)
+        found = None if self.fresh is None else self.fresh.where(wanted)
+        for part in self.parts:
+            blocks = part.blocks.where(wanted)
+            rows = decoded(kept(blocks) if kept else blocks)
+            rows = rows if part.gone is None else rows.join(small(part.gone, part.n_gone), "document_id", "left_anti")
+            rows = rows.where(~among("document_id", list(self.removed))) if self.removed else rows
+            found = rows if found is None else found.unionByName(rows.select(found.columns))
+        return found
 
     def cached(self) -> Index:
         """This index with its frames kept by Spark."""
@@ -72,7 +138,88 @@ def build(documents: DataFrame, sections: DataFrame) -> Index:
     postings = terms.groupBy("field", "term", "section_id", "document_id", "strict", "dl").agg(F.count(F.lit(1)).alias("tf"))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl"))
-    return Index(documents, sections, postings, term_stats, field_stats)
+    return Index(documents, sections, postings, term_stats, field_stats, neighbourhoods(term_stats))
+
+
+def blocked(postings: DataFrame, averages: dict[str, float], size: int | None = None) -> DataFrame:
+    """Rows of BLOCKS of stored postings, sorted by term, field and falling impact; averages: the mean length of each field."""
+    mean = F.expr("CASE field " + " ".join(f"WHEN '{name}' THEN CAST({max(value, 1e-9)!r} AS DOUBLE)" for name, value in averages.items()) + " ELSE 1.0 END") if averages else F.lit(1.0)
+    weak = -F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    order = ["term", "field", "weak", "section_id"]
+    # section ids are ranged too: the postings of one term need not stay together
+    rows = postings.withColumn("weak", weak).repartitionByRange(*order).sortWithinPartitions(*order).select("term", "field", "section_id", "document_id", "strict", "dl", F.col("tf").cast("int").alias("tf"))
+
+    names, size = StructType.fromDDL(BLOCKS).names, size or BLOCK
+
+    def run(batches):
+        task, k, last = TaskContext.get().partitionId() << 32, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [batch.column(i).dictionary_encode().indices.to_numpy() for i in (0, 1)]
+            new = np.ones(n, bool)
+            new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+            begin = np.flatnonzero(new)
+            place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
+            first = np.flatnonzero(place % size == 0)
+            block = np.cumsum(place % size == 0) - 1
+            head = place[first] == 0
+            term, field = (batch.column(i).take(pa.array(first)) for i in (0, 1))
+            if last == (term[0].as_py(), field[0].as_py()):
+                head[0] = False  # the term goes on from the batch before
+            last = (term[-1].as_py(), field[-1].as_py())
+            # within a block by section, which compresses best
+            order = pc.sort_indices(pa.table({"b": block, "s": batch.column(2)}), [("b", "ascending"), ("s", "ascending")])
+            section, document, strict, dl, tf = (batch.column(i).take(order) for i in range(2, 7))
+            inside = np.array([s.startswith(d) for s, d in zip(section.to_pylist(), document.to_pylist(), strict=True)])
+            cuts = pa.array(pc.utf8_length(document).to_numpy(), mask=~inside, type=pa.int32())
+            rest = pc.if_else(pa.array(inside), pa.scalar(None, pa.string()), document)
+            offsets = pa.array(np.append(first, n).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, c) for c in (section, cuts, rest, strict, dl, tf)]
+            # the least length for each frequency
+            t, length = tf.to_numpy(), dl.to_numpy()
+            by = np.lexsort((length, t, block))
+            fresh = np.flatnonzero(np.concatenate(([True], (block[by][1:] != block[by][:-1]) | (t[by][1:] != t[by][:-1]))))
+            at = by[fresh]
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(block[at], minlength=len(first)))).astype(np.int32))
+            peaks = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(t[at]), pa.array(length[at])], ["tf", "dl"]))
+            sizes = pa.array(np.diff(np.append(first, n)).astype(np.int32))
+            yield pa.record_batch([term, field, pa.array(task + k + np.arange(len(first))), pa.array(head), sizes, *lists, peaks], names=names)
+            k += len(first)
+
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def decoded(blocks: DataFrame) -> DataFrame:
+    """Rows of POSTING of blocks."""
+    rows = blocks.select("term", "field", F.explode(F.arrays_zip("sections", "cuts", "documents", "strict", "dl", "tf")).alias("p"))
+    document = F.when(F.col("p.cuts").isNull(), F.col("p.documents")).otherwise(F.substring(F.col("p.sections"), F.lit(1), F.col("p.cuts")))
+    return rows.select("field", "term", F.col("p.sections").alias("section_id"), document.alias("document_id"), F.col("p.strict").alias("strict"), F.col("p.dl").alias("dl"), F.col("p.tf").cast("long").alias("tf"))
+
+
+def _deletions(stem):
+    """All strings that deletions of up to DELETIONS characters leave of a column's strings, the whole ones first."""
+    without = lambda x, i: F.concat(F.substring(x, F.lit(1), i), F.substring(x, i + 2, F.lit(STEM)))
+    found = F.array(stem)
+    for _ in range(DELETIONS):
+        shorter = F.flatten(F.transform(found, lambda x: F.transform(F.when(F.length(x) > 0, F.sequence(F.lit(0), F.length(x) - 1)).otherwise(F.array().cast("array<int>")), lambda i: without(x, i))))
+        found = F.array_distinct(F.concat(found, shorter))
+    return found
+
+
+def deletions(term: str) -> list[str]:
+    """The same of one term's stem."""
+    stem = term[:STEM]
+    return sorted({"".join(kept) for n in range(max(0, len(stem) - DELETIONS), len(stem) + 1) for kept in combinations(stem, n)})
+
+
+def neighbourhoods(term_stats: DataFrame) -> DataFrame:
+    """(variant, stem, term): of each term its stem's variants, and of each shorter beginning its variants with no term."""
+    terms = term_stats.select("term").distinct()
+    whole = terms.select(F.substring("term", 1, STEM).alias("stem"), "term")
+    begun = terms.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(STEM))), lambda n: F.substring("term", F.lit(1), n))).alias("stem")).distinct().withColumn("term", F.lit(None).cast("string"))
+    return whole.unionByName(begun).select(F.explode(_deletions(F.col("stem"))).alias("variant"), "stem", "term")
 
 
 def violations(documents: DataFrame, sections: DataFrame) -> DataFrame:
@@ -102,6 +249,17 @@ def violations(documents: DataFrame, sections: DataFrame) -> DataFrame:
     return found
 
 
+def totals(field_stats: DataFrame) -> DataFrame:
+    """(field, n_docs, total): the records and the terms of each field, which add up."""
+    return field_stats.select("field", "n_docs", F.round(F.col("avg_dl") * F.col("n_docs")).cast("long").alias("total"))
+
+
+def averaged(sums: DataFrame) -> DataFrame:
+    """Field statistics of rows as of totals()."""
+    found = sums.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total"))
+    return found.where("n_docs > 0").select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_dl"))
+
+
 def patched(base: Index, gone: list[str], documents: DataFrame, sections: DataFrame) -> Index:
     """base without the documents of the ids in gone, with new documents and sections.
 
@@ -114,8 +272,10 @@ def patched(base: Index, gone: list[str], documents: DataFrame, sections: DataFr
     new = build(documents, sections)
     change = lambda frame, sign: frame.groupBy("field", "term").agg((sign * F.count(F.lit(1))).alias("df"))
     term_stats = base.term_stats.unionByName(change(lost.postings, -1)).unionByName(change(new.postings, 1)).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
-    total = F.round(F.col("avg_dl") * F.col("n_docs")).cast("long")
-    sums = lambda frame, sign: frame.select("field", (sign * F.col("n_docs")).alias("n_docs"), (sign * total).alias("total"))
-    totals = sums(base.field_stats, 1).unionByName(sums(lost.field_stats, -1)).unionByName(sums(new.field_stats, 1)).groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total"))
-    field_stats = totals.where("n_docs > 0").select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_dl"))
-    return Index(kept(base.documents).unionByName(documents.select(names)), kept(base.sections).unionByName(sections), kept(base.postings).unionByName(new.postings), term_stats, field_stats)
+    minus = totals(lost.field_stats).select("field", (-F.col("n_docs")).alias("n_docs"), (-F.col("total")).alias("total"))
+    field_stats = averaged(totals(base.field_stats).unionByName(minus).unionByName(totals(new.field_stats)))
+    # variants of terms that are gone do no harm: these have no postings
+    return Index(
+        kept(base.documents).unionByName(documents.select(names)), kept(base.sections).unionByName(sections), kept(base.postings).unionByName(new.postings), term_stats, field_stats,
+        base.variants.unionByName(new.variants), base.parts, tuple(gone), new.postings,
+    )

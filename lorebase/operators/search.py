@@ -1,16 +1,24 @@
 """Ranked search of any number of queries at once.
 
-First the dictionary is asked: the query terms' prefix and fuzzy alternatives and their document frequencies. Up to
-EXPANSIONS of them come to the driver and go into the second plan as literals, so the scan of the postings skips the row
-groups without these terms; more are joined. There of a term's alternatives in a field the best counts, fields and terms
+First the dictionary is asked: the query terms' prefix and fuzzy alternatives and their document frequencies. Fuzzy
+alternatives share a string of their neighbourhoods with the query term and are met by an equi-join. Up to EXPANSIONS of
+them come to the driver and go into the second plan as literals, so the scan of the postings skips the row groups without
+these terms; more are joined. There of a term's alternatives in a field the best counts, fields and terms
 add up. Contributions are decimals, so sums do not depend on order. The best section of each document is ranked by score,
 conformance and section id, all after one shuffle by query and document and one of the best of each part by query. At
 last the ranked sections alone, up to FETCHED of them by literal ids, are read for their hits.
+
+Queries whose terms have PRUNE_FROM postings or more in a stored index are pruned, exactly. The first blocks of the terms
+give each query a score that its last hit has at least (a sum of some of a section's contributions is below its score).
+Pairs of a query term and a field that could not reach that score even together give no candidates; of the others only
+blocks and postings are read whose bound reaches it with all that the other pairs could add. What the pairs left out add
+to the candidates is then read for these alone. Scores that are equal to the bound stay, so ties are settled as ever.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -22,19 +30,20 @@ from pyspark.sql.window import Window
 
 from ..functions.edit_distance import distance
 from ..plans.options import _TOKEN, FIELDS, MAX_TERM, Options, among, condition, edits, tokens
-from .index import Index
+from ..sources import shared
+from .index import BROADCAST_ROWS, K1, STEM, B, Index, deletions, small
 
-#: Fixed values of ranking: BM25 and the weights of the alternatives.
-K1, B = 1.2, 0.75
+#: Fixed values of ranking: the weights of the alternatives.
 FUZZY_WEIGHT, PREFIX_WEIGHT = 0.70, 0.50
 LOOKBEHIND = 80
 EXACT = "decimal(28,12)"
-#: Rows up to which a table made of query terms is sent to all executors.
-BROADCAST_ROWS = 200_000
 #: Alternatives that the driver takes in, terms and ids that a scan is given as literals, prefixes that are tested one by one.
 EXPANSIONS = 20_000
 LITERALS = 5_000
 FETCHED = 5_000
+#: Postings of the query terms from which searches of a stored index are pruned, and what a bound is eased by.
+PRUNE_FROM = 250_000
+EASE = 1e-6
 #: Hits up to which snippets are cut by the driver, which spares the start of Python workers.
 FEW = 200
 PREFIXES = 16
@@ -42,11 +51,6 @@ TERM = "query_id long, pos int, term string, edits int, prefix boolean, n_terms
 HIT = "query_id long, rank int, document_id string, title string, section_id string, score double, conformance string, matched_fields array<string>, heading_path string, path string, start_line int, end_line int, snippet string"
 
 
-def small(frame: DataFrame, rows: int) -> DataFrame:
-    """frame with a broadcast hint if its known number of rows allows it."""
-    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
-
-
 def query_terms(queries: dict[int, str], options: Options) -> list[tuple]:
     """Rows of TERM for the queries that have terms."""
     out = []
@@ -89,14 +93,24 @@ def alternatives(index: Index, rows: list[tuple], options: Options) -> DataFrame
         found = held.join(asked, "head").where(F.col("index_term").startswith(F.col("term")) & (F.length("head") == F.least(F.length("term"), F.lit(3))))
         parts.append(found.select(*columns, F.lit(PREFIX_WEIGHT).alias("weight")).distinct())
     if edited:
-        words, terms = words.distinct(), small(spark.createDataFrame(_arrow(edited)), len(edited))
+        # what both sides leave after deletions brings them together; the true distance is worked out for these few
+        asked = spark.createDataFrame(_neighbours(edited))
+        held = index.variants
+        n_variants = sum(len(_variants(r)) for r in edited)
+        if n_variants <= LITERALS:
+            held = held.where(among("variant", sorted({v for r in edited for v, _ in _variants(r)})))
+        held = held.withColumnRenamed("term", "index_term").where(F.length("stem") - F.length("variant") <= max(r[3] for r in edited))
+        met = held.join(small(asked, n_variants), "variant").where(F.length("stem") - F.length("variant") <= F.col("edits"))
         reach = F.col("edits")
         # a transposition is one edit here and two of Levenshtein's
-        near = words.join(terms, (F.abs(F.length("index_term") - F.length("term")) <= reach) & (F.levenshtein("index_term", "term", 4) >= 0) & (F.levenshtein("index_term", "term") <= 2 * reach))
+        near = met.where("index_term is not null").where((F.abs(F.length("index_term") - F.length("term")) <= reach) & (F.levenshtein("index_term", "term") <= 2 * reach)).select(*columns, "term", "edits").distinct()
         parts.append(_within(near.withColumn("whole", F.lit(True))).select(*columns, F.lit(FUZZY_WEIGHT).alias("weight")))
-        if options.fuzzy_prefix:
+        if options.fuzzy_prefix and any(r[4] for r in edited):
+            stems = met.where("index_term is null and prefix").where(F.levenshtein("stem", F.substring("term", 1, STEM)) <= 2 * reach).select("query_id", "pos", "n_terms", "term", "edits", "stem").distinct()
+            sizes = sorted({n for r in edited if r[4] for n in range(max(1, min(STEM, len(r[2]) - r[3])), min(STEM, len(r[2]) + r[3]) + 1)})
+            begun = words.distinct().select("index_term", F.explode(F.array_distinct(F.array(*[F.substring("index_term", 1, n) for n in sizes]))).alias("stem")).join(stems, "stem")
             cut = lambda k: F.levenshtein(F.col("term"), F.substring(F.col("index_term"), F.lit(1), F.greatest(F.length("term") + k, F.lit(0))))
-            begun = words.join(terms.where("prefix"), (F.length("index_term") >= F.length("term") - reach) & (F.least(*[cut(k) for k in range(-2, 3)]) <= 2 * reach))
+            begun = begun.where((F.length("index_term") >= F.length("term") - reach) & (F.least(*[cut(k) for k in range(-2, 3)]) <= 2 * reach)).select(*columns, "term", "edits").distinct()
             parts.append(_within(begun.withColumn("whole", F.lit(False))).select(*columns, F.lit(PREFIX_WEIGHT).alias("weight")))
     out = None
     for part in parts:
@@ -104,6 +118,19 @@ def alternatives(index: Index, rows: list[tuple], options: Options) -> DataFrame
     return out
 
 
+def _variants(row: tuple) -> list[tuple[str, int]]:
+    """(variant, deletions) of a query term's stem, within its edits."""
+    _, _, term, reach, *_ = row
+    size = min(len(term), STEM)
+    return [(v, size - len(v)) for v in deletions(term) if size - len(v) <= reach]
+
+
+def _neighbours(rows: list[tuple]) -> pa.Table:
+    """Rows of TERM with each variant of their terms."""
+    wide = [(*r, v) for r in rows for v, _ in _variants(r)]
+    return _arrow([r[:6] for r in wide]).append_column("variant", pa.array([r[6] for r in wide], pa.string()))
+
+
 def _arrow(rows: list[tuple]) -> pa.Table:
     """Rows of TERM as a table that becomes a part of the plan itself."""
     kinds = {"query_id": pa.int64(), "pos": pa.int32(), "term": pa.string(), "edits": pa.int32(), "prefix": pa.bool_(), "n_terms": pa.int32()}
@@ -113,11 +140,15 @@ def _arrow(rows: list[tuple]) -> pa.Table:
 _MET = pa.schema([("query_id", pa.int64()), ("pos", pa.int32()), ("n_terms", pa.int32()), ("index_term", pa.string()), ("weight", pa.float64()), ("df", pa.map_(pa.string(), pa.int64()))])
 
 
-def expand(index: Index, rows: list[tuple], options: Options) -> tuple[DataFrame, int | None, list[str] | None]:
-    """What query terms meet, as (query_id, pos, n_terms, index_term, weight, df), its number of rows and its terms.
+def _met_table(met: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*met, strict=True) if met else [[]] * 6, _MET, strict=True)], schema=_MET)
+
+
+def expand(index: Index, rows: list[tuple], options: Options) -> tuple[DataFrame, list[tuple] | None]:
+    """What query terms meet, as (query_id, pos, n_terms, index_term, weight, df), and the same rows as a list.
 
-    weight is null for the exact term, which has its document frequencies by field; both counts are None if there are
-    more alternatives than EXPANSIONS.
+    weight is null for the exact term, which has its document frequencies by field; there is no list if there are more
+    alternatives than EXPANSIONS.
     """
     spark = index.documents.sparkSession
     exact = sorted({r[2] for r in rows})
@@ -138,11 +169,10 @@ def expand(index: Index, rows: list[tuple], options: Options) -> tuple[DataFrame
     more = [(r.query_id, r.pos, r.n_terms, r.index_term, r.weight, None) for r in found if r.field is None]
     many = len(more) > EXPANSIONS
     met = own if many else own + more
-    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*met, strict=True) if met else [[]] * 6, _MET, strict=True)], schema=_MET)
-    frame = spark.createDataFrame(table)
+    frame = spark.createDataFrame(_met_table(met))
     if many:
-        return frame.unionByName(others.withColumn("df", F.lit(None).cast("map<string,bigint>"))), None, None
-    return small(frame, len(met)), len(met), sorted({m[3] for m in met})
+        return frame.unionByName(others.withColumn("df", F.lit(None).cast("map<string,bigint>"))), None
+    return small(frame, len(met)), met
 
 
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avg: Column) -> Column:
@@ -161,19 +191,129 @@ def _of_fields(frame: DataFrame, options: Options) -> DataFrame:
     return frame if set(options.fields) == set(FIELDS) else frame.where(among("field", list(options.fields)))
 
 
-def matches(index: Index, rows: list[tuple], options: Options) -> DataFrame:
-    """(query_id, section_id, document_id, strict, n_terms, pos, field, index_term, gain) of every alternative that applies."""
-    met, _, terms = expand(index, rows, options)
-    postings = _of_fields(index.postings, options)
-    if terms is not None and len(terms) <= LITERALS:
-        postings = postings.where(among("term", terms))
+def _wanted(met: list[tuple] | None, options: Options) -> Column:
+    """The condition on term and field of postings that these rows meet."""
+    terms = sorted({m[3] for m in met}) if met is not None else None
+    wanted = F.lit(True) if set(options.fields) == set(FIELDS) else among("field", list(options.fields))
+    return wanted & among("term", terms) if terms is not None and len(terms) <= LITERALS else wanted
+
+
+def _filtered(index: Index, postings: DataFrame, options: Options) -> DataFrame:
     where = condition(options)
-    if where is not None:
-        postings = postings.join(index.documents.where(where).select("document_id"), "document_id", "left_semi")
-    found = postings.join(met, postings.term == met.index_term).drop("term")
+    return postings if where is None else postings.join(index.documents.where(where).select("document_id"), "document_id", "left_semi")
+
+
+def _score(index: Index, options: Options) -> Column:
+    """BM25 of a row with field, tf, dl and df."""
     known = index.averages or {name: (0, math.nan) for name in options.fields}
-    score = bm25(F.col("tf"), F.col("dl"), F.element_at("df", F.col("field")), _by_field({k: n for k, (n, _) in known.items()}, "long"), _by_field({k: float(a) for k, (_, a) in known.items()}, "double"))
-    return found.select("query_id", "section_id", "document_id", "strict", "n_terms", "pos", "field", "index_term", F.coalesce("weight", score).alias("gain"))
+    return bm25(F.col("tf"), F.col("dl"), F.col("df"), _by_field({k: n for k, (n, _) in known.items()}, "long"), _by_field({k: float(a) for k, (_, a) in known.items()}, "double"))
+
+
+def _gained(index: Index, postings: DataFrame, met: DataFrame, options: Options, *more: str) -> DataFrame:
+    found = postings.join(met, postings.term == met.index_term).drop("term").withColumn("df", F.element_at("df", F.col("field")))
+    return found.select("query_id", "section_id", "document_id", "strict", "n_terms", "pos", "field", "index_term", F.coalesce("weight", _score(index, options)).alias("gain"), *more)
+
+
+def matches(index: Index, rows: list[tuple], options: Options) -> DataFrame:
+    """(query_id, section_id, document_id, strict, n_terms, pos, field, index_term, gain) of every alternative that applies."""
+    met, known = expand(index, rows, options)
+    return _gained(index, _filtered(index, index.among(_wanted(known, options)), options), met, options)
+
+
+def floors(index: Index, met: list[tuple], options: Options) -> dict[int, float]:
+    """A score that the last hit of a query has at least, from the first blocks of its terms; queries with fewer hits have none."""
+    spark = index.documents.sparkSession
+    exact = [m for m in met if m[4] is None]
+    frame = small(spark.createDataFrame(_met_table(exact)), len(exact))
+    heads = _filtered(index, index.among(_wanted(exact, options), lambda blocks: blocks.where("head")), options)
+    best = ranked(scores(_gained(index, heads, frame, options), options), options)
+    return {r.query_id: float(r.least) for r in best.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == options.limit).collect()}
+
+
+def limits(index: Index, met: list[tuple], options: Options, floor: dict[int, float]) -> dict[tuple[int, int, str], float | None]:
+    """What a posting must contribute at least, by (query, position, field), to be of a candidate; None if it need not be asked for candidates.
+
+    A pair of position and field contributes its best alternative, at most its exact term's idf times K1 + 1 or its
+    greatest weight, times the field's boost.
+    """
+    most: dict[int, dict] = {}
+    for query, pos, _, _, weight, df in met:
+        own = most.setdefault(query, {})
+        for field, n in df if weight is None else [(f, None) for f in options.fields]:
+            if weight is None:
+                total = index.averages[field][0]
+                gain = math.log(1 + (total - n + 0.5) / (n + 0.5)) * (K1 + 1)
+            exact, other = own.get((pos, field), (0.0, 0.0))
+            boost = options.boost[field]
+            own[pos, field] = (max(exact, boost * gain), other) if weight is None else (exact, max(other, boost * weight))
+    out: dict = {}
+    for query, own in most.items():
+        least = floor.get(query)
+        total = sum(max(x) for x in own.values())
+        sunk = 0.0
+        for (pos, field), (exact, other) in sorted(own.items(), key=lambda x: max(x[1])):
+            bound = max(exact, other)
+            if least is None:
+                out[query, pos, field] = -math.inf
+            elif sunk + bound < least - EASE:
+                sunk += bound
+                out[query, pos, field] = None
+            else:
+                need = least - EASE - (total - bound)
+                # an alternative of a constant weight may carry what a posting of the exact term does not
+                out[query, pos, field] = need if need > other else -math.inf
+    return out
+
+
+_LIMITED = pa.schema([*_MET, ("need", pa.map_(pa.string(), pa.float64())), ("rest", pa.list_(pa.string()))])
+
+
+def reaching(index: Index, met: list[tuple], options: Options, need: dict) -> Callable[[DataFrame], DataFrame]:
+    """A function that keeps the blocks of which some posting may contribute what a query needs."""
+    spark = index.documents.sparkSession
+    least: dict[tuple[str, str], list] = {}
+    for query, pos, _, term, weight, df in met:
+        for field, n in df if weight is None else [(f, 0) for f in options.fields]:
+            own = need[query, pos, field]
+            if own is not None:
+                held = least.setdefault((term, field), [math.inf, 1])
+                held[0] = min(held[0], own if weight is None else -math.inf)
+                held[1] = max(held[1], n)
+    rows = [(t, f, x, n) for (t, f), (x, n) in least.items()]
+    table = pa.table({"term": pa.array([r[0] for r in rows], pa.string()), "field": pa.array([r[1] for r in rows], pa.string()), "least": pa.array([r[2] for r in rows], pa.float64()), "df": pa.array([r[3] for r in rows], pa.int64())})
+    frame = spark.createDataFrame(table)
+    boost = _by_field(options.boost, "double")
+
+    def kept(blocks: DataFrame) -> DataFrame:
+        names = blocks.columns
+        held = blocks.join(small(frame, len(rows)), ["term", "field"])
+        known = index.averages
+        total, mean = _by_field({k: n for k, (n, _) in known.items()}, "long"), _by_field({k: float(a) for k, (_, a) in known.items()}, "double")
+        return held.where((F.col("least") == -math.inf) | F.exists("peaks", lambda p: boost * bm25(p["tf"], p["dl"], F.col("df"), total, mean) >= F.col("least"))).select(names)
+
+    return kept
+
+
+def pruned(index: Index, met: list[tuple], options: Options) -> DataFrame:
+    """Rows as of matches() that hold all of those of every section that can be a hit."""
+    spark = index.documents.sparkSession
+    need = limits(index, met, options, floors(index, met, options))
+    wide = [(*m, [(f, x) for f in options.fields if (x := need.get((m[0], m[1], f))) is not None], [f for f in options.fields if need.get((m[0], m[1], f), 0) is None]) for m in met]
+    table = lambda rows: pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, _LIMITED, strict=True)], schema=_LIMITED)
+    asked, rest = [w for w in wide if w[6]], [w for w in wide if w[7]]
+    boost = _by_field(options.boost, "double")
+    first = _filtered(index, index.among(_wanted([m[:6] for m in asked], options), reaching(index, met, options, need)), options)
+    first = _gained(index, first, small(spark.createDataFrame(table(asked)), len(asked)), options, "need")
+    names = [c for c in first.columns if c != "need"]
+    first = first.withColumn("need", F.element_at("need", F.col("field"))).where(F.col("need").isNotNull() & (F.col("gain") * boost >= F.col("need"))).select(names)
+    if not rest:
+        return first
+    first = shared.cut(first)  # read twice, and its size decides how the rest is joined
+    n = first.count()
+    candidates = first.select("query_id", "section_id").distinct()
+    others = _filtered(index, index.among(_wanted([m[:6] for m in rest], options)), options).join(small(candidates.select("section_id").distinct(), n), "section_id", "left_semi")
+    others = _gained(index, others, small(spark.createDataFrame(table(rest)), len(rest)), options, "rest").where(F.array_contains("rest", F.col("field"))).drop("rest")
+    return first.unionByName(others.join(small(candidates, n), ["query_id", "section_id"], "left_semi").select(names))
 
 
 def scores(found: DataFrame, options: Options) -> DataFrame:
@@ -285,4 +425,7 @@ def search_many(index: Index, queries: dict[int, str], options: Options) -> Data
     rows = query_terms(queries, options)
     if not rows or options.limit == 0:
         return spark.createDataFrame([], HIT)
-    return hits(index, ranked(scores(matches(index, rows, options), options), options), rows, options)
+    met, known = expand(index, rows, options)
+    heavy = bool(index.parts) and known is not None and sum(n for m in known for _, n in m[5] or ()) >= PRUNE_FROM
+    found = pruned(index, known, options) if heavy else _gained(index, _filtered(index, index.among(_wanted(known, options)), options), met, options)
+    return hits(index, ranked(scores(found, options), options), rows, options)

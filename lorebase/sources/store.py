@@ -2,7 +2,8 @@
 
 A cache is a folder with ``current`` (the name of a generation) and generations. A writer holds a sibling lock; a new
 generation is complete before the pointer moves, so a failed save leaves the old one in force. All files are reached
-through Hadoop's file systems, so a cache can be anywhere that Spark writes; checksums are worked out by the executors.
+through Hadoop's file systems, so a cache can be anywhere that Spark writes. Executors digest the content of files in
+ranges of rows, which fold to one digest for each file; the ranges are kept, so damage can be placed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from contextlib import contextmanager
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import ConceptError
 from ..operators import index as indexing
@@ -24,15 +26,18 @@ from ..operators.index import TABLES, Index
 from . import shared
 
 #: What a reader must agree on: layout, analysis and preparation revisions.
-REVISIONS = {"format": 2, "analysis": 1, "preparation": 1}
+REVISIONS = {"format": 3, "analysis": 1, "preparation": 1}
 #: Seconds after which a lock is taken to be left behind by a writer that is gone.
 STALE_LOCK = 6 * 3600
 MOST_MANIFEST = 1 << 26
 #: The columns that each table must have.
 SCHEMAS = {
-    "documents": indexing.DOCUMENT, "sections": indexing.SECTION, "postings": "field string, term string, section_id string, document_id string, strict boolean, dl int, tf long",
-    "term_stats": "field string, term string, df long", "field_stats": "field string, n_docs long, avg_dl double",
+    "documents": indexing.DOCUMENT, "sections": indexing.SECTION, "blocks": indexing.BLOCKS,
+    "term_stats": "field string, term string, df long", "field_stats": "field string, n_docs long, avg_dl double", "variants": "variant string, stem string, term string",
 }
+#: Rows of a range of a file that has a digest of its own, and the folder of these.
+LEAF = 1 << 16
+LEAVES = "leaves"
 
 
 class Place:
@@ -133,17 +138,24 @@ def _write(frame: DataFrame, table: str, folder: str) -> DataFrame:
 
 
 def stored(index: Index, folder: str | None = None, rebuild: bool = False) -> Index:
-    """index as tables of a folder, by default one of the shared folder; statistics come from the stored postings.
+    """index as tables of a folder, by default one of the shared folder; postings as blocks, statistics from these.
 
     With rebuild the postings are those of the stored documents and sections, so these are worked out once.
     """
-    folder = folder or shared.folder(index.documents.sparkSession)
+    spark = index.documents.sparkSession
+    folder = folder or shared.folder(spark)
     documents, sections = _write(index.documents, "documents", folder), _write(index.sections, "sections", folder)
-    source = indexing.build(documents, sections).postings if rebuild else index.postings
-    postings = _write(source, "postings", folder)
-    term_stats = _write(postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), "term_stats", folder)
-    field_stats = _write(counted(postings, sections), "field_stats", folder)
-    return Index(documents, sections, postings, term_stats, field_stats)
+    source = shared.cut(indexing.build(documents, sections).postings if rebuild else index.postings)  # ranges are drawn in a pass of its own
+    field_stats = _write(counted(source, sections), "field_stats", folder)
+    blocks = _write(indexing.blocked(source, {r.field: r.avg_dl for r in field_stats.collect()}), "blocks", folder)
+    term_stats = _write(blocks.groupBy("field", "term").agg(F.sum("n").alias("df")), "term_stats", folder)
+    variants = _write(indexing.neighbourhoods(term_stats), "variants", folder)
+    return opened(documents=documents, sections=sections, blocks=blocks, term_stats=term_stats, field_stats=field_stats, variants=variants)
+
+
+def opened(blocks: DataFrame, **tables: DataFrame) -> Index:
+    """An index of stored tables."""
+    return Index(**tables, postings=indexing.decoded(blocks), parts=(indexing.Part(blocks),))
 
 
 def counted(postings: DataFrame, sections: DataFrame) -> DataFrame:
@@ -153,11 +165,45 @@ def counted(postings: DataFrame, sections: DataFrame) -> DataFrame:
     return every.join(totals, "field", "left").select("field", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_dl"))
 
 
+def _lengths(place: Place) -> dict[str, int]:
+    """The length of each Parquet file below a folder by its path from there."""
+    found, every, root = {}, place._fs.listFiles(place._at, True), re.sub("^file:/+", "file:/", place.url).rstrip("/") + "/"
+    while every.hasNext():
+        one = every.next()
+        if one.getPath().getName().endswith(".parquet"):
+            found[re.sub("^file:/+", "file:/", one.getPath().toString()).removeprefix(root)] = one.getLen()
+    return found
+
+
+def leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, part, rows, digest): the content of each range of LEAF rows of each file of a generation.
+
+    Executors hash every row with its place in its file, under two seeds, and combine the hashes in partial sums, so
+    neither a file nor a range is ever held as a whole, and files may be of any length.
+    """
+    out = None
+    for table in TABLES:
+        rows = spark.read.parquet(f"{folder}/{table}")
+        at, columns = F.col("_metadata.row_index"), [F.col(c) for c in rows.columns]
+        hashed = rows.select(F.concat(F.lit(f"{table}/"), F.col("_metadata.file_name")).alias("file"), F.floor(at / LEAF).cast("long").alias("part"), F.xxhash64(F.lit(1), at, *columns).alias("a"), F.xxhash64(F.lit(2), at, *columns).alias("b"))
+        found = hashed.groupBy("file", "part").agg(F.count(F.lit(1)).alias("rows"), F.concat(F.hex(F.bit_xor("a")), F.hex(F.bit_xor("b"))).alias("digest"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _digests(spark: SparkSession, folder: str) -> dict[str, list]:
-    """(length, SHA-256) of each Parquet file below folder by its relative path; read by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
-    place = re.sub("^file:/+", "file:/", folder)
-    return {re.sub("^file:/+", "file:/", r.path).removeprefix(place).lstrip("/"): [r.length, r.digest] for r in files.select("path", "length", F.sha2("content", 256).alias("digest")).collect()}  # one row for each file
+    """(length, digest) of each Parquet file of a generation: its leaves, folded by SHA-256."""
+    folded = leaves(spark, folder).groupBy("file").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "rows", "digest"))), lambda x: F.concat_ws(":", x["part"].cast("string"), x["rows"].cast("string"), x["digest"])), ","), 256).alias("digest"))
+    held = {r.file: r.digest for r in folded.collect()}  # one row for each file
+    return {name: [length, held.get(name, "")] for name, length in sorted(_lengths(Place(spark, folder)).items()) if not name.startswith(LEAVES)}
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first_row, last_row) of the ranges of the current generation whose content is not what was saved."""
+    folder = _manifest(spark, path)[1]
+    now, then = leaves(spark, folder), spark.read.parquet(f"{folder}/{LEAVES}")
+    wrong = now.unionByName(then).groupBy("file", "part").agg(F.count_distinct(F.struct("rows", "digest")).alias("kinds"), F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows")).where("kinds <> 1 or n <> 2")
+    return wrong.select("file", (F.col("part") * LEAF).alias("first_row"), (F.col("part") * LEAF + F.col("rows") - 1).alias("last_row"))
 
 
 def save(index: Index, path: str) -> Index:
@@ -171,7 +217,8 @@ def save(index: Index, path: str) -> Index:
         folder = place.of(name)
         try:
             out = stored(index, folder.url)
-            manifest = REVISIONS | {"files": _digests(spark, folder.url), "documents": out.documents.count(), "schemas": {t: f.schema.simpleString() for t, f in out.frames().items()}}
+            leaves(spark, folder.url).write.parquet(folder.of(LEAVES).url)
+            manifest = REVISIONS | {"files": _digests(spark, folder.url), "documents": out.documents.count(), "schemas": {t: (out.parts[0].blocks if t == "blocks" else getattr(out, t)).schema.simpleString() for t in TABLES}}
             folder.of("manifest.json").write(json.dumps(manifest))
             old = _pointer(place)
             new = place.of(f"current-{uuid.uuid4().hex}")
@@ -233,12 +280,12 @@ def load(spark: SparkSession, path: str) -> Index:
         if {t: f.schema.simpleString() for t, f in found.items()} != manifest.get("schemas"):
             raise ValueError("columns differ from the manifest")
         for table, frame in found.items():
-            frame.select([F.col(c.split()[0]).cast(c.split(None, 1)[1]) for c in SCHEMAS[table].split(", ")])
+            frame.select([F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(SCHEMAS[table]).fields])
         if found["documents"].count() != manifest.get("documents"):
             raise ValueError("documents are missing")
     except Exception as e:
         raise ConceptError("ERR_CACHE_INVALID", path) from e
-    index = Index(**found)
+    index = opened(**found)
     if not verify(index).isEmpty():
         raise ConceptError("ERR_CACHE_INVALID", path)
     return index
@@ -248,6 +295,9 @@ def verify(index: Index) -> DataFrame:
     """(rule, key) of every disagreement between an index's tables; empty if they agree."""
     rule = lambda name, key: [F.lit(name).alias("rule"), F.col(key).alias("key")]
     found = indexing.violations(index.documents, index.sections)
+    # each term and each beginning of one has its neighbourhood
+    words = index.term_stats.select("term").distinct()
+    lost = words.join(index.variants.where("term is not null and variant = stem").select("term"), "term", "left_anti").select(*rule("term without neighbourhood", "term"))
     strays = index.postings.join(index.sections, "section_id", "left_anti").select(*rule("posting without section", "section_id"))
     owners = index.postings.select("section_id", F.col("document_id").alias("owner")).distinct().join(index.sections, "section_id").where("owner <> document_id").select(*rule("posting of another document", "section_id"))
     counts = index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")).join(index.term_stats, ["field", "term"], "full_outer").where("not (n <=> df)").select(*rule("wrong count of a term", "term"))
@@ -255,7 +305,7 @@ def verify(index: Index) -> DataFrame:
     own = counted(index.postings, index.sections).select("field", F.struct("n_docs", F.round("avg_dl", 9)).alias("own"))
     stats = own.join(index.field_stats.select("field", F.struct("n_docs", F.round("avg_dl", 9)).alias("held")), "field", "full_outer").where("not (own <=> held)").select(*rule("wrong statistics of a field", "field"))
     status = index.postings.select("document_id", "strict").distinct().join(index.documents.select("document_id", (F.col("conformance") == "strict").alias("own")), "document_id").where("own <> strict").select(*rule("wrong conformance of a posting", "document_id"))
-    for more in (strays, owners, counts, bare, stats, status):
+    for more in (lost, strays, owners, counts, bare, stats, status):
         found = found.unionByName(more)
     return found
 

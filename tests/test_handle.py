@@ -241,3 +241,54 @@ def test_saved_indexes_are_refused_for_what_is_wrong_with_them(spark, tmp_path):
     with pytest.raises(ConceptError) as e:
         handle.save(str(tmp_path / "link"))
     assert e.value.code == "ERR_WRITE"
+
+
+def test_changes_become_segments_and_nothing_stored_is_rewritten(spark, monkeypatch):
+    from lorebase import handle as module
+    from lorebase.operators import segments
+    from lorebase.operators import search as searching
+
+    monkeypatch.setattr(module, "MERGE_AFTER", 3)
+    monkeypatch.setattr(segments, "TIER", 3)
+    monkeypatch.setattr(indexing, "BLOCK", 4)
+    words = ["memory", "kiln", "lichen", "stone", "the"]
+    text = lambda i, k: " ".join(words[(i * k + j) % 5] for j in range(3 + i % 7))
+    files = {f"d{i}.md": concept(f"Doc {i}", text(i, 1)) for i in range(30)}
+    handle = create_search(sources.in_memory(spark, files.items()))
+    written = []
+    real = store.stored
+    monkeypatch.setattr(store, "stored", lambda index, *a, **b: written.append(index.documents.count()) or real(index, *a, **b))
+
+    def check():
+        fresh = create_search(sources.in_memory(spark, files.items()))
+        written.pop()
+        queries = {0: "memory the", 1: "kiln", 2: "ston", 3: "doc"}
+        asked = {"limit": 50, "fuzzy": 0.2}
+        for prune in (10**9, 0):
+            monkeypatch.setattr(searching, "PRUNE_FROM", prune)
+            rows = lambda h: sorted((r.query_id, r.rank, r.section_id, r.score) for r in h.search_many(queries, asked).collect())
+            assert rows(handle) == rows(fresh)
+        assert handle.index_stats()["documents"] == fresh.index_stats()["documents"]
+        stat = lambda h: sorted((r.field, r.n_docs, round(r.avg_dl, 9)) for r in h._index.field_stats.collect())
+        assert stat(handle) == stat(fresh)
+
+    def ingest(part):
+        files.update(part)
+        handle.ingest_many(sources.in_memory(spark, part.items()))
+
+    ingest({f"d{i}.md": concept(f"Doc {i}", text(i, 2)) for i in range(0, 12, 2)} | {"n0.md": concept("New", "memory of the kiln")})
+    assert written == [7] and [(s.n_documents, s.n_gone) for s in handle._segments] == [(30, 6), (7, 0)]
+    check()
+    ingest({f"d{i}.md": concept(f"Doc {i}", text(i, 3)) for i in range(4)} | {"m.md": concept("M", "stone")})
+    assert written[1:] == [5] and [(s.n_documents, s.n_gone) for s in handle._segments][:2] == [(30, 8), (7, 2)]
+    handle.remove_many(["d5.md", "n0.md"])  # a small change beside the segments
+    handle.ingest("d6.md", concept("Doc 6", "lichen and kiln"))
+    del files["d5.md"], files["n0.md"]
+    files["d6.md"] = concept("Doc 6", "lichen and kiln")
+    check()
+    before = len(written)
+    ingest({f"k{i}.md": concept(f"K {i}", text(i, 4)) for i in range(5)})  # the small changes, the new documents; then a size class is full
+    assert 30 not in written[before:] and max(written) < 30 and len(handle._segments) <= 3
+    check()
+    handle.merge()
+    check()
