@@ -7,6 +7,8 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import regex
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .markdown import BREAKS, Block, blocks
 
@@ -14,6 +16,8 @@ from .markdown import BREAKS, Block, blocks
 WHOLE, TARGET, TAIL = 800, 500, 250
 UNTITLED = "Untitled section"
 _WORD = regex.compile(r"[\p{L}\p{N}_]+")
+#: Fixed value: what str.strip() removes.
+_BLANKS = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -22,6 +26,11 @@ def word_count(text: str) -> int:
     return len(_WORD.findall(text))
 
 
+def counted_words(text: Column) -> Column:
+    """word_count() of a column."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).cast("long")
+
+
 def slug(text: str) -> str:
     """A URL-like name of a heading path; ``section`` if nothing is left."""
     return _OTHER.sub("-", unicodedata.normalize("NFKD", text).lower()).strip("-") or "section"
@@ -32,6 +41,11 @@ def clean(text: str) -> str:
     return BREAKS.sub("\n", text.strip())
 
 
+def cleaned(text: Column) -> Column:
+    """clean() of a column."""
+    return F.regexp_replace(F.regexp_replace(text, f"^[{_BLANKS}]++|[{_BLANKS}]++\\z", ""), "\r\n?", "\n")
+
+
 @dataclass
 class Draft:
     """A section before it is cut: its heading path, heading line and content blocks."""

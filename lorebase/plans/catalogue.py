@@ -11,9 +11,10 @@ from .. import handle, tool
 from ..functions import frontmatter, paths
 from ..functions import sections as sectioning
 from ..operators import index as indexing
-from ..operators import prepare, search, stats, suggest
+from ..operators import prepare, search, segments, stats, suggest
 from ..sources import documents as sources
 from ..sources import shared, store
+from ..streaming import upserts
 from . import adapter, options
 
 AS_OF = 1_740_000_000_000
@@ -194,6 +195,20 @@ UNION ALL SELECT 'bad lines' FROM y WHERE n % 37 = 0 UNION ALL SELECT 'no sectio
 SELECT rule, count(*) AS count FROM v GROUP BY rule""")
 
 
+_register("postings_blocks", lambda s, d: store.stored(_index(s, d)).postings.drop("strict"), ORACLES["postings"])
+
+
+def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of searches, pruned whatever the number of postings."""
+    index, o = store.stored(_index(spark, sf_dir)), options.validate("q", {"asOf": AS_OF})
+    rows = search.query_terms(_BATCH, o)
+    _, met = search.expand(index, rows, o)
+    return _flat(search.hits(index, search.ranked(search.scores(search.pruned(index, met, o), o), o), rows, o))
+
+
+_register("batch_search_pruned", _pruned, ORACLES["batch_search"])
+
+
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _index(spark, sf_dir)
     rows = i.postings.where("field = 'body'").join(i.term_stats, ["field", "term"]).join(F.broadcast(i.field_stats), "field")
@@ -251,23 +266,23 @@ def _by_row(run, kind: str):
 
 
 _register("word_count",
-    lambda s, d: _documents_table(s, d).select("doc_id", _by_row(sectioning.word_count, "long")(F.coalesce("text", F.lit(""))).alias("words")),
+    lambda s, d: _documents_table(s, d).select("doc_id", sectioning.counted_words(F.coalesce("text", F.lit(""))).alias("words")),
     r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) AS BIGINT) AS words FROM documents")
 _register("text_normalize",
-    lambda s, d: _documents_table(s, d).select("doc_id", F.md5(_by_row(sectioning.clean, "string")(F.concat(F.lit(" \r\n\u3000"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\t \r")))).alias("text")),
+    lambda s, d: _documents_table(s, d).select("doc_id", F.md5(sectioning.cleaned(F.concat(F.lit(" \r\n\u3000"), F.regexp_replace("text", "\n", "\r\n"), F.lit("\t \r")))).alias("text")),
     "SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS text FROM documents")
 
 
 def _slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of the texts' beginnings (without what is not ASCII), numbered within each source."""
-    begun = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 9), "[^\x00-\x7F]", "")
-    rows = _documents_table(spark, sf_dir).select("doc_id", "source", _by_row(sectioning.slug, "string")(F.concat(F.lit("--"), begun, F.lit("_"))).alias("slug"))
+    """Digests of the slugs of whole texts, numbered within each source."""
+    rows = _documents_table(spark, sf_dir).select("doc_id", "source", _by_row(sectioning.slug, "string")(F.concat(F.lit("--"), F.coalesce("text", F.lit("")), F.lit("_"))).alias("slug"))
     n = F.row_number().over(Window.partitionBy("source", "slug").orderBy("doc_id"))
-    return rows.select("doc_id", F.concat("slug", F.when(n > 1, F.concat(F.lit("--"), n.cast("string"))).otherwise("")).alias("slug"))
+    return rows.select("doc_id", F.concat(F.md5("slug"), F.when(n > 1, F.concat(F.lit("--"), n.cast("string"))).otherwise("")).alias("slug"))
 
 
-_register("slugs_unique", _slugs, """WITH s AS (SELECT doc_id, source, coalesce(nullif(trim(regexp_replace(lower(regexp_replace(left(coalesce(text, ''), 9), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'section') AS slug FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS n FROM s) SELECT doc_id, slug || CASE WHEN n > 1 THEN '--' || n ELSE '' END AS slug FROM n""")
+_register("slugs_unique", _slugs, r"""WITH c AS (SELECT doc_id, source, array_to_string(list_transform(string_split(lower(coalesce(text, '')), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || '-' ELSE c END), '') AS t FROM documents),
+s AS (SELECT doc_id, source, coalesce(nullif(trim(regexp_replace(t, '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'section') AS slug FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS n FROM s) SELECT doc_id, md5(slug) || CASE WHEN n > 1 THEN '--' || n ELSE '' END AS slug FROM n""")
 _register("token_cap",
     lambda s, d: _documents_table(s, d).select("doc_id", F.size(options.tokenized(F.concat(F.repeat(F.lit("a"), (F.lit(options.MAX_TERM - 9) + F.col("doc_id") % 20).cast("int")), F.lit(" b")))).alias("terms")),
     f"SELECT doc_id, CAST(CASE WHEN doc_id % 20 <= 9 THEN 2 ELSE 1 END AS INTEGER) AS terms FROM documents")
@@ -368,6 +383,38 @@ def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("remove_document", _removed, _C + "SELECT document_id, path FROM concepts WHERE path <> (SELECT min(path) FROM concepts)")
 
 
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over two segments: every third document was ingested anew, as it was, and every fifth is gone."""
+    documents, sections = adapter.tables(spark, sf_dir)
+    number = F.element_at(F.split("document_id", "/"), -1).cast("long")
+    first = segments.segmented(store.stored(indexing.build(documents, sections)))
+    again = segments.made(documents.where(number % 3 == 0), sections.where(number % 3 == 0))
+    parts = segments.changed([first], documents.where((number % 3 == 0) | (number % 5 == 0)).select("document_id"), again)
+    parts = segments.changed(parts, documents.where(number % 5 == 0).select("document_id"), None)
+    return segments.combined(parts).term_stats.select("field", "term", "df")
+
+
+_register("segments_df", _segmented, _I + "SELECT field, term, count(*) AS df FROM postings WHERE CAST(list_last(string_split(document_id, '/')) AS BIGINT) % 5 <> 0 GROUP BY field, term")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of users after a stream of their events as versions, in files whose order is not that of the versions."""
+    n, at = F.col("event_id"), shared.folder(spark)
+    text = F.when(n % 13 != 5, F.concat(F.lit("---\ntype: "), "event_type", F.lit("\ntitle: v"), n.cast("string"), F.lit("\n---\nseen\n")))
+    path = F.when(n % 97 == 0, "../out.md").otherwise(F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit(".md")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null").select(path.alias("path"), text.alias("markdown"), n.alias("version"))
+    for k in (2, 0, 1):
+        rows.where(F.col("version") % 3 == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    found = handle.create_search(rows.select("path", "markdown").where("false"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    upserts.start(found, stream, f"{at}/progress").awaitTermination()
+    return found.documents.select("path", "type", "title")
+
+
+_register("stream_upserts", _streamed, """WITH e AS (SELECT 'u/' || user_id || '.md' AS path, event_id, event_type, event_id % 13 = 5 AS gone FROM events WHERE user_id IS NOT NULL AND event_id % 97 <> 0),
+l AS (SELECT path, max(event_id) AS version, arg_max(event_type, event_id) AS type, arg_max(gone, event_id) AS gone FROM e GROUP BY path) SELECT path, type, 'v' || version AS title FROM l WHERE NOT gone""")
+
+
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = shared.folder(spark)
     handle.ConceptSearch(_index(spark, sf_dir)).save(at)
