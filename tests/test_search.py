@@ -9,10 +9,10 @@ from lorebase.plans import options
 from lorebase.plans.options import BOOSTS, tokens, validate
 
 MATRIX = [  # document_id, type, conformance, tags, status, stale_after_epoch, classified, trust_tier
-    ("decision", "Decision", "strict", ["memory", "architecture"], "stable", 1000, True, "human-reviewed"),
-    ("reference", "Reference", "strict", ["memory", "docs"], "draft", 3000, True, "machine-confirmed"),
-    ("classified-without-deadline", "Note", "strict", ["memory"], "stable", None, True, "unverified"),
-    ("unclassified", "Note", "degraded", ["memory"], None, None, False, None),
+    ("anvil", "Tool", "strict", ["iron", "heavy"], "stable", 500, True, "human-reviewed"),
+    ("bellows", "Part", "strict", ["iron", "leather"], "draft", 2500, True, "machine-confirmed"),
+    ("chisel", "Note", "strict", ["iron"], "stable", None, True, "unverified"),
+    ("dross", "Note", "degraded", ["iron"], None, None, False, None),
 ]
 
 
@@ -23,7 +23,7 @@ def make(spark, documents, sections):
 
 @pytest.fixture(scope="module")
 def matrix(spark):
-    return make(spark, MATRIX, [(f"{d[0]}#root", d[0], d[0], "A memory of shared things.", 1, 3) for d in MATRIX]).cached()
+    return make(spark, MATRIX, [(f"{d[0]}#root", d[0], d[0], "Some iron from the forge.", 1, 3) for d in MATRIX]).cached()
 
 
 def found(index, query, given=None):
@@ -31,14 +31,11 @@ def found(index, query, given=None):
 
 
 ALL = {d[0] for d in MATRIX}
-NO_DEADLINE = "classified-without-deadline"
-
-
 @pytest.mark.parametrize("where,as_of,want", [
-    ({"types": ["Decision", "Reference"]}, 999, {"decision", "reference"}), ({"tagsAny": ["docs", "missing"]}, 999, {"reference"}), ({"statuses": ["stable"]}, 999, {"decision", NO_DEADLINE}),
-    ({"trustTiers": ["human-reviewed"]}, 999, {"decision"}), ({"conformance": ["degraded"]}, 999, {"unclassified"}), ({"types": [], "tagsAny": [], "statuses": []}, 999, ALL),
-    ({"stale": True}, 999, set()), ({"stale": True}, 1000, {"decision"}), ({"stale": True}, 3000, {"decision", "reference"}),
-    ({"stale": False}, 999, {NO_DEADLINE, "decision", "reference"}), ({"stale": False}, 1000, {NO_DEADLINE, "reference"}), ({"stale": False}, 3000, {NO_DEADLINE}),
+    ({"types": ["Tool", "Part"]}, 499, {"anvil", "bellows"}), ({"tagsAny": ["leather", "none"]}, 499, {"bellows"}), ({"statuses": ["stable"]}, 499, {"anvil", "chisel"}),
+    ({"trustTiers": ["machine-confirmed"]}, 499, {"bellows"}), ({"conformance": ["degraded"]}, 499, {"dross"}), ({"statuses": [], "types": [], "trustTiers": []}, 499, ALL),
+    ({"stale": True}, 499, set()), ({"stale": True}, 500, {"anvil"}), ({"stale": True}, 2500, {"anvil", "bellows"}),
+    ({"stale": False}, 499, {"chisel", "anvil", "bellows"}), ({"stale": False}, 500, {"chisel", "bellows"}), ({"stale": False}, 2500, {"chisel"}),
 ])
 def test_filters(matrix, where, as_of, want):
     kept = matrix.documents.where(options.condition(o)) if options.condition(o := validate("", {"where": where, "asOf": as_of})) is not None else matrix.documents
@@ -46,19 +43,19 @@ def test_filters(matrix, where, as_of, want):
 
 
 def test_filters_apply_before_the_limit_and_leave_scores(matrix):
-    whole = dict(found(matrix, "memory", {"fields": ["body"]}))
+    whole = dict(found(matrix, "iron", {"fields": ["body"]}))
     assert set(whole) == ALL and len(set(whole.values())) == 1
-    ((kept, score),) = found(matrix, "memory", {"fields": ["body"], "limit": 1, "where": {"types": ["Note"], "conformance": ["degraded"]}})
-    assert kept == "unclassified" and score == whole[kept]
-    assert [d for d, _ in found(matrix, "memory", {"fields": ["body"]})] == [NO_DEADLINE, "decision", "reference", "unclassified"]  # strict first, then by id
+    ((kept, score),) = found(matrix, "iron", {"fields": ["body"], "limit": 1, "where": {"types": ["Note"], "conformance": ["degraded"]}})
+    assert kept == "dross" and score == whole[kept]
+    assert [d for d, _ in found(matrix, "iron", {"fields": ["body"]})] == ["anvil", "bellows", "chisel", "dross"]  # strict first, then by id
 
 
 def test_statistics(matrix):
     assert stats.totals(matrix.documents).first().asDict() == {"total": 4, "strict": 3, "degraded": 1}
-    assert [tuple(r) for r in stats.types(matrix.documents).collect()] == [("Decision", 1), ("Note", 2), ("Reference", 1)]
+    assert [tuple(r) for r in stats.types(matrix.documents).collect()] == [("Note", 2), ("Part", 1), ("Tool", 1)]
     assert stats.statuses(matrix.documents).first().asDict() == {"draft": 1, "stable": 2, "deprecated": 0, "unclassified": 1}
     assert stats.trust_tiers(matrix.documents).first().asDict() == {"unverified": 1, "machine_confirmed": 1, "human_reviewed": 1, "unclassified": 1}
-    assert [r.document_id for r in stats.degraded(matrix.documents).collect()] == ["unclassified"]
+    assert [r.document_id for r in stats.degraded(matrix.documents).collect()] == ["dross"]
 
 
 CORPUS = [("a", "Alpha retrieval guide", "Memory search finds retrieval notes quickly. memory"), ("b", "Beta", "Searching memories, searchable memory and rertieval"), ("c", "Gamma café", "Kiln loading: load the kiln slowly"), ("d", "Delta 日本語", "A café in 日本語 text search"), ("e", "Search", "x")]
@@ -124,8 +121,8 @@ def test_hits_show_best_section_fields_and_snippet(corpus):
 
 
 @pytest.mark.parametrize("text,anchor,length,want", [
-    ("prefix needle suffix", 7, 13, "prefix needle…"), ("prefix text", None, 4, "pref…"), ("a😀z", None, 1, "a…"), ("😀a😀z", None, 3, "😀a…"), ("ab😀z", None, 3, "ab…"),
-    ("中" * 100 + "needle" + "x" * 200, 100, 240, "…" + "中" * 80 + "needle" + "x" * 154 + "…"), ("😀" * 50 + "n", 50, 5, "…" + "😀" * 2 + "…"),
+    ("load the kiln at dawn", 9, 8, "load the…"), ("ash and oak", None, 5, "ash a…"), ("k🔥w", None, 2, "k…"), ("🔥🔥k", None, 4, "🔥🔥…"), ("kiln🔥", None, 6, "kiln🔥"),
+    ("д" * 95 + "kiln" + "o" * 90, 95, 120, "…" + "д" * 80 + "kiln" + "o" * 36 + "…"), ("🔥" * 60 + "k", 60, 6, "…" + "🔥" * 3 + "…"),
 ])
 def test_snippets(text, anchor, length, want):
     assert search.window(text, anchor, length) == want
