@@ -19,8 +19,8 @@ and centres are those of all distinct texts (copies count once): centres by sphe
 most, each over all of them. Nothing is sampled for it; sums are of whole numbers, so they depend on no order.
 
 Scale: one pass over all texts writes the vectors of the distinct ones (6 bytes a term), which are shuffled once by hash;
-each round reads them in at most MOST_TASKS tasks that send TOPICS * TERMS sums and those of their languages. Languages
-beyond MEANS are worked on in blocks of so many, so the driver holds one block's means. One pass over all texts finds
+each round reads them in as many tasks as keep the cluster busy, and their TOPICS * TERMS sums and those of their
+languages are folded by tasks until the driver gets DIRECT of them at most. Languages beyond MEANS are worked on in blocks of so many, so the driver holds one block's means. One pass over all texts finds
 topic and tokens of each row and writes them with what is kept of the row, so the
 sums by cell (partial ones first) and the result don't read texts again. No category is capped or lumped. Up to
 LOCAL_CELLS cells (some 100 bytes each) are collected and raked on the driver; more are raked in Spark by sums over
@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._spark import dropped, lean, load, quoted, saved, writing
 from ._text import chunks, word_hashes
@@ -64,8 +65,8 @@ PART = 1 << 24
 LEAST = 1e-6
 #: Languages whose means (16 KB each) are held at once; more are taken in turn.
 MEANS = 1024
-#: Tasks of a pass over all texts at most; each sends a few hundred KB to the driver.
-MOST_TASKS = 256
+#: Results of tasks that the driver takes from a pass over all texts, a few hundred KB each; more are folded by tasks first.
+DIRECT = 64
 #: Texts that a task knows as copies at once; what it meets again later is found in the shuffle.
 MOST_SEEN = 1_000_000
 LOCAL_CELLS = 1_000_000
@@ -129,11 +130,32 @@ def _units(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, place, w / np.sqrt(np.bincount(row, weights=w * w, minlength=batch.num_rows))[row]
 
 
-def passed(rows: DataFrame, run, schema: str) -> list:
-    """What run() gives for rows in few tasks, on the driver: each gives a few rows, however many it reads."""
-    n = min(MOST_TASKS, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+def passed(rows: DataFrame, run, schema: str, fold) -> list:
+    """What run() gives for rows, on the driver: each task gives a few rows, however many it reads.
+
+    There are as many tasks as keep the cluster busy. What more than DIRECT of them give is folded by DIRECT tasks to as
+    many rows of the same kind: fold() takes rows and gives fewer that stand for them.
+    """
+    n = 2 * rows.sparkSession.sparkContext.defaultParallelism
     with writing(rows.sparkSession):
-        return rows.coalesce(n).mapInArrow(lean(run), schema).collect()
+        if n <= DIRECT:
+            return rows.coalesce(n).mapInArrow(lean(run), schema).collect()
+
+        kinds = to_arrow_schema(T.StructType.fromDDL(schema)).types
+
+        def folded(batches):
+            held = [r for batch in batches for r in batch.to_pylist()]
+            if held:
+                names = list(held[0])
+                out = fold(held)
+                yield pa.record_batch([pa.array([r[c] for r in out], kind) for c, kind in zip(names, kinds, strict=True)], names=names)
+
+        return rows.coalesce(4 * n).mapInArrow(lean(run), schema).repartition(max(1, DIRECT)).mapInArrow(lean(folded), schema).collect()
+
+
+def _added(rows: list[dict]) -> list[dict]:
+    """One row of the sums of arrays of longs, held as bytes."""
+    return [{c: sum((np.frombuffer(r[c], np.int64) for r in rows[1:]), np.frombuffer(rows[0][c], np.int64)).tobytes() for c in rows[0]}]
 
 
 def place_counts(found: DataFrame) -> np.ndarray:
@@ -147,7 +169,7 @@ def place_counts(found: DataFrame) -> np.ndarray:
                 held[TERMS] += batch.num_rows
         yield pa.record_batch([pa.array([held.tobytes()], pa.binary())], names=["held"])
 
-    return sum((np.frombuffer(r.held, np.int64) for r in passed(found.select("places"), run, "held binary")), np.zeros(TERMS + 1, np.int64))
+    return sum((np.frombuffer(r.held, np.int64) for r in passed(found.select("places"), run, "held binary", _added)), np.zeros(TERMS + 1, np.int64))
 
 
 def language_sums(found: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -257,6 +279,20 @@ class Block:
         return of
 
 
+def _first(rows: list[dict]) -> list[dict]:
+    """Of rows (t, s, time, hash, ...) the first of each draw, and the sum of the times of s = -1."""
+    out: dict = {}
+    for r in rows:
+        at = r["t"], r["s"]
+        if at not in out:
+            out[at] = dict(r)
+        elif r["s"] < 0:
+            out[at]["time"] += r["time"]
+        elif (r["time"], r["hash"]) < (out[at]["time"], out[at]["hash"]):
+            out[at] = r
+    return list(out.values())
+
+
 def seeds(blocks: list[Block], k: int) -> np.ndarray:
     """k of the texts' centred vectors to begin with: each is drawn from all texts by its distance from those before (a race
     of draws by hash), DRAWS times, and the draw that leaves the least sum of distances is taken."""
@@ -288,7 +324,7 @@ def seeds(blocks: list[Block], k: int) -> np.ndarray:
                 rows = [(t, -1, float(total[t]), 0, None, None, None, None) for t in range(draws)] + [(t, s, *w) for (t, s), w in best.items()]
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["t", "s", "time", "hash", "lang", "inverse", "places", "values"])
 
-            for r in passed(block.texts, run, "t int, s int, time double, hash long, lang int, inverse double, places binary, values binary"):
+            for r in passed(block.texts, run, "t int, s int, time double, hash long, lang int, inverse double, places binary, values binary", _first):
                 if r.s < 0:
                     left[r.t] += int(r.time)
                 elif (r.t, r.s) not in won or (r.time, r.hash) < won[r.t, r.s][0]:
@@ -320,7 +356,7 @@ def assigned(blocks: list[Block], c: np.ndarray) -> tuple[np.ndarray, np.ndarray
             yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (held, lengths, sizes)], names=["held", "lengths", "sizes"])
 
         held, lengths = np.zeros(k * TERMS, np.int64), np.zeros(langs * k, np.int64)
-        for r in passed(block.texts, run, "held binary, lengths binary, sizes binary"):
+        for r in passed(block.texts, run, "held binary, lengths binary, sizes binary", _added):
             held += np.frombuffer(r.held, np.int64)
             lengths += np.frombuffer(r.lengths, np.int64)
             sizes += np.frombuffer(r.sizes, np.int64)

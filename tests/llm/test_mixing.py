@@ -169,3 +169,11 @@ def test_topics_are_fitted_to_every_distinct_text(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SEEN", 5)
     again = mixing.topic_model(docs.repartition(6), 3)
     assert again["centres"] == pytest.approx(model["centres"], abs=1e-5) and sorted(again["means"]) == sorted(model["means"])
+
+
+def test_folded_passes_give_the_same_topics(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"={i % 2}", f"w{i % 5} w{i % 7} x{i} y{i % 3}") for i in range(400)], "lang string, text string").repartition(9)
+    direct = mixing.topic_model(rows, 4)
+    monkeypatch.setattr(mixing, "DIRECT", 3)
+    folded = mixing.topic_model(rows, 4)
+    assert (direct["centres"] == folded["centres"]).all() and (direct["idf"] == folded["idf"]).all() and direct["means"].keys() == folded["means"].keys()
