@@ -39,7 +39,7 @@ def titles(handle, query, **given):
 def test_open_change_save_and_load(spark, root, tmp_path):
     cache = str(tmp_path / "cache")
     handle = open_concepts(spark, root, cache)
-    assert sources.discover(root) == [".hidden/_kiln.md", "half.md", "memory/search.md"]
+    assert sorted(r.path for r in sources.directory(spark, root).collect()) == [".hidden/_kiln.md", "half.md", "memory/search.md"]
     assert titles(handle, "memory") == ["Memory search", "Half"] and handle.list_types() == ["Guide"] and [d["path"] for d in handle.list_degraded()] == ["half.md"]
     (hit,) = handle.search("shared", {"snippetLength": 10}).collect()
     assert (hit.heading_path, hit.start_line, hit.end_line, hit.snippet) == ("Use", 5, 7, "Search the…")
@@ -292,3 +292,22 @@ def test_changes_become_segments_and_nothing_stored_is_rewritten(spark, monkeypa
     check()
     handle.merge()
     check()
+
+
+def test_folders_are_listed_by_level_and_by_other_file_systems(spark, tmp_path):
+    for name in ("a.md", "x/b.md", "x/y/z/c.md", "x/y/log.md", "x/index.md", "q/.h/d.md", "x/e.txt"):
+        at = tmp_path / "in" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(concept(name, "body"))
+    os.symlink(tmp_path / "in/x", tmp_path / "in/linked")
+    names = {"a.md", "x/b.md", "x/y/z/c.md", "q/.h/d.md"}
+    for root in (f"{tmp_path}/in", f"file://{tmp_path}/in", f"file:{tmp_path}/in/"):
+        assert {r.path for r in sources.directory(spark, root).collect()} == names
+    plan = sources.discover(spark, f"{tmp_path}/in")
+    assert {(r.path, r.kind) for r in plan.collect()} == {(n, "document") for n in names}
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}/in")
+    rows = {r.path: r.markdown for r in sources.directory(spark, "viewfs://far/in").collect()}
+    assert {n for n in rows if "linked" not in n} == names - {"q/.h/d.md"} and rows["x/b.md"] == concept("x/b.md", "body")
+    with pytest.raises(ConceptError) as e:
+        sources.directory(spark, f"{tmp_path}/nowhere")
+    assert (e.value.code, e.value.path) == ("ERR_READ", f"{tmp_path}/nowhere")
