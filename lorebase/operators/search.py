@@ -42,7 +42,7 @@ EXPANSIONS = 20_000
 LITERALS = 5_000
 FETCHED = 5_000
 #: Postings of the query terms from which searches of a stored index are pruned, and what a bound is eased by.
-PRUNE_FROM = 250_000
+PRUNE_FROM = 20_000_000
 EASE = 1e-6
 #: Hits up to which snippets are cut by the driver, which spares the start of Python workers.
 FEW = 200
