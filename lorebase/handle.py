@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import threading
 import time
+from collections import Counter
 from concurrent.futures import Future
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,15 @@ DOCUMENT = indexing.DOCUMENT + f", diagnostics array<{preparing.DIAGNOSTIC}>"
 MERGE_AFTER = 1000
 
 
+@dataclass
+class Since:
+    """A generation that a handle was read from or saved as, and (document_id) of what it changed since: ids and frames of them."""
+
+    generation: str
+    ids: set[str] = field(default_factory=set)
+    frames: list[DataFrame] = field(default_factory=list)
+
+
 class ConceptSearch:
     """A mutable view over immutable tables: segments, removed identities and a small set of new documents.
 
@@ -37,6 +48,10 @@ class ConceptSearch:
     poisons the handle; errors of options, queries and preparation do not. open_concepts(), create_search() and
     from_prepared() store the tables first, in the shared folder, so that searches look up what is there. Changes beyond
     MERGE_AFTER documents become a segment of their own; what is stored is not rewritten but by merges of TIER segments.
+
+    Any number of handles, in any number of applications, may save to one path. A handle that was read from there or saved
+    there brings its own changes to what others have saved since, and then has theirs too; of two changes of one document
+    the one that is saved last counts. A handle that has nothing to do with the path takes the place of what is there.
     """
 
     def __init__(self, index: Index):
@@ -45,7 +60,9 @@ class ConceptSearch:
         self._base, self._index = index, index
         self._gone: set[str] = set()
         self._new: dict[str, tuple[dict, list[dict]]] = {}
+        self._lost: dict[str, tuple] = {}  # what the removed documents of the base count in its inventory
         self._failed: str | None = None
+        self._saved: dict[str, Since] = {}
         self._lock = threading.RLock()
 
     def _usable(self) -> None:
@@ -85,16 +102,18 @@ class ConceptSearch:
 
     # inventory
 
+    def _counts(self) -> dict:
+        self._usable()
+        return stats.summary(self._index.inventory.collect())  # a row for each type, and some ten
+
     def index_stats(self, path: str | None = None) -> dict:
         """Counts over documents; with the path of a saved index, its bytes."""
         self._usable()
-        documents = self._index.documents
-        out = {"documents": stats.totals(documents).first().asDict(), "types": [r.asDict() for r in stats.types(documents).collect()], "statuses": stats.statuses(documents).first().asDict(), "trust_tiers": stats.trust_tiers(documents).first().asDict()}
-        return out | ({"storage": {"kind": "parquet-index-files", "size_in_bytes": store.size_in_bytes(self._spark, path)}} if path else {})
+        return self._counts() | ({"storage": {"kind": "parquet-index-files", "size_in_bytes": store.size_in_bytes(self._spark, path)}} if path else {})
 
     def list_types(self) -> list[str]:
         """The document types, sorted."""
-        return [r.type for r in self.documents.select("type").distinct().orderBy("type").collect()]
+        return [t["type"] for t in self._counts()["types"]]
 
     def list_degraded(self) -> list[dict]:
         """Documents with diagnostics, by path."""
@@ -107,24 +126,39 @@ class ConceptSearch:
         kind = StructType.fromDDL(schema)
         return self._spark.createDataFrame(pa.Table.from_pylist([{f.name: r.get(f.name) for f in kind.fields} for r in rows], to_arrow_schema(kind)), kind)
 
-    def _conflict(self, made: list[dict]) -> None:
-        """Raises ERR_FIELD if a new document's path or section is another document's."""
+    def _conflict(self, made: list[dict]) -> dict[str, tuple]:
+        """Raises ERR_FIELD if a new document's path or section is another document's; what it replaces, as of _counted()."""
         owners = {one["document_id"]: one["path"] for one in made}
         owned = {s["section_id"]: one["document_id"] for one in made for s in one["sections"]}
-        placed = self._index.documents.where(among("document_id", list(owners)) | among("path", list(owners.values()))).select("document_id", "path")
-        for r in placed.collect():  # two rows for each new document at most
+        placed = self._index.documents.where(among("document_id", list(owners)) | among("path", list(owners.values()))).select("document_id", "path", *stats.KINDS).collect()
+        for r in placed:  # two rows for each new document at most
             if owners.get(r.document_id, r.path) != r.path or (r.path in owners.values() and r.document_id not in owners):
                 raise ConceptError("ERR_FIELD", r.path, "path")
         for r in self._index.sections.where(among("section_id", list(owned))).select("section_id", "document_id").collect():
             if r.document_id != owned[r.section_id]:
                 raise ConceptError("ERR_FIELD", owners[owned[r.section_id]], "sections")
-
-    def _apply(self, path: str, gone: set[str], new: dict, changed: set[str]) -> None:
+        return self._counted(r for r in placed if r.document_id in owners)
+
+    def _counted(self, rows) -> dict[str, tuple]:
+        """The values of KINDS of those of these documents that the base holds, by their ids."""
+        return {r.document_id: tuple(r[k] for k in stats.KINDS) for r in rows if r.document_id not in self._gone and r.document_id not in self._new}
+
+    def _inventory(self, lost: dict[str, tuple], new: dict) -> DataFrame:
+        """The base's inventory with the changes beside it, as literals."""
+        change = Counter()
+        for values in lost.values():
+            change.subtract(zip(stats.KINDS, values, strict=True))
+        for d, _ in new.values():
+            change.update((k, d[k]) for k in stats.KINDS)
+        return stats.added(self._base.inventory.unionByName(self._rows([{"kind": k, "value": v, "n": n} for (k, v), n in change.items() if n], stats.INVENTORY)))
+
+    def _apply(self, path: str, gone: set[str], new: dict, changed: set[str], lost: dict[str, tuple]) -> None:
         try:
             names = self._base.documents.columns
             documents = self._rows([d for d, _ in new.values()], DOCUMENT).select(names)
             sections = self._rows([s for _, rows in new.values() for s in rows], indexing.SECTION)
-            index = indexing.patched(self._base, sorted(gone), documents, sections) if gone or new else self._base
+            lost = self._lost | lost
+            index = replace(indexing.patched(self._base, sorted(gone), documents, sections), inventory=self._inventory(lost, new)) if gone or new else self._base
             # what is there now must be what the changes say, before anything is answered from it
             found = index.sections.where(among("document_id", sorted(changed))).groupBy("document_id").count().collect()
             if {r[0]: r[1] for r in found} != {i: len(new[i][1]) for i in changed if i in new}:
@@ -132,7 +166,9 @@ class ConceptSearch:
         except Exception as e:
             self._failed = path
             raise ConceptError("ERR_INDEX_UNUSABLE", path) from e
-        self._index, self._gone, self._new = index, gone, new
+        self._index, self._gone, self._new, self._lost = index, gone, new, lost
+        for saved in self._saved.values():
+            saved.ids |= changed
         if len(gone) + len(new) > MERGE_AFTER:
             self._flush()
 
@@ -149,9 +185,11 @@ class ConceptSearch:
                 if documents is not None:
                     new = made(documents.select(self._base.documents.columns), sections)
                     segments = changed(segments, new.index.documents.select("document_id"), new)
+                    for saved in self._saved.values():
+                        saved.frames.append(new.index.documents.select("document_id"))
                 self._segments = segments
                 self._base = self._index = combined(segments)
-                self._gone, self._new = set(), {}
+                self._gone, self._new, self._lost = set(), {}, {}
             except Exception as e:
                 self._failed = "<index>"
                 raise ConceptError("ERR_INDEX_UNUSABLE", "<index>") from e
@@ -162,7 +200,7 @@ class ConceptSearch:
             self._usable()
             try:
                 self._base = self._index = store.stored(self._index)
-                self._segments, self._gone, self._new = [], set(), {}
+                self._segments, self._gone, self._new, self._lost = [], set(), {}, {}
             except Exception as e:
                 self._failed = "<index>"
                 raise ConceptError("ERR_INDEX_UNUSABLE", "<index>") from e
@@ -185,13 +223,13 @@ class ConceptSearch:
 
     def _add(self, made: list[dict]) -> None:
         with self._lock:
-            self._conflict(made)
+            lost = self._conflict(made)
             gone, new = set(self._gone), dict(self._new)
             for one in made:
                 identity = one["document_id"]
                 gone.add(identity)
                 new[identity] = ({k: one.get(k) for k in DOCUMENT_COLUMNS}, [s | {"document_id": identity} for s in one["sections"]])
-            self._apply(made[-1]["path"], gone, new, {one["document_id"] for one in made})
+            self._apply(made[-1]["path"], gone, new, {one["document_id"] for one in made}, lost)
 
     def ingest_many(self, documents: DataFrame) -> DataFrame:
         """Adds or replaces every good row of (path, markdown); (path, outcome, errors) of all rows.
@@ -224,16 +262,38 @@ class ConceptSearch:
         self._usable()
         kept = {paths.document_id(p): p for p in map(paths.normalize, given)}
         with self._lock:
-            there = {r[0] for r in self._index.documents.where(among("document_id", list(kept))).select("document_id").collect()} if kept else set()
+            found = self._index.documents.where(among("document_id", list(kept))).select("document_id", *stats.KINDS).collect() if kept else []
+            there = {r.document_id for r in found}
             if there:
-                self._apply(kept[min(there)], self._gone | there, {k: v for k, v in self._new.items() if k not in there}, there)
+                self._apply(kept[min(there)], self._gone | there, {k: v for k, v in self._new.items() if k not in there}, there, self._counted(found))
         return sorted(kept[i] for i in there)
 
     def save(self, path: str) -> None:
-        """The index as it is now, as a new generation at path."""
-        self._usable()
+        """The index as it is now, with what others have saved at path since this handle was read from there or saved there."""
         with self._lock:
-            store.save(self._index, path)
+            self._usable()
+            key, moved = store.Place(self._spark, path).url, []
+            since = self._saved.get(key)
+            generation, index = store.save(self._index, path, since and since.generation, since and (lambda newest: moved.append(1) or self._rebased(newest, since)))
+            if moved:
+                self._base = self._index = index
+                self._segments, self._gone, self._new, self._lost = [], set(), {}, {}
+                for other in self._saved.values():
+                    other.frames.append(index.documents.select("document_id"))
+            self._saved[key] = Since(generation)
+
+    def _rebased(self, newest: Index, since: Since) -> Index:
+        """The newest index with this handle's changes since another; raises ERR_FIELD if both cannot be."""
+        ids = self._rows([{"document_id": i} for i in sorted(since.ids)], "document_id string")
+        for more in since.frames:
+            ids = ids.unionByName(more)
+        ids = shared.cut(ids.distinct())
+        own = lambda frame: shared.cut(frame.join(ids, "document_id", "left_semi").select(frame.columns))
+        documents, sections = own(self._index.documents), own(self._index.sections)
+        new = None if documents.isEmpty() else made(documents.select(newest.documents.columns), sections)
+        index = combined(changed([segmented(newest)], ids, new))
+        _sound(index.documents, index.sections)
+        return index
 
 
 DOCUMENT_COLUMNS = ("document_id", "path", "type", "title", "tags", "status", "trust_tier", "stale_after_epoch", "staleness_classified", "conformance", "resource", "description", "source_text", "diagnostics")
@@ -245,11 +305,15 @@ def _view(one: dict) -> dict:
     return {k: v for k, v in one.items() if k not in ("outcome", "sections", "diagnostics", "source_text")}
 
 
-def from_prepared(documents: DataFrame, sections: DataFrame) -> ConceptSearch:
-    """A handle over prepared tables, which are validated; the first violation is raised as ERR_FIELD."""
+def _sound(documents: DataFrame, sections: DataFrame) -> None:
     wrong = indexing.violations(documents, sections).orderBy("key", "rule").limit(1).collect()
     if wrong:
         raise ConceptError("ERR_FIELD", wrong[0].key or "<input>", wrong[0].rule)
+
+
+def from_prepared(documents: DataFrame, sections: DataFrame) -> ConceptSearch:
+    """A handle over prepared tables, which are validated; the first violation is raised as ERR_FIELD."""
+    _sound(documents, sections)
     return ConceptSearch(store.stored(indexing.build(documents, sections), rebuild=True))
 
 
@@ -266,7 +330,10 @@ def create_search(raw: DataFrame) -> ConceptSearch:
 def open_concepts(spark: SparkSession, root: str, cache_path: str | None = None) -> ConceptSearch:
     """A handle over a folder of concepts; a cache that exists is used instead of the folder, one that doesn't is made."""
     if cache_path and store.exists(spark, cache_path):
-        return ConceptSearch(store.load(spark, cache_path))
+        generation, index = store.loaded(spark, cache_path)
+        found = ConceptSearch(index)
+        found._saved[store.Place(spark, cache_path).url] = Since(generation)
+        return found
     found = create_search(sources.directory(spark, root))
     if cache_path:
         found.save(cache_path)
@@ -316,5 +383,5 @@ class Snapshots:
 
     def status(self) -> dict:
         """Root, types, degraded documents and age in seconds of the current handle."""
-        found = self.get()
-        return {"root": self._root, "types": found.list_types(), "degraded": stats.totals(found.documents).first().degraded, "age_seconds": time.time() - self._at}
+        counts = self.get()._counts()
+        return {"root": self._root, "types": [t["type"] for t in counts["types"]], "degraded": counts["documents"]["degraded"], "age_seconds": time.time() - self._at}

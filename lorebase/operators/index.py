@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.options import FIELDS, among, tokenized
+from . import stats
 
 DOCUMENT = ("document_id string, path string, type string, title string, tags array<string>, status string, trust_tier string, stale_after_epoch long, "
             "staleness_classified boolean, conformance string, resource string, description string, source_text string")
@@ -39,8 +40,8 @@ SECTION = "section_id string, document_id string, heading_path string, text stri
 
 
 #: The stored tables.
-TABLES = ("documents", "sections", "blocks", "term_stats", "field_stats", "variants")
-FRAMES = ("documents", "sections", "postings", "term_stats", "field_stats", "variants")
+TABLES = ("documents", "sections", "blocks", "term_stats", "field_stats", "variants", "inventory")
+FRAMES = ("documents", "sections", "postings", "term_stats", "field_stats", "variants", "inventory")
 #: What the rows of a stored table are sorted by; each file has a range of it.
 SORTED = {"documents": ("document_id",), "sections": ("section_id",), "term_stats": ("term", "field"), "variants": ("variant", "stem")}
 #: Fixed values of ranking: BM25.
@@ -85,6 +86,7 @@ class Index:
     term_stats: DataFrame
     field_stats: DataFrame
     variants: DataFrame
+    inventory: DataFrame
     parts: tuple[Part, ...] = ()
     removed: tuple[str, ...] = ()
     fresh: DataFrame | None = None
@@ -95,7 +97,7 @@ class Index:
         return {r.field: (r.n_docs, r.avg_dl) for r in self.field_stats.collect()}  # eight rows
 
     def frames(self) -> dict[str, DataFrame]:
-        """The six frames by name."""
+        """The frames by name."""
         return {name: getattr(self, name) for name in FRAMES}
 
     def among(self, wanted: Column, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -138,7 +140,7 @@ def build(documents: DataFrame, sections: DataFrame) -> Index:
     postings = terms.groupBy("field", "term", "section_id", "document_id", "strict", "dl").agg(F.count(F.lit(1)).alias("tf"))
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl"))
-    return Index(documents, sections, postings, term_stats, field_stats, neighbourhoods(term_stats))
+    return Index(documents, sections, postings, term_stats, field_stats, neighbourhoods(term_stats), stats.inventory(documents))
 
 
 def blocked(postings: DataFrame, averages: dict[str, float], size: int | None = None) -> DataFrame:
@@ -277,5 +279,5 @@ def patched(base: Index, gone: list[str], documents: DataFrame, sections: DataFr
     # variants of terms that are gone do no harm: these have no postings
     return Index(
         kept(base.documents).unionByName(documents.select(names)), kept(base.sections).unionByName(sections), kept(base.postings).unionByName(new.postings), term_stats, field_stats,
-        base.variants.unionByName(new.variants), base.parts, tuple(gone), new.postings,
+        base.variants.unionByName(new.variants), stats.added(base.inventory.unionByName(stats.minus(lost.inventory)).unionByName(new.inventory)), base.parts, tuple(gone), new.postings,
     )

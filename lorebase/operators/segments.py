@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources import shared, store
 from . import index as indexing
+from . import stats
 from .index import Index, Part
 
 #: Segments of one size class that are merged, and the factor between classes.
@@ -25,8 +26,8 @@ LOST = "field string, term string, df long"
 
 @dataclass(frozen=True)
 class Segment:
-    """A stored index; gone: (document_id) of documents that are no longer there, n_gone of n_documents; lost, lost_fields:
-    what these count in its term and field statistics."""
+    """A stored index; gone: (document_id) of documents that are no longer there, n_gone of n_documents; lost, lost_fields,
+    lost_inventory: what these count in its term and field statistics and in its inventory."""
 
     index: Index
     n_documents: int
@@ -34,6 +35,7 @@ class Segment:
     n_gone: int = 0
     lost: DataFrame | None = None
     lost_fields: DataFrame | None = None
+    lost_inventory: DataFrame | None = None
 
     @property
     def live(self) -> int:
@@ -55,7 +57,7 @@ class Segment:
         built = indexing.build(documents, sections)
         lost, fields = built.term_stats.select("field", "term", "df"), indexing.totals(built.field_stats)
         more = lambda old, new: shared.cut(new if old is None else old.unionByName(new))
-        return replace(self, gone=more(self.gone, own), n_gone=self.n_gone + n, lost=more(self.lost, lost), lost_fields=more(self.lost_fields, fields))
+        return replace(self, gone=more(self.gone, own), n_gone=self.n_gone + n, lost=more(self.lost, lost), lost_fields=more(self.lost_fields, fields), lost_inventory=more(self.lost_inventory, built.inventory))
 
 
 def segmented(index: Index) -> Segment:
@@ -77,9 +79,10 @@ def combined(segments: list[Segment]) -> Index:
     union = lambda frames: _union(list(frames))
     term_stats = union([s.index.term_stats.select("field", "term", "df") for s in segments] + [s.lost.select("field", "term", (-F.col("df")).alias("df")) for s in segments if s.lost is not None])
     sums = union([indexing.totals(s.index.field_stats) for s in segments] + [s.lost_fields.select("field", (-F.col("n_docs")).alias("n_docs"), (-F.col("total")).alias("total")) for s in segments if s.lost_fields is not None])
+    inventory = union([s.index.inventory for s in segments] + [stats.minus(s.lost_inventory) for s in segments if s.lost_inventory is not None])
     return Index(
         documents=union(s.kept(s.index.documents) for s in segments), sections=union(s.kept(s.index.sections) for s in segments), postings=union(s.kept(s.index.postings) for s in segments),
-        term_stats=term_stats.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0"), field_stats=indexing.averaged(sums), variants=union(s.index.variants for s in segments),
+        term_stats=term_stats.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0"), field_stats=indexing.averaged(sums), variants=union(s.index.variants for s in segments), inventory=stats.added(inventory),
         parts=tuple(Part(p.blocks, p.gone if s.gone is None else s.gone, s.n_gone) for s in segments for p in s.index.parts),
     )
 
@@ -99,12 +102,13 @@ def merged(segments: list[Segment]) -> Segment:
 
 def changed(segments: list[Segment], gone: DataFrame, new: Segment | None) -> list[Segment]:
     """The segments without the documents of gone, (document_id), and with the new one; merged by size classes."""
-    out = [s for s in (s.without(gone) for s in segments) if s.live] + ([new] if new is not None and new.live else [])
+    left = [s.without(gone) for s in segments]
+    out = [s for s in left if s.live] + ([new] if new is not None and new.live else [])
     while True:
         classes: dict[int, list[Segment]] = {}
         for s in out:
             classes.setdefault(int(math.log(s.live, TIER)), []).append(s)
         full = next((own for _, own in sorted(classes.items()) if len(own) >= TIER), None)
         if full is None:
-            return out or segments[:1]
+            return out or left[:1]
         out = [s for s in out if s not in full] + [merged(full)]

@@ -383,18 +383,19 @@ def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("remove_document", _removed, _C + "SELECT document_id, path FROM concepts WHERE path <> (SELECT min(path) FROM concepts)")
 
 
-def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search over two segments: every third document was ingested anew, as it was, and every fifth is gone."""
+def _two_segments(spark: SparkSession, sf_dir: str) -> indexing.Index:
+    """An index of two segments: every third document was ingested anew, as it was, and every fifth is gone."""
     documents, sections = adapter.tables(spark, sf_dir)
     number = F.element_at(F.split("document_id", "/"), -1).cast("long")
     first = segments.segmented(store.stored(indexing.build(documents, sections)))
     again = segments.made(documents.where(number % 3 == 0), sections.where(number % 3 == 0))
     parts = segments.changed([first], documents.where((number % 3 == 0) | (number % 5 == 0)).select("document_id"), again)
     parts = segments.changed(parts, documents.where(number % 5 == 0).select("document_id"), None)
-    return segments.combined(parts).term_stats.select("field", "term", "df")
+    return segments.combined(parts)
 
 
-_register("segments_df", _segmented, _I + "SELECT field, term, count(*) AS df FROM postings WHERE CAST(list_last(string_split(document_id, '/')) AS BIGINT) % 5 <> 0 GROUP BY field, term")
+_register("segments_inventory", lambda s, d: _two_segments(s, d).inventory, _C + ", left_ AS (SELECT * FROM concepts WHERE CAST(list_last(string_split(document_id, '/')) AS BIGINT) % 5 <> 0) " + " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS value, CAST(count(*) AS BIGINT) AS n FROM left_ GROUP BY {k}" for k in stats.KINDS))
+_register("segments_df", lambda s, d: _two_segments(s, d).term_stats.select("field", "term", "df"), _I + "SELECT field, term, count(*) AS df FROM postings WHERE CAST(list_last(string_split(document_id, '/')) AS BIGINT) % 5 <> 0 GROUP BY field, term")
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Stored indexes: Parquet tables sorted for lookups, and saved generations of them with a checked manifest.
 
-A cache is a folder with ``current`` (the name of a generation) and generations. A writer holds a sibling lock; a new
-generation is complete before the pointer moves, so a failed save leaves the old one in force. All files are reached
-through Hadoop's file systems, so a cache can be anywhere that Spark writes. Executors digest the content of files in
-ranges of rows, which fold to one digest for each file; the ranges are kept, so damage can be placed.
+A cache is a folder of generations and of numbered commits, each of which names a generation; the greatest number is in
+force. A generation is complete before its commit, and a commit is made under the next number only if there is none, so
+of writers that meet one succeeds. The others bring their changes to what is there now and try the next number; no lock
+is held, and a failed save leaves the cache as it is. What a commit replaces stays for its readers for RETAIN seconds.
+That a commit is made once rests on links of local files and on renames elsewhere that refuse a name that is taken.
+
+All files are reached through Hadoop's file systems, so a cache can be anywhere that Spark writes. Executors digest the
+content of files in ranges of rows, which fold to one digest for each file; the ranges are kept, so damage can be placed.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import os
 import re
 import time
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +26,22 @@ from pyspark.sql.types import StructType
 
 from ..errors import ConceptError
 from ..operators import index as indexing
+from ..operators import stats
 from ..operators.index import TABLES, Index
 from . import shared
 
 #: What a reader must agree on: layout, analysis and preparation revisions.
-REVISIONS = {"format": 3, "analysis": 1, "preparation": 1}
-#: Seconds after which a lock is taken to be left behind by a writer that is gone.
-STALE_LOCK = 6 * 3600
+REVISIONS = {"format": 4, "analysis": 1, "preparation": 1}
+#: Numbers that a writer tries, and the folder of commits.
+ATTEMPTS = 20
+COMMITS = "commits"
+#: Seconds for which a generation stays after another took its place, and which the writing of one may take.
+RETAIN = 24 * 3600
 MOST_MANIFEST = 1 << 26
 #: The columns that each table must have.
 SCHEMAS = {
     "documents": indexing.DOCUMENT, "sections": indexing.SECTION, "blocks": indexing.BLOCKS,
-    "term_stats": "field string, term string, df long", "field_stats": "field string, n_docs long, avg_dl double", "variants": "variant string, stem string, term string",
+    "term_stats": "field string, term string, df long", "field_stats": "field string, n_docs long, avg_dl double", "variants": "variant string, stem string, term string", "inventory": stats.INVENTORY,
 }
 #: Rows of a range of a file that has a digest of its own, and the folder of these.
 LEAF = 1 << 16
@@ -62,9 +70,14 @@ class Place:
     def name(self) -> str:
         return self._at.getName()
 
+    @property
+    def local(self) -> str | None:
+        """The path in the local file system; None in others."""
+        return re.sub("^file:/+", "/", self._at.toUri().getScheme() + ":" + self._at.toUri().getPath()) if self.url.startswith("file:") else None
+
     def linked(self) -> bool:
         """Whether this is a link of the local file system."""
-        return self.url.startswith("file:") and os.path.islink(self.url.removeprefix("file:").replace("//", "/", 1))
+        return self.local is not None and os.path.islink(self.local)
 
     def exists(self) -> bool:
         return self._fs.exists(self._at) or self.linked()
@@ -91,10 +104,14 @@ class Place:
         except Py4JJavaError as e:
             raise OSError(self.text) from e
 
-    def write(self, text: str, overwrite: bool = True) -> None:
-        """The file anew; without overwrite an error if there is one, and only one writer succeeds."""
+    def names(self) -> list[str]:
+        """What a folder holds, sorted; nothing if there is none."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at)) if self.is_folder() else []
+
+    def write(self, text: str) -> None:
+        """The file anew."""
         try:
-            stream = self._fs.create(self._at, overwrite)
+            stream = self._fs.create(self._at, True)
             try:
                 stream.write(bytearray(text.encode()))
                 stream.hflush()
@@ -103,29 +120,25 @@ class Place:
         except Py4JJavaError as e:
             raise OSError(self.text) from e
 
-    def replace(self, other: Place) -> None:
-        """Moves this file over the other in one step."""
-        kinds = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
-        options[0] = kinds.OVERWRITE
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at.toUri(), self._conf).rename(self._at, other._at, options)
-
-
-@contextmanager
-def writing(spark: SparkSession, path: str):
-    """The only writer of path; raises ERR_CACHE_BUSY if there is another."""
-    place = Place(spark, path)
-    lock = place.sibling(f".{place.name}.lock")
-    try:
-        if lock.exists() and lock.age() > STALE_LOCK:
-            lock.delete()
-        lock.write(str(time.time()), overwrite=False)
-    except (OSError, Py4JJavaError) as e:
-        raise ConceptError("ERR_CACHE_BUSY" if lock.exists() else "ERR_WRITE", path) from e
-    try:
-        yield
-    finally:
-        lock.delete()
+    def claim(self, text: str) -> bool:
+        """Makes the file, whole from its first moment; False if there is one. Of many that claim it one succeeds."""
+        draft = self.sibling(f".{self.name}-{uuid.uuid4().hex}")
+        draft.write(text)
+        try:
+            if self.local is not None:
+                os.link(draft.local, self.local)
+            else:
+                none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at.toUri(), self._conf).rename(draft._at, self._at, none)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if self.exists():
+                return False
+            raise OSError(self.text) from e
+        finally:
+            draft.delete()
 
 
 def _write(frame: DataFrame, table: str, folder: str) -> DataFrame:
@@ -150,7 +163,8 @@ def stored(index: Index, folder: str | None = None, rebuild: bool = False) -> In
     blocks = _write(indexing.blocked(source, {r.field: r.avg_dl for r in field_stats.collect()}), "blocks", folder)
     term_stats = _write(blocks.groupBy("field", "term").agg(F.sum("n").alias("df")), "term_stats", folder)
     variants = _write(indexing.neighbourhoods(term_stats), "variants", folder)
-    return opened(documents=documents, sections=sections, blocks=blocks, term_stats=term_stats, field_stats=field_stats, variants=variants)
+    inventory = _write(stats.inventory(documents), "inventory", folder)
+    return opened(documents=documents, sections=sections, blocks=blocks, term_stats=term_stats, field_stats=field_stats, variants=variants, inventory=inventory)
 
 
 def opened(blocks: DataFrame, **tables: DataFrame) -> Index:
@@ -206,41 +220,95 @@ def damaged(spark: SparkSession, path: str) -> DataFrame:
     return wrong.select("file", (F.col("part") * LEAF).alias("first_row"), (F.col("part") * LEAF + F.col("rows") - 1).alias("last_row"))
 
 
-def save(index: Index, path: str) -> Index:
-    """index as a new generation at path, as which it is returned."""
+def _written(index: Index, folder: Place) -> Index:
+    """index as a generation, with its leaves and its manifest."""
+    spark = index.documents.sparkSession
+    out = stored(index, folder.url)
+    leaves(spark, folder.url).write.parquet(folder.of(LEAVES).url)
+    manifest = REVISIONS | {"files": _digests(spark, folder.url), "documents": out.documents.count(), "schemas": {t: (out.parts[0].blocks if t == "blocks" else getattr(out, t)).schema.simpleString() for t in TABLES}}
+    folder.of("manifest.json").write(json.dumps(manifest))
+    return out
+
+
+def save(index: Index, path: str, since: str | None = None, rebased: Callable[[Index], Index] | None = None) -> tuple[str, Index]:
+    """index as the next commit at path; the name of its generation, and the index of its files.
+
+    Without ``rebased`` index takes the place of whatever is there. With it, index is generation ``since`` with changes;
+    if another is in force by now, rebased(that one) is saved instead. Raises ERR_CACHE_BUSY if other writers come first
+    ATTEMPTS times, ERR_WRITE if a file cannot be written.
+    """
     spark = index.documents.sparkSession
     place = Place(spark, path)
     if place.linked() or (place.exists() and not place.is_folder()):
         raise ConceptError("ERR_WRITE", path)
-    with writing(spark, path):
-        name = f"gen-{uuid.uuid4().hex}"
-        folder = place.of(name)
-        try:
-            out = stored(index, folder.url)
-            leaves(spark, folder.url).write.parquet(folder.of(LEAVES).url)
-            manifest = REVISIONS | {"files": _digests(spark, folder.url), "documents": out.documents.count(), "schemas": {t: (out.parts[0].blocks if t == "blocks" else getattr(out, t)).schema.simpleString() for t in TABLES}}
-            folder.of("manifest.json").write(json.dumps(manifest))
-            old = _pointer(place)
-            new = place.of(f"current-{uuid.uuid4().hex}")
-            new.write(name)
-            new.replace(place.of("current"))
-        except Exception as e:
+    folder, out = None, None
+    try:
+        for _ in range(ATTEMPTS):
+            last, name = newest(place)
+            if rebased is not None and name not in (None, since):
+                if folder is not None:
+                    folder.delete()
+                    folder = None
+                index, since = rebased(loaded(spark, path, name)[1]), name
+            if folder is None:
+                folder = place.of(f"gen-{uuid.uuid4().hex}")
+                out = _written(index, folder)
+            if _commit(place, last + 1).claim(folder.name):
+                break
+        else:
+            raise ConceptError("ERR_CACHE_BUSY", path)
+    except Exception as e:
+        if folder is not None:
             folder.delete()
-            raise e if isinstance(e, ConceptError) else ConceptError("ERR_WRITE", path) from e
-        if old and old != name:
-            place.of(old).delete()
-    return out
+        raise e if isinstance(e, ConceptError) else ConceptError("ERR_WRITE", path) from e
+    vacuum(spark, path)
+    return folder.name, out
+
+
+def _commit(place: Place, number: int) -> Place:
+    return place.of(COMMITS).of(f"{number:020}")
+
 
+def _numbers(place: Place) -> list[int]:
+    return [int(name) for name in place.of(COMMITS).names() if re.fullmatch("[0-9]{20}", name)]
 
-def _pointer(place: Place) -> str | None:
-    """The name of the generation in force; None if there is none, an error if it is no generation's name."""
-    at = place.of("current")
-    if not at.exists():
-        return None
-    name = at.read(1000).strip()
+
+def newest(place: Place) -> tuple[int, str | None]:
+    """The number of the commit in force and its generation, (0, None) if there is none; an error if that is no generation's name."""
+    last = max(_numbers(place), default=0)
+    if not last:
+        return 0, None
+    name = _commit(place, last).read(1000).strip()
     if not re.fullmatch("gen-[0-9a-f]{32}", name):
         raise OSError(f"{place.text} points outside itself")
-    return name
+    return last, name
+
+
+def vacuum(spark: SparkSession, path: str, retain: float = RETAIN) -> list[str]:
+    """Deletes what no reader or writer needs any more, and names it: generations that another commit replaced ``retain``
+    seconds ago or earlier, with their commits, and generations of that age without a commit, whose writers are gone."""
+    place = Place(spark, path)
+    there = [n for n in place.names() if n.startswith("gen-")]  # before the commits, so that none made in between is missed
+    numbers, named, old = _numbers(place), set(), []
+    for number, after in zip(numbers, [*numbers[1:], None], strict=True):
+        try:
+            name = _commit(place, number).read(1000).strip()
+            if after is not None and _commit(place, after).age() >= retain:
+                old.append((number, name))
+            named.add(name)
+        except (OSError, Py4JJavaError):  # another vacuum was there first
+            continue
+    for number, _ in old:
+        _commit(place, number).delete()
+    gone = {name for _, name in old if name in there}
+    for name in there:
+        try:
+            gone |= {name} if name not in named and place.of(name).age() >= retain else set()
+        except Py4JJavaError:  # its writer took it away: another came first
+            continue
+    for name in gone:
+        place.of(name).delete()
+    return sorted(gone)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -254,12 +322,16 @@ def _once(pairs: list[tuple]) -> dict:
     return dict(pairs)
 
 
-def _manifest(spark: SparkSession, path: str) -> tuple[dict, str]:
+def _manifest(spark: SparkSession, path: str, name: str | None = None) -> tuple[dict, str]:
+    """The manifest and the folder of a generation, by default of the one in force."""
     place = Place(spark, path)
     if place.linked() or not place.is_folder():
         raise ConceptError("ERR_CACHE_INVALID", path)
     try:
-        folder = place.of(_pointer(place) or "missing")
+        name = name or newest(place)[1]
+        if name is None and place.of("current").exists():
+            raise ConceptError("ERR_CACHE_INCOMPATIBLE", path)  # saved before there were commits
+        folder = place.of(name or "missing")
         manifest = json.loads(folder.of("manifest.json").read(), object_pairs_hook=_once)
         if not isinstance(manifest, dict):
             raise ValueError("a manifest is an object")
@@ -270,7 +342,12 @@ def _manifest(spark: SparkSession, path: str) -> tuple[dict, str]:
 
 def load(spark: SparkSession, path: str) -> Index:
     """The saved index; raises ERR_CACHE_INVALID or ERR_CACHE_INCOMPATIBLE."""
-    manifest, folder = _manifest(spark, path)
+    return loaded(spark, path)[1]
+
+
+def loaded(spark: SparkSession, path: str, name: str | None = None) -> tuple[str, Index]:
+    """A generation's name and its index, by default of the one in force."""
+    manifest, folder = _manifest(spark, path, name)
     if any(manifest.get(k) != v for k, v in REVISIONS.items()):
         raise ConceptError("ERR_CACHE_INCOMPATIBLE", path)
     try:
@@ -288,7 +365,7 @@ def load(spark: SparkSession, path: str) -> Index:
     index = opened(**found)
     if not verify(index).isEmpty():
         raise ConceptError("ERR_CACHE_INVALID", path)
-    return index
+    return folder.rsplit("/", 1)[-1], index
 
 
 def verify(index: Index) -> DataFrame:
@@ -303,9 +380,10 @@ def verify(index: Index) -> DataFrame:
     counts = index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")).join(index.term_stats, ["field", "term"], "full_outer").where("not (n <=> df)").select(*rule("wrong count of a term", "term"))
     bare = indexing.field_lengths(index.documents, index.sections.join(index.postings, "section_id", "left_anti")).where(F.size("tokens") > 0).select(*rule("section without postings", "section_id")).distinct()
     own = counted(index.postings, index.sections).select("field", F.struct("n_docs", F.round("avg_dl", 9)).alias("own"))
-    stats = own.join(index.field_stats.select("field", F.struct("n_docs", F.round("avg_dl", 9)).alias("held")), "field", "full_outer").where("not (own <=> held)").select(*rule("wrong statistics of a field", "field"))
+    means = own.join(index.field_stats.select("field", F.struct("n_docs", F.round("avg_dl", 9)).alias("held")), "field", "full_outer").where("not (own <=> held)").select(*rule("wrong statistics of a field", "field"))
     status = index.postings.select("document_id", "strict").distinct().join(index.documents.select("document_id", (F.col("conformance") == "strict").alias("own")), "document_id").where("own <> strict").select(*rule("wrong conformance of a posting", "document_id"))
-    for more in (lost, strays, owners, counts, bare, stats, status):
+    tally = stats.added(stats.inventory(index.documents).unionByName(stats.minus(index.inventory))).select(F.lit("wrong count of documents").alias("rule"), F.concat_ws("=", "kind", "value").alias("key"))
+    for more in (lost, strays, owners, counts, bare, means, status, tally):
         found = found.unionByName(more)
     return found
 

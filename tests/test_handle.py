@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import threading
 import time
 
@@ -36,7 +37,7 @@ def titles(handle, query, **given):
     return [r.title for r in handle.search(query, given).collect()]
 
 
-def test_open_change_save_and_load(spark, root, tmp_path):
+def test_open_change_save_and_load(spark, root, tmp_path, monkeypatch):
     cache = str(tmp_path / "cache")
     handle = open_concepts(spark, root, cache)
     assert sorted(r.path for r in sources.directory(spark, root).collect()) == [".hidden/_kiln.md", "half.md", "memory/search.md"]
@@ -59,12 +60,13 @@ def test_open_change_save_and_load(spark, root, tmp_path):
 
     again = open_concepts(spark, "/nowhere", cache)
     assert titles(again, "memory") == ["Memory search", "Half"] and again.index_stats(cache)["storage"]["size_in_bytes"] > 0
-    with store.writing(spark, cache), pytest.raises(ConceptError) as e:
+    with monkeypatch.context() as patch, pytest.raises(ConceptError) as e:
+        patch.setattr(store.Place, "claim", lambda *_: False)  # others are always first
         handle.save(cache)
-    assert e.value.code == "ERR_CACHE_BUSY"
+    assert e.value.code == "ERR_CACHE_BUSY" and sum(p.startswith("gen-") for p in os.listdir(cache)) == 1
     handle.save(cache)
     assert titles(open_concepts(spark, "/nowhere", cache), "whole") == ["Half"]
-    generation = next(p for p in os.listdir(cache) if p.startswith("gen-"))
+    generation = store.newest(store.Place(spark, cache))[1]
     victim = next(os.path.join(cache, generation, "documents", p) for p in os.listdir(os.path.join(cache, generation, "documents")) if p.endswith(".parquet"))
     with open(victim, "ab") as f:
         f.write(b"x")
@@ -201,7 +203,8 @@ def test_saved_indexes_are_refused_for_what_is_wrong_with_them(spark, tmp_path):
     handle = create_search(sources.in_memory(spark, FILES.items()))
     handle.save(f"file://{cache}")  # a path of any file system
     assert titles(open_concepts(spark, "/nowhere", cache), "memory") == ["Memory search", "Half"]
-    pointer = open(f"{cache}/current").read()
+    commit = f"{cache}/commits/{1:020}"
+    pointer = open(commit).read()
     at = f"{cache}/{pointer}/manifest.json"
     good = open(at).read()
     own = json.loads(good)
@@ -224,16 +227,18 @@ def test_saved_indexes_are_refused_for_what_is_wrong_with_them(spark, tmp_path):
         refused(code)
     put(at, good)
     for name in ("../elsewhere", "gen-1", ""):
-        put(f"{cache}/current", name)
+        put(commit, name)
         refused()
-    put(f"{cache}/current", pointer)
+    os.rename(commit, f"{cache}/current")  # as it was before there were commits
+    refused("ERR_CACHE_INCOMPATIBLE")
+    put(commit, pointer)
     assert not store.load(spark, cache).documents.isEmpty()
 
     index = handle._index
     wrong = {
         "wrong count of a term": {"term_stats": index.term_stats.withColumn("df", index.term_stats.df + 1)}, "wrong statistics of a field": {"field_stats": index.field_stats.where("field <> 'body'")},
         "section without postings": {"postings": index.postings.where("document_id <> 'half'")}, "posting without section": {"sections": index.sections.where("document_id <> 'half'")},
-        "wrong conformance of a posting": {"postings": index.postings.withColumn("strict", ~index.postings.strict)},
+        "wrong conformance of a posting": {"postings": index.postings.withColumn("strict", ~index.postings.strict)}, "wrong count of documents": {"inventory": index.inventory.where("kind <> 'status'")},
     }
     for rule, change in wrong.items():
         assert rule in {r.rule for r in store.verify(indexing.Index(**index.frames() | change)).collect()}
@@ -311,3 +316,115 @@ def test_folders_are_listed_by_level_and_by_other_file_systems(spark, tmp_path):
     with pytest.raises(ConceptError) as e:
         sources.directory(spark, f"{tmp_path}/nowhere")
     assert (e.value.code, e.value.path) == ("ERR_READ", f"{tmp_path}/nowhere")
+
+
+def test_counts_come_from_signed_changes_alone(spark, monkeypatch):
+    from lorebase import handle as module
+    from lorebase.operators import stats
+
+    monkeypatch.setattr(module, "MERGE_AFTER", 4)
+    draw = random.Random(7)
+    kinds, statuses = ["Kiln", "Glaze", "Ä"], ["draft", "stable", "deprecated", "odd", None]
+    one = lambda: f"---\ntype: {draw.choice(kinds)}\ntitle: t\n" + (f"status: {s}\n" if (s := draw.choice(statuses)) else "") + "---\nclay\n"
+    handle = create_search(sources.in_memory(spark, [(f"d{i}.md", one()) for i in range(8)]))
+
+    def check():
+        documents = handle.documents
+        want = {"documents": stats.totals(documents).first().asDict(), "types": [r.asDict() for r in stats.types(documents).collect()], "statuses": stats.statuses(documents).first().asDict(), "trust_tiers": stats.trust_tiers(documents).first().asDict()}
+        assert handle.index_stats() == want and handle.list_types() == [t["type"] for t in want["types"]]
+        assert not set(handle._index.inventory.inputFiles()) & set(documents.inputFiles())
+
+    for step in range(6):
+        for _ in range(draw.randint(1, 2)):
+            name = f"d{draw.randrange(11)}.md"
+            handle.remove(name) if draw.random() < 0.4 else handle.ingest(name, one())
+        if step % 3 == 2:
+            handle.ingest_many(sources.in_memory(spark, [(f"d{draw.randrange(6)}.md", one())] + [(f"m{step}-{i}.md", one()) for i in range(5)]))
+        check()
+    handle.remove_many([r.path for r in handle.documents.collect()])
+    check()
+    assert handle.index_stats()["documents"]["total"] == 0 and titles(handle, "clay") == []
+
+
+def test_only_one_of_many_claims_a_name(spark, tmp_path):
+    won, places = [], [store.Place(spark, f"{tmp_path}/c/{1:020}") for _ in range(12)]
+    threads = [threading.Thread(target=lambda i=i, p=p: won.append((p.claim(f"of {i}"), i))) for i, p in enumerate(places)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(60)
+    (winner,) = [i for good, i in won if good]
+    assert len(won) == 12 and places[0].read() == f"of {winner}" and [n for n in os.listdir(tmp_path / "c") if not n.endswith(".crc")] == [f"{1:020}"]
+
+
+def test_two_writers_keep_each_others_changes(spark, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    create_search(sources.in_memory(spark, FILES.items())).save(cache)
+    first, second, reader = (open_concepts(spark, "/nowhere", cache) for _ in range(3))
+    first.ingest("a.md", concept("Ash", "ash of the kiln"))
+    first.remove("half.md")
+    second.ingest("b.md", concept("Bole", "bole of the kiln"))
+    second.ingest("memory/search.md", concept("Search again", "a kiln searched"))
+
+    met, real, waited = threading.Barrier(2), store._written, set()
+
+    def written(index, folder):
+        out = real(index, folder)
+        if threading.get_ident() not in waited:  # both have written before either commits
+            waited.add(threading.get_ident())
+            met.wait(120)
+        return out
+
+    monkeypatch.setattr(store, "_written", written)
+    failed = []
+
+    def run(handle):
+        try:
+            handle.save(cache)
+        except BaseException as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=run, args=(h,)) for h in (first, second)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert failed == []
+    monkeypatch.setattr(store, "_written", real)
+    want = {".hidden/_kiln.md": "Kiln", "a.md": "Ash", "b.md": "Bole", "memory/search.md": "Search again"}
+    found = open_concepts(spark, "/nowhere", cache)
+    assert {r.path: r.title for r in found.documents.collect()} == want and sorted(titles(found, "kiln")) == sorted(want.values())
+    fresh = create_search(sources.in_memory(spark, [(".hidden/_kiln.md", FILES[".hidden/_kiln.md"]), ("a.md", concept("Ash", "ash of the kiln")), ("b.md", concept("Bole", "bole of the kiln")), ("memory/search.md", concept("Search again", "a kiln searched"))]))
+    scored = lambda h: [(r.section_id, r.score) for r in h.search("kiln searched bole").collect()]
+    assert scored(found) == scored(fresh) and found.index_stats() == fresh.index_stats()
+
+    # the one that came second has both; the other gets the rest when it saves again, and its next change alone counts
+    late = max((first, second), key=lambda h: h.documents.count())
+    early = first if late is second else second
+    assert {r.path for r in late.documents.collect()} == set(want)
+    late.remove("a.md")
+    late.save(cache)
+    early.ingest("c.md", concept("Clay", "clay"))
+    early.save(cache)
+    for h in (early, open_concepts(spark, "/nowhere", cache)):
+        assert {r.path for r in h.documents.collect()} == set(want) - {"a.md"} | {"c.md"}
+
+    # tables that are not sound together are refused, and nothing is committed
+    before = store.newest(store.Place(spark, cache))
+    early.ingest("d.md", concept("Dung", "dung"))
+    late.save(cache)
+
+    def refuse(*_):
+        raise ConceptError("ERR_FIELD", "d#x", "repeated section_id")
+
+    with monkeypatch.context() as patch, pytest.raises(ConceptError) as e:
+        patch.setattr("lorebase.handle._sound", refuse)
+        early.save(cache)
+    assert (e.value.code, e.value.path, store.newest(store.Place(spark, cache))[0]) == ("ERR_FIELD", "d#x", before[0] + 1)
+
+    # readers of the first generation go on until it is vacuumed
+    assert store.vacuum(spark, cache) == [] and sorted(titles(reader, "memory")) == ["Half", "Memory search"]
+    assert len(store.vacuum(spark, cache, 0)) == 5 and [p for p in os.listdir(cache) if p.startswith("gen-")] == [store.newest(store.Place(spark, cache))[1]]
+    assert "Clay" in titles(open_concepts(spark, "/nowhere", cache), "clay")
+    os.mkdir(f"{cache}/gen-left")  # of a writer that is gone
+    assert store.vacuum(spark, cache) == [] and store.vacuum(spark, cache, 0) == ["gen-left"]
