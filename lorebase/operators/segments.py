@@ -48,15 +48,16 @@ class Segment:
     def without(self, ids: DataFrame) -> Segment:
         """This segment without the documents of these ids, (document_id), as far as it holds them."""
         names = self.index.documents.columns
-        documents = shared.cut(self.kept(self.index.documents).join(ids.distinct(), "document_id", "left_semi").select(names))
+        cut = shared.cut if self.index.parts else lambda frame: frame  # of what is not stored only what is asked is worked out
+        documents = cut(self.kept(self.index.documents).join(ids.distinct(), "document_id", "left_semi").select(names))
         n = documents.count()
         if not n:
             return self
         own = documents.select("document_id")
-        sections = shared.cut(self.index.sections.join(indexing.small(own, n), "document_id", "left_semi").select(self.index.sections.columns))
+        sections = cut(self.index.sections.join(indexing.small(own, n), "document_id", "left_semi").select(self.index.sections.columns))
         built = indexing.build(documents, sections)
         lost, fields = built.term_stats.select("field", "term", "df"), indexing.totals(built.field_stats)
-        more = lambda old, new: shared.cut(new if old is None else old.unionByName(new))
+        more = lambda old, new: cut(new if old is None else old.unionByName(new))
         return replace(self, gone=more(self.gone, own), n_gone=self.n_gone + n, lost=more(self.lost, lost), lost_fields=more(self.lost_fields, fields), lost_inventory=more(self.lost_inventory, built.inventory))
 
 
@@ -66,6 +67,11 @@ def segmented(index: Index) -> Segment:
     return Segment(index, index.documents.count())
 
 
+def planned(index: Index) -> Segment:
+    """An index as a segment that is not stored: nothing is worked out before it is asked, and searches take it anew each time."""
+    return Segment(index, index.documents.count())
+
+
 def made(documents: DataFrame, sections: DataFrame) -> Segment:
     """A new segment of prepared documents and sections."""
     index = store.stored(indexing.build(documents, sections), rebuild=True)
@@ -83,7 +89,7 @@ def combined(segments: list[Segment]) -> Index:
     return Index(
         documents=union(s.kept(s.index.documents) for s in segments), sections=union(s.kept(s.index.sections) for s in segments), postings=union(s.kept(s.index.postings) for s in segments),
         term_stats=term_stats.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0"), field_stats=indexing.averaged(sums), variants=union(s.index.variants for s in segments), inventory=stats.added(inventory),
-        parts=tuple(Part(p.blocks, p.gone if s.gone is None else s.gone, s.n_gone) for s in segments for p in s.index.parts),
+        parts=tuple(Part(p.blocks, p.gone if s.gone is None else s.gone, s.n_gone) for s in segments for p in s.index.parts) if all(s.index.parts for s in segments) else (),
     )
 
 

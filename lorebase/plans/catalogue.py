@@ -386,9 +386,11 @@ _register("remove_document", _removed, _C + "SELECT document_id, path FROM conce
 def _two_segments(spark: SparkSession, sf_dir: str) -> indexing.Index:
     """An index of two segments: every third document was ingested anew, as it was, and every fifth is gone."""
     documents, sections = adapter.tables(spark, sf_dir)
+    wide = adapter.wide(spark, sf_dir)
     number = F.element_at(F.split("document_id", "/"), -1).cast("long")
-    first = segments.segmented(store.stored(indexing.build(documents, sections)))
-    again = segments.made(documents.where(number % 3 == 0), sections.where(number % 3 == 0))
+    # asked once, for what needs no stored postings
+    first = segments.planned(indexing.build(documents, sections, wide))
+    again = segments.planned(indexing.build(documents.where(number % 3 == 0), sections.where(number % 3 == 0), wide.where(number % 3 == 0)))
     parts = segments.changed([first], documents.where((number % 3 == 0) | (number % 5 == 0)).select("document_id"), again)
     parts = segments.changed(parts, documents.where(number % 5 == 0).select("document_id"), None)
     return segments.combined(parts)
