@@ -40,6 +40,8 @@ LOOKBEHIND = 80
 EXACT = "decimal(28,12)"
 #: Alternatives that the driver takes in, terms and ids that a scan is given as literals, prefixes that are tested one by one.
 EXPANSIONS = 20_000
+#: Alternatives up to which they are sent to all executors, so that postings need not be shuffled to meet them.
+SENT = 1_000_000
 LITERALS = 5_000
 FETCHED = 5_000
 #: Postings of the query terms from which searches of a stored index are pruned, and what a bound is eased by.
@@ -196,7 +198,9 @@ def expand(index: Index, rows: list[tuple], options: Options) -> tuple[DataFrame
     met = own if many else own + more
     frame = spark.createDataFrame(_met_table(met))
     if many:
-        return frame.unionByName(others.withColumn("df", F.lit(None).cast("map<string,bigint>"))), None
+        others = shared.cut(others)  # read for the joins and for what they begin with
+        sent = F.broadcast if others.count() + len(own) <= SENT else lambda x: x
+        return sent(frame.unionByName(others.withColumn("df", F.lit(None).cast("map<string,bigint>")))), None
     return small(frame, len(met)), met
 
 
@@ -216,17 +220,22 @@ def _of_fields(frame: DataFrame, options: Options) -> DataFrame:
     return frame if set(options.fields) == set(FIELDS) else frame.where(among("field", list(options.fields)))
 
 
-def _wanted(met: list[tuple] | None, options: Options) -> Column:
-    """The condition on term and field of postings that these rows meet."""
-    terms = _few_terms(met)
+def _wanted(terms: str | None, options: Options) -> Column:
+    """The condition on term and field of postings, with one on the term as SQL."""
     wanted = F.lit(True) if set(options.fields) == set(FIELDS) else among("field", list(options.fields))
-    return wanted if terms is None else wanted & among("term", terms)
+    return wanted if terms is None else wanted & F.expr(terms)
 
 
-def _few_terms(met: list[tuple] | None) -> list[str] | None:
-    """The terms that rows meet, if they are known and few."""
-    terms = sorted({m[3] for m in met}) if met is not None else None
-    return terms if terms is not None and len(terms) <= LITERALS else None
+def _terms(frame: DataFrame, met: list[tuple] | None) -> str | None:
+    """A condition that the terms which rows of expand() meet fulfil, as SQL: the terms themselves or, of many, their first three letters."""
+    if met is not None:
+        terms = sorted({m[3] for m in met})
+        if len(terms) <= LITERALS:
+            return listed("term", terms)
+        begun = sorted({t[:3] for t in terms})
+    else:
+        begun = sorted(r[0] for r in frame.select(F.substring("index_term", 1, 3)).distinct().limit(LITERALS + 1).collect())
+    return listed("substring(term, 1, 3)", begun) if len(begun) <= LITERALS else None
 
 
 def _filtered(index: Index, postings: DataFrame, options: Options) -> DataFrame:
@@ -248,7 +257,13 @@ def _gained(index: Index, postings: DataFrame, met: DataFrame, options: Options,
 def matches(index: Index, rows: list[tuple], options: Options) -> DataFrame:
     """(query_id, section_id, document_id, strict, n_terms, pos, field, index_term, gain) of every alternative that applies."""
     met, known = expand(index, rows, options)
-    return _gained(index, _filtered(index, index.among(_wanted(known, options), terms=_few_terms(known)), options), met, options)
+    return _matched(index, met, known, options)
+
+
+def _matched(index: Index, met: DataFrame, known: list[tuple] | None, options: Options) -> DataFrame:
+    """matches() of what expand() gave."""
+    terms = _terms(met, known)
+    return _gained(index, _filtered(index, index.among(_wanted(terms, options), terms=terms), options), met, options)
 
 
 def floors(index: Index, met: list[tuple], options: Options) -> dict[int, float]:
@@ -256,7 +271,7 @@ def floors(index: Index, met: list[tuple], options: Options) -> dict[int, float]
     spark = index.documents.sparkSession
     exact = [m for m in met if m[4] is None]
     frame = small(spark.createDataFrame(_met_table(exact)), len(exact))
-    heads = _filtered(index, index.among(_wanted(exact, options), lambda blocks: blocks.where("head")), options)
+    heads = _filtered(index, index.among(_wanted(_terms(frame, exact), options), lambda blocks: blocks.where("head")), options)
     best = ranked(scores(_gained(index, heads, frame, options), options), options)
     return {r.query_id: float(r.least) for r in best.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == options.limit).collect()}
 
@@ -299,8 +314,11 @@ def limits(index: Index, met: list[tuple], options: Options, floor: dict[int, fl
 _LIMITED = pa.schema([*_MET, ("need", pa.map_(pa.string(), pa.float64())), ("rest", pa.list_(pa.string()))])
 
 
-def reaching(index: Index, met: list[tuple], options: Options, need: dict) -> Callable[[DataFrame], DataFrame]:
-    """A function that keeps the blocks of which some posting may contribute what a query needs."""
+def reaching(index: Index, met: list[tuple], options: Options, need: dict, others: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A function that keeps the blocks of which some posting may contribute what a query needs.
+
+    others: (index_term, need) of further alternatives, whose blocks of the fields in need are kept.
+    """
     spark = index.documents.sparkSession
     least: dict[tuple[str, str], list] = {}
     for query, pos, _, term, weight, df in met:
@@ -312,12 +330,16 @@ def reaching(index: Index, met: list[tuple], options: Options, need: dict) -> Ca
                 held[1] = max(held[1], n)
     rows = [(t, f, x, n) for (t, f), (x, n) in least.items()]
     table = pa.table({"term": pa.array([r[0] for r in rows], pa.string()), "field": pa.array([r[1] for r in rows], pa.string()), "least": pa.array([r[2] for r in rows], pa.float64()), "df": pa.array([r[3] for r in rows], pa.int64())})
-    frame = spark.createDataFrame(table)
+    frame = small(spark.createDataFrame(table), len(rows))
+    if others is not None:
+        more = others.select(F.col("index_term").alias("term"), F.explode(F.map_keys("need")).alias("field"), F.lit(-math.inf).alias("least"), F.lit(1).cast("long").alias("df"))
+        frame = shared.cut(frame.unionByName(more).groupBy("term", "field").agg(F.min("least").alias("least"), F.max("df").alias("df")))
+        frame = F.broadcast(frame) if frame.count() <= SENT else frame
     boost = _by_field(options.boost, "double")
 
     def kept(blocks: DataFrame) -> DataFrame:
         names = blocks.columns
-        held = blocks.join(small(frame, len(rows)), ["term", "field"])
+        held = blocks.join(frame, ["term", "field"])
         known = index.averages
         total, mean = _by_field({k: n for k, (n, _) in known.items()}, "long"), _by_field({k: float(a) for k, (_, a) in known.items()}, "double")
         return held.where((F.col("least") == -math.inf) | F.exists("peaks", lambda p: boost * bm25(p["tf"], p["dl"], F.col("df"), total, mean) >= F.col("least"))).select(names)
@@ -325,15 +347,27 @@ def reaching(index: Index, met: list[tuple], options: Options, need: dict) -> Ca
     return kept
 
 
-def pruned(index: Index, met: list[tuple], options: Options) -> DataFrame:
-    """Rows as of matches() that hold all of those of every section that can be a hit."""
+def pruned(index: Index, met: list[tuple] | None, options: Options, frame: DataFrame | None = None) -> DataFrame:
+    """Rows as of matches() that hold all of those of every section that can be a hit.
+
+    met is the list that expand() gives; if there is none, as there are too many alternatives, its frame is needed.
+    """
     spark = index.documents.sparkSession
-    need = limits(index, met, options, floors(index, met, options))
+    others, most = None, []
+    if met is None:
+        met = [(r.query_id, r.pos, r.n_terms, r.index_term, None, list(r.df.items())) for r in frame.where("weight is null").collect()]  # one for each query term at the most
+        others = frame.where("weight is not null").drop("df")
+        # of alternatives the bounds ask for the greatest weight of each query term alone
+        most = [(r.query_id, r.pos, None, None, r.weight, None) for r in others.groupBy("query_id", "pos").agg(F.max("weight").alias("weight")).collect()]
+    need = limits(index, met + most, options, floors(index, met, options))
+    if others is not None:
+        return _pruned_many(index, met, others, options, need)
     wide = [(*m, [(f, x) for f in options.fields if (x := need.get((m[0], m[1], f))) is not None], [f for f in options.fields if need.get((m[0], m[1], f), 0) is None]) for m in met]
     table = lambda rows: pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, _LIMITED, strict=True)], schema=_LIMITED)
     asked, rest = [w for w in wide if w[6]], [w for w in wide if w[7]]
     boost = _by_field(options.boost, "double")
-    first = _filtered(index, index.among(_wanted([m[:6] for m in asked], options), reaching(index, met, options, need)), options)
+    of = lambda rows: _wanted(_terms(None, rows), options)
+    first = _filtered(index, index.among(of(asked), reaching(index, met, options, need)), options)
     first = _gained(index, first, small(spark.createDataFrame(table(asked)), len(asked)), options, "need")
     names = [c for c in first.columns if c != "need"]
     first = first.withColumn("need", F.element_at("need", F.col("field"))).where(F.col("need").isNotNull() & (F.col("gain") * boost >= F.col("need"))).select(names)
@@ -342,11 +376,35 @@ def pruned(index: Index, met: list[tuple], options: Options) -> DataFrame:
     first = shared.cut(first)  # read twice, and its size decides how the rest is joined
     n = first.count()
     candidates = first.select("query_id", "section_id").distinct()
-    others = _filtered(index, index.among(_wanted([m[:6] for m in rest], options)), options).join(small(candidates.select("section_id").distinct(), n), "section_id", "left_semi")
+    others = _filtered(index, index.among(of(rest)), options).join(small(candidates.select("section_id").distinct(), n), "section_id", "left_semi")
     others = _gained(index, others, small(spark.createDataFrame(table(rest)), len(rest)), options, "rest").where(F.array_contains("rest", F.col("field"))).drop("rest")
     return first.unionByName(others.join(small(candidates, n), ["query_id", "section_id"], "left_semi").select(names))
 
 
+def _pruned_many(index: Index, met: list[tuple], others: DataFrame, options: Options, need: dict) -> DataFrame:
+    """pruned() with alternatives as a frame: the same two passes, with what they need joined to them."""
+    spark = index.documents.sparkSession
+    pairs = sorted({(q, p) for q, p, _ in need})
+    kinds = [pa.field("query_id", pa.int64()), pa.field("pos", pa.int32()), *(_LIMITED.field(n) for n in ("need", "rest"))]
+    values = [(q, p, [(f, x) for f in options.fields if (x := need.get((q, p, f))) is not None], [f for f in options.fields if need.get((q, p, f), 0) is None]) for q, p in pairs]
+    table = spark.createDataFrame(pa.table([pa.array(c, k.type) for c, k in zip(zip(*values, strict=True), kinds, strict=True)], schema=pa.schema(kinds)))
+    own = spark.createDataFrame(_met_table(met))
+    every = shared.cut(own.unionByName(others.withColumn("df", F.lit(None).cast("map<string,bigint>"))).join(small(table, len(pairs)), ["query_id", "pos"]))
+    sent = F.broadcast if every.count() <= SENT else lambda x: x
+    boost = _by_field(options.boost, "double")
+    asked, rest = every.where(F.size("need") > 0), every.where(F.size("rest") > 0)
+    kept = reaching(index, met, options, need, asked.where("weight is not null").select("index_term", "need"))
+    first = _gained(index, _filtered(index, index.among(_wanted(_terms(asked, None), options), kept), options), sent(asked), options, "need")
+    names = [c for c in first.columns if c != "need"]
+    first = shared.cut(first.withColumn("need", F.element_at("need", F.col("field"))).where(F.col("need").isNotNull() & (F.col("gain") * boost >= F.col("need"))).select(names))
+    n = first.count()
+    candidates = first.select("query_id", "section_id").distinct()
+    terms = sent(rest.select(F.col("index_term").alias("term")))
+    more = _filtered(index, index.among(_wanted(_terms(rest, None), options), lambda blocks: blocks.join(terms, "term", "left_semi").select(blocks.columns)), options).join(small(candidates.select("section_id").distinct(), n), "section_id", "left_semi")
+    more = _gained(index, more, sent(rest), options, "rest").where(F.array_contains("rest", F.col("field"))).drop("rest")
+    return first.unionByName(more.join(small(candidates, n), ["query_id", "section_id"], "left_semi").select(names))
+
+
 def scores(found: DataFrame, options: Options) -> DataFrame:
     """(query_id, section_id, document_id, strict, score, fields) of the sections that match."""
     boost = _by_field(options.boost, "double")
@@ -458,5 +516,5 @@ def search_many(index: Index, queries: dict[int, str], options: Options) -> Data
         return spark.createDataFrame([], HIT)
     met, known = expand(index, rows, options)
     heavy = bool(index.parts) and known is not None and sum(n for m in known for _, n in m[5] or ()) >= PRUNE_FROM
-    found = pruned(index, known, options) if heavy else _gained(index, _filtered(index, index.among(_wanted(known, options), terms=_few_terms(known)), options), met, options)
+    found = pruned(index, known, options) if heavy else _matched(index, met, known, options)
     return hits(index, ranked(scores(found, options), options), rows, options)

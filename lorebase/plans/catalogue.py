@@ -195,15 +195,15 @@ UNION ALL SELECT 'bad lines' FROM y WHERE n % 37 = 0 UNION ALL SELECT 'no sectio
 SELECT rule, count(*) AS count FROM v GROUP BY rule""")
 
 
-_register("postings_blocks", lambda s, d: store.stored(_index(s, d)).postings.drop("strict"), ORACLES["postings"])
+_register("postings_blocks", lambda s, d: store.stored(_index(s, d), fuzzy=False).postings.drop("strict"), ORACLES["postings"])
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch of searches, pruned whatever the number of postings."""
-    index, o = store.stored(_index(spark, sf_dir)), options.validate("q", {"asOf": AS_OF})
+    index, o = store.stored(_index(spark, sf_dir), fuzzy=False), options.validate("q", {"asOf": AS_OF})
     rows = search.query_terms(_BATCH, o)
-    _, met = search.expand(index, rows, o)
-    return _flat(search.hits(index, search.ranked(search.scores(search.pruned(index, met, o), o), o), rows, o))
+    frame, met = search.expand(index, rows, o)
+    return _flat(search.hits(index, search.ranked(search.scores(search.pruned(index, met, o, frame), o), o), rows, o))
 
 
 _register("batch_search_pruned", _pruned, ORACLES["batch_search"])

@@ -150,10 +150,11 @@ def _write(frame: DataFrame, table: str, folder: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{table}")
 
 
-def stored(index: Index, folder: str | None = None, rebuild: bool = False) -> Index:
+def stored(index: Index, folder: str | None = None, rebuild: bool = False, fuzzy: bool = True) -> Index:
     """index as tables of a folder, by default one of the shared folder; postings as blocks, statistics from these.
 
-    With rebuild the postings are those of the stored documents and sections, so these are worked out once.
+    With rebuild the postings are those of the stored documents and sections, so these are worked out once. Without fuzzy
+    the neighbourhoods are not stored, which are the largest table: fuzzy terms have them worked out when they are asked.
     """
     spark = index.documents.sparkSession
     folder = folder or shared.folder(spark)
@@ -162,7 +163,8 @@ def stored(index: Index, folder: str | None = None, rebuild: bool = False) -> In
     field_stats = _write(counted(source, sections), "field_stats", folder)
     blocks = _write(indexing.blocked(source, {r.field: r.avg_dl for r in field_stats.collect()}), "blocks", folder)
     term_stats = _write(blocks.groupBy("field", "term").agg(F.sum("n").alias("df")), "term_stats", folder)
-    variants = _write(indexing.neighbourhoods(term_stats), "variants", folder)
+    variants = indexing.neighbourhoods(term_stats)
+    variants = _write(variants, "variants", folder) if fuzzy else variants
     inventory = _write(stats.inventory(documents), "inventory", folder)
     return opened(documents=documents, sections=sections, blocks=blocks, term_stats=term_stats, field_stats=field_stats, variants=variants, inventory=inventory)
 

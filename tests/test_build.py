@@ -22,7 +22,7 @@ def index(spark):
 
 
 def test_postings_take_no_shuffle(index):
-    for text in (plan(index.postings), plan(index.among(F.col("term").isin("the"), terms=["the"]))):
+    for text in (plan(index.postings), plan(index.among(F.col("term").isin("the"), terms="term = 'the'"))):
         assert "Aggregate" not in text and "Join" not in text and "Repartition" not in text
 
 
@@ -46,7 +46,7 @@ def test_counts_within_rows(spark):
     lengths = spark.createDataFrame(rows, "section_id string, document_id string, strict boolean, field string, tokens array<string>")
     got = {tuple(r) for r in indexing.tallied(lengths).collect()}
     assert got == {("body", "a", "a#s0", "a", True, 5, 1), ("body", "b", "a#s0", "a", True, 5, 3), ("body", "ä", "a#s0", "a", True, 5, 1), ("body", "b", "b#s0", "b", None, 1, 1)}
-    assert {tuple(r) for r in indexing.tallied(lengths, ["b", "x'"]).collect()} == {g for g in got if g[1] == "b"}
+    assert {tuple(r) for r in indexing.tallied(lengths, "term IN ('b', 'x')").collect()} == {g for g in got if g[1] == "b"}
 
 
 def test_lookups_read_the_texts_once(spark, index):
@@ -63,3 +63,37 @@ def test_lookups_read_the_texts_once(spark, index):
 def test_fuzzy_terms_meet_an_unstored_dictionary_without_neighbourhoods(index):
     o = options.validate("q", {"fuzzy": True})
     assert "variant" not in plan(search.alternatives(index, search.query_terms({0: "ertionthe"}, o), o))
+
+
+def test_more_alternatives_than_the_driver_takes_are_pruned_and_searched_alike(spark, index, monkeypatch):
+    from lorebase.sources import store
+
+    stored = store.stored(index, fuzzy=False)
+    texts = {0: "the and", 1: "und der die", 2: "lichen", 3: "que th"}
+    for given in ({"limit": 5}, {"limit": 5, "fuzzy": 0.2}, {"limit": 3, "match": "all", "fields": ["title", "body"]}):
+        o = options.validate("q", given)
+        rows = search.query_terms(texts, o)
+        monkeypatch.setattr(search, "EXPANSIONS", 20_000)
+        want = {(r.query_id, r.rank, r.section_id, r.score) for r in search.search_many(stored, texts, o).collect()}
+        monkeypatch.setattr(search, "EXPANSIONS", 3)
+        frame, met = search.expand(stored, rows, o)
+        assert met is None and want
+        got = search.ranked(search.scores(search.pruned(stored, met, o, frame), o), o)
+        assert {(r.query_id, r["rank"], r.section_id, float(round(r.score, 6))) for r in got.collect()} == want
+        for one in (stored, index):
+            assert {(r.query_id, r.rank, r.section_id, r.score) for r in search.search_many(one, texts, o).collect()} == want
+
+
+def test_segments_that_are_not_stored_count_alike_and_store_nothing(spark, index, monkeypatch):
+    from lorebase.operators import segments
+    from lorebase.sources import shared, store
+
+    gone = index.documents.where("type = 'en'").select("document_id")
+    stored = segments.combined(segments.changed([segments.segmented(store.stored(index, fuzzy=False))], gone, None))
+    monkeypatch.setattr(shared, "cut", None)
+    monkeypatch.setattr(store, "stored", None)
+    planned = segments.combined(segments.changed([segments.planned(index)], gone, None))
+    for name, columns in (("inventory", ["kind", "value", "n"]), ("term_stats", ["field", "term", "df"])):
+        rows = lambda i: {tuple(r) for r in getattr(i, name).select(columns).collect()}
+        assert rows(planned) == rows(stored)
+    assert planned.postings.count() == stored.postings.count() == planned.among(F.lit(True)).count()
