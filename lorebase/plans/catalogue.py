@@ -211,7 +211,8 @@ _register("batch_search_pruned", _pruned, ORACLES["batch_search"])
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _index(spark, sf_dir)
-    rows = i.postings.where("field = 'body'").join(i.term_stats, ["field", "term"]).join(F.broadcast(i.field_stats), "field")
+    # the frequencies are what is held, by part of the terms; the postings stream past them and are not sorted
+    rows = i.postings.where("field = 'body'").join(i.term_stats.where("field = 'body'").hint("shuffle_hash"), ["field", "term"]).join(F.broadcast(i.field_stats), "field")
     return rows.select("term", "section_id", F.round(search.bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl")), 6).alias("bm25"))
 
 

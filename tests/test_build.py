@@ -97,3 +97,8 @@ def test_segments_that_are_not_stored_count_alike_and_store_nothing(spark, index
         rows = lambda i: {tuple(r) for r in getattr(i, name).select(columns).collect()}
         assert rows(planned) == rows(stored)
     assert planned.postings.count() == stored.postings.count() == planned.among(F.lit(True)).count()
+
+
+def test_postings_are_not_sorted_to_meet_their_frequencies(spark):
+    text = catalogue.QUERIES["bm25_components"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
