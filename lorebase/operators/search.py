@@ -51,6 +51,8 @@ EASE = 1e-6
 #: Hits up to which snippets are cut by the driver, which spares the start of Python workers.
 FEW = 200
 PREFIXES = 16
+#: Fuzzy terms that every term of the texts is compared with; for more of them the dictionary is worked out first.
+EDITED = 4
 TERM = "query_id long, pos int, term string, edits int, prefix boolean, n_terms int"
 HIT = "query_id long, rank int, document_id string, title string, section_id string, score double, conformance string, matched_fields array<string>, heading_path string, path string, start_line int, end_line int, snippet string"
 
@@ -88,6 +90,29 @@ def _near(whole: DataFrame, begun: DataFrame | None, columns: list[str]) -> list
     return parts
 
 
+def _meeting(rows: list[tuple], options: Options) -> str | None:
+    """A condition that all terms fulfil which query terms can meet, as SQL; None if there are too many to be tested one by one."""
+    begins = {r[2] for r in rows if r[4] and (not options.fuzzy_prefix or r[3] == 0)}
+    edited = {r[2:5] for r in rows if r[3] > 0}
+    exact = {r[2] for r in rows}
+    if len(begins) > PREFIXES or len(edited) > EDITED or len(exact) > LITERALS:
+        return None
+    parts = [listed("term", sorted(exact)), *(f"startswith(term, {quoted(t)})" for t in sorted(begins))]
+    for term, reach, prefix in sorted(edited):
+        # as in _near(); what is near enough by this is compared exactly there
+        n, near = len(term), lambda x: f"levenshtein({x}, {quoted(term)}, {2 * reach}) >= 0"  # noqa: B023
+        parts.append(f"(length(term) BETWEEN {n - reach} AND {n + reach} AND {near('term')})")
+        if options.fuzzy_prefix and prefix:
+            parts.append(f"(length(term) >= {n - reach} AND ({' OR '.join(near(f'substring(term, 1, {max(n + k, 0)})') for k in range(-reach, reach + 1))}))")
+    return " OR ".join(parts)
+
+
+def gathered(index: Index, rows: list[tuple], options: Options) -> Index:
+    """index with all that query terms can meet, if it is not stored, so that its texts are read once."""
+    wanted = None if index.lengths is None else _meeting(rows, options)
+    return index if wanted is None else index.gathered(wanted)
+
+
 def _looked_up(index: Index, rows: list[tuple], options: Options) -> Index:
     """index with the part of its dictionary that query terms can meet, so that texts are read once for all of them."""
     begins = [r for r in rows if r[4] and (not options.fuzzy_prefix or r[3] == 0)]
@@ -257,6 +282,7 @@ def _gained(index: Index, postings: DataFrame, met: DataFrame, options: Options,
 
 def matches(index: Index, rows: list[tuple], options: Options) -> DataFrame:
     """(query_id, section_id, document_id, strict, n_terms, pos, field, index_term, gain) of every alternative that applies."""
+    index = gathered(index, rows, options)
     met, known = expand(index, rows, options)
     return _matched(index, met, known, options)
 
@@ -515,6 +541,7 @@ def search_many(index: Index, queries: dict[int, str], options: Options) -> Data
     rows = query_terms(queries, options)
     if not rows or options.limit == 0:
         return spark.createDataFrame([], HIT)
+    index = gathered(index, rows, options)
     met, known = expand(index, rows, options)
     heavy = bool(index.parts) and known is not None and sum(n for m in known for _, n in m[5] or ()) >= PRUNE_FROM
     found = pruned(index, known, options) if heavy else _matched(index, met, known, options)

@@ -126,11 +126,12 @@ _search("batch_search", _BATCH)
 
 def _invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that match under a filter, and their sections whose score differs without it; all matches, no ranking."""
-    index = _index(spark, sf_dir)
+    o = options.validate("q", {"asOf": AS_OF})
+    rows = search.query_terms({0: "the and"}, o)
+    index = search.gathered(_index(spark, sf_dir), rows, o)  # for both searches
 
     def run(where):
         o = options.validate("q", {"asOf": AS_OF, "where": where})
-        rows = search.query_terms({0: "the and"}, o)
         return search.scores(search.matches(index, rows, o), o).select("document_id", "section_id", "score")
 
     both = run({"types": ["en"]}).withColumnRenamed("score", "filtered").join(run({}).drop("document_id"), "section_id", "left")

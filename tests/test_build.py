@@ -102,3 +102,26 @@ def test_segments_that_are_not_stored_count_alike_and_store_nothing(spark, index
 def test_postings_are_not_sorted_to_meet_their_frequencies(spark):
     text = catalogue.QUERIES["bm25_components"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("given", [{}, {"fuzzy": 0.2, "fields": ["title", "body"], "where": {"types": ["en"]}}])
+def test_scores_of_an_unstored_index_follow_from_one_pass_over_its_texts(spark, index, monkeypatch, given):
+    o = options.validate("q", {"limit": 50} | given)
+    texts = {0: "lichn thhe", 1: "ertionthe and"}
+    rows = search.query_terms(texts, o)
+    held = search.gathered(index, rows, o)
+    for frame in (held.postings, held.term_stats, held.field_stats, search.matches(index, rows, o)):
+        assert "regexp_extract_all" not in plan(frame)
+    assert held.averages == index.averages
+    one = lambda: Counter(map(str, search.search_many(index, texts, o).collect()))
+    found = one()
+    # as by the whole dictionary
+    monkeypatch.setattr(search, "gathered", lambda index, rows, o: index)
+    assert found and found == one()
+
+
+def test_gathered_terms_are_all_that_query_terms_meet(index):
+    o = options.validate("q", {"fuzzy": 1})
+    rows = search.query_terms({0: "das", 1: "ab tion", 2: "src3"}, o)
+    want = {tuple(r) for r in search.alternatives(index, rows, o).collect()}
+    assert want and {tuple(r) for r in search.alternatives(search.gathered(index, rows, o), rows, o).collect()} == want
