@@ -125,3 +125,13 @@ def test_gathered_terms_are_all_that_query_terms_meet(index):
     rows = search.query_terms({0: "das", 1: "ab tion", 2: "src3"}, o)
     want = {tuple(r) for r in search.alternatives(index, rows, o).collect()}
     assert want and {tuple(r) for r in search.alternatives(search.gathered(index, rows, o), rows, o).collect()} == want
+
+
+def test_larger_tables_are_sorted_in_more_ranges(spark, index, monkeypatch):
+    from lorebase.sources import store
+
+    monkeypatch.setattr(indexing, "RANGE", 2_000)  # for 4 shuffle partitions
+    held = store.stored(index)
+    for frame, rows in ((held.parts[0].blocks, held.postings.count()), (held.variants, held.variants.count())):
+        assert rows > 8_000 and len(frame.inputFiles()) > 4
+    assert held.postings.count() == index.postings.count()
