@@ -196,7 +196,7 @@ UNION ALL SELECT 'bad lines' FROM y WHERE n % 37 = 0 UNION ALL SELECT 'no sectio
 SELECT rule, count(*) AS count FROM v GROUP BY rule""")
 
 
-_register("postings_blocks", lambda s, d: store.stored(_index(s, d), fuzzy=False).postings.drop("strict"), ORACLES["postings"])
+_register("postings_blocks", lambda s, d: indexing.decoded(store.blocks(_index(s, d))).drop("strict"), ORACLES["postings"])
 
 
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:

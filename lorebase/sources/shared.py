@@ -40,5 +40,5 @@ def folder(spark: SparkSession) -> str:
 def cut(frame: DataFrame) -> DataFrame:
     """frame written to the shared folder and read again."""
     path = folder(frame.sparkSession)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression="zstd")
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

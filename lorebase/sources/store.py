@@ -147,7 +147,7 @@ def _write(frame: DataFrame, table: str, folder: str, rows: int = 0) -> DataFram
     if keys:
         # a range of keys to a file, so that a lookup reads few files and row groups
         frame = indexing.ranged(frame, rows, *keys)
-    frame.write.parquet(f"{folder}/{table}")
+    frame.write.parquet(f"{folder}/{table}", compression="zstd")
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{table}")
 
 
@@ -160,9 +160,7 @@ def stored(index: Index, folder: str | None = None, rebuild: bool = False, fuzzy
     spark = index.documents.sparkSession
     folder = folder or shared.folder(spark)
     documents, sections = _write(index.documents, "documents", folder), _write(index.sections, "sections", folder)
-    source = shared.cut(indexing.build(documents, sections).postings if rebuild else index.postings)  # ranges are drawn in a pass of its own
-    field_stats = _write(counted(source, sections), "field_stats", folder)
-    blocks = _write(indexing.blocked(source, {r.field: r.avg_dl for r in field_stats.collect()}), "blocks", folder)
+    blocks, field_stats = _blocked(indexing.build(documents, sections).postings if rebuild else index.postings, sections, folder)
     term_stats = _write(blocks.groupBy("field", "term").agg(F.sum("n").alias("df")), "term_stats", folder)
     if fuzzy:
         stems = shared.cut(indexing.stems(term_stats))  # counted, and ranges are drawn in a pass of its own
@@ -173,6 +171,18 @@ def stored(index: Index, folder: str | None = None, rebuild: bool = False, fuzzy
     return opened(documents=documents, sections=sections, blocks=blocks, term_stats=term_stats, field_stats=field_stats, variants=variants, inventory=inventory)
 
 
+def _blocked(postings: DataFrame, sections: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of postings and the field statistics, as tables of a folder."""
+    source = shared.cut(postings)  # ranges are drawn in a pass of its own
+    field_stats = _write(counted(source, sections), "field_stats", folder)
+    return _write(indexing.blocked(source, {r.field: r.avg_dl for r in field_stats.collect()}), "blocks", folder), field_stats
+
+
+def blocks(index: Index) -> DataFrame:
+    """The postings of index as blocks of the shared folder, without its other tables."""
+    return _blocked(index.postings, index.sections, shared.folder(index.documents.sparkSession))[0]
+
+
 def opened(blocks: DataFrame, **tables: DataFrame) -> Index:
     """An index of stored tables."""
     return Index(**tables, postings=indexing.decoded(blocks), parts=(indexing.Part(blocks),))

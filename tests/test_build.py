@@ -135,3 +135,21 @@ def test_larger_tables_are_sorted_in_more_ranges(spark, index, monkeypatch):
     for frame, rows in ((held.parts[0].blocks, held.postings.count()), (held.variants, held.variants.count())):
         assert rows > 8_000 and len(frame.inputFiles()) > 4
     assert held.postings.count() == index.postings.count()
+
+
+def test_blocks_alone_are_stored_without_other_tables(spark, index, monkeypatch):
+    from lorebase.sources import store
+
+    written, real = [], store._write
+    monkeypatch.setattr(store, "_write", lambda frame, table, *a: written.append(table) or real(frame, table, *a))
+    found = catalogue.QUERIES["postings_blocks"](spark, DATA)
+    assert set(written) == {"blocks", "field_stats"}
+    assert Counter(found.collect()) == Counter(index.postings.select(found.columns).collect())
+
+
+def test_ranges_grow_before_they_are_more_than_are_dealt_unheld(spark, monkeypatch):
+    monkeypatch.setattr(indexing, "RANGE", 1)
+    monkeypatch.setattr(indexing, "DEALT", 6)
+    monkeypatch.setattr(indexing, "MOST", 1_000)
+    for rows, parts in ((5, 5), (100, 6), (6_000, 6), (10_000, 10)):  # for 4 shuffle partitions
+        assert indexing.dealt(spark.range(rows), rows, "id").rdd.getNumPartitions() == parts
