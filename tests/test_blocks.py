@@ -177,3 +177,13 @@ def test_damage_is_found_and_placed(spark, pair, monkeypatch):
         store.load(spark, cache)
     assert e.value.code == "ERR_CACHE_INVALID"
     assert BOOSTS
+
+
+def test_a_saved_index_is_digested_once_and_verified_without_its_postings_again(spark, pair, monkeypatch):
+    plain, stored = pair
+    digested, real = [], store.leaves
+    monkeypatch.setattr(store, "leaves", lambda *a: digested.append(1) or real(*a))
+    store._written(plain, store.Place(spark, shared.folder(spark)))
+    assert len(digested) == 1
+    found = store.verify(stored)
+    assert "arrays_zip" not in found._jdf.queryExecution().optimizedPlan().toString() and found.isEmpty()
